@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import line_dedup, quality_rules
+from edgeloom.llm import line_dedup, parity_join, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_parity_join": parity_join.op6_parity_join,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can state; the others are tested against brute force."""
     return {
+        "op6_parity_join": parity_join.OP6_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }

@@ -7,7 +7,12 @@ folder below the warehouse is used.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_edgeloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp()  # served to executors by the driver for as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/edgeloom-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(path)
+    context._edgeloom_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made."""
     shared_dir(df.sparkSession)
