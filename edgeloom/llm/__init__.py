@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import line_dedup, packing, parity_join, quality_rules
+from edgeloom.llm import language_id, line_dedup, packing, parity_join, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": packing.op2_packing,
+        "op5_language_id": language_id.op5_language_id,
         "op6_parity_join": parity_join.op6_parity_join,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
