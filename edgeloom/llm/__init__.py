@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import language_id, line_dedup, packing, parity_join, quality_rules
+from edgeloom.llm import language_id, line_dedup, packing, parity_join, quality_rules, sharding, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_extendible_sharding": sharding.op1_extendible_sharding,
         "op2_packing": packing.op2_packing,
         "op5_language_id": language_id.op5_language_id,
         "op6_parity_join": parity_join.op6_parity_join,
+        "op8_vector_dedup": vector_dedup.op8_vector_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
@@ -22,7 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can state; the others are tested against brute force."""
     return {
+        "op1_extendible_sharding": sharding.OP1_SQL,
         "op6_parity_join": parity_join.OP6_SQL,
+        "op8_vector_dedup": vector_dedup.OP8_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }
