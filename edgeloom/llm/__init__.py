@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import language_id, line_dedup, packing, parity_join, quality_rules, sharding, surrogates, vector_dedup
+from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, sharding, surrogates, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_surrogates": surrogates.op4_surrogates,
         "op5_language_id": language_id.op5_language_id,
         "op6_parity_join": parity_join.op6_parity_join,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_vector_dedup": vector_dedup.op8_vector_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
