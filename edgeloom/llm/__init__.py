@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, sharding, surrogates, vector_dedup
+from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, secret_scan, sharding, surrogates, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_extendible_sharding": sharding.op1_extendible_sharding,
         "op2_packing": packing.op2_packing,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_surrogates": surrogates.op4_surrogates,
         "op5_language_id": language_id.op5_language_id,
         "op6_parity_join": parity_join.op6_parity_join,
