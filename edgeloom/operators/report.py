@@ -50,7 +50,7 @@ def select_nodes(edges: DataFrame, query: Query) -> DataFrame:
 def aggregate(edges: DataFrame, collapse: Collapse | None = None, include_self: bool = False) -> DataFrame:
     """(source, target, count, external, kinds) after collapsing; external if any edge is."""
     fold = collapse or (lambda c: c)
-    folded = edges.withColumns({"source": fold(F.col("source")), "target": F.when(F.col("external"), F.col("target")).otherwise(fold(F.col("target"))) if collapse else F.col("target")})
+    folded = edges.withColumns({"source": fold(F.col("source")), "target": fold(F.col("target"))})
     folded = folded if include_self else folded.filter("source <> target")
     kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds"))))
     return folded.groupBy("source", "target").agg(F.count(F.lit(1)).alias("count"), F.bool_or("external").alias("external"), kinds.alias("kinds"))

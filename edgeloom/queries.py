@@ -115,10 +115,10 @@ _doc_pattern("f06_target_filename", with_name("doc_?2.md"), r"\A(?:doc_[^/]2\.md
 _doc_pattern("f06_target_folder", in_folder("e?/src2"), r"\A(?:e[^/]/src2)\z", _FOLDER)
 
 
-@query("f06_target_type", f"WITH {O.IMPLS} SELECT impl_id::BIGINT AS impl_id, name, regexp_extract(name, '([^/:.]+)[/:.]*$', 1) AS type_name FROM impls WHERE regexp_matches(regexp_extract(name, '([^/:.]+)[/:.]*$', 1), '\\A(?:[A-M].*)\\z')")
+@query("f06_target_type", f"WITH {O.IMPLS} SELECT impl_id::BIGINT AS impl_id, name, regexp_extract(name, '([^/:.]+)[/:.]*$', 1) AS type_name FROM impls WHERE regexp_matches(regexp_extract(name, '([^/:.]+)[/:.]*$', 1), '\\A(?:NATION_[0-9]?[02468])\\z')")
 def _(t):
     impls, _types = A.impl_relations(t)
-    f = types_matching(pattern("[A-M].*", "regex"))
+    f = types_matching(pattern("NATION_[0-9]?[02468]", "regex"))
     return impls.filter(f.column("name")).select("impl_id", "name", ids.type_name("name").alias("type_name"))
 
 
@@ -147,10 +147,10 @@ def _labels(name: str, s: slices.Slices, expression: str) -> None:
     query(name, f"WITH {O.TRADE} SELECT source AS file, nullif({expression}, '') AS label FROM edges WHERE source = target")(lambda t: A.trade_edges(t).filter("source = target").select(F.col("source").alias("file"), s.label(F.col("source")).alias("label")))
 
 
-_SUFFIXES = {"ia": "ia", "nia": "nia", "a": "a", "y": "y"}
+_SUFFIXES = {"1": "one", "_1": "first", "2": "two", "22": "twenty-two"}
 _labels("p07_slice_pattern", slices.by_pattern("src/(**)/"), r"regexp_extract(source, '\Asrc/([^/]+)/.*\z', 1)")
-_labels("p08_slice_regex", slices.by_regex("/([a-m])[a-z_]*[.]rs"), "regexp_extract(source, '/([a-m])[a-z_]*[.]rs', 1)")
-_labels("p09_slice_suffix", slices.by_file_suffix(_SUFFIXES), "CASE WHEN ends_with(source, 'nia.rs') THEN 'nia' WHEN ends_with(source, 'ia.rs') THEN 'ia' WHEN ends_with(source, 'a.rs') THEN 'a' WHEN ends_with(source, 'y.rs') THEN 'y' END")
+_labels("p08_slice_regex", slices.by_regex("_([1-2])[0-9]*[.]rs"), "regexp_extract(source, '_([1-2])[0-9]*[.]rs', 1)")
+_labels("p09_slice_suffix", slices.by_file_suffix(_SUFFIXES), "CASE WHEN ends_with(source, '_1.rs') THEN 'first' WHEN ends_with(source, '22.rs') THEN 'twenty-two' WHEN ends_with(source, '1.rs') THEN 'one' WHEN ends_with(source, '2.rs') THEN 'two' END")
 _labels("p10_slice_identity", slices.identity(), "source")
 
 _SLICED = f"sliced AS (SELECT split_part(source, '/', 2) AS source_label, CASE WHEN external THEN target ELSE split_part(target, '/', 2) END AS target_label, source, target, external FROM edges WHERE source <> target), slice_edges AS (SELECT source_label, target_label, count(*)::BIGINT AS n_edges, bool_or(external) AS any_external FROM sliced WHERE source_label <> target_label OR external GROUP BY 1, 2)"
@@ -186,8 +186,8 @@ _collapsed("p14_collapse_pattern", collapse.by_pattern("src/([^/]+)/.*"), r"rege
 
 # ---- reports and traversal -------------------------------------------------------------
 
-_START, _END = in_path("src/africa/[a-k]*.rs"), in_path("src/europe/f*.rs")
-_SEED, _SEED2 = r"regexp_matches(label, '\A(?:src/africa/[a-k][^/]*\.rs)\z')", r"regexp_matches(label, '\A(?:src/europe/f[^/]*\.rs)\z')"
+_START, _END = in_path("src/africa/nation_[0-1]*.rs"), in_path("src/europe/*_[3-8].rs")
+_SEED, _SEED2 = r"regexp_matches(label, '\A(?:src/africa/nation_[0-1][^/]*\.rs)\z')", r"regexp_matches(label, '\A(?:src/europe/[^/]*_[3-8]\.rs)\z')"
 
 
 def _closure(name: str, seed: str, join: str, step: str, depth: int | None = None) -> str:
@@ -225,13 +225,13 @@ def _(t):
     return report.select_nodes(A.trade_top3(t), report.Query(focus=[(_START, 0)], dependents_of=[_END]))
 
 
-_PICK = r"regexp_matches({}, '\A(?:src/(?:.*/)?[a-m][^/]*\.rs)\z')"
+_PICK = r"regexp_matches({}, '\A(?:src/(?:.*/)?nation_[1-2][^/]*\.rs)\z')"
 
 
 @query("j01_induced", f"WITH {O.TOP3} SELECT source, target FROM edges WHERE {_PICK.format('source')} AND {_PICK.format('target')}")
 def _(t):
     edges = A.trade_top3(t)
-    return E.induced(edges, E.nodes(edges).filter(in_path("src/**/[a-m]*.rs").column("label"))).select("source", "target")
+    return E.induced(edges, E.nodes(edges).filter(in_path("src/**/nation_[1-2]*.rs").column("label"))).select("source", "target")
 
 
 _AGG = "agg AS (SELECT array_to_string(string_split(source, '/')[:2], '/') AS source, array_to_string(string_split(target, '/')[:2], '/') AS target, count(*)::BIGINT AS n, bool_or(external) AS external, list_sort(list_distinct(flatten(list(kinds)))) AS kinds FROM edges GROUP BY 1, 2)"
@@ -309,8 +309,8 @@ def _(t):
 
 
 for _name, _negated in (("r01_name_pos", False), ("r01_name_neg", True)):
-    query(_name, f"WITH {O.TRADE} SELECT source AS label FROM edges WHERE source = target AND {_IN.format('source', 'africa')} AND regexp_matches(regexp_extract(source, '[^/]*$'), '\\A(?:[a-k][^/]*\\.rs)\\z') = {str(_negated).lower()}")(
-        lambda t, negated=_negated: rules.file_pattern(A.trade_edges(t), [_AFRICA], with_name("[a-k]*.rs"), negated)
+    query(_name, f"WITH {O.TRADE} SELECT source AS label FROM edges WHERE source = target AND {_IN.format('source', 'africa')} AND regexp_matches(regexp_extract(source, '[^/]*$'), '\\A(?:nation_1[^/]*\\.rs)\\z') = {str(_negated).lower()}")(
+        lambda t, negated=_negated: rules.file_pattern(A.trade_edges(t), [_AFRICA], with_name("nation_1*.rs"), negated)
     )
 
 for _name, _negated in (("r02_allowlist", False), ("r02_denylist", True)):
@@ -349,9 +349,9 @@ def _(t):
     return _layers().may_only_depend_on("africa", "asia", "europe").may_not_depend_on("africa", "asia").violations(A.trade_edges(t))
 
 
-@query("r06_first_layer_wins", f"WITH {O.TRADE}, l AS (SELECT CASE WHEN regexp_matches(source, '/[a-e][^/]*$') THEN 'early' ELSE split_part(source, '/', 2) END AS source_layer, CASE WHEN regexp_matches(target, '/[a-e][^/]*$') THEN 'early' ELSE split_part(target, '/', 2) END AS target_layer, source, target FROM edges WHERE NOT external AND source <> target) SELECT source_layer, target_layer, source, target, 'may-only-depend-on-layers' AS rule FROM l WHERE source_layer = 'early' AND target_layer NOT IN ('early', 'asia')")
+@query("r06_first_layer_wins", f"WITH {O.TRADE}, l AS (SELECT CASE WHEN regexp_matches(source, '/nation_[1-2][^/]*$') THEN 'early' ELSE split_part(source, '/', 2) END AS source_layer, CASE WHEN regexp_matches(target, '/nation_[1-2][^/]*$') THEN 'early' ELSE split_part(target, '/', 2) END AS target_layer, source, target FROM edges WHERE NOT external AND source <> target) SELECT source_layer, target_layer, source, target, 'may-only-depend-on-layers' AS rule FROM l WHERE source_layer = 'early' AND target_layer NOT IN ('early', 'asia')")
 def _(t):
-    return _layers(("early", in_path("src/*/[a-e]*.rs"))).may_only_depend_on("early", "asia").violations(A.trade_edges(t))
+    return _layers(("early", in_path("src/*/nation_[1-2]*.rs"))).may_only_depend_on("early", "asia").violations(A.trade_edges(t))
 
 
 @query("r06_empty_layer", "SELECT 'layer ''missing''' AS subject, true AS is_negated")
