@@ -156,21 +156,22 @@ def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = MIN_KEY_CHAR
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
-    drops = repeated_lines(lines, runs, min_documents).groupBy("doc_id", "body").agg(F.array_sort(F.collect_list("pos")).alias("__pos"))
-    drops = drops.withColumnsRenamed({"doc_id": "__doc", "body": "__body"})
-    joined = docs.join(drops, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__body")), "left")
-    joined = joined.withColumn("__lines", split_lines(F.col("text")))
-    joined = joined.withColumn("__n", F.when(F.col("__pos").isNull(), 0).otherwise(F.size("__pos")))
+    drops = repeated_lines(lines, runs, min_documents).groupBy("doc_id", "body").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+    kept_columns = [c for c in docs.columns if c not in {"kept_lines", "n_dropped"}]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("row"))  # so no name can clash
+    drops = drops.withColumnsRenamed({"doc_id": "of_doc", "body": "of_body"})
+    joined = rows.join(drops, (F.col("row.doc_id") == F.col("of_doc")) & (F.xxhash64("row.text") == F.col("of_body")), "left")
+    joined = joined.select("row", "pos", split_lines(F.col("row.text")).alias("ls"), F.when(F.col("pos").isNull(), 0).otherwise(F.size("pos")).alias("n"))
 
     def stretch(_, i: Column) -> Column:
         """The lines between the dropped lines i-1 and i."""
-        start = F.when(i == 0, 0).otherwise(F.get("__pos", i - 1) + 1)
-        stop = F.when(i == F.col("__n"), F.size("__lines")).otherwise(F.get("__pos", i))
-        return F.slice("__lines", start + 1, stop - start)
+        start = F.when(i == 0, 0).otherwise(F.get("pos", i - 1) + 1)
+        stop = F.when(i == F.col("n"), F.size("ls")).otherwise(F.get("pos", i))
+        return F.slice("ls", start + 1, stop - start)
 
-    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.col("__n")), stretch))
-    kept = F.when(F.col("__n") == 0, F.col("__lines")).otherwise(pieces)
-    return joined.withColumn("kept_lines", kept).withColumn("n_dropped", F.col("__n").cast("bigint")).drop("__doc", "__body", "__pos", "__lines", "__n")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n")), stretch))
+    kept = F.when(F.col("n") == 0, F.col("ls")).otherwise(pieces)
+    return joined.select("row.*", kept.alias("kept_lines"), F.col("n").cast("bigint").alias("n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,8 +76,9 @@ def directory(rows: DataFrame, limit: int, total: int) -> tuple[DataFrame, DataF
 
 def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = SHARD_BYTES) -> DataFrame:
     """``df`` with shard_depth, shard_prefix, shard_tail (bits of the second hash) and shard_bytes."""
-    place = F.monotonically_increasing_id()
-    all_rows = df.withColumn("__place", place).withColumn("h", prefix_hash(F.col(key))).withColumn("bytes", F.coalesce(size, F.lit(0)).cast("bigint"))
+    outputs = {"bytes", "shard_depth", "shard_prefix", "shard_bytes", "shard_tail"}
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in outputs)).alias("row")  # so no name can clash
+    all_rows = df.select(whole, F.monotonically_increasing_id().alias("place"), prefix_hash(F.col(key)).alias("h"), F.coalesce(size, F.lit(0)).cast("bigint").alias("bytes"))
     rows = stored(all_rows, "records")
     single, small = rows.filter(F.col("bytes") > limit), rows.filter(F.col("bytes") <= limit)
     total = small.agg(F.sum("bytes")).first()[0] or 0
@@ -86,15 +87,15 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = SHARD_
     if stuck is not None:
         # one key beyond the limit: go on with the bits of a hash of the row's place
         more = small.join(stuck.withColumnRenamed("cell", "h"), "h", "left_semi").withColumnRenamed("h", "h1")
-        more = cut(more.withColumn("h", F.pmod(F.xxhash64("h1", "__place"), F.lit(1 << BITS))))
+        more = cut(more.withColumn("h", F.pmod(F.xxhash64("h1", "place"), F.lit(1 << BITS))))
         parts, _ = directory(more.select("h", "bytes"), limit, more.agg(F.sum("bytes")).first()[0])
         tail = _place(more, parts).withColumnsRenamed({"shard_prefix": "shard_tail", "h": "h2"})
         tail = tail.withColumn("shard_depth", F.col("shard_depth") + BITS).withColumn("shard_prefix", F.col("h1")).drop("h2").withColumnRenamed("h1", "h")
         # the tail's buckets hold rows of all stuck keys: a shard is a bucket and a key
         each = tail.groupBy("h", "shard_depth", "shard_tail").agg(F.sum("bytes").alias("shard_bytes"))
         out = out.unionByName(tail.drop("shard_bytes").join(each, ["h", "shard_depth", "shard_tail"]))
-    alone = single.withColumn("shard_depth", F.lit(2 * BITS)).withColumn("shard_prefix", F.col("h")).withColumn("shard_bytes", F.col("bytes")).withColumn("shard_tail", F.col("__place"))
-    return out.unionByName(alone).drop("__place", "h")
+    alone = single.withColumn("shard_depth", F.lit(2 * BITS)).withColumn("shard_prefix", F.col("h")).withColumn("shard_bytes", F.col("bytes")).withColumn("shard_tail", F.col("place"))
+    return out.unionByName(alone).select("row.*", "bytes", "shard_depth", "shard_prefix", "shard_tail", "shard_bytes")
 
 
 def _place(rows: DataFrame, buckets: DataFrame) -> DataFrame:

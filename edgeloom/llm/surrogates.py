@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from edgeloom.llm.runtime import cut, ship, stored, table
 
@@ -136,6 +137,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def iban(text: str) -> bool:
+    flat = text.replace(" ", "")
+    return 15 <= len(flat) <= 34 and _mod97(flat[4:] + flat[:4]) == 1
+
+
 # ---- kinds of entities: normal form, surrogate of it, and how it is written --------
 
 
@@ -176,7 +186,8 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int) -> str:
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "iban":
         sets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else _DIGITS for c in value[4:]]
-        return value[:2] + permuted(value[2:4], kind, key, tweak) + permuted(value[4:], kind, key, tweak, alphabets=sets)
+        body = permuted(value[4:], kind, key, tweak, alphabets=sets)
+        return f"{value[:2]}{98 - _mod97(body + value[:2] + '00'):02d}{body}"
     if kind == "token":
         hexadecimal = all(c in _HEX for c in value)
         sets = [_HEX if hexadecimal else _DIGITS if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c for c in value]
@@ -252,7 +263,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             value = m[group]
             if not all(c.isascii() for c in value if c.isdigit()):
                 continue
-            if kind == "name" and not value[0].isupper():
+            if kind == "name" and not value[0].isupper() or kind == "iban" and not iban(value):
                 continue
             title = _TITLE.match(m[0])[1] if kind == "name" else ""
             if kind == "name":  # the words that are capitalised
@@ -308,9 +319,7 @@ def found_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 def settle(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, tweak) of entities that need a tweak, from distinct (kind, value, made)."""
 
-    @F.udf(T.StringType())
-    def again(kind: str, value: str, tweak: int) -> str:
-        return surrogate(kind, value, key, tweak)
+    again = F.udf(lambda kind, value, tweak: surrogate(kind, value, key, tweak), T.StringType())  # a few rows
 
     state = distinct.withColumn("tweak", F.lit(0))
     fixed = (F.col("made") == F.col("value")).cast("int")  # formats with one member cannot change
@@ -330,8 +339,6 @@ def settle(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def _by_made():
-    from pyspark.sql.window import Window
-
     return Window.partitionBy("kind", "made").orderBy("tweak", "value")
 
 
@@ -341,7 +348,8 @@ def anonymized(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     spark = docs.sparkSession
     found = stored(found_entities(docs, key), "entities")
     tweaked = cut(settle(found.groupBy("kind", "value").agg(F.min("made").alias("made")), key))
-    names = [c for c in docs.columns if c not in {"n_replaced", "__tweaks"}]
+    names = [c for c in docs.columns if c != "n_replaced"]
+    body, own_tweaks = (next(n for n in (base, *(f"{base}_{i}" for i in range(len(names) + 1))) if n not in names) for base in ("body", "tweaks"))
     docs = docs.select(names)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_replaced", T.LongType())])
     where, shared = names.index("text"), None
@@ -350,8 +358,8 @@ def anonymized(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         shared = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["tweak"] for r in head})
         source = docs
     else:
-        rows = found.join(tweaked, ["kind", "value"]).groupBy("body").agg(F.array_distinct(F.collect_list(F.struct("kind", "value", "tweak"))).alias("__tweaks"))
-        source = docs.withColumn("body", F.xxhash64("text")).join(rows, "body", "left").select(*names, "__tweaks")
+        rows = found.join(tweaked, ["kind", "value"]).groupBy("body").agg(F.array_distinct(F.collect_list(F.struct("kind", "value", "tweak"))).alias(own_tweaks)).withColumnRenamed("body", body)
+        source = docs.withColumn(body, F.xxhash64("text")).join(rows, body, "left").select(*names, own_tweaks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}

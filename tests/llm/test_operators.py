@@ -1,0 +1,422 @@
+"""Each operator against brute force on small tables, with odd rows in them."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from edgeloom import llm
+from edgeloom.llm import components as C
+from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, secret_scan, sharding, surrogates, vector_dedup
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keys string, node long, h1 long, __pos string"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.integers(40)) for _ in range(n))
+
+
+def odd_texts():
+    rng = np.random.default_rng(5)
+    base = prose(rng, 120)
+    words = base.split()
+    shared = "This very line stands in many documents of the corpus."
+    near = [" ".join(words[:i] + ["changed"] + words[i + 1 :]) for i in range(0, 120, 4)]
+    texts = [None, "", " ", "\n", "one", "One two three", base, base, base.upper(), *near, "\n".join([prose(rng, 9), shared, prose(rng, 3)]), f"{shared}\n{shared}\n ", shared.upper(), f"  {shared}\t"]
+    texts += [prose(rng, int(n)) for n in rng.integers(1, 60, 25)] + [prose(rng, 9000), "word " * 300, "a" * 5000, "12345 !!! 67", "ünï çödé ☃ 漢字 " * 4]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None, None, None, "k", 1, 2, "p") for i, t in enumerate(odd_texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(enumerate(odd_texts()))
+
+
+@pytest.fixture
+def nothing(docs):
+    return docs.limit(0)
+
+
+def lower(s):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), s)
+
+
+def key_of_line(line):
+    return lower(line.strip(" \t\n\x0b\x0c\r"))
+
+
+def split_words(s):
+    return re.findall(r"[^\x20\x09-\x0D]+", s or "")
+
+
+def roots(nodes, links):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+# ---- 1 ---------------------------------------------------------------------------
+
+
+def test_sharding_fits_and_splits_only_what_is_too_large(spark):
+    rows = [(i, "same key" if i % 3 == 0 else f"k{i}", 5_000 if i == 7 else 100 + i % 50) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, k string, size int")
+    got = sharding.extendible_shards(df, "k", F.col("size"), limit=2000).toPandas()
+    assert sorted(got.id) == list(range(600))
+    shard = got.groupby(["shard_depth", "shard_prefix", "shard_tail"] + [], dropna=False)
+    for _, part in shard:
+        assert part.bytes.sum() <= 2000 or len(part) == 1
+    by_prefix = got[got.shard_depth < 60].groupby(["shard_depth", "shard_prefix"]).bytes.sum()
+    hashes = {k: int(hashlib.md5(k.encode()).hexdigest()[:15], 16) for _, k, _ in rows}
+    total = lambda depth, prefix: sum(s for _, k, s in rows if s <= 2000 and hashes[k] >> (60 - depth) == prefix)
+    for (depth, prefix), n in by_prefix.items():
+        assert n == total(depth, prefix) <= 2000
+        assert depth == 0 or total(depth - 1, prefix >> 1) > 2000
+
+
+def test_sharding_of_odd_rows_and_of_nothing(docs, nothing):
+    got = sharding.extendible_shards(docs, "doc_id", F.octet_length("text"), limit=3000).toPandas()
+    assert len(got) == docs.count() and set(got.h1) == {2} and (got.groupby(["shard_depth", "shard_prefix", "shard_tail"]).bytes.sum() == got.groupby(["shard_depth", "shard_prefix", "shard_tail"]).shard_bytes.max()).all()
+    assert sharding.extendible_shards(nothing, "doc_id", F.octet_length("text")).count() == 0
+
+
+# ---- 2 ---------------------------------------------------------------------------
+
+
+def test_packing_places_every_id_once(docs, texts):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
+    got = packing.pack_documents(docs, window=64).toPandas()
+    for i, part in got.sort_values("start").groupby("doc_id"):
+        assert part.start.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() == len(ids[i])
+        assert (part.doc_tokens == len(ids[i])).all()
+        for r in part.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[i][r.start : r.start + r.length].tobytes())
+    assert set(got.doc_id) == set(texts)
+    for _, part in got.sort_values("offset").groupby("sequence_id"):
+        assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() <= 64
+    whole = packing.packed_sequences(docs, packing.place(docs.sparkSession.createDataFrame(got.drop(columns=["sequence_id", "offset"])), 64), 64).toPandas()
+    assert whole.n_tokens.sum() == got.length.sum()
+    assert all(len(x) == 64 or len(x) & (len(x) - 1) == 0 for x in whole.ids)
+
+
+def test_bin_slack_fill_is_the_best_subset():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        counts = Counter(rng.integers(1, 30, rng.integers(1, 9)).tolist())
+        room = int(rng.integers(1, 80))
+        sums = {0}
+        for x in counts.elements():
+            sums |= {s + x for s in sums if s + x <= room}
+        got = packing.fill(dict(counts), room)
+        assert sum(k * n for k, n in got.items()) == max(sums) and all(n <= counts[k] for k, n in got.items())
+        plan = packing.bin_slack_plan(dict(counts), 80)
+        used = Counter()
+        for pattern, times in plan:
+            used.update({k: n * times for k, n in pattern.items()})
+            assert sum(k * n for k, n in pattern.items()) <= 80
+        assert used == counts
+
+
+def test_packing_of_nothing(nothing):
+    assert packing.pack_documents(nothing).count() == 0
+
+
+# ---- 3 ---------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train_forest(secret_scan.made_findings(spark, 60), trees=10)
+
+
+def test_secrets_are_found_and_lookalikes_dropped(spark, forest):
+    key = hashlib.sha1(b"x").hexdigest()
+    rows = [
+        (1, f'the token = "{key}" is here', "src1"), (2, f"see commit {key} for more", None), (3, "call 4785380592391139 now", "src1"), (4, "import core/utils/config/path2/file.py", ""),
+        (5, None, "src1"), (6, "", None), (7, "ghp_" + "a1B2c3D4e5" * 3 + " alone", "x"), (1, f'the token = "{key}" is here', "src1"),
+    ]
+    got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id int, text string, source string"), forest).toPandas()
+    verdict = got.groupby("doc_id").is_secret.agg(["all", "any", "size"])
+    assert verdict.loc[1, "all"] and verdict.loc[1, "size"] == 2 and verdict.loc[7, "any"]
+    assert not verdict.loc[[i for i in (2, 3, 4) if i in verdict.index], "any"].any()
+    assert not {5, 6} & set(got.doc_id)
+    assert got[["score"]].apply(lambda s: s.between(0, 1)).all().all()
+
+
+def test_secret_scan_of_odd_and_no_rows(docs, nothing, forest):
+    assert secret_scan.scan_secrets(docs, forest).filter("is_secret").count() == 0
+    assert secret_scan.scan_secrets(nothing, forest).count() == 0
+
+
+# ---- 4 ---------------------------------------------------------------------------
+
+PRIVATE = 'Mail Jo.12@mail.example.com, +1 (743) 555-3824 or 743-555-3824 or 555-6503, 152.143.123.131, 4111 1111 1111 1111, Mrs. Anna Smith, token = "' + "0a1b2c3d4e" * 4 + '"'
+
+
+def test_surrogates_keep_format_and_tell_entities_apart(spark):
+    made, n = surrogates.replaced(PRIVATE, surrogates.KEY, {}, {})
+    assert n == 8
+    for value in ("Jo.12", "555-3824", "555-6503", "152.143", "4111 1111", "Anna", "Smith", "0a1b2c3d4e"):
+        assert value not in made
+    shape = lambda s: re.sub(r"\d", "0", re.sub(r"[^\W\d_]", "a", s))
+    keep = lambda s: [x for k, x in enumerate(surrogates.entities(s)) if x[2] not in {"ip", "name", "token"}]
+    assert [shape(PRIVATE[a:b]) for a, b, *_ in keep(PRIVATE)] == [shape(made[a:b]) for a, b, *_ in keep(made)]
+    assert re.search(r"Mrs\. (\w+) ", made)[1] in surrogates.FEMALE
+    a, b = re.findall(r"\(?(\d{3})\)?[ -](\d{3}-\d{4})", made)[:2]
+    assert a == b  # one number, written twice
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", made)[0]
+    assert surrogates.luhn(card.replace(" ", ""))
+    assert surrogates.replaced(PRIVATE, b"other key", {}, {})[0] != made
+    numbers = {surrogates.surrogate("phone", f"{i:07d}", surrogates.KEY, 0) for i in range(2_000_000, 2_003_000)}
+    assert len(numbers) == 3000
+
+
+def test_clashes_get_a_tweak(spark):
+    value = "0000001"
+    taken = surrogates.surrogate("phone", value, surrogates.KEY, 0)
+    rows = [("phone", v, surrogates.surrogate("phone", v, surrogates.KEY, 0)) for v in (value, taken)]
+    got = surrogates.settle(spark.createDataFrame(rows, "kind string, value string, made string")).collect()
+    assert [(r.value, r.tweak) for r in got] == [(value, 1)]
+
+
+def test_surrogates_on_a_table(docs, texts, nothing, spark, monkeypatch):
+    extra = spark.createDataFrame([(900, PRIVATE), (901, PRIVATE), (902, "ring 0000001 or " + "555-0001")], "doc_id long, text string")
+    table = docs.select("doc_id", "text", F.lit("x").alias("n_replaced")).unionByName(extra.withColumn("n_replaced", F.lit("y")))
+    got = surrogates.anonymized(table).toPandas().set_index("doc_id")
+    for i, t in texts.items():
+        assert got.loc[i, "text"] == t and got.loc[i, "n_replaced"] == 0
+    assert got.loc[900, "text"] == got.loc[901, "text"] != PRIVATE
+    monkeypatch.setattr(surrogates, "BROADCAST_ROWS", -1)  # the way beyond the broadcast
+    joined = surrogates.anonymized(table).toPandas().set_index("doc_id")
+    assert joined.loc[900, "text"] == got.loc[900, "text"]
+    assert surrogates.anonymized(nothing).count() == 0
+
+
+# ---- 5 ---------------------------------------------------------------------------
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    trans, scores, first = rng.normal(size=(3, 3)), rng.normal(size=(11, 3)), np.array([0, 5, 5, 11])
+    want = np.zeros_like(scores)
+    for a, b in ((0, 5), (5, 11)):
+        for path in itertools.product(range(3), repeat=b - a):
+            w = np.exp(trans)[:, path[0]].mean() * np.exp(sum(scores[a + i, y] for i, y in enumerate(path)) + sum(trans[x, y] for x, y in zip(path, path[1:], strict=False)))
+            for i, y in enumerate(path):
+                want[a + i, y] += w
+        want[a:b] /= want[a:b].sum(axis=1, keepdims=True)
+    for block in (1, 2, 3, 32):
+        np.testing.assert_allclose(language_id.marginals(scores, first, trans, block), want)
+
+
+def test_held_out_accuracy_and_undetermined(spark, docs, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = llm.queries()["op5_language_id"](spark, sf_dir).toPandas().merge(frame.toPandas()[["doc_id", "lang"]], on="doc_id")
+    held = got[got.held_out]
+    assert len(held) > 30 and (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
+    model = language_id.train(language_id.training_windows(frame))
+    odd = language_id.with_language(docs, model).toPandas().set_index("doc_id")
+    t = dict(enumerate(odd_texts()))
+    for i, row in odd.iterrows():
+        has = any(c.isalpha() for c in t[i] or "")
+        assert (row.lang_pred == "und") == (not has), t[i]
+    assert language_id.with_language(docs.limit(0), model).count() == 0
+    assert language_id.with_language(docs).toPandas().lang_pred.eq("und").all()  # nothing is labelled
+
+
+# ---- 6 ---------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = split_words(lower(text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def test_parity_join_equals_brute_force(docs, texts, spark):
+    rng = np.random.default_rng(3)
+    more = dict(texts)
+    base = [prose(rng, int(n)).split() for n in rng.integers(6, 80, 30)]
+    for k, words in enumerate(base):
+        for c in range(6):
+            new = list(words)
+            for _ in range(int(rng.integers(0, 3))):
+                new[int(rng.integers(len(new)))] = "edit" + str(rng.integers(5))
+            more[1000 + 10 * k + c] = " ".join(new[: len(new) - int(rng.integers(0, 4))])
+    frame = spark.createDataFrame([*more.items(), (None, "no id at all here today")], "doc_id long, text string").repartition(4)
+    got = parity_join.near_duplicates(frame).toPandas()
+    assert got.doc_id.isna().sum() == 1
+    got = got.dropna(subset=["doc_id"]).set_index("doc_id")
+    sets = {i: shingles(t) for i, t in more.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    assert {i: int(got.loc[i, "n_shingles"]) for i in sets} == {i: len(s) for i, s in sets.items()}
+    assert {i: int(got.loc[i, "component_id"]) for i in sets} == want
+    assert len(links) > 300
+
+
+def test_parity_join_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = prose(rng, 40).split()
+    rows = []
+    for i in range(60):
+        new = list(words)
+        for _ in range(1 + i % 2):
+            new[int(rng.integers(40))] = f"edit{rng.integers(30)}"
+        rows.append((i, " ".join(new)))
+    monkeypatch.setattr(parity_join, "BLOCK", 8)
+    got = parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert got.component_id.astype(int).to_dict() == roots(sets, links)
+
+
+def test_parity_join_of_nothing(nothing):
+    assert parity_join.near_duplicates(nothing).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    path = spark.range(300).selectExpr("id a", "id + 1 b").unionByName(spark.createDataFrame([(1000, 1000), (None, 5)], "a long, b long"))
+    got = C.components(path.repartition(4)).toPandas()
+    assert len(got) == 301 and set(got.component) == {0}
+
+
+# ---- 7 ---------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(docs, texts, nothing):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL_FILE))
+    got = pieces.decoded(pieces.encoded(docs)).toPandas().set_index("doc_id")
+    for i, t in texts.items():
+        if t is None:
+            assert got.loc[i, "ids"] is None and got.loc[i, "decoded"] is None
+        else:
+            assert list(got.loc[i, "ids"]) == model.encode(t) and got.loc[i, "decoded"] == model.decode(model.encode(t))
+    rng = np.random.default_rng(2)
+    letters = list("abcdeth in  .,é漢😀\n\t▁ßкип0123") + ["the", "tion", "   ", "\0"]
+    odd = ["".join(rng.choice(letters, int(rng.integers(0, 200)))) for _ in range(200)] + ["a" * 700, " " * 300]
+    vocab = pieces.vocabulary(public_tokenizers.path(pieces.MODEL_FILE))
+    ids, first = pieces.encode_texts(odd, vocab)
+    for t, a, b in zip(odd, first[:-1], first[1:], strict=True):
+        assert ids[a:b].tolist() == model.encode(t)
+        assert pieces.decode_ids(ids[a:b].tolist(), vocab) == model.decode(ids[a:b].tolist())
+    assert pieces.encoded(nothing).count() == 0
+
+
+# ---- 8 ---------------------------------------------------------------------------
+
+
+def test_vector_dedup_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [rng.normal(size=16) for _ in range(150)]
+    for k in range(12):
+        rows += [rows[k] + rng.normal(size=16) * 0.2 for _ in range(8)]
+    rows += [rows[0].copy() for _ in range(30)] + [2 * rows[3], -rows[3]]
+    vectors = [(i, [float(x) for x in r]) for i, r in enumerate(rows)]
+    n = len(vectors)
+    vectors += [(n, None), (n + 1, []), (n + 2, [0.0] * 16), (n + 3, [float("nan")] + [1.0] * 15), (n + 4, [None] + [1.0] * 15), (n + 5, [float("inf")] + [1.0] * 15), (n + 6, [1.0, 0.0]), (n + 7, [2.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    x = np.array(rows)
+    norm = np.linalg.norm(x, axis=1)
+    near = (x @ x.T) / norm[:, None] / norm >= 0.9
+    links = [(a, b) for a in range(n) for b in range(a) if near[a, b]] + [(n + 6, n + 7)]
+    want = roots(range(n + 8), links)
+    degree = Counter(x for p in links for x in p)
+    monkeypatch.setattr(vector_dedup, "CLUSTER_ROWS", 60)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 70)
+    result = vector_dedup.near_vectors(df)
+    got = result.toPandas().set_index("vec_id")
+    found = sum(min(int(got.loc[i, "n_links"]), degree[i]) for i in got.index)
+    assert found >= 0.97 * sum(degree.values()) and all(got.loc[i, "n_links"] <= degree[i] for i in got.index)
+    assert np.mean([got.loc[i, "component_id"] == want[i] for i in want]) > 0.97
+    assert (got.kept == (got.index == got.component_id)).all()
+    assert vector_dedup.recall(df.filter(f"vec_id < {n}"), result) > 0.95
+    assert vector_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+# ---- 9 and 10 ------------------------------------------------------------------------
+
+
+def repeat_words(words):
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return len({i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)})
+
+
+def test_quality_features_equal_brute_force(docs, texts, nothing):
+    got = quality_rules.apply_rules(docs.select("doc_id", "text")).toPandas().set_index("doc_id")
+    for i, t in texts.items():
+        w, t = split_words(t), t or ""
+        lines = [x for x in t.split("\n") if split_words(x)]
+        r = got.loc[i]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), repeat_words(w))
+        if len(w) < 10:
+            assert not r.kept and r.failed_rule
+    assert quality_rules.apply_rules(nothing.select("doc_id", "text")).count() == 0
+
+
+def test_order_of_rules_does_not_change_verdicts(docs):
+    rules = quality_rules.rules_on_features()
+    frame = quality_rules.with_features(docs.select("doc_id", "text"))
+    made = []
+    for order in (rules, rules[::-1]):
+        worth = [quality_rules.Estimate(r.name, 1.0, 1.0 / (k + 1)) for k, r in enumerate(order)]
+        made.append({r.doc_id: r.f is None for r in frame.select("doc_id", quality_rules.cascade(order, worth).alias("f")).collect()})
+    assert made[0] == made[1]
+
+
+def test_line_dedup_equals_brute_force(docs, texts, nothing, spark):
+    key = key_of_line
+    holders = defaultdict(set)
+    for i, t in texts.items():
+        for line in (t or "").split("\n"):
+            holders[key(line)].add(i)
+    got = line_dedup.dedup_lines(docs).toPandas().set_index("doc_id")
+    dropped = 0
+    for i, t in texts.items():
+        lines = (t or "").split("\n")
+        gone = [len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and i != max(holders[key(x)]) for x in lines]
+        dropped += sum(gone)
+        assert list(got.loc[i, "kept_lines"]) == [x for x, g in zip(lines, gone, strict=True) if not g]
+        assert got.loc[i, "n_dropped"] == sum(gone)
+    assert dropped >= 4
+    assert {"keys", "node", "h1", "__pos"} <= set(got.columns)
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_runs_are_levelled_and_anti_join_what_they_hold(spark):
+    runs = line_dedup.LineRuns(spark, 2, fanout=2)
+    frame = lambda ids: line_dedup.keyed_lines(spark.createDataFrame([(i, f"a line that is long enough, number {i % 7}") for i in ids], "doc_id long, text string"))
+    for part in (range(0, 3), range(3, 6), range(6, 9), range(9, 12)):
+        runs.add(frame(part))
+    assert [len(level) for level in runs.levels] == [0, 0, 1]
+    assert runs.unseen(frame(range(7))).count() == 0
+    assert {r.n_docs for r in runs.counts().collect()} == {1, 2}
