@@ -2,9 +2,9 @@
 
 A *run* is a bucketed and sorted table of line keys: 128 hashed bits, the
 number of documents that hold the line and the largest such ``doc_id``.  A new
-batch of documents is aggregated to such rows, merge-joined with the runs that
-exist (bucketed alike, so only the batch is shuffled), and then becomes a run of
-level 0.  As soon as a level holds ``fanout`` runs they are merged into one run
+batch of documents is aggregated to such rows and merge-anti-joined with the runs that
+exist (bucketed alike, so only the batch is shuffled), which marks the keys that are
+fresh, and then becomes a run of level 0.  As soon as a level holds ``fanout`` runs they are merged into one run
 of the next level, as in a log-structured merge tree, so a key is looked up in a
 logarithmic number of runs.
 
@@ -69,7 +69,7 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
 
 
 def _merge(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bool_or("fresh").alias("fresh"))
 
 
 @dataclass
@@ -107,8 +107,12 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of keyed lines as a run, then compact full levels."""
-        batch = _merge(lines.filter("first").select("h1", "h2", F.lit(1).cast("bigint").alias("n_docs"), F.col("doc_id").alias("last_doc")))
-        self._write(batch, 0)
+        rows = lines.filter("first").select("h1", "h2", F.lit(1).cast("bigint").alias("n_docs"), F.col("doc_id").alias("last_doc"), F.lit(True).alias("fresh"))
+        batch = _merge(rows)
+        for i, name in enumerate(self.names()):
+            batch = batch.join(self.spark.table(name).select("h1", "h2", F.lit(True).alias(f"held{i}")), ["h1", "h2"], "left")
+        seen = F.coalesce(*(F.col(f"held{i}") for i in range(len(self.names()))), F.lit(False))
+        self._write(batch.select("h1", "h2", "n_docs", "last_doc", (~seen).alias("fresh")), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -125,6 +129,10 @@ class LineRuns:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def distinct(self) -> int:
+        """The number of distinct keys: the fresh entries, without merging the runs."""
+        return self.read(self.names()).filter("fresh").count()
+
     def counts(self) -> DataFrame:
         """One row per key over all runs (h1, h2, n_docs, last_doc)."""
         return _merge(self.read(self.names()))

@@ -7,9 +7,7 @@ folder below the warehouse is used.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import io
 import uuid
 import zipfile
 from pathlib import Path
@@ -34,17 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per Spark context."""
+    """Send this package's code to the executors, once per Spark context.
+
+    The archive lies in the shared folder, like all intermediates; the folder's owner
+    clears it when no job runs."""
     context = spark.sparkContext
     if getattr(context, "_edgeloom_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp()  # served to executors by the driver for as long as it runs
-    atexit.register(shutil.rmtree, folder, True)
-    path = f"{folder}/edgeloom-{uuid.uuid4().hex}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
+    path = f"{shared_dir(spark)}/edgeloom-{uuid.uuid4().hex}.zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
     context.addPyFile(path)
     context._edgeloom_shipped = True
 

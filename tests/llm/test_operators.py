@@ -420,3 +420,4 @@ def test_runs_are_levelled_and_anti_join_what_they_hold(spark):
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert runs.unseen(frame(range(7))).count() == 0
     assert {r.n_docs for r in runs.counts().collect()} == {1, 2}
+    assert runs.distinct() == 7
