@@ -13,33 +13,35 @@ from pyspark.sql import functions as F
 from edgeloom.llm.runtime import cut
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for all ends of ``links`` (a, b): the smallest node in reach.
 
+    With ``rounds`` it stops after so many contractions: nodes of one component
+    may then still have several labels, but never do two components share one.
     Links of a node with itself and repeated links are harmless; null ends are
     ignored.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = cut(edges)
-    before = None
-    while True:
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before, done = None, 0
+    while rounds is None or done < rounds:
         edges = cut(_small_star(_large_star(edges)))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        done += 1
+        if rounds is None:
+            state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+    labels = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+    return labels.unionByName(roots.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to its smallest neighbour (itself included)."""
+    """Each node's larger neighbours, and it itself, are linked to the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(low, F.col("v") == F.col("w")).select(F.col("u"), F.col("m").alias("v")).unionByName(
-        # a node whose smaller neighbours exist keeps its own link to the smallest
-        low.filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
-    ).distinct()
+    moved = edges.join(low, F.col("v") == F.col("w")).select(F.col("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ has at most n/3 shingles (similarity 3/4).
   signature is the XOR of its shingles.  Each shingle of the symmetric difference
   changes one group at most, so among any n/3 + 1 groups of a class one has the
   same signature in the partner.  Groups are ranked by a rule that depends on the
-  signature alone (more shingles first, then a hash), and each class stands under
-  its first n/3 + 1 groups: the first group in that order on which both agree is
-  among them on either side, so no link is lost.
+  signature alone (more shingles that are not common first, then a hash), and each
+  class stands under its first n/3 + 1 groups: the first group in that order on which both agree is
+  among them on either side, so no link is lost.  A shingle is common if its cell in
+  a fixed table of counts over all documents stands out; this only steers the order.
 * *Sketch bound.*  A class has a parity sketch of about 2n bits, each shingle
   flipping one bit.  The Hamming distance of two sketches (the longer one folded)
   is at most the symmetric difference, so pairs beyond the bound are dropped.
@@ -21,10 +22,11 @@ has at most n/3 shingles (similarity 3/4).
 
 Groups of near copies would make all pairs of their members candidates.  So in
 each bucket all members are first compared with one leader (the member that
-shares most of its groups), twice, and links are contracted to components.  Only
-buckets that still hold several components are compared all against all, without
-pairs of one component, in blocks of ``BLOCK`` members a side.  All links between
-components are found, thus the components are exact.
+shares most of its groups), and links are contracted to labels.  Buckets that
+still hold several labels are compared all against all, without pairs of one
+label, in blocks of ``BLOCK`` members a side: first only the closest sketch of each
+label is verified for each member, and after another contraction all that is left.
+All links between labels are found, thus the components are exact.
 
 Defined cases: a text without words links with nothing; rows that share a
 ``doc_id`` are one node with the links of all its texts; a null ``doc_id`` has a
@@ -46,7 +48,9 @@ from edgeloom.llm.shingles import mix, set_ids, shingle_sets, text_slices
 
 #: Members a side in one comparison of a bucket that stars did not settle.
 BLOCK = 512
-STARS = 2
+#: Cells of the table that counts shingles, and how many make a row of it.
+CELLS = 1 << 18
+CELL_ROW = 256
 _U = np.uint64
 
 Batches = Iterator[pa.RecordBatch]
@@ -57,8 +61,11 @@ def floor_power(n: np.ndarray) -> np.ndarray:
     return (1 << (np.frexp(n.astype(np.float64))[1] - 1)).astype(np.int64)
 
 
-def group_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """For each set the keys of the groups it stands under, over its bands."""
+def group_keys(sets: list[np.ndarray], common: np.ndarray) -> list[np.ndarray]:
+    """For each set the keys of the groups it stands under, over its bands.
+
+    ``common`` tells for each cell whether its shingles are common.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     out: list[list[np.ndarray]] = [[] for _ in sets]
     own = np.where(n >= 3, floor_power(np.maximum(n, 1)), 0)
@@ -75,7 +82,8 @@ def group_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
         order = np.argsort(gid)
         gid, tokens = gid[order], tokens[order]
         head = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
-        sig, count, gid = np.bitwise_xor.reduceat(tokens, head), np.diff(np.concatenate((head, [len(gid)]))), gid[head]
+        sig, gid = np.bitwise_xor.reduceat(tokens, head), gid[head]
+        count = np.add.reduceat((~common[cells(tokens)]).astype(np.int64), head)
         doc = np.searchsorted(start, gid, "right") - 1
         with np.errstate(over="ignore"):
             key = mix(sig ^ mix(band[doc].astype(_U) * _U(0x9E3779B97F4A7C15) + (gid - start[doc]).astype(_U)))
@@ -96,6 +104,16 @@ def group_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, _U) for x in out]
 
 
+def cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & _U(CELLS - 1)).astype(np.int64)
+
+
+def common_cells(counts: np.ndarray) -> np.ndarray:
+    """Cells whose count is far above what chance leaves."""
+    mean = counts.mean()
+    return counts > mean + 8 * np.sqrt(mean) + 8
+
+
 def sketches(sets: list[np.ndarray]) -> list[bytes]:
     """Parity sketches: 2 * floor_power(n) bits, at least 64."""
     out = []
@@ -111,13 +129,9 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0) if len(sketch) > size else sketch
 
 
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
+def may_link(x: np.ndarray, y: np.ndarray, na: int, nb: int) -> bool:
     if 4 * min(na, nb) < 3 * max(na, nb):
         return False
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     size = min(len(x), len(y))
     return 7 * int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= na + nb
 
@@ -145,16 +159,48 @@ def _class_columns(ids: pa.Array, sets: list[np.ndarray]) -> dict:
 
 
 _CLASS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+_COUNTED = _CLASS.append(pa.field("part", pa.int32())).append(pa.field("counts", pa.list_(pa.int64())))
 
 
-def _key_columns(ids: pa.Array, sets: list[np.ndarray]) -> dict:
-    keys = group_keys(sets)
+def _classes_and_counts(batches: Batches) -> Batches:
+    """Class rows of all texts (part is null), then the task's counts of shingles by cell."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for at, data, offsets in text_slices(batch.column(1)):
+            n = len(offsets) - 1
+            sets = shingle_sets(data, offsets)
+            if sets:
+                counts += np.bincount(cells(np.concatenate(sets)), minlength=CELLS)
+            columns = _class_columns(batch.column(0).slice(at, n), sets)
+            columns |= {"part": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in _COUNTED], schema=_COUNTED)
+    rows = CELLS // CELL_ROW
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * CELL_ROW), pa.array(counts))
+    empty = [pa.nulls(rows, pa.int64())] * 4
+    yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(rows, dtype=np.int32)), lists], schema=_COUNTED)
+
+
+def _add_counts(group: pa.Table) -> pa.Table:
+    lists = group.column("counts").combine_chunks()
+    total = lists.flatten().to_numpy().reshape(len(lists), CELL_ROW).sum(axis=0)
+    return pa.table({"part": group.column("part").slice(0, 1), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+
+def _key_columns(ids: pa.Array, sets: list[np.ndarray], common: np.ndarray) -> dict:
+    keys = group_keys(sets, common)
     offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
     flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-    return _class_columns(ids, sets) | {"keys": pa.ListArray.from_arrays(offsets, pa.array(flat)), "sketch": pa.array(sketches(sets), pa.binary())}
+    return _class_columns(ids, sets) | {"keys": pa.ListArray.from_arrays(offsets, pa.array(flat))}
 
 
-_KEYS = _CLASS.append(pa.field("keys", pa.list_(pa.int64()))).append(pa.field("sketch", pa.binary()))
+_KEYS = _CLASS.append(pa.field("keys", pa.list_(pa.int64())))
+
+
+def _sketch_columns(ids: pa.Array, sets: list[np.ndarray]) -> dict:
+    return _class_columns(ids, sets) | {"sketch": pa.array(sketches(sets), pa.binary())}
+
+
+_SKETCHES = _CLASS.append(pa.field("sketch", pa.binary()))
 
 
 def _set_columns(ids: pa.Array, sets: list[np.ndarray]) -> dict:
@@ -165,12 +211,38 @@ _SETS = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+#: Bits of the filter that keeps texts without a candidate out of a shuffle; any number of ids fits.
+FILTER_BITS = 1 << 24
+
+
+def _filter_words(batches: Batches) -> Batches:
+    """ids -> (word, bits) of the filter."""
+    for batch in batches:
+        h = mix(batch.column(0).to_numpy().view(_U)) & _U(FILTER_BITS - 1)
+        bits = (_U(1) << (h & _U(63))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((h >> _U(6)).view(np.int64)), pa.array(bits)], ["word", "bits"])
+
+
+def _sets_of(filter_words: np.ndarray) -> Callable[[Batches], Batches]:
+    """(doc_id, text) -> (node, tokens) for ids that the filter may hold."""
+    sets = _per_text(_set_columns, _SETS)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            h = mix(batch.column(0).to_numpy().view(_U)) & _U(FILTER_BITS - 1)
+            keep = (filter_words[(h >> _U(6)).view(np.int64)] >> (h & _U(63))) & _U(1)
+            yield from sets(iter([batch.filter(pa.array(keep.astype(bool)))]))
+
+    return run
+
+
 def _sketch_filter(batches: Batches) -> Batches:
     """(a, b, na, nb, sa, sb) -> (a, b) whose sketches may link."""
     for batch in batches:
         c = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
         rows = zip(c["sa"], c["sb"], c["na"].to_pylist(), c["nb"].to_pylist(), strict=True)
-        keep = pa.array([may_link(x.as_buffer(), y.as_buffer(), na, nb) for x, y, na, nb in rows], pa.bool_())
+        buffer = lambda x: np.frombuffer(x.as_buffer(), np.uint8)
+        keep = pa.array([may_link(buffer(x), buffer(y), na, nb) for x, y, na, nb in rows], pa.bool_())
         yield pa.RecordBatch.from_arrays([c["a"].filter(keep), c["b"].filter(keep)], schema=_PAIRS)
 
 
@@ -188,52 +260,83 @@ def _exact_filter(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([c["a"].filter(mask), c["b"].filter(mask)], schema=_PAIRS)
 
 
-def _block_pairs(batches: Batches) -> Batches:
-    """Sorted rows (key, i, j, block, node, component, n, sketch) -> pairs that may link.
+def _block_pairs(best: bool) -> Callable[[Batches], Batches]:
+    """Sorted rows (key, i, j, block, node, label, n, sketch) -> pairs that may link.
 
-    Rows of one (key, i, j) follow each other; they are at most two blocks.
+    Rows of one (key, i, j) follow each other; they are at most two blocks.  With
+    ``best``, only the closest partner of each label is given for a member.
     """
-    held: list[tuple] = []
-    held_key = None
 
-    def pairs() -> Batches:
-        left = [r for r in held if r[0] == held_key[1]]
-        right = left if held_key[1] == held_key[2] else [r for r in held if r[0] == held_key[2]]
-        out = _compare(left, right, left is right)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=_PAIRS)
+    def run(batches: Batches) -> Batches:
+        seen: set[tuple[int, int]] = set()  # of late, as pairs share many keys
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            starts = _starts(rows)
+            rest = rows.slice(starts[-1])
+            yield _pairs(rows, starts, best, seen)
+            if len(seen) > 300_000:
+                seen.clear()
+        if rest is not None and rest.num_rows:
+            yield _pairs(rest, np.array([0, rest.num_rows]), best, seen)
+
+    return run
 
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(8)]
-        for key, i, j, *row in zip(*columns, strict=True):
-            if (key, i, j) != held_key:
-                if len(held) > 1:
-                    yield from pairs()
-                held, held_key = [], (key, i, j)
-            held.append(tuple(row))
-    if len(held) > 1:
-        yield from pairs()
-
-
-def _compare(left: list[tuple], right: list[tuple], same: bool) -> list[tuple[int, int]]:
-    """Pairs of different components whose sketches may link; rows are (block, node, component, n, sketch)."""
-    size = min(len(r[4]) for r in (*left, *right)) if left and right else 0
-    if not size:
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    change = np.zeros(rows.num_rows, bool)
+    change[0] = True
+    for name in ("key", "i", "j"):
+        x = rows.column(name).to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
+
+
+def _pairs(rows: pa.Table, starts: np.ndarray, best: bool, seen: set) -> pa.RecordBatch:
+    """Pairs of the groups between two neighbouring starts."""
+    i, j, block, node, label, n = (rows.column(c).to_numpy() for c in ("i", "j", "block", "node", "label", "n"))
+    sketch = rows.column("sketch").combine_chunks()
+    out: list[tuple[int, int]] = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a < 2 or (label[a:b] == label[a]).all():
+            continue
+        at = np.arange(a, b)
+        left = at[block[a:b] == i[a]]
+        right = left if i[a] == j[a] else at[block[a:b] == j[a]]
+        out += _compare(left, right, i[a] == j[a], node, label, n, sketch, best)
+    fresh = [p for p in dict.fromkeys(out) if p not in seen]
+    seen.update(fresh)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], schema=_PAIRS)
+
+
+def _compare(left: np.ndarray, right: np.ndarray, same: bool, node: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: pa.Array, best: bool) -> list[tuple[int, int]]:
+    """Pairs of different labels whose sketches may link, by rows of the left and the right."""
+    if not len(left) or not len(right):
         return []
-    pack = lambda rows: np.stack([fold(np.frombuffer(r[4], np.uint8), size) for r in rows])
-    column = lambda rows, k: np.array([r[k] for r in rows], np.int64)
-    b, nb, cb = pack(right), column(right, 3), column(right, 2)
+    raw = {k: np.frombuffer(sketch[k].as_buffer(), np.uint8) for k in {*left.tolist(), *right.tolist()}}
+    size = min(map(len, raw.values()))
+    words = np.stack([fold(raw[k], size) for k in right.tolist()]).view(np.uint64)
+    nr, lr = n[right], label[right]
     out = []
-    for x, row in enumerate(left):
-        other = (cb != row[2]) & (4 * np.minimum(nb, row[3]) >= 3 * np.maximum(nb, row[3]))
+    for x, row in enumerate(left.tolist()):
+        other = (lr != label[row]) & (4 * np.minimum(nr, n[row]) >= 3 * np.maximum(nr, n[row]))
         if same:
             other[: x + 1] = False
         at = np.flatnonzero(other)
-        if len(at):
-            far = np.bitwise_count(b[at] ^ fold(np.frombuffer(row[4], np.uint8), size)).sum(axis=1, dtype=np.int64)
-            at = at[7 * far <= nb[at] + row[3]]
-            # folded to the smallest sketch of the block: once more at the pair's own length
-            out += [(row[1], right[y][1]) for y in at.tolist() if may_link(row[4], right[y][4], row[3], right[y][3])]
+        if not len(at):
+            continue
+        far = np.bitwise_count(words[at] ^ fold(raw[row], size).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        near = 7 * far <= nr[at] + n[row]
+        at, far = at[near], far[near]
+        done: set[int] = set()
+        for k in np.argsort(far, kind="stable").tolist():  # folded to the smallest sketch of the group: once more at the pair's length
+            y = int(right[at[k]])
+            if best and label[y] in done:
+                continue
+            if may_link(raw[row], raw[y], int(n[row]), int(n[y])):
+                done.add(label[y])
+                out.append((min(int(node[row]), int(node[y])), max(int(node[row]), int(node[y]))))
     return out
 
 
@@ -251,79 +354,83 @@ class ParityJoin:
     def __init__(self, docs: DataFrame) -> None:
         ship(docs.sparkSession)
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        classes = cut(self.docs.mapInArrow(_per_text(_class_columns, _CLASS), "doc_id long, n_shingles long, c1 long, c2 long"))
-        reps = classes.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
-        self.classes, self.reps = classes, cut(reps)
+        schema = "doc_id long, n_shingles long, c1 long, c2 long, part int, counts array<long>"
+        scanned = stored(self.docs.mapInArrow(_classes_and_counts, schema), "classes")
+        self.classes = scanned.filter("part is null").select("doc_id", "n_shingles", "c1", "c2")
+        reps = self.classes.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
+        self.reps = cut(reps)
+        summed = scanned.filter("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts array<long>")
+        counts = np.zeros(CELLS, np.int64)
+        for row in summed.collect():  # CELLS numbers, however many documents
+            counts[row["part"] * CELL_ROW : (row["part"] + 1) * CELL_ROW] = row["counts"]
+        self.common = common_cells(counts)
 
     def members(self) -> DataFrame:
         """Copies of one text may be a third of all rows: the join on the class can be split by adaptive execution."""
         return self.classes.join(self.reps, ["c1", "c2"], "left").select("doc_id", "n_shingles", "node")
 
-    def keyed(self) -> DataFrame:
-        """(node, n, keys, sketch) of one text of each class."""
-        made = self.docs.mapInArrow(_per_text(_key_columns, _KEYS), "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>, sketch binary")
-        made = made.filter("n_shingles >= 3 and doc_id is not null")
+    def _of_nodes(self, made: DataFrame) -> DataFrame:
+        """Rows of ``made`` (with doc_id, c1, c2) of one text of each class; doc_id becomes node."""
         reps = self.reps.filter("node is not null").withColumnRenamed("node", "doc_id")
-        return made.join(reps, ["doc_id", "c1", "c2"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "sketch")
+        return made.join(reps, ["doc_id", "c1", "c2"], "left_semi").drop("c1", "c2").withColumnsRenamed({"doc_id": "node", "n_shingles": "n"})
 
     def links(self) -> DataFrame:
-        keyed = stored(self.keyed(), "keys")
-        rows = keyed.select(F.explode("keys").alias("key"), "node")
+        common = self.common
+        make = _per_text(lambda ids, sets: _key_columns(ids, sets, common), _KEYS)
+        keyed = self.docs.mapInArrow(make, "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>").filter("n_shingles >= 3 and doc_id is not null")
+        rows = self._of_nodes(keyed).select(F.explode("keys").alias("key"), "node")
         ends = spread(rows, "key").selectExpr("key", "node", "min(node) over (partition by key) lo", "max(node) over (partition by key) hi")
         buckets = stored(ends.filter("lo <> hi").select("key", "node"), "buckets")
         degree = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        nodes = stored(keyed.select("node", "n", "sketch").join(degree, "node"), "sketches")
-        found = None
-        labels = None
-        for star in range(STARS):
-            pairs = self._star(buckets, nodes, labels, star)
-            checked = cut(self._verified(pairs, nodes))
-            found = checked if found is None else found.unionByName(checked)
-            labels = cut(components(found))
-        rest = self._verified(self._blocks(buckets, nodes, labels), nodes)
-        return cut(found.unionByName(rest))
+        sketched = self.docs.mapInArrow(_per_text(_sketch_columns, _SKETCHES), "doc_id long, n_shingles long, c1 long, c2 long, sketch binary")
+        nodes = stored(self._of_nodes(sketched.filter("n_shingles >= 3")).join(degree, "node"), "sketches")
+        found = cut(self._verified(self._stars(buckets, nodes), nodes))
+        labels = cut(components(found, rounds=2))
+        for best in (True, False):
+            checked = cut(self._verified(self._blocks(buckets, nodes, labels, best), nodes))
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = found.unionByName(checked)
+            if best:
+                labels = cut(components(known.unionByName(checked), rounds=2))
+        return found
 
     @staticmethod
-    def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Buckets with each member's component, without those of one component."""
-        if labels is None:
-            return buckets.withColumn("component", F.col("node"))
-        out = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = out.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        return out.join(mixed, "key")
-
-    def _star(self, buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None, star: int) -> DataFrame:
-        """Members paired with their bucket's leader, if of another component."""
-        rows = self._labelled(buckets, labels).join(nodes.select("node", "degree"), "node")
-        lead = F.struct(F.col("degree") if star == 0 else F.xxhash64("node", F.lit(star)), F.col("node"), F.col("component"))
-        leaders = rows.groupBy("key").agg(F.max(lead).alias("lead")).select("key", F.col("lead.node").alias("b"), F.col("lead.component").alias("of"))
-        pairs = rows.join(leaders, "key").filter("component <> of")
+    def _stars(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Members paired with their bucket's leader, the one that shares most of its groups."""
+        rows = buckets.join(nodes.select("node", (F.col("degree") / F.col("n")).alias("share")), "node")
+        leaders = rows.groupBy("key").agg(F.max(F.struct("share", "node")).alias("lead")).select("key", F.col("lead.node").alias("b"))
+        pairs = rows.join(leaders, "key").filter("node <> b")
         return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
-    def _blocks(self, buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components in what stars did not settle."""
-        rows = cut(self._labelled(buckets, labels))
-        size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("other", other)
-        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sketch")
-        dealt = spread(rows, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(_block_pairs, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    @staticmethod
+    def _blocks(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+        """Pairs of different labels in what is not settled."""
+        rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("key", "node", "label")
+        size = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(size.filter("lo <> hi").select("key", "blocks"), "key")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
+        dealt = spread(rows, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        return dealt.mapInArrow(_block_pairs(best), "a long, b long").distinct()
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
         near = stored(near.mapInArrow(_sketch_filter, "a long, b long"), "pairs")
         ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(ends, "doc_id", "left_semi")
-        sets = stored(texts.mapInArrow(_per_text(_set_columns, _SETS), "node long, tokens binary"), "sets")
+        words = np.zeros(FILTER_BITS // 64, np.int64)
+        held = ends.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # the filter
+        words[held["word"].to_numpy()] = held["bits"].to_numpy()
+        shared = self.docs.sparkSession.sparkContext.broadcast(words.view(_U))
+        made = self.docs.filter("doc_id is not null").mapInArrow(lambda batches: _sets_of(shared.value)(batches), "node long, tokens binary")
+        sets = stored(made.join(ends.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "sets")
         of = lambda k: sets.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
         return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_exact_filter, "a long, b long").distinct()
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id)."""
-        labels = components(self.links())
+        labels = cut(components(self.links()))
         out = self.members().join(labels, "node", "left")
         return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
