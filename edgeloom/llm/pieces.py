@@ -39,8 +39,8 @@ from edgeloom.llm.runtime import ship, table
 MODEL_FILE = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters of distinct chunks that are indexed at once, and of texts in a slice.
-INDEX_CHARS = 400_000
-SLICE_CHARS = 4_000_000
+INDEX_CHARS = 200_000
+SLICE_CHARS = 1_500_000
 LONG = 128
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _NONE = np.iinfo(np.int32).max
@@ -302,23 +302,29 @@ def _bytes_by_id(ids: tuple[int, ...]) -> dict[int, int]:
 # ---- Spark -----------------------------------------------------------------------
 
 
-def encoded(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """``docs`` with ids (array of int)."""
+def encoded(docs: DataFrame, model_path: str | None = None, verify: bool = False) -> DataFrame:
+    """``docs`` with ids (array of int); with ``verify`` also round_trip: whether they decode to the text."""
     ship(docs.sparkSession)
     path = model_path or public_tokenizers.path(MODEL_FILE)
-    kept = docs.drop("ids")
+    kept = docs.drop("ids", "round_trip") if verify else docs.drop("ids")
     where = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
             for part in slices(batch, where):
-                texts = part.column(where)
-                ids, offsets = encode_texts([t or "" for t in texts.to_pylist()], vocab)
-                column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=texts.is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "ids"])
+                texts = part.column(where).to_pylist()
+                ids, offsets = encode_texts([t or "" for t in texts], vocab)
+                column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=part.column(where).is_null())
+                columns, names = [*part.columns, column], [*part.schema.names, "ids"]
+                if verify:
+                    at = zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+                    same = [None if t is None else decode_ids(ids[a:b].tolist(), vocab) == t for t, a, b in at]
+                    columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    return kept.mapInArrow(run, T.StructType([*fields, T.StructField("round_trip", T.BooleanType())] if verify else fields))
 
 
 def decoded(rows: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -349,5 +355,5 @@ def slices(batch: pa.RecordBatch, where: int) -> Iterator[pa.RecordBatch]:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to the text."""
-    out = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return out.select("doc_id", "ids", F.size("ids").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    out = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
+    return out.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip")
