@@ -15,18 +15,19 @@ has at most n/3 shingles (similarity 3/4).
   class stands under its first n/3 + 1 groups: the first group in that order on which both agree is
   among them on either side, so no link is lost.  A shingle is common if its cell in
   a fixed table of counts over all documents stands out; this only steers the order.
-* *Sketch bound.*  A class has a parity sketch of about 2n bits, each shingle
+* *Sketch bound.*  A class has a parity sketch of about 4n bits, each shingle
   flipping one bit.  The Hamming distance of two sketches (the longer one folded)
   is at most the symmetric difference, so pairs beyond the bound are dropped.
 * *Verify.*  What is left is compared on the shingles themselves.
 
-Groups of near copies would make all pairs of their members candidates.  So in
-each bucket all members are first compared with one leader (the member that
-shares most of its groups), and links are contracted to labels.  Buckets that
-still hold several labels are compared all against all, without pairs of one
-label, in blocks of ``BLOCK`` members a side: first only the closest sketch of each
-label is verified for each member, and after another contraction all that is left.
-All links between labels are found, thus the components are exact.
+Groups of near copies would make all pairs of their members candidates, in every
+bucket they share.  So each bucket has a leader, the member that shares most of its
+groups, and the members of all buckets with one leader form one group.  First all
+members are verified against their leader, and links are contracted to labels.
+Then groups that still hold several labels are compared all against all, without
+pairs of one label, in blocks of ``BLOCK`` members a side.  Two classes that share a
+bucket share its leader's group, so all links between labels are found and the
+components are exact.
 
 Defined cases: a text without words links with nothing; rows that share a
 ``doc_id`` are one node with the links of all its texts; a null ``doc_id`` has a
@@ -115,10 +116,10 @@ def common_cells(counts: np.ndarray) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> list[bytes]:
-    """Parity sketches: 2 * floor_power(n) bits, at least 64."""
+    """Parity sketches: 4 * floor_power(n) bits, at least 128."""
     out = []
     for s in sets:
-        bits = max(64, 2 << (len(s).bit_length() - 1)) if len(s) else 64
+        bits = max(128, 4 << (len(s).bit_length() - 1)) if len(s) else 128
         flips = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(flips.astype(np.uint8), bitorder="little").tobytes())
     return out
@@ -260,40 +261,29 @@ def _exact_filter(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([c["a"].filter(mask), c["b"].filter(mask)], schema=_PAIRS)
 
 
-def _block_pairs(best: bool) -> Callable[[Batches], Batches]:
-    """Sorted rows (key, i, j, block, node, label, n, sketch) -> pairs that may link.
+def _block_pairs(batches: Batches) -> Batches:
+    """Sorted rows (lead, i, j, block, node, label, n, sketch) -> pairs that may link.
 
-    Rows of one (key, i, j) follow each other; they are at most two blocks.  With
-    ``best``, only the closest partner of each label is given for a member.
+    Rows of one (lead, i, j) follow each other; they are at most two blocks.
     """
-
-    def run(batches: Batches) -> Batches:
-        seen: set[tuple[int, int]] = set()  # of late, as pairs share many keys
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            starts = _starts(rows)
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        change = np.zeros(rows.num_rows, bool)
+        change[:1] = True
+        for name in ("lead", "i", "j"):
+            x = rows.column(name).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(change)
+        if len(starts):
             rest = rows.slice(starts[-1])
-            yield _pairs(rows, starts, best, seen)
-            if len(seen) > 300_000:
-                seen.clear()
-        if rest is not None and rest.num_rows:
-            yield _pairs(rest, np.array([0, rest.num_rows]), best, seen)
+            yield _pairs(rows, starts)
+    if rest is not None:
+        yield _pairs(rest, np.array([0, rest.num_rows]))
 
-    return run
 
-
-def _starts(rows: pa.Table) -> np.ndarray:
-    change = np.zeros(rows.num_rows, bool)
-    change[0] = True
-    for name in ("key", "i", "j"):
-        x = rows.column(name).to_numpy()
-        change[1:] |= x[1:] != x[:-1]
-    return np.flatnonzero(change)
-
-
-def _pairs(rows: pa.Table, starts: np.ndarray, best: bool, seen: set) -> pa.RecordBatch:
+def _pairs(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     """Pairs of the groups between two neighbouring starts."""
     i, j, block, node, label, n = (rows.column(c).to_numpy() for c in ("i", "j", "block", "node", "label", "n"))
     sketch = rows.column("sketch").combine_chunks()
@@ -304,13 +294,11 @@ def _pairs(rows: pa.Table, starts: np.ndarray, best: bool, seen: set) -> pa.Reco
         at = np.arange(a, b)
         left = at[block[a:b] == i[a]]
         right = left if i[a] == j[a] else at[block[a:b] == j[a]]
-        out += _compare(left, right, i[a] == j[a], node, label, n, sketch, best)
-    fresh = [p for p in dict.fromkeys(out) if p not in seen]
-    seen.update(fresh)
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], schema=_PAIRS)
+        out += _compare(left, right, i[a] == j[a], node, label, n, sketch)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=_PAIRS)
 
 
-def _compare(left: np.ndarray, right: np.ndarray, same: bool, node: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: pa.Array, best: bool) -> list[tuple[int, int]]:
+def _compare(left: np.ndarray, right: np.ndarray, same: bool, node: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: pa.Array) -> list[tuple[int, int]]:
     """Pairs of different labels whose sketches may link, by rows of the left and the right."""
     if not len(left) or not len(right):
         return []
@@ -324,19 +312,11 @@ def _compare(left: np.ndarray, right: np.ndarray, same: bool, node: np.ndarray,
         if same:
             other[: x + 1] = False
         at = np.flatnonzero(other)
-        if not len(at):
-            continue
-        far = np.bitwise_count(words[at] ^ fold(raw[row], size).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        near = 7 * far <= nr[at] + n[row]
-        at, far = at[near], far[near]
-        done: set[int] = set()
-        for k in np.argsort(far, kind="stable").tolist():  # folded to the smallest sketch of the group: once more at the pair's length
-            y = int(right[at[k]])
-            if best and label[y] in done:
-                continue
-            if may_link(raw[row], raw[y], int(n[row]), int(n[y])):
-                done.add(label[y])
-                out.append((min(int(node[row]), int(node[y])), max(int(node[row]), int(node[y]))))
+        if len(at):
+            far = np.bitwise_count(words[at] ^ fold(raw[row], size).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            for y in right[at[7 * far <= nr[at] + n[row]]].tolist():  # folded to the group's smallest sketch: once more at the pair's own length
+                if may_link(raw[row], raw[y], int(n[row]), int(n[y])):
+                    out.append((min(int(node[row]), int(node[y])), max(int(node[row]), int(node[y]))))
     return out
 
 
@@ -384,35 +364,30 @@ class ParityJoin:
         degree = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         sketched = self.docs.mapInArrow(_per_text(_sketch_columns, _SKETCHES), "doc_id long, n_shingles long, c1 long, c2 long, sketch binary")
         nodes = stored(self._of_nodes(sketched.filter("n_shingles >= 3")).join(degree, "node"), "sketches")
-        found = cut(self._verified(self._stars(buckets, nodes), nodes))
+        groups = stored(self._groups(buckets, nodes), "groups")
+        star = groups.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        found = cut(self._verified(star, nodes))
         labels = cut(components(found, rounds=2))
-        for best in (True, False):
-            checked = cut(self._verified(self._blocks(buckets, nodes, labels, best), nodes))
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = found.unionByName(checked)
-            if best:
-                labels = cut(components(known.unionByName(checked), rounds=2))
-        return found
+        return found.unionByName(self._verified(self._blocks(groups, nodes, labels), nodes))
 
     @staticmethod
-    def _stars(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Members paired with their bucket's leader, the one that shares most of its groups."""
+    def _groups(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(lead, node): the members of all buckets that one node leads, itself included."""
         rows = buckets.join(nodes.select("node", (F.col("degree") / F.col("n")).alias("share")), "node")
-        leaders = rows.groupBy("key").agg(F.max(F.struct("share", "node")).alias("lead")).select("key", F.col("lead.node").alias("b"))
-        pairs = rows.join(leaders, "key").filter("node <> b")
-        return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        leaders = rows.groupBy("key").agg(F.max(F.struct("share", "node")).alias("top")).select("key", F.col("top.node").alias("lead"))
+        return buckets.join(leaders, "key").select("lead", "node").distinct()
 
     @staticmethod
-    def _blocks(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+    def _blocks(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different labels in what is not settled."""
-        rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("key", "node", "label")
-        size = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(size.filter("lo <> hi").select("key", "blocks"), "key")
+        rows = groups.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("lead", "node", "label")
+        size = rows.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(size.filter("lo <> hi").select("lead", "blocks"), "lead")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
-        dealt = spread(rows, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        return dealt.mapInArrow(_block_pairs(best), "a long, b long").distinct()
+        rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
+        dealt = spread(rows, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "node")
+        return dealt.mapInArrow(_block_pairs, "a long, b long").distinct()
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
