@@ -48,7 +48,7 @@ _NONE = np.iinfo(np.int32).max
 
 @dataclass
 class Vocabulary:
-    pieces: list[str]
+    raw: list[bytes]  # by id: a piece's bytes, or the one that a byte piece stands for
     text: list[str]  # matchable pieces
     ids: np.ndarray  # their ids
     rank: np.ndarray  # by id: place in the order of scores, equal for equal scores
@@ -68,7 +68,10 @@ def vocabulary(model_path: str) -> Vocabulary:
     scores = np.array([model.get_score(i) for i in range(n)])
     rank = np.searchsorted(np.unique(-scores), -scores)
     byte = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-    return Vocabulary(pieces, [pieces[i] for i in plain], np.array(plain), rank, byte, max(len(pieces[i]) for i in plain), {pieces[i]: i for i in plain if len(pieces[i]) == 1})
+    raw = [p.encode() for p in pieces]
+    for b, i in enumerate(byte.tolist()):
+        raw[i] = bytes((b,))
+    return Vocabulary(raw, [pieces[i] for i in plain], np.array(plain), rank, byte, max(len(pieces[i]) for i in plain), {pieces[i]: i for i in plain if len(pieces[i]) == 1})
 
 
 # ---- suffix array and edges ---------------------------------------------------
@@ -146,15 +149,15 @@ def edges(codes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     within = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)))[:-1], n)
     start = index.order[np.repeat(lo, n) + within]
     length = np.repeat([len(p) for p in vocab.text], n)
-    by_position = np.lexsort((length, start))
+    by_position = np.argsort(start * (vocab.longest + 1) + length)
     return start[by_position], length[by_position], np.repeat(vocab.ids, n)[by_position]
 
 
 # ---- relaxation ----------------------------------------------------------------
 
 
-def relax(chunks: list[str], vocab: Vocabulary) -> list[np.ndarray]:
-    """The ids of each chunk."""
+def relax(chunks: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all chunks, and how many each has."""
     text = "\0".join(chunks)
     codes = codes_of(text).copy()
     size = np.array([len(c) for c in chunks])
@@ -206,7 +209,7 @@ def relax(chunks: list[str], vocab: Vocabulary) -> list[np.ndarray]:
         gap = np.repeat(missing, n)
         ids, owner = np.repeat(ids, n), np.repeat(owner, n)
         ids[gap] = vocab.byte[np.frombuffer(b"".join(raw), np.uint8)]
-    return np.split(ids, np.searchsorted(owner, np.arange(1, len(chunks))))
+    return ids, np.bincount(owner, minlength=len(chunks))
 
 
 def _relax_long(a: int, b: int, stop: np.ndarray, alive: np.ndarray, found: np.ndarray, wide: int, rank: np.ndarray) -> None:
@@ -250,21 +253,20 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
         found = _CHUNK.findall(BLANK + text.replace(" ", BLANK)) if text else []
         order += [seen.setdefault(c, len(seen)) for c in found]
         counts.append(len(found))
-    parts: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     held: list[str] = []
     chars = 0
     for chunk in seen:
         held.append(chunk)
         chars += len(chunk)
         if chars >= INDEX_CHARS:
-            parts += relax(held, vocab)
+            parts.append(relax(held, vocab))
             held, chars = [], 0
     if held:
-        parts += relax(held, vocab)
+        parts.append(relax(held, vocab))
     if not parts:
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    flat = np.concatenate(parts)
-    size = np.array([len(p) for p in parts])
+    flat, size = (np.concatenate([p[k] for p in parts]) for k in range(2))
     first = np.concatenate(([0], np.cumsum(size)))
     pick = np.array(order)
     n = size[pick]
@@ -274,31 +276,11 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
 
 
 def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
-    out: list[str] = []
-    raw = bytearray()
-    byte = _bytes_by_id(tuple(vocab.byte.tolist()))
-    pieces = vocab.pieces
-    if byte.keys().isdisjoint(ids):
-        text = "".join([pieces[i] for i in ids])
-    else:
-        for i in ids:
-            if i in byte:
-                raw.append(byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(pieces[i])
-        text = "".join((*out, raw.decode("utf-8", "replace")))
-    text = text.replace(BLANK, " ")
+    """Byte pieces stand for their byte; no other piece begins inside a character, so all bytes are decoded at once."""
+    text = b"".join([vocab.raw[i] for i in ids]).decode("utf-8", "replace").replace(BLANK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
-def _bytes_by_id(ids: tuple[int, ...]) -> dict[int, int]:
-    return {i: b for b, i in enumerate(ids)}
-
-
 # ---- Spark -----------------------------------------------------------------------
 
 
