@@ -11,8 +11,12 @@ entity, however it is written (case, separators, country code), to the same one.
 
 What a permutation cannot rule out is a surrogate that is itself an entity of the
 corpus, and clashes after a retry.  So all distinct entities are gathered by
-aggregation, such surrogates are drawn again with the next tweak, and the check is
-repeated until none is left.  The few entities with a tweak are broadcast if they
+aggregation, such surrogates, and those equal to the entity itself, are drawn again
+with the next tweak, and the check is repeated until none is left; from tweak
+``NARROW`` on, in a longer format (more letters or digits, composite first names), so a
+format whose members are all taken does not end the search.  If some are still left
+after ``ROUNDS`` rounds (card numbers, IBANs and IP addresses have one length only), it
+raises with their number.  The few entities with a tweak are broadcast if they
 are at most ``BROADCAST_ROWS``, else they are joined to the documents that hold them.
 
 Defined cases: null text stays null, text without entities stays as it is;
@@ -39,12 +43,13 @@ from edgeloom.llm.runtime import cut, ship, stored, table
 KEY = b"edgeloom surrogate key"
 BROADCAST_ROWS = 100_000
 ROUNDS = 20
+#: Tweaks below this keep the length of the entity; each second one from here on adds to it.
+NARROW = 4
 
 FEMALE = "Alice Anna Clara Elena Emma Eva Greta Hannah Ines Jane Julia Laura Lucia Maria Marie Nora Olivia Paula Rosa Sarah Sofia Sophie".split()
 MALE = "Adam Alain Bruno Carlos David Emil Felix Georg Hugo Ivan Jacob James John Karl Luis Marc Martin Oscar Paul Peter Robert Thomas".split()
 
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Sr)"
-_FEMALE_TITLES = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"}
 _NAME = r"[^\W\d_][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 
 PATTERNS: list[tuple[str, str, re.Pattern]] = [
@@ -60,7 +65,6 @@ PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("name", "", re.compile(rf"(?<!\w){_TITLES}\.?\s(?P<v>{_NAME}(?:\s{_NAME}){{0,2}})")),
 ]
 _DIGIT = re.compile(r"\d")
-_TITLE = re.compile(rf"(?<!\w)({_TITLES})\.?\s")
 
 
 # ---- keyed permutation of a format --------------------------------------------
@@ -149,7 +153,7 @@ def iban(text: str) -> bool:
 # ---- kinds of entities: normal form, surrogate of it, and how it is written --------
 
 
-def normal(kind: str, found: str, title: str = "") -> str:
+def normal(kind: str, found: str) -> str:
     if kind in {"card", "ssn"}:
         return re.sub(r"\D", "", found)
     if kind == "phone":
@@ -163,22 +167,22 @@ def normal(kind: str, found: str, title: str = "") -> str:
     if kind == "iban":
         return found.replace(" ", "")
     if kind == "name":
-        gender = "f" if title in _FEMALE_TITLES else "m" if title in {"Mr", "Herr", "Monsieur", "Señor", "Sr"} else "?"
-        return f"{gender} " + " ".join(found.lower().split())
+        return " ".join(found.lower().split())
     return found.lower() if kind == "email" else found
 
 
 def surrogate(kind: str, value: str, key: bytes, tweak: int) -> str:
-    """The surrogate of a normal form, again a normal form."""
+    """The surrogate of a normal form, again a normal form; longer by ``more`` characters where ``tweak`` is large."""
+    more = max(0, (tweak - NARROW) // 2 + 1)
     if kind == "card":
         valid = luhn(value)
         return permuted(value, kind, key, tweak, lambda s: luhn(s) == valid and (s[0] == "0") == (value[0] == "0"))
     if kind == "ssn":
-        return permuted(value, kind, key, tweak)
+        return permuted(value + "0" * more, kind, key, tweak)
     if kind == "phone":
         lead, _, rest = value.rpartition(" ")
         low = rest.lstrip("+")[:1] in "01"
-        out = permuted(rest, kind, key, tweak, lambda s: (s.lstrip("+")[:1] in "01") == low)
+        out = permuted(rest + "0" * more, kind, key, tweak, lambda s: (s.lstrip("+")[:1] in "01") == low)
         return f"{lead} {out}" if lead else out
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
@@ -190,37 +194,37 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int) -> str:
         return f"{value[:2]}{98 - _mod97(body + value[:2] + '00'):02d}{body}"
     if kind == "token":
         hexadecimal = all(c in _HEX for c in value)
+        value += "0" * more
         sets = [_HEX if hexadecimal else _DIGITS if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c for c in value]
         return permuted(value, kind, key, tweak, alphabets=sets)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{permuted(local, 'local', key, tweak)}@{permuted(host, 'host', key, tweak)}.{top}"
-    gender, *parts = value.split(" ")
-    return " ".join([gender, *(_name_part(p, gender, key, tweak) for p in parts)])
+        return f"{permuted(local + 'z' * more, 'local', key, tweak)}@{permuted(host, 'host', key, tweak)}.{top}"
+    return " ".join(_name_part(p, key, tweak, more) for p in value.split(" "))
 
 
 _FIRST = {"f": [n.lower() for n in FEMALE], "m": [n.lower() for n in MALE]}
 _ALL_FIRST = {n: g for g, names in _FIRST.items() for n in names}
 
 
-def _name_part(part: str, gender: str, key: bytes, tweak: int) -> str:
-    """First names of the lexicon are permuted within their gender; others keep their letters' kinds."""
+def _name_part(part: str, key: bytes, tweak: int, more: int = 0) -> str:
+    """First names of the lexicon are permuted within their gender, or become composites of ``more`` + 1 of them; others keep their letters' kinds."""
     if part in _ALL_FIRST:
         names = _FIRST[_ALL_FIRST[part]]
-        return names[_scramble(names.index(part), len(names), key, f"first:{tweak}".encode())]
-    return permuted(part, "name", key, tweak, lambda s: s not in _ALL_FIRST)
+        x = _scramble(names.index(part), len(names) ** (more + 1), key, f"first:{tweak}".encode())
+        return "-".join(names[x // len(names) ** k % len(names)] for k in range(more + 1))
+    return permuted(part + "z" * more, "name", key, tweak, lambda s: s not in _ALL_FIRST)  # no first name ends with z
 
 
 def written(kind: str, found: str, made: str) -> str:
     """The surrogate's normal form in the layout of the entity found."""
     if kind == "name":
-        made = made.split(" ", 1)[1]
         return "".join(_cased(m, f) for m, f in zip(_words(made), _words(found), strict=False)) if len(_words(made)) == len(_words(found)) else made.title()
     if kind == "ip":
         return made
     if kind == "email":
-        return _cased(made, found)
+        return _cased(made, found) if len(made) == len(found) else made
     if kind == "phone" and found.startswith("+"):
         code = re.match(r"\+\d{1,3}(?!\d)", found)
         if code:
@@ -240,12 +244,12 @@ def _words(text: str) -> list[str]:
 def _cased(made: str, found: str) -> str:
     if len(made) == len(found):
         return "".join(m.upper() if f.isupper() and len(m.upper()) == 1 else m for m, f in zip(made, found, strict=True))
-    return made.title() if found[:1].isupper() else made
+    return made.upper() if found.isupper() and len(found) > 1 else made.title() if found[:1].isupper() else made
 
 
 def _digits_into(layout: str, digits: str) -> str:
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in layout)
+    return "".join(next(rest) if c.isdigit() else c for c in layout) + "".join(rest)
 
 
 # ---- detection --------------------------------------------------------------------
@@ -265,13 +269,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "name" and not value[0].isupper() or kind == "iban" and not iban(value):
                 continue
-            title = _TITLE.match(m[0])[1] if kind == "name" else ""
             if kind == "name":  # the words that are capitalised
                 kept = re.match(rf"{_NAME}(?:\s(?=[^\W\d_])(?-i:{_NAME}))*", value)[0].split()
                 n = next((i for i, w in enumerate(kept) if not w[0].isupper()), len(kept))
                 value = re.match(r"\s?".join(re.escape(w) for w in kept[:n]).replace(r"\s?", r"\s"), value)[0]
             start = m.start(group)
-            found.append((start, start + len(value), kind, normal(kind, value, title)))
+            found.append((start, start + len(value), kind, normal(kind, value)))
     found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], -1
     for e in found:
@@ -317,29 +320,28 @@ def found_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def settle(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, tweak) of entities that need a tweak, from distinct (kind, value, made)."""
+    """(kind, value, tweak) of entities that need a tweak, from distinct (kind, value, made).
+
+    A surrogate is settled if no entity, the own one included, and no other surrogate equals it.
+    Settled ones never change, so a round looks at those that were drawn in it."""
 
     again = F.udf(lambda kind, value, tweak: surrogate(kind, value, key, tweak), T.StringType())  # a few rows
 
-    state = distinct.withColumn("tweak", F.lit(0))
-    fixed = (F.col("made") == F.col("value")).cast("int")  # formats with one member cannot change
-    state = cut(state)
-    for _ in range(ROUNDS):
-        real = state.select("kind", F.col("value").alias("made"))
-        taken = state.filter(fixed == 0).join(real, ["kind", "made"], "left_semi")
-        rank = F.row_number().over(_by_made())
-        twice = state.withColumn("rank", rank).filter("rank > 1").drop("rank")
-        bad = cut(taken.unionByName(twice).select("kind", "value").distinct())
+    moved = cut(distinct.select("kind", "value", "made", F.lit(0).alias("tweak")))
+    occupied = moved.select("kind", F.col("value").alias("made"))
+    settled = moved.limit(0)
+    for tweak in range(ROUNDS + 1):
+        taken = moved.join(occupied.distinct(), ["kind", "made"])
+        twice = moved.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "made").orderBy("value"))).filter("rank > 1")
+        bad = cut(taken.select("kind", "value").unionByName(twice.select("kind", "value")).distinct())
+        good = moved.join(bad, ["kind", "value"], "left_anti")
+        occupied = occupied.unionByName(good.select("kind", "made"))
+        settled = settled.unionByName(good.filter("tweak > 0").select(settled.columns))
         if bad.isEmpty():
-            break
-        redo = state.join(bad, ["kind", "value"], "left_semi").withColumn("tweak", F.col("tweak") + 1)
-        redo = redo.withColumn("made", again("kind", "value", "tweak"))
-        state = cut(state.join(bad, ["kind", "value"], "left_anti").unionByName(redo))
-    return state.filter("tweak > 0").select("kind", "value", "tweak")
-
-
-def _by_made():
-    return Window.partitionBy("kind", "made").orderBy("tweak", "value")
+            return settled.select("kind", "value", "tweak")
+        if tweak < ROUNDS:
+            moved = cut(bad.withColumn("tweak", F.lit(tweak + 1)).withColumn("made", again("kind", "value", "tweak")).select(moved.columns))
+    raise RuntimeError(f"{bad.count()} entities have no free surrogate after {ROUNDS} rounds")
 
 
 def anonymized(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -203,6 +203,28 @@ def test_clashes_get_a_tweak(spark):
     assert [(r.value, r.tweak) for r in got] == [(value, 1)]
 
 
+def test_a_full_format_is_left_for_a_longer_one(spark):
+    values = [("name", n.lower()) for n in surrogates.FEMALE] + [("name", a + b) for a in "aeiouy" for b in "aeiouy"] + [("email", "_@_.com")]
+    rows = [(k, v, surrogates.surrogate(k, v, surrogates.KEY, 0)) for k, v in values]
+    got = surrogates.settle(spark.createDataFrame(rows, "kind string, value string, made string")).collect()
+    tweaks = {(r.kind, r.value): r.tweak for r in got}
+    made = [(k, surrogates.surrogate(k, v, surrogates.KEY, tweaks.get((k, v), 0))) for k, v in values]
+    assert len(set(made)) == len(made) and not set(made) & set(values)
+    texts = ["Mrs Anna met Mr Aea.", "Herr Aa, FRAU, Frau ANNA"]
+    for text in texts:
+        out = surrogates.replaced(text, surrogates.KEY, tweaks, {})[0]
+        assert not set(re.findall(r"\w+", out)) & {"Anna", "ANNA", "Aa"}
+    assert surrogates.replaced("ring 555-0001", surrogates.KEY, {("phone", "5550001"): 6}, {})[0].startswith("ring ")
+    assert len(surrogates.surrogate("phone", "5550001", surrogates.KEY, 6)) == 9
+
+
+def test_no_free_surrogate_raises(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 1)
+    rows = [("name", n.lower(), surrogates.surrogate("name", n.lower(), surrogates.KEY, 0)) for n in surrogates.MALE]
+    with pytest.raises(RuntimeError, match="22 entities"):
+        surrogates.settle(spark.createDataFrame(rows, "kind string, value string, made string"))
+
+
 def test_surrogates_on_a_table(docs, texts, nothing, spark, monkeypatch):
     extra = spark.createDataFrame([(900, PRIVATE), (901, PRIVATE), (902, "ring 0000001 or " + "555-0001")], "doc_id long, text string")
     table = docs.select("doc_id", "text", F.lit("x").alias("n_replaced")).unionByName(extra.withColumn("n_replaced", F.lit("y")))
