@@ -2,7 +2,9 @@
 
 Entities are found by patterns: e-mail addresses, phone numbers, card and account
 numbers, IP addresses, social security numbers, IBANs, access tokens next to a
-word such as ``token``, and names after a title.  An entity's surrogate is a keyed
+word such as ``token``, and names after a title with all
+further mentions of their words in the same document.  Digits of any script, no-break
+blanks and full-width signs count as their plain forms.  An entity's surrogate is a keyed
 permutation of its own format: every character is drawn from the same alphabet
 (script, case, digit, vowel or consonant), a valid check digit stays valid, a first
 name of the lexicon becomes one of the same gender, punctuation stays.  A
@@ -27,7 +29,9 @@ equal texts; an empty table gives an empty table; further columns are kept.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -49,22 +53,37 @@ NARROW = 4
 FEMALE = "Alice Anna Clara Elena Emma Eva Greta Hannah Ines Jane Julia Laura Lucia Maria Marie Nora Olivia Paula Rosa Sarah Sofia Sophie".split()
 MALE = "Adam Alain Bruno Carlos David Emil Felix Georg Hugo Ivan Jacob James John Karl Luis Marc Martin Oscar Paul Peter Robert Thomas".split()
 
-_TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Sr)"
-_NAME = r"[^\W\d_][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+_TITLES = (
+    "(?:Mr|Mrs|Ms|Mx|Miss|Madam|Dr|Dra|Prof|Professor|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|M(?=[.])|Señor|Señora|Señorita|Sra|Srta|Sr|"
+    "господин|госпожа|Господин|Госпожа|г-н|г-жа|Г-н|Г-жа|κύριος|κυρία|Κύριος|Κυρία|κ(?=[.])|السيد|السيدة|الدكتور|الدكتورة)"
+)
+_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_WORD = re.compile(rf"\s(?P<v>[^\W\d_]\.(?=\s)|{_NAME})")
+#: Small words inside a name; they stay as they are.
+_PARTICLES = frozenset("von van der den de del della di da do dos du la le las los y zu zum zur ter ten bin ibn al el".split())
+_PHONE_WORDS = r"(?:tel|tél|telephone|téléphone|telefon|telefono|teléfono|phone|ph|mobile|mobil|móvil|movil|cell|portable|handy|fax|whatsapp|call|ring|rufnummer|appelez|llame)"
 
 PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w.+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")),
     ("iban", "", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip", ".", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?!\w|\.\d)")),
+    ("ip", ":", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*:[0-9A-Fa-f]{0,4}(?:(?<=:)\d{1,3}(?:\.\d{1,3}){3})?(?![\w:])")),
     ("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", "", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|-\d)")),
     ("phone", "-", re.compile(r"(?<![\w-])\d{3}-\d{4}(?![\w-])")),
-    ("phone", "+", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)")),
+    ("phone", "+", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ ./-]?\(\d{1,4}\))?(?:[ ./-]?\d{1,12}){1,6}(?!\w)")),
+    ("phone", "0", re.compile(r"(?<![\w+./-])(?:00[ .-]?[1-9]\d{0,2}(?:[ ./-]?\(0\))?(?:[ ./-]?\d{1,12}){1,6}|0[1-9](?P<s>[ .-]?)\d\d(?:(?P=s)\d\d){3}|(?:\(0\d{1,4}\)[ -]?|0\d{1,4}(?: ?[/-] ?| ))\d{3,9}(?:[ -]\d{1,5}){0,3}|01[567]\d{8,9})(?![\w/]|[.-]\d)")),
+    ("phone", "", re.compile(r"(?<![\w+./-])(?:[6-9]\d\d(?:[ .-]\d\d){3}|[6-9]\d[ .-]\d{3}[ .-]\d\d[ .-]\d\d|(?:1[ .-])?[2-9]\d{9}|1[ .-](?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4})(?![\w/]|[.-]\d)")),
+    ("phone", "", re.compile(rf"(?i)(?<!\w){_PHONE_WORDS}\b[^\w+(\n]{{0,3}}(?:(?:no|nr|number|num|numéro|número|nummer|me|us|at|is|on|au|al)\b[^\w+(\n]{{0,3}}){{0,2}}(?P<v>[+(]?\d(?:[ ./()-]{{0,2}}\d){{6,14}})(?!\w)")),
     ("card", "", re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)")),
-    ("token", "", re.compile(r"(?i)(?<!\w)(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9+/_=-]{16,})")),
-    ("name", "", re.compile(rf"(?<!\w){_TITLES}\.?\s(?P<v>{_NAME}(?:\s{_NAME}){{0,2}})")),
+    ("token", "", re.compile(r"(?i)(?<!\w)(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?(?P<v>(?-i:[A-Za-z0-9+/_=-]{16,}))")),
+    ("name", "", re.compile(rf"{_TITLES}\.?(?=\s[^\W\d_])")),
 ]
 _DIGIT = re.compile(r"\d")
+_TITLE_WORD = re.compile(f"{_TITLES}(?:[.]|$)")
+#: What counts as another character, one for one, where entities are looked for.
+_PLAIN = {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal()} | {ord(c): p for c, p in zip("    ‐‑＋－．＠（）：／", "    --+-.@():/", strict=True)}
+_NOT_PLAIN = frozenset(map(chr, _PLAIN))
 
 
 # ---- keyed permutation of a format --------------------------------------------
@@ -153,17 +172,28 @@ def iban(text: str) -> bool:
 # ---- kinds of entities: normal form, surrogate of it, and how it is written --------
 
 
+_LEAD = r"\+|00[ .-]?(?=[1-9])"
+
+
+def _abroad(phone: str) -> str:
+    """An international number with + and without the trunk zero."""
+    phone = re.sub(f"^(?:{_LEAD})", "+", phone)
+    return phone.replace("(0)", " ") if phone.startswith("+") else phone
+
+
 def normal(kind: str, found: str) -> str:
+    """What all layouts of an entity have in common; ``found`` is in plain characters."""
     if kind in {"card", "ssn"}:
         return re.sub(r"\D", "", found)
     if kind == "phone":
+        found = _abroad(found)
         digits = re.sub(r"\D", "", found)
         code = re.match(r"\+(\d{1,3})(?!\d)", found)
         if code:
             return f"{digits[len(code[1]):]}" if code[1] == "1" else f"+{code[1]} {digits[len(code[1]):]}"
         return ("+" if found.startswith("+") else "") + digits
     if kind == "ip":
-        return ".".join(str(int(x)) for x in found.split("."))
+        return str(ipaddress.IPv6Address(found)) if ":" in found else ".".join(str(int(x)) for x in found.split("."))
     if kind == "iban":
         return found.replace(" ", "")
     if kind == "name":
@@ -181,9 +211,12 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int) -> str:
         return permuted(value + "0" * more, kind, key, tweak)
     if kind == "phone":
         lead, _, rest = value.rpartition(" ")
-        low = rest.lstrip("+")[:1] in "01"
-        out = permuted(rest + "0" * more, kind, key, tweak, lambda s: (s.lstrip("+")[:1] in "01") == low)
+        first = lambda s: s.lstrip("+")[:1] if s.lstrip("+")[:1] in "01" else "2"
+        out = permuted(rest + "0" * more, kind, key, tweak, lambda s: first(s) == first(rest))
         return f"{lead} {out}" if lead else out
+    if kind == "ip" and ":" in value:  # the first group tells the class of the address and stays
+        x = int(ipaddress.IPv6Address(value))
+        return str(ipaddress.IPv6Address(x >> 112 << 112 | _scramble(x & ((1 << 112) - 1), 1 << 112, key, f"ip6:{x >> 112}:{tweak}".encode())))
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
         x = _scramble(int.from_bytes(bytes(octets), "big"), 1 << 32, key, f"ip:{tweak}".encode())
@@ -210,6 +243,8 @@ _ALL_FIRST = {n: g for g, names in _FIRST.items() for n in names}
 
 def _name_part(part: str, key: bytes, tweak: int, more: int = 0) -> str:
     """First names of the lexicon are permuted within their gender, or become composites of ``more`` + 1 of them; others keep their letters' kinds."""
+    if part in _PARTICLES:
+        return part
     if part in _ALL_FIRST:
         names = _FIRST[_ALL_FIRST[part]]
         x = _scramble(names.index(part), len(names) ** (more + 1), key, f"first:{tweak}".encode())
@@ -217,26 +252,49 @@ def _name_part(part: str, key: bytes, tweak: int, more: int = 0) -> str:
     return permuted(part + "z" * more, "name", key, tweak, lambda s: s not in _ALL_FIRST)  # no first name ends with z
 
 
-def written(kind: str, found: str, made: str) -> str:
+def written(kind: str, found: str, made: str, value: str) -> str:
     """The surrogate's normal form in the layout of the entity found."""
-    if kind == "name":
-        return "".join(_cased(m, f) for m, f in zip(_words(made), _words(found), strict=False)) if len(_words(made)) == len(_words(found)) else made.title()
+    plain = _plain(found)
+    out = _written(kind, plain, made, value)
+    if plain == found:
+        return out
+    if len(out) == len(found):  # signs and digits of the own script
+        return "".join(_digit_like(c, f) if f.isdecimal() and c.isdecimal() else f if c == p else c for c, p, f in zip(out, plain, found, strict=True))
+    like = next((f for f in found if f.isdecimal()), "0")
+    return "".join(_digit_like(c, like) if c.isdecimal() else c for c in out)
+
+
+def _written(kind: str, found: str, made: str, value: str) -> str:
+    if kind == "name":  # of a mention, the words it has
+        words = dict(zip(value.split(" "), made.split(" "), strict=True))
+        return "".join(w if w.isspace() else _cased(words[w.lower()], w) for w in _words(found))
     if kind == "ip":
-        return made
+        return made.upper() if re.search("[A-F]", found) else made
     if kind == "email":
         return _cased(made, found) if len(made) == len(found) else made
-    if kind == "phone" and found.startswith("+"):
-        code = re.match(r"\+\d{1,3}(?!\d)", found)
-        if code:
-            return code[0] + _digits_into(found[len(code[0]) :], made.rpartition(" ")[2])
-    if kind in {"card", "ssn", "phone"}:
-        return _digits_into(found, re.sub(r"\D", "", made))
+    if kind == "phone":
+        lead, code = re.match(_LEAD, found), re.match(r"\+(\d{1,3})(?!\d)", _abroad(found))
+        head = (lead[0] if lead else "") + (code[1] if code else "")
+        rest = found[len(head) :]
+        rest = rest.replace("(0)", "()") if lead else rest
+        out = _digits_into(rest, re.sub(r"\D", "", made.rpartition(" ")[2]))
+        return head + (out.replace("()", "(0)") if lead else out)
+    if kind in {"card", "ssn"}:
+        return _digits_into(found, made)
     if kind == "iban":
         rest = iter(made)
         return "".join(c if c == " " else next(rest) for c in found)
     return made
 
 
+def _plain(text: str) -> str:
+    return text if text.isascii() or _NOT_PLAIN.isdisjoint(text) else text.translate(_PLAIN)
+
+
+def _digit_like(digit: str, like: str) -> str:
+    return chr(ord(like) - unicodedata.decimal(like) + int(digit))
+
+
 def _words(text: str) -> list[str]:
     return re.findall(r"\s+|\S+", text)
 
@@ -249,7 +307,7 @@ def _cased(made: str, found: str) -> str:
 
 def _digits_into(layout: str, digits: str) -> str:
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in layout) + "".join(rest)
+    return "".join(next(rest) if c.isdecimal() else c for c in layout) + "".join(rest)
 
 
 # ---- detection --------------------------------------------------------------------
@@ -257,24 +315,31 @@ def _digits_into(layout: str, digits: str) -> str:
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form), in order and without overlap."""
-    found = []
+    text = _plain(text)
+    found, named = [], {}
     digits = _DIGIT.search(text) is not None
     for kind, needs, pattern in PATTERNS:
         if needs and needs not in text or kind not in {"email", "token", "name"} and not digits:
             continue
         for m in pattern.finditer(text):
             group = "v" if "v" in pattern.groupindex else 0
-            value = m[group]
-            if not all(c.isascii() for c in value if c.isdigit()):
+            start, end = m.span(group)
+            if kind == "name" and group == 0:
+                start, end = _name_at(text, end) if not start or not (text[start - 1].isalnum() or text[start - 1] == "_") else (0, 0)
+            value = text[start:end]
+            if not value or kind == "iban" and not iban(value) or kind == "phone" and not _phone(value) or kind == "ip" and ":" in value and not _ip6(value):
                 continue
-            if kind == "name" and not value[0].isupper() or kind == "iban" and not iban(value):
-                continue
-            if kind == "name":  # the words that are capitalised
-                kept = re.match(rf"{_NAME}(?:\s(?=[^\W\d_])(?-i:{_NAME}))*", value)[0].split()
-                n = next((i for i, w in enumerate(kept) if not w[0].isupper()), len(kept))
-                value = re.match(r"\s?".join(re.escape(w) for w in kept[:n]).replace(r"\s?", r"\s"), value)[0]
-            start = m.start(group)
-            found.append((start, start + len(value), kind, normal(kind, value)))
+            made = normal(kind, value)
+            found.append((start, end, kind, made))
+            if kind == "name":
+                parts = value.split()
+                for w in parts[:1] if parts[0].lower() == parts[0].upper() else parts:  # without case, the second may be any word
+                    if len(w.rstrip(".")) > 1 and w.lower() not in _PARTICLES:
+                        for mention in (w, w.upper()):
+                            if mention.lower() == w.lower() and len(named.get(mention, "")) < len(made):
+                                named[mention] = made
+    if named:
+        found += _mentions(text, named)
     found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], -1
     for e in found:
@@ -284,6 +349,54 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _name_at(text: str, at: int) -> tuple[int, int]:
+    """Up to three words from ``at`` on that are not in lower case, with initials, and particles between them."""
+    start = end = None
+    words, small = 0, 0
+    m = _WORD.match(text, at)
+    while m and words < 3 and small < 3:
+        w = m["v"]
+        if not w[0].isupper() and not w[0].islower():  # scripts without case: two words, of those without blanks the first characters
+            head = re.match("[\u3400-\u9fff]{1,4}|[\u30a0-\u30ff]+|[\uac00-\ud7a3]{1,4}", w)
+            if head:
+                return (m.start("v") if start is None else start), m.start("v") + head.end()
+            words = max(words, 1)
+        if w.lower() in _PARTICLES and w[0].islower():
+            small += 1
+        elif w[0].islower() or start is None and _TITLE_WORD.fullmatch(w):
+            break
+        else:
+            words, small, end = words + 1, 0, m.end()
+        if start is None:
+            start = m.start("v")
+        m = _WORD.match(text, m.end())
+    return (start, end) if end else (0, 0)
+
+
+def _mentions(text: str, named: dict[str, str]) -> Iterator[tuple[int, int, str, str]]:
+    """All further places of the words of names, each as a part of the longest name that holds it."""
+    for m in re.finditer(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", text):
+        w = m[0]
+        if w not in named and w[-2:] in {"'s", "’s"}:
+            w = w[:-2]
+        if w in named:
+            yield m.start(), m.start() + len(w), "name", named[w]
+
+
+def _phone(value: str) -> bool:
+    return 7 <= sum(c.isdigit() for c in value) <= 15
+
+
+def _ip6(value: str) -> bool:
+    """An address with a digit and three groups, or with a first group of four: not a slice like ``1::2``."""
+    groups = [g for g in value.split(":") if g]
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return _DIGIT.search(value) is not None and (len(groups) > 2 or groups and len(value.split(":")[0]) == 4)
+
+
 def replaced(text: str, key: bytes, tweaks: dict[tuple[str, str], int], cache: dict) -> tuple[str, int]:
     found = entities(text)
     if not found:
@@ -295,7 +408,7 @@ def replaced(text: str, key: bytes, tweaks: dict[tuple[str, str], int], cache: d
             made = surrogate(kind, value, key, tweaks.get((kind, value), 0))
             if len(cache) < 50_000:
                 cache[kind, value] = made
-        parts += (text[at:start], written(kind, text[start:end], made))
+        parts += (text[at:start], written(kind, text[start:end], made, value))
         at = end
     return "".join((*parts, text[at:])), len(found)
 

@@ -203,6 +203,39 @@ def test_clashes_get_a_tweak(spark):
     assert [(r.value, r.tweak) for r in got] == [(value, 1)]
 
 
+@pytest.mark.parametrize(
+    "value",
+    [
+        "+33 1 23 45 67 89", "01 23 45 67 89", "01\u00a023\u202f45\u00a067\u00a089", "030 1234567", "(030) 12345678", "030/1234567", "0171-1234567", "0171 234 5678", "612 34 56 78",
+        "+49 (0)30 123456", "+49(0)30 123456", "00 49(0)30123456", "001 743 555 3824", "0049 30 1234567", "5551234567", "2001:db8::ff00:42:8329", "2001:DB8:0:1:2:3:4:5", "٠١ ٢٣ ٤٥ ٦٧ ٨٩", "１２３-４５６-７８９０",
+    ],
+)
+def test_layouts_of_phones_and_addresses_are_found(value):
+    text = f"see {value}, and more"
+    assert [(a, b) for a, b, *_ in surrogates.entities(text)] == [(4, 4 + len(value))]
+    made, n = surrogates.replaced(text, surrogates.KEY, {}, {})
+    assert n == 1 and value not in made and made.startswith("see ") and made.endswith(", and more")
+    if ":" not in value:  # digits become digits of the same script, all else stays
+        kind = lambda c: ord(c) - int(c) if c.isdecimal() else c
+        assert [*map(kind, made)] == [*map(kind, text)]
+
+
+def test_names_are_replaced_at_all_their_mentions():
+    for text, names in [
+        ("Smith was out. Mrs. Anna Smith came; then Smith's dog, ANNA and SMITH.", {"Smith", "Anna", "ANNA", "SMITH"}), ("Herr Prof. Dr. Karl von Stein und Stein", {"Karl", "Stein"}), ("Mr. J. Smith and Smith", {"Smith"}),
+        ("господин Иванов и Иванов", {"Иванов"}), ("السيد أحمد", {"أحمد"}), ("M. Dupont et Dupont", {"Dupont"}), ("Frau Strauß, STRAUß", {"Strauß"}),
+    ]:
+        made = surrogates.replaced(text, surrogates.KEY, {}, {})[0]
+        assert not names & set(re.findall(r"\w+", made))
+    a, b = re.fullmatch(r"Mrs. Anna-Maria (\w+) and (\w+)", re.sub("^Mrs. [^ ]+", "Mrs. Anna-Maria", surrogates.replaced("Mrs. Zoe Smith and Smith", surrogates.KEY, {}, {})[0])).groups()
+    assert a == b
+
+
+def test_what_looks_like_an_address_or_number_stays():
+    for text in ("x[1::2] at 12:30:45, std::abc, 00:1a:2b:3c:4d:5e", "on 05-12-2003 10 or 2020-01-02 03:04", "0.0123456789 and 3.14159265358", "smith said so", "1234567"):
+        assert surrogates.replaced(text, surrogates.KEY, {}, {}) == (text, 0)
+
+
 def test_a_full_format_is_left_for_a_longer_one(spark):
     values = [("name", n.lower()) for n in surrogates.FEMALE] + [("name", a + b) for a in "aeiouy" for b in "aeiouy"] + [("email", "_@_.com")]
     rows = [(k, v, surrogates.surrogate(k, v, surrogates.KEY, 0)) for k, v in values]
