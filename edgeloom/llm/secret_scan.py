@@ -1,7 +1,9 @@
 """Operator 3: secret scan with a random forest against false positives (DataFrame functions only).
 
 Candidates are strings of at least 16 characters without blanks that hold a digit or
-mixed case.  Each gets features that are plain column expressions: its length and
+mixed case; every value without blanks, of any length and symbols, that is assigned to
+a secret word or follows one (an operator or ``is`` may stand between); and the
+password of a URL.  Each gets features that are plain column expressions: its length and
 character classes, transitions between classes of neighbouring characters, distinct
 characters, how much of it common words cover, how much it looks like a path, where
 the document comes from, and which words stand around it.  A random forest trained on
@@ -40,6 +42,14 @@ _LIKELY = r"[0-9]|[a-z][A-Z]"
 _KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abps]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.)"
 _SECRET_WORDS = r"(token|secret|passw|passwd|pwd|api.?key|apikey|auth|bearer|credential|private.?key|access.?key)"
 _OTHER_WORDS = r"(sha1|sha256|sha-|md5|commit|checksum|digest|hash|uuid|guid|revision|version|build|order|invoice|account|card|phone|serial|isbn|id\b)"
+#: A word that ends in a secret word, with what may close it and an operator after it.
+_ENDS_SECRET = rf"(?i){_SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"'`\])]{{0,2}}(:=|=>|->|[=:])*$"
+_OPERATOR = r"(?i)^(:=|=>|->|=+|:|-|is|was|ist|est|es)$"
+_ENDS_SECRET_BEFORE = rf"(?i){_SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"'`\])]{{0,2}}\s*(:=|=>|->|[=:]|-|is|was|ist|est|es)*\s*[\"'`]?$"
+#: An assignment within a word: the name, the operator, the value.
+_INLINE = rf"(?i){_SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"'`\])]{{0,2}}(?:=>|:=|[=:])(.+)$"
+_URL = r"://[^\s/@:]*:([^\s/]+)@"
+_QUOTED = r"^[\"'`](.*)[\"'`][^\"'`]*$"
 #: Words whose letters count as covered by a dictionary.
 DICTIONARY = (
     "about account action address after agent also android apache application array async author base before bench binary block board body boolean "
@@ -56,29 +66,38 @@ DICTIONARY = (
     "window with word work write"
 ).split()
 
-FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hexadecimal", "covered", "slashes", "dots", "extension", "known", "near_secret", "near_other", "assigned", "quoted", "test_path"]
+FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hexadecimal", "covered", "slashes", "dots", "extension", "known", "near_secret", "near_other", "assigned", "quoted", "test_path", "follows", "in_url", "code", "long"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_index, candidate, word, before, after, path) of all candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
     path = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
-    held = docs.filter(text.rlike(CANDIDATE)).select("doc_id", path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+", -1).alias("ws"))
-    near = lambda i: F.lower(F.concat_ws(" ", *(F.coalesce(F.get("ws", i - k), F.lit("")) for k in (3, 2, 1))))
-    words = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda e: e["word"].rlike(CANDIDATE))
+    secret = text.rlike(f"(?i){_SECRET_WORDS}") | text.rlike(_URL)
+    held = docs.filter(text.rlike(CANDIDATE) | secret).select("doc_id", path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+", -1).alias("ws"), secret.alias("secret"))
+    before = lambda i, k: F.coalesce(F.get("ws", i - k), F.lit(""))
+    near = lambda i: F.lower(F.concat_ws(" ", *(before(i, k) for k in (3, 2, 1))))
+    after_word = lambda i: before(i, 1).rlike(_ENDS_SECRET) | before(i, 1).rlike(_OPERATOR) & before(i, 2).rlike(_ENDS_SECRET)
+    words = F.transform("ws", lambda w, i: F.struct(w.alias("word"), i.alias("i"), (F.col("secret") & (w != "") & after_word(i)).alias("follows")))
+    words = F.filter(words, lambda e: e["word"].rlike(CANDIDATE) | e["follows"] | F.col("secret") & (e["word"].rlike(_INLINE) | e["word"].rlike(_URL)))
     rows = held.withColumn("hits", words).filter(F.size("hits") > 0).withColumn("hit", F.explode("hits"))
     rows = rows.select(
-        "doc_id", "path", F.col("hit.word").alias("word"), F.col("hit.i").cast("bigint").alias("word_index"), near(F.col("hit.i")).alias("before"),
+        "doc_id", "path", F.col("hit.word").alias("word"), F.col("hit.i").cast("bigint").alias("word_index"), F.col("hit.follows").alias("follows"), near(F.col("hit.i")).alias("before"),
         F.lower(F.coalesce(F.get("ws", F.col("hit.i") + 1), F.lit(""))).alias("after"),
     )
-    rows = rows.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)))
-    return rows.filter(F.col("candidate").rlike(_LIKELY)).select("doc_id", "word_index", *FINDING)
+    long = F.filter(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1), lambda c: c.rlike(_LIKELY))
+    value = F.array(F.when(F.col("follows"), F.col("word")), F.regexp_extract("word", _INLINE, 2))
+    value = F.transform(value, lambda v: F.when(v.rlike(_QUOTED), F.regexp_extract(v, _QUOTED, 1)).otherwise(F.regexp_replace(v, "^[\"'`]|[\"'`,;.)\\]}]+$", "")))
+    value = F.filter(value, lambda v: v.isNotNull() & (v != "") & ~v.rlike(_OPERATOR))
+    url = F.filter(F.array(F.regexp_extract("word", _URL, 1)), lambda v: v != "")
+    rows = rows.withColumn("candidate", F.explode(F.array_distinct(F.concat(long, value, url))))
+    return rows.select("doc_id", "word_index", *FINDING)
 
 
 def with_features(found: DataFrame, dictionary: list[str] | None = None) -> DataFrame:
     c, n = F.col("candidate"), F.char_length("candidate")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    kinds = F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/.-=", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 6)
+    kinds = F.regexp_replace(F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/.-=", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 6), "[^aA0]", "-")
     cover = "(" + "|".join(sorted(dictionary or DICTIONARY, key=lambda w: (-len(w), w))) + ")"
     around = F.concat_ws(" ", "before", F.lower("word"))
     flag = lambda x: x.cast("double")
@@ -96,6 +115,9 @@ def with_features(found: DataFrame, dictionary: list[str] | None = None) -> Data
             "near_secret": flag(around.rlike(_SECRET_WORDS)), "near_other": flag(around.rlike(_OTHER_WORDS)),
             "assigned": flag(ahead.rlike(r"[=:]\s*[\"'`]?$")), "quoted": flag(F.col("word").rlike("[\"'`]")),
             "test_path": flag(F.lower("path").rlike("test|example|sample|mock|doc")),
+            "follows": flag(F.trim(ahead).rlike(_ENDS_SECRET_BEFORE)), "in_url": flag(ahead.rlike(r"://[^\s/@:]*:$")),
+            "code": flag(c.rlike(r"^[$%&*<{]|[(\[{<]|^(?i:none|null|nil|true|false|undefined|string|str|required|optional)$|^[a-z_]+\.[a-z_.]+$")),
+            "long": flag(c.rlike(f"^{CANDIDATE}$") & c.rlike(_LIKELY)),
         }
     )
 
@@ -114,6 +136,15 @@ def made_findings(spark: SparkSession, rows: int = MADE_ROWS) -> DataFrame:
     path = F.concat_ws("/", word(11), word(12), F.concat(word(13), pick(["2", "10", "v3", "64"], 9)), F.concat(word(14), F.lit(".py")))
     camel = F.concat(word(15), F.initcap(word(16)), F.initcap(word(17)), pick(["2", "", "V1", "Impl"], 8))
     quote = F.lit('"')
+    letters = lambda seed, n: F.substring(F.translate(hexadecimal(seed, 64), "0123456789abcdef", "qwrtzpsdfghkxcvb"), 1, n)
+    symbol = lambda seed: pick(["!", "@", "#", "$", "%", "&", "*", "?", "-"], seed)
+    password = F.concat(F.initcap(pick(["tr0ub", "blu3", "m0unt", "s3cr", "w1nt", "dr4g", "k1tt", "zx9"], 41)), letters(42, 2), symbol(43), digits(44, 3), F.upper(letters(45, 1)))
+    short = F.concat(word(46), digits(47, 3))
+    base32 = F.translate(F.upper(hexadecimal(48, 32)), "0123456789", "GHJKMNPQRS")
+    said = F.concat_ws(" ", word(1), word(2), pick(["password", "passwd", "token", "secret", "credentials", "auth"], 49))
+    is_set = F.concat_ws(" ", word(1), pick(["password", "token", "secret", "pwd", "api_key"], 49), pick(["=", ":", "is"], 50))
+    common = pick("reset is was field for and manager of with the must page based service protection policy string will form prompt length".split(), 51)
+    code = pick(["None", "null", "true", "false", "string", "os.environ", "getpass()", "get_token()", "${PASSWORD}", "$TOKEN", "config.password", "self.token", "<password>", "required", "{secret}"], 52)
     templates = [  # label, candidate, text around it in its word, words before
         (1.0, hexadecimal(1, 40), True, assign), (1.0, hexadecimal(2, 32), True, assign), (1.0, base64(3, 40), True, assign), (1.0, base64(4, 24), False, assign),
         (1.0, F.concat(F.lit("AKIA"), F.upper(hexadecimal(5, 16))), False, plain), (1.0, F.concat(F.lit("ghp_"), base64(6, 36)), False, plain),
@@ -123,13 +154,21 @@ def made_findings(spark: SparkSession, rows: int = MADE_ROWS) -> DataFrame:
         (0.0, digits(14, 20), False, label_of(["invoice", "account", "serial"])), (0.0, path, False, plain), (0.0, path, True, label_of(["import", "path", "file"])),
         (0.0, camel, False, plain), (0.0, F.concat_ws("_", word(20), word(21), word(22), digits(23, 2)), False, plain),
         (0.0, F.concat_ws(".", word(24), word(25), word(26), digits(27, 2)), False, plain), (0.0, digits(28, 18), True, plain),
+        (1.0, password, True, is_set), (1.0, password, False, is_set), (1.0, short, True, is_set), (1.0, letters(53, 16), False, is_set), (1.0, letters(54, 16), True, is_set),
+        (1.0, base32, False, is_set), (1.0, base32, True, is_set), (1.0, F.concat(hexadecimal(55, 20), symbol(56), hexadecimal(57, 9)), True, is_set),
+        (0.0, common, False, said), (0.0, word(58), False, said), (0.0, word(59), False, is_set), (0.0, code, False, is_set), (0.0, F.concat(word(60), word(61)), False, said),
     ]
+    inner = [(1.0, password, "postgres://admin:", "@db/x", plain), (1.0, letters(62, 9), "https://me:", "@host.org", plain), (1.0, password, "PASSWORD=", "", plain), (1.0, letters(63, 16), "token=", "", plain), (0.0, code, "password=", "", plain), (0.0, word(64), "auth:", "", plain)]
     out = None
-    for k, (label, candidate, quoted, before) in enumerate(templates):
+    shapes = [(label, candidate, F.concat(quote, candidate, quote) if quoted else candidate, before) for label, candidate, quoted, before in templates]
+    shapes += [(label, candidate, F.concat(F.lit(head), candidate, F.lit(tail)), before) for label, candidate, head, tail, before in inner]
+    for k, (label, candidate, whole, before) in enumerate(shapes):
         base = spark.range(k * rows, (k + 1) * rows, 1, 1)
-        made = base.select(candidate.alias("candidate"), (F.concat(quote, candidate, quote) if quoted else candidate).alias("word"), F.lower(before).alias("before"), word(29).alias("after"), F.lit("").alias("path"), F.lit(label).alias("label"))
+        made = base.select(candidate.alias("candidate"), whole.alias("word"), F.lower(before).alias("before"), word(29).alias("after"), F.lit("").alias("path"), F.lit(label).alias("label"))
+        if k < 20:  # formats of the first rule
+            made = made.filter(F.col("candidate").rlike(f"^{CANDIDATE}$") & F.col("candidate").rlike(_LIKELY))
         out = made if out is None else out.unionByName(made)
-    return out.filter(F.col("candidate").rlike(f"^{CANDIDATE}$") & F.col("candidate").rlike(_LIKELY))
+    return out
 
 
 def _assembled(found: DataFrame) -> DataFrame:

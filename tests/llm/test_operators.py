@@ -167,6 +167,20 @@ def test_secrets_are_found_and_lookalikes_dropped(spark, forest):
     assert got[["score"]].apply(lambda s: s.between(0, 1)).all().all()
 
 
+def test_values_of_secret_words_and_urls_are_candidates(spark, forest):
+    found = {
+        1: ("password = 'Tr0ub4dor&3'", "Tr0ub4dor&3"), 2: ("PASSWORD=hunt3r!2X", "hunt3r!2X"), 3: ('{"api_key": "a!b@c#d$1"}', "a!b@c#d$1"), 4: ("the app password is qwrtzpsdfghkxcvb today", "qwrtzpsdfghkxcvb"),
+        5: ("secret: GHJKMNPQRSTVWXYZGHJKMNPQ", "GHJKMNPQRSTVWXYZGHJKMNPQ"), 6: ("see postgres://admin:Blu3sk!91Q@db.host/x", "Blu3sk!91Q"), 7: ("token\n:\tBlu3sk!91Q", "Blu3sk!91Q"),
+    }
+    prose = {11: "the password reset page", 12: "password = None", 13: "your token is based on this", 14: "secret = config.password"}
+    rows = [(i, t) for i, (t, _) in found.items()] + list(prose.items())
+    got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id int, text string"), forest).toPandas()
+    for i, (_, value) in found.items():
+        mine = got[(got.doc_id == i) & (got.candidate == value)]
+        assert len(mine) == 1 and mine.is_secret.all(), (i, got[got.doc_id == i])
+    assert not got[got.doc_id > 10].is_secret.any() and set(got.doc_id) >= set(prose)
+
+
 def test_secret_scan_of_odd_and_no_rows(docs, nothing, forest):
     assert secret_scan.scan_secrets(docs, forest).filter("is_secret").count() == 0
     assert secret_scan.scan_secrets(nothing, forest).count() == 0
