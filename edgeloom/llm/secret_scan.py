@@ -74,7 +74,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     path = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
     secret = text.rlike(f"(?i){_SECRET_WORDS}") | text.rlike(_URL)
-    held = docs.filter(text.rlike(CANDIDATE) | secret).select("doc_id", path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+", -1).alias("ws"), secret.alias("secret"))
+    once = F.struct(F.split(text, r"[\x20\x09-\x0D]+", -1).alias("ws"), secret.alias("secret"))
+    # generated, so that neither is evaluated again for each word
+    held = docs.filter(text.rlike(CANDIDATE) | secret).select("doc_id", path.alias("path"), F.explode(F.array(once)).alias("once")).select("doc_id", "path", "once.ws", "once.secret")
     before = lambda i, k: F.coalesce(F.get("ws", i - k), F.lit(""))
     near = lambda i: F.lower(F.concat_ws(" ", *(before(i, k) for k in (3, 2, 1))))
     after_word = lambda i: before(i, 1).rlike(_ENDS_SECRET) | before(i, 1).rlike(_OPERATOR) & before(i, 2).rlike(_ENDS_SECRET)
