@@ -11,12 +11,14 @@ windows in different languages, so switches are seen.
 Prediction runs forward-backward over the whole text.  All texts of a slice are
 cut into blocks of ``BLOCK`` words; the transfer matrices of all blocks are built
 side by side, blocks are chained per text, and then all blocks are finished side
-by side.  This is the exact recursion, for texts of any length.  A text's language
+by side.  This is the exact recursion, for texts of any length; features are made
+stretch by stretch and blocks are finished ``CHUNK`` at a time, so a worker holds some
+fifty bytes for each word of a text beside the text.  A text's language
 is the one with the largest sum of word marginals, its score the share of it.
 
-The training sample is bounded by ``TRAIN_DOCS`` documents a language and
-``TRAIN_WORDS`` words of each, taken at a place that a hash of its id picks; it is
-the only thing that reaches the driver.
+The training sample is bounded by ``TRAIN_DOCS`` documents a language, those with the
+smallest hashes of their ids; their whole texts are used.  It is the only thing that
+reaches the driver.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without
 any labelled document all are; rows with a null ``doc_id`` or ``lang`` are never
@@ -34,15 +36,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from edgeloom.llm.runtime import ship, table
-from edgeloom.llm.shingles import _IS_WORD, mix, text_slices, word_hashes
+from edgeloom.llm.shingles import _IS_WORD, inside_offsets, stretches, text_slices, word_hashes, word_starts
 
-TRAIN_DOCS = 500
-TRAIN_WORDS = 120
+#: Bound of the training sample: labelled documents of a language.
+TRAIN_DOCS = 200
 SEQUENCE = 48
 EPOCHS = 6
 BLOCK = 32
+#: Blocks that are finished at once.
+CHUNK = 512
 #: Size of the table of hashed features.
 FEATURES = 1 << 17
 UNKNOWN = "und"
@@ -75,7 +80,9 @@ class Words:
     def scores(self, weights: np.ndarray) -> np.ndarray:
         if not len(self.head):
             return np.zeros((0, weights.shape[1]))
-        total = weights[self.slots[:, 0]] + weights[self.slots[:, 1]] + weights[self.slots[:, 2]]
+        total = weights[self.slots[:, 0]]
+        total += weights[self.slots[:, 1]]
+        total += weights[self.slots[:, 2]]
         out = np.add.reduceat(total, self.head, axis=0).astype(np.float64)
         out += weights[self.own[:, 0]] + weights[self.own[:, 1]]
         known = self.own[:, 2] >= 0
@@ -133,23 +140,31 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, bl
     if not n:
         return scores
     a = np.exp(transitions)
-    p = np.exp(scores - scores.max(axis=1, keepdims=True))
     size = np.diff(first)
     blocks = -(-size // block)
     start = np.concatenate(([0], np.cumsum(blocks)))
-    text = np.repeat(np.arange(len(size)), size)
-    inner = np.arange(n) - first[text]
-    row, col = start[text] + inner // block, inner % block
-    potential = np.ones((start[-1], block, k))
-    potential[row, col] = p
-    valid = np.zeros((start[-1], block), bool)
-    valid[row, col] = True
+    of = np.repeat(np.arange(len(size)), blocks)  # the text of each block
+    begin = first[of] + (np.arange(start[-1]) - start[of]) * block
+    end = np.minimum(begin + block, first[of + 1])
+
+    def laid_out(c: int) -> tuple[np.ndarray, np.ndarray]:
+        """Potentials and which of them are words, of CHUNK blocks from c on."""
+        at = begin[c : c + CHUNK, None] + np.arange(block)
+        valid = at < end[c : c + CHUNK, None]
+        x = scores[np.minimum(at, n - 1)]
+        p = np.exp(x - x.max(axis=2, keepdims=True))
+        p[~valid] = 1
+        return p, valid
 
     product = np.broadcast_to(np.eye(k), (start[-1], k, k)).copy()
-    for t in range(block):
-        step = (product.reshape(-1, k) @ a).reshape(-1, k, k) * potential[:, t, None, :]
-        step /= step.max(axis=(1, 2), keepdims=True)
-        product = np.where(valid[:, t, None, None], step, product)
+    for c in range(0, start[-1], CHUNK):
+        potential, valid = laid_out(c)
+        x = product[c : c + CHUNK]
+        for t in range(block):
+            step = (x.reshape(-1, k) @ a).reshape(-1, k, k) * potential[:, t, None, :]
+            step /= step.max(axis=(1, 2), keepdims=True)
+            x = np.where(valid[:, t, None, None], step, x)
+        product[c : c + CHUNK] = x
 
     before = np.full((start[-1], k), 1.0 / k)
     behind = np.full((start[-1], k), 1.0 / k)
@@ -159,41 +174,38 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, bl
         at = start[1:][blocks > b] - b
         behind[at - 1] = _unit(np.einsum("ijk,ik->ij", product[at], behind[at]))
 
-    forward = np.empty_like(potential)
-    x = before
-    for t in range(block):
-        x = np.where(valid[:, t, None], _unit((x @ a) * potential[:, t]), x)
-        forward[:, t] = x
-    x = behind
-    for t in range(block - 1, -1, -1):
-        forward[:, t] *= x
-        x = np.where(valid[:, t, None], _unit((potential[:, t] * x) @ a.T), x)
-    return _unit(forward[row, col])
+    out = np.empty((n, k))
+    for c in range(0, start[-1], CHUNK):
+        potential, valid = laid_out(c)
+        forward = np.empty_like(potential)
+        x = before[c : c + CHUNK]
+        for t in range(block):
+            x = np.where(valid[:, t, None], _unit((x @ a) * potential[:, t]), x)
+            forward[:, t] = x
+        x = behind[c : c + CHUNK]
+        for t in range(block - 1, -1, -1):
+            forward[:, t] *= x
+            x = np.where(valid[:, t, None], _unit((potential[:, t] * x) @ a.T), x)
+        out[begin[c] : end[min(c + CHUNK, start[-1]) - 1]] = _unit(forward[valid])  # words of neighbouring blocks follow each other
+    return out
 
 
 # ---- training --------------------------------------------------------------------
 
 
-def training_windows(docs: DataFrame, per_language: int = TRAIN_DOCS, words: int = TRAIN_WORDS) -> list[tuple[str, str]]:
-    """(language, window) of at most ``per_language`` documents of each language."""
+def training_texts(docs: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
+    """(language, text) of at most ``per_language`` documents of each language, the same ones on each call."""
     known = docs.filter("lang is not null and doc_id is not null and text is not null")
     known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out: list[tuple[str, str]] = []
-    parts = F.split(F.trim("text"), r"[\x20\x09-\x0D]+")
-    spare = F.greatest(F.size(parts) - words, F.lit(0)) + 1
-    window = F.array_join(F.slice(parts, F.pmod(F.xxhash64("doc_id"), spare).cast("int") + 1, words), " ")
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * per_language / n)))) if counts else None
     if share is None:
-        return out
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    rows = picked.select("lang", window.alias("w"), F.xxhash64("doc_id").alias("h")).limit(2 * per_language * len(counts)).collect()
-    taken: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: r["h"]):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_language and r["w"]:
-            out.append((r["lang"], r["w"]))
-    return out
+        return []
+    picked = known.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30))).filter(F.col("h") < share[F.col("lang")] * (1 << 30))
+    order = ["lang", "h", "doc_id", "text"]
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(*order[1:]))  # of the bounded share
+    rows = picked.withColumn("r", first).filter(F.col("r") <= per_language).select("lang", "h", "doc_id", "text").collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: tuple(r[c] for c in order)) if r["text"].strip()]
 
 
 def train(windows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -301,30 +313,35 @@ def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[s
     n = len(offsets) - 1
     if not model.languages:
         return [UNKNOWN] * n, [0.0] * n
-    f = featurize(data, offsets, model.lexicon)
-    gamma = marginals(f.scores(model.weights), f.first, model.transitions)
-    total = np.concatenate((np.zeros((1, len(model.languages))), np.cumsum(gamma * f.letters[:, None], axis=0)))
-    votes = total[f.first[1:]] - total[f.first[:-1]]
+    scores, letters = [], []
+    for at, stop in stretches(data):  # a word's features do not reach over white space
+        f = featurize(data[at:stop], inside_offsets(offsets, at, stop), model.lexicon)
+        scores.append(f.scores(model.weights))
+        letters.append(f.letters)
+    first = word_starts(data, offsets)
+    gamma = marginals(np.concatenate(scores or [np.zeros((0, len(model.languages)))]), first, model.transitions)
+    gamma *= np.concatenate(letters or [np.zeros(0, bool)])[:, None]
+    total = np.concatenate((np.zeros((1, len(model.languages))), np.cumsum(gamma, axis=0)))
+    votes = total[first[1:]] - total[first[:-1]]
     best, mass = votes.argmax(axis=1), votes.sum(axis=1)
     ascii_letter = _LETTER_BYTE.copy()
     ascii_letter[128:] = False
-    letters = np.concatenate(([0], np.cumsum(ascii_letter[data])))
-    plain = letters[offsets[1:]] > letters[offsets[:-1]]
-    names, scores = [], []
+    plain = [bool(ascii_letter[data[a:b]].any()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    names, shares = [], []
     for i in range(n):
         if mass[i] > 0 and (plain[i] or regex.search(r"\p{L}", data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))):
             names.append(model.languages[best[i]])
-            scores.append(float(min(1.0, max(0.0, votes[i, best[i]] / mass[i]))))
+            shares.append(float(min(1.0, max(0.0, votes[i, best[i]] / mass[i]))))
         else:
             names.append(UNKNOWN)
-            scores.append(0.0)
-    return names, scores
+            shares.append(0.0)
+    return names, shares
 
 
 def with_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with lang_pred and score (columns of these names are replaced)."""
     ship(docs.sparkSession)
-    model = model or train(training_windows(docs))
+    model = model or train(training_texts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by FEATURES
     kept = docs.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -345,7 +362,7 @@ def with_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(training_windows(docs))
+    model = train(training_texts(docs))
     out = with_language(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

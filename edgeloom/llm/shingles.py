@@ -3,7 +3,9 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A text's shingles are its
 distinct runs of ``size`` words, or the whole word sequence where it is shorter;
 each is a 64-bit hash.  Texts are handled in slices of a batch of about
-``SLICE_BYTES``, so memory does not follow the batch size; one text is never cut.
+``SLICE_BYTES``, so memory does not follow the batch size; a text is never cut.  Words
+of a longer text are hashed stretch by stretch (:func:`stretches`), as no word crosses
+white space, so beside the text itself a few bytes for each word are held.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 SIZE = 5
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 256_000
 
 _U = np.uint64
 
@@ -40,14 +42,17 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, base, _U)
-            out[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"], _powers["down"]
+    if n <= SLICE_BYTES + 1 and _powers:
+        return _powers["up"], _powers["down"]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.full(max(n, SLICE_BYTES + 1), base, _U)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            made.append(np.multiply.accumulate(out))
+    if n <= SLICE_BYTES + 1:  # longer tables, for a word beyond a stretch, are not kept
+        _powers["up"], _powers["down"] = made
+    return made[0], made[1]
 
 
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -63,10 +68,48 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         at = stop
 
 
+def stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive stretches of about ``SLICE_BYTES`` that end at white space or at the end."""
+    at, n = 0, len(data)
+    while at < n:
+        stop = min(at + SLICE_BYTES, n)
+        if stop < n:
+            gaps = np.flatnonzero(~_IS_WORD[data[at:stop]])
+            while not len(gaps) and stop < n:  # a word longer than a stretch stays whole
+                more = np.flatnonzero(~_IS_WORD[data[stop : stop + SLICE_BYTES]])
+                if len(more):
+                    gaps = more[:1] + (stop - at)
+                stop = min(stop + SLICE_BYTES, n)
+            stop = at + int(gaps[-1]) + 1 if len(gaps) else n
+        yield at, stop
+        at = stop
+
+
+def inside_offsets(offsets: np.ndarray, at: int, stop: int) -> np.ndarray:
+    """Text bounds within a stretch, relative to it, with its own ends."""
+    inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, stop, "left")]
+    return np.concatenate(([0], inner - at, [stop - at]))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the index of its first word (one more at the end)."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+    if len(data) <= SLICE_BYTES:
+        return _word_hashes(data, offsets)
+    hashes, begins = [], []
+    for at, stop in stretches(data):
+        h, first = _word_hashes(data[at:stop], inside_offsets(offsets, at, stop))
+        inner = (offsets >= at) & (offsets < stop)
+        where = np.searchsorted(inside_offsets(offsets, at, stop), offsets[inner] - at)
+        begins.append(sum(map(len, hashes)) + first[where])
+        hashes.append(h)
+    total = sum(map(len, hashes))
+    ends = np.full(len(offsets) - sum(map(len, begins)), total)
+    return np.concatenate(hashes), np.concatenate((*begins, ends))
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = _IS_WORD[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -79,6 +122,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(begins, offsets)
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text the index of its first word, and the number of words at the end."""
+    inside = _IS_WORD[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins = inside.copy()
+    begins[1:] &= edge[1:-1] | ~inside[:-1]
+    return np.searchsorted(np.flatnonzero(begins), offsets)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     words, first = word_hashes(data, offsets)
