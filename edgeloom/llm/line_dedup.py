@@ -1,12 +1,16 @@
 """Operator 10: line dedup on levelled sorted runs (DataFrame functions only).
 
-A *run* is a bucketed and sorted table of line keys: 128 hashed bits, the
-number of documents that hold the line and the largest such ``doc_id``.  A new
-batch of documents is aggregated to such rows and merge-anti-joined with the runs that
-exist (bucketed alike, so only the batch is shuffled), which marks the keys that are
-fresh, and then becomes a run of level 0.  As soon as a level holds ``fanout`` runs they are merged into one run
-of the next level, as in a log-structured merge tree, so a key is looked up in a
-logarithmic number of runs.
+A *run* is a bucketed and sorted table of line keys: 128 hashed bits, the number of
+documents of its batches that hold the line, and ``last_doc``, the document that keeps it.
+Batches come in descending ranges of ``doc_id``.  A new batch is aggregated to such rows
+and merge-anti-joined with the runs that exist (bucketed alike, so only the batch is
+shuffled): keys that no run holds are fresh, and the largest ``doc_id`` of the batch keeps
+their line, which no later batch can change; of keys that a run holds, only the count is
+added.  The batch then becomes a run of level 0.  As soon as a level holds ``fanout`` runs
+they are merged into one run of the next level, as in a log-structured merge tree, so a
+key is looked up in a logarithmic number of runs.  Which lines go is read from the merged
+runs: a key with enough documents loses all lines but those of the document that the
+anti-join let keep it.  Runs are dropped once that is known.
 
 Lines that many documents share are the hot keys here.  Before every shuffle on
 a line's key the rows are pre-aggregated, and where single lines must meet their
@@ -15,8 +19,9 @@ are broadcast while all others are joined by a shuffle.
 
 Defined cases: null or empty text is one empty line; a null ``doc_id`` is never
 a line's last holder and its document keeps all its lines; repeated rows are
-documents of their own, and all rows with the largest ``doc_id`` keep the line;
-an empty table gives an empty table; further columns are left alone.
+documents of their own, and all rows with the largest ``doc_id`` keep the line (rows
+of one ``doc_id`` are in one batch); an empty table gives an empty table; further
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ def split_lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return lower_ascii(F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+$", ""))
+    return lower_ascii(F.regexp_replace(line, rf"\A{SPACE}+|{SPACE}+\z", ""))  # $ would also stand before a last U+2028
 
 
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
@@ -69,7 +74,7 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
 
 
 def _merge(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bool_or("fresh").alias("fresh"))
+    return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
 @dataclass
@@ -106,13 +111,17 @@ class LineRuns:
         return lines
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of keyed lines as a run, then compact full levels."""
-        rows = lines.filter("first").select("h1", "h2", F.lit(1).cast("bigint").alias("n_docs"), F.col("doc_id").alias("last_doc"), F.lit(True).alias("fresh"))
+        """Add a batch of keyed lines as a run, then compact full levels.
+
+        A key that a run holds already keeps the ``last_doc`` it has there: the anti-join
+        is a left join that marks what is held, so that the counts of held keys are kept too.
+        """
+        rows = lines.filter("first").select("h1", "h2", F.lit(1).cast("bigint").alias("n_docs"), F.col("doc_id").alias("last_doc"))
         batch = _merge(rows)
         for i, name in enumerate(self.names()):
             batch = batch.join(self.spark.table(name).select("h1", "h2", F.lit(True).alias(f"held{i}")), ["h1", "h2"], "left")
-        seen = F.coalesce(*(F.col(f"held{i}") for i in range(len(self.names()))), F.lit(False))
-        self._write(batch.select("h1", "h2", "n_docs", "last_doc", (~seen).alias("fresh")), 0)
+        held = F.coalesce(*(F.col(f"held{i}") for i in range(len(self.names()))), F.lit(False))
+        self._write(batch.select("h1", "h2", "n_docs", F.when(~held, F.col("last_doc")).alias("last_doc")), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -130,8 +139,14 @@ class LineRuns:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def distinct(self) -> int:
-        """The number of distinct keys: the fresh entries, without merging the runs."""
-        return self.read(self.names()).filter("fresh").count()
+        """The number of distinct keys: the entries that were fresh, without merging the runs."""
+        return self.read(self.names()).filter("last_doc is not null").count()
+
+    def close(self) -> None:
+        """Drop all runs."""
+        for name in self.names():
+            self.drop(name)
+        self.levels = []
 
     def counts(self) -> DataFrame:
         """One row per key over all runs (h1, h2, n_docs, last_doc)."""
@@ -139,8 +154,9 @@ class LineRuns:
 
 
 def repeated_lines(lines: DataFrame, runs: LineRuns, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The lines to drop, as (doc_id, body, pos)."""
+    """The lines to drop, as (doc_id, body, pos); the runs are closed."""
     frequent = cut(runs.counts().filter(F.col("n_docs") >= min_documents))
+    runs.close()
     total = frequent.agg(F.sum("n_docs")).first()[0] or 0
     is_hot = F.col("n_docs") * HOT_KEYS >= total  # at most HOT_KEYS rows
     hot = F.broadcast(frequent.filter(is_hot).select("h1", "h2", "last_doc"))
@@ -155,11 +171,14 @@ def repeated_lines(lines: DataFrame, runs: LineRuns, min_documents: int = MIN_DO
 def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``docs`` with two more columns: ``kept_lines`` (array) and ``n_dropped``.
 
-    ``batches`` is the number of parts in which the documents reach the runs; a
-    crawl that comes in deliveries would call :meth:`LineRuns.add` for each.
+    ``batches`` is the number of parts in which the documents reach the runs, by
+    descending ``doc_id``; a crawl that comes in deliveries, the newest first, would
+    call :meth:`LineRuns.add` for each.
     """
     spark = docs.sparkSession
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    share = [1 - b / batches for b in range(1, batches)]
+    bounds = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, share)), 1000)).first()[0] if share else []
+    batch = sum((F.when(F.col("doc_id") < b, 1).otherwise(0) for b in bounds or []), F.lit(0))
     lines = stored(keyed_lines(docs, min_chars).withColumn("batch", batch), "lines", "batch")
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for b in range(batches):
