@@ -29,9 +29,10 @@ pairs of one label, in blocks of ``BLOCK`` members a side.  Two classes that sha
 bucket share its leader's group, so all links between labels are found and the
 components are exact.
 
-Defined cases: a text without words links with nothing; rows that share a
-``doc_id`` are one node with the links of all its texts; a null ``doc_id`` has a
-null component; an empty table gives an empty table; other columns play no part.
+Defined cases: a text without words links with nothing, and its row is a component by
+itself; all other rows that share a ``doc_id`` are one node with the links of all its
+texts; a null ``doc_id`` has a null component and links nothing; an empty table gives an
+empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def _class_columns(ids: pa.Array, sets: list[np.ndarray]) -> dict:
 
 
 _CLASS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
-_COUNTED = _CLASS.append(pa.field("part", pa.int32())).append(pa.field("counts", pa.list_(pa.int64())))
+_COUNTED = _CLASS.append(pa.field("sketch", pa.binary())).append(pa.field("part", pa.int32())).append(pa.field("counts", pa.list_(pa.int64())))
 
 
 def _classes_and_counts(batches: Batches) -> Batches:
@@ -173,11 +174,11 @@ def _classes_and_counts(batches: Batches) -> Batches:
             if sets:
                 counts += np.bincount(cells(np.concatenate(sets)), minlength=CELLS)
             columns = _class_columns(batch.column(0).slice(at, n), sets)
-            columns |= {"part": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.list_(pa.int64()))}
+            columns |= {"sketch": pa.array(sketches(sets), pa.binary()), "part": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in _COUNTED], schema=_COUNTED)
     rows = CELLS // CELL_ROW
     lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * CELL_ROW), pa.array(counts))
-    empty = [pa.nulls(rows, pa.int64())] * 4
+    empty = [*[pa.nulls(rows, pa.int64())] * 4, pa.nulls(rows, pa.binary())]
     yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(rows, dtype=np.int32)), lists], schema=_COUNTED)
 
 
@@ -197,13 +198,6 @@ def _key_columns(ids: pa.Array, sets: list[np.ndarray], common: np.ndarray) -> d
 _KEYS = _CLASS.append(pa.field("keys", pa.list_(pa.int64())))
 
 
-def _sketch_columns(ids: pa.Array, sets: list[np.ndarray]) -> dict:
-    return _class_columns(ids, sets) | {"sketch": pa.array(sketches(sets), pa.binary())}
-
-
-_SKETCHES = _CLASS.append(pa.field("sketch", pa.binary()))
-
-
 def _set_columns(ids: pa.Array, sets: list[np.ndarray]) -> dict:
     return {"node": ids, "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
 
@@ -334,10 +328,11 @@ class ParityJoin:
     def __init__(self, docs: DataFrame) -> None:
         ship(docs.sparkSession)
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        schema = "doc_id long, n_shingles long, c1 long, c2 long, part int, counts array<long>"
+        schema = "doc_id long, n_shingles long, c1 long, c2 long, sketch binary, part int, counts array<long>"
         scanned = stored(self.docs.mapInArrow(_classes_and_counts, schema), "classes")
+        self.sketches = scanned.filter("part is null and n_shingles >= 3").select("doc_id", "n_shingles", "c1", "c2", "sketch")
         self.classes = scanned.filter("part is null").select("doc_id", "n_shingles", "c1", "c2")
-        reps = self.classes.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
+        reps = self.classes.filter("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
         self.reps = cut(reps)
         summed = scanned.filter("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts array<long>")
         counts = np.zeros(CELLS, np.int64)
@@ -362,8 +357,7 @@ class ParityJoin:
         ends = spread(rows, "key").selectExpr("key", "node", "min(node) over (partition by key) lo", "max(node) over (partition by key) hi")
         buckets = stored(ends.filter("lo <> hi").select("key", "node"), "buckets")
         degree = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        sketched = self.docs.mapInArrow(_per_text(_sketch_columns, _SKETCHES), "doc_id long, n_shingles long, c1 long, c2 long, sketch binary")
-        nodes = stored(self._of_nodes(sketched.filter("n_shingles >= 3")).join(degree, "node"), "sketches")
+        nodes = stored(self._of_nodes(self.sketches).join(degree, "node"), "sketches")
         groups = stored(self._groups(buckets, nodes), "groups")
         star = groups.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         found = cut(self._verified(star, nodes))
@@ -380,9 +374,10 @@ class ParityJoin:
     @staticmethod
     def _blocks(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different labels in what is not settled."""
-        rows = groups.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("lead", "node", "label")
+        rows = stored(groups.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("lead", "node", "label"), "labelled")
         size = rows.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(size.filter("lo <> hi").select("lead", "blocks"), "lead")
+        size = cut(size.filter("lo <> hi").select("lead", "blocks"))  # apart from the join, whose large partitions can then be split
+        rows = rows.join(size, "lead")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
@@ -403,11 +398,18 @@ class ParityJoin:
         of = lambda k: sets.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
         return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_exact_filter, "a long, b long").distinct()
 
+    def repeated_ids(self) -> DataFrame:
+        """(a, b): nodes that one ``doc_id`` stands in, tied to the smallest of them."""
+        of = self.members().filter("doc_id is not null and node is not null").select("doc_id", "node").distinct()
+        several = cut(of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("doc_id", "a"))
+        return of.join(several, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id)."""
-        labels = cut(components(self.links()))
+        labels = cut(components(self.links().unionByName(self.repeated_ids())))
         out = self.members().join(labels, "node", "left")
-        return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+        return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
