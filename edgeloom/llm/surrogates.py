@@ -2,8 +2,8 @@
 
 Entities are found by patterns: e-mail addresses, phone numbers, card and account
 numbers, IP addresses, social security numbers, IBANs, access tokens next to a
-word such as ``token``, and names after a title with all
-further mentions of their words in the same document.  Digits of any script, no-break
+word such as ``token``, names after a title and names that begin with a first name of the
+lexicon, with all further mentions of their words in the same document.  Digits of any script, no-break
 blanks and full-width signs count as their plain forms.  An entity's surrogate is a keyed
 permutation of its own format: every character is drawn from the same alphabet
 (script, case, digit, vowel or consonant), a valid check digit stays valid, a first
@@ -21,6 +21,10 @@ after ``ROUNDS`` rounds (card numbers, IBANs and IP addresses have one length on
 raises with their number.  The few entities with a tweak are broadcast if they
 are at most ``BROADCAST_ROWS``, else they are joined to the documents that hold them.
 
+The key is an argument, else the session's ``spark.edgeloom.surrogates.key``; where neither
+is set, a random key is drawn and kept in the session, so all calls of an application agree
+and nobody else can undo them.
+
 Defined cases: null text stays null, text without entities stays as it is;
 overlapping finds count once, the earlier and then the longer; repeated rows get
 equal texts; an empty table gives an empty table; further columns are kept.
@@ -31,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import secrets
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -44,14 +49,20 @@ from pyspark.sql.window import Window
 
 from edgeloom.llm.runtime import cut, ship, stored, table
 
-KEY = b"edgeloom surrogate key"
+KEY_SETTING = "spark.edgeloom.surrogates.key"
 BROADCAST_ROWS = 100_000
 ROUNDS = 20
 #: Tweaks below this keep the length of the entity; each second one from here on adds to it.
 NARROW = 4
 
-FEMALE = "Alice Anna Clara Elena Emma Eva Greta Hannah Ines Jane Julia Laura Lucia Maria Marie Nora Olivia Paula Rosa Sarah Sofia Sophie".split()
-MALE = "Adam Alain Bruno Carlos David Emil Felix Georg Hugo Ivan Jacob James John Karl Luis Marc Martin Oscar Paul Peter Robert Thomas".split()
+FEMALE = (
+    "Alice Amelie Andrea Anna Antonia Barbara Beatriz Carla Carmen Charlotte Clara Claudia Cristina Elena Elisabeth Emma Eva Greta Hannah Helga Ines Isabel Jane Jessica "
+    "Johanna Julia Karin Laura Linda Lucia Margaret Maria Marie Marta Monika Nathalie Nora Olivia Patricia Paula Petra Rosa Sabine Sarah Silvia Sofia Sophie Susan Teresa Ursula"
+).split()
+MALE = (
+    "Adam Alain Andrew Antonio Bruno Carlos Charles Christian Daniel David Diego Emil Felix Fernando Georg George Hans Henry Hugo Ivan Jacob James Javier John "
+    "Jorge Juan Karl Klaus Luis Manuel Marc Martin Matthew Michael Miguel Oscar Pablo Paul Pedro Peter Philippe Richard Robert Sergio Stefan Thomas Uwe Walter William Wolfgang"
+).split()
 
 _TITLES = (
     "(?:Mr|Mrs|Ms|Mx|Miss|Madam|Dr|Dra|Prof|Professor|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|M(?=[.])|Señor|Señora|Señorita|Sra|Srta|Sr|"
@@ -78,6 +89,7 @@ PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("card", "", re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)")),
     ("token", "", re.compile(r"(?i)(?<!\w)(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?(?P<v>(?-i:[A-Za-z0-9+/_=-]{16,}))")),
     ("name", "", re.compile(rf"{_TITLES}\.?(?=\s[^\W\d_])")),
+    ("name", "", re.compile(rf"(?<![\w@.-])(?P<v>(?:{'|'.join(FEMALE + MALE)})(?:-[^\W\d_]+)?(?:\s(?:{'|'.join(sorted(_PARTICLES))})){{0,2}}\s(?!{_TITLES}\b)[^\W\d_a-zß-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*)(?!\w)")),
 ]
 _DIGIT = re.compile(r"\d")
 _TITLE_WORD = re.compile(f"{_TITLES}(?:[.]|$)")
@@ -416,7 +428,14 @@ def replaced(text: str, key: bytes, tweaks: dict[tuple[str, str], int], cache: d
 # ---- Spark -------------------------------------------------------------------------
 
 
-def found_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key; a random one is set where there is none."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
+
+
+def found_entities(docs: DataFrame, key: bytes) -> DataFrame:
     """(body, kind, value, made) of ``docs``: body hashes the text, once per entity of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,13 +451,16 @@ def found_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return held.mapInArrow(run, "body long, kind string, value string, made string")
 
 
-def settle(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
+def settle(distinct: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, tweak) of entities that need a tweak, from distinct (kind, value, made).
 
     A surrogate is settled if no entity, the own one included, and no other surrogate equals it.
     Settled ones never change, so a round looks at those that were drawn in it."""
 
-    again = F.udf(lambda kind, value, tweak: surrogate(kind, value, key, tweak), T.StringType())  # a few rows
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "tweak")), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array([surrogate(k, v, key, t) for k, v, t in rows], pa.string()), batch.column("tweak")], ["kind", "value", "made", "tweak"])
 
     moved = cut(distinct.select("kind", "value", "made", F.lit(0).alias("tweak")))
     occupied = moved.select("kind", F.col("value").alias("made"))
@@ -453,14 +475,15 @@ def settle(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
         if bad.isEmpty():
             return settled.select("kind", "value", "tweak")
         if tweak < ROUNDS:
-            moved = cut(bad.withColumn("tweak", F.lit(tweak + 1)).withColumn("made", again("kind", "value", "tweak")).select(moved.columns))
+            moved = cut(bad.select("kind", "value", F.lit(tweak + 1).alias("tweak")).mapInArrow(again, "kind string, value string, made string, tweak int"))
     raise RuntimeError(f"{bad.count()} entities have no free surrogate after {ROUNDS} rounds")
 
 
-def anonymized(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def anonymized(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with text replaced, and n_replaced."""
-    ship(docs.sparkSession)
     spark = docs.sparkSession
+    ship(spark)
+    key = key or session_key(spark)
     found = stored(found_entities(docs, key), "entities")
     tweaked = cut(settle(found.groupBy("kind", "value").agg(F.min("made").alias("made")), key))
     names = [c for c in docs.columns if c != "n_replaced"]
