@@ -10,7 +10,8 @@ is used as often as the counts allow.
 
 A piece finds its place by its rank among the pieces of its length.  Ranks come
 from counts by (length, salt) and a row number within such a cell, so a length
-that many documents share is spread over cells of a few thousand rows.  The plan
+that many documents share is spread over cells of a few thousand rows; counts are
+summed up over stretches of ``CELLS`` cells, then over the stretches.  The plan
 is a table of rank ranges, bounded by the window and not by the input, and is
 broadcast.
 
@@ -47,6 +48,8 @@ SPECIAL = {"<|endoftext|>": 50256}
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Mean number of pieces in a cell of (length, salt) if all had one length.
 CELL_ROWS = 2000
+#: Cells of a length whose counts are summed in one task.
+CELLS = 4096
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
@@ -64,9 +67,14 @@ def token_ids(coder: tiktoken.Encoding, text: str | None) -> np.ndarray:
     return np.array(ids, "<u4")
 
 
-def _cut_texts(ranks_path: str, window: int):
+def _coder(ranks_path: str | None) -> tiktoken.Encoding:
+    """Of the file at a path; without one, of the tokenizer package where the task runs."""
+    return encoding(ranks_path or public_tokenizers.path(RANKS_FILE))
+
+
+def _cut_texts(ranks_path: str | None, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(ranks_path)
+        coder = _coder(ranks_path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -83,9 +91,8 @@ def _cut_texts(ranks_path: str, window: int):
 def cut_pieces(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of all pieces."""
     ship(docs.sparkSession)
-    path = ranks_path or public_tokenizers.path(RANKS_FILE)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        _cut_texts(path, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+        _cut_texts(ranks_path, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     )
 
 
@@ -162,8 +169,11 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     cells = cut(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
     ranges = spark.createDataFrame(rank_ranges(bin_slack_plan(counts, window)), _RANGES)
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    cells = cells.withColumn("stretch", F.floor(F.col("salt") / CELLS))
+    ahead = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = cut(cells.groupBy("length", "stretch").agg(F.sum("n").alias("n"))).select("length", "stretch", ahead(["length"], "stretch").alias("base"))
+    inner = cells.select("length", "stretch", "salt", ahead(["length", "stretch"], "salt").alias("inner"))
+    cells = inner.join(upto, ["length", "stretch"]).select("length", "salt", (F.col("base") + F.col("inner")).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = pieces.withColumn("row", F.row_number().over(order)).join(cells, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("row") - 1)
@@ -190,12 +200,11 @@ def packed_sequences(docs: DataFrame, placed: DataFrame, window: int = WINDOW, r
     power of two.  Needs unique ``doc_id``.
     """
     ship(docs.sparkSession)
-    path = ranks_path or public_tokenizers.path(RANKS_FILE)
     places = placed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("places"))
     joined = docs.select("doc_id", "text").join(places, "doc_id").select("text", "places")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(path)
+        coder = _coder(ranks_path)
         for batch in batches:
             sequence, offset, parts = [], [], []
             for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -287,12 +287,11 @@ def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
 def encoded(docs: DataFrame, model_path: str | None = None, verify: bool = False) -> DataFrame:
     """``docs`` with ids (array of int); with ``verify`` also round_trip: whether they decode to the text."""
     ship(docs.sparkSession)
-    path = model_path or public_tokenizers.path(MODEL_FILE)
     kept = docs.drop("ids", "round_trip") if verify else docs.drop("ids")
     where = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(model_path or public_tokenizers.path(MODEL_FILE))  # found where the task runs
         for batch in batches:
             for part in slices(batch, where):
                 texts = part.column(where).to_pylist()
@@ -312,12 +311,11 @@ def encoded(docs: DataFrame, model_path: str | None = None, verify: bool = False
 def decoded(rows: DataFrame, model_path: str | None = None) -> DataFrame:
     """``rows`` with decoded, the text of their ids."""
     ship(rows.sparkSession)
-    path = model_path or public_tokenizers.path(MODEL_FILE)
     kept = rows.drop("decoded")
     where = kept.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(model_path or public_tokenizers.path(MODEL_FILE))  # found where the task runs
         for batch in batches:
             texts = [None if not x.is_valid else decode_ids(x.values.to_numpy(zero_copy_only=False).tolist(), vocab) for x in batch.column(where)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
