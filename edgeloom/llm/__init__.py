@@ -1,4 +1,7 @@
-"""Training-data operators: each module holds one operator and its query."""
+"""Training-data operators: each module holds one operator and its query.
+
+Modules are imported when asked for, so a Python worker only loads what its function uses.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, secret_scan, sharding, surrogates, vector_dedup
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, secret_scan, sharding, surrogates, vector_dedup
+
     return {
         "op1_extendible_sharding": sharding.op1_extendible_sharding,
         "op2_packing": packing.op2_packing,
@@ -26,6 +29,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can state; the others are tested against brute force."""
+    from edgeloom.llm import line_dedup, parity_join, quality_rules, sharding, vector_dedup
+
     return {
         "op1_extendible_sharding": sharding.OP1_SQL,
         "op6_parity_join": parity_join.OP6_SQL,

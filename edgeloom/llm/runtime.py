@@ -1,8 +1,9 @@
 """Where the training-data jobs keep intermediate results.
 
 Only the folder named by ``spark.checkpoint.dir`` is assumed to be visible to
-the driver and to all executors.  Where it is unset (unit tests, a laptop) a
-folder below the warehouse is used.
+the driver and to all executors, or the one that the context was given.  Where neither
+is set, a folder below the warehouse is used on a local master (unit tests, a laptop);
+anywhere else that folder could be one machine's own, so it is refused.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every task can read; set as checkpoint folder once."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if not where and given.isDefined():
+        where = given.get()
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if given.isEmpty():
         context.setCheckpointDir(where)
     return where.rstrip("/")
 
