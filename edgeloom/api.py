@@ -241,7 +241,7 @@ class SliceRule(Rule):
         return self.find(self.edges, self.slices)
 
     def text(self, violations: DataFrame) -> DataFrame:
-        return violations.select(F.format_string("slice '%s' uses '%s' (%d edges)", "source_label", "target_label", F.size("cumulated_edges")).alias("text"))
+        return violations.select(F.format_string("slice '%s' uses '%s' (%d edges)", "source_label", "target_label", "n_edges").alias("text"))
 
     def guard(self) -> DataFrame:
         return rules.empty_guard(self.slices.labels(self.edges), "slice")

@@ -12,68 +12,73 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.errors import UserError
 from edgeloom.functions import identifiers as ids
 
-#: What java.util.regex accepts but a linear-time engine does not.
-_NOT_LINEAR = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:=|!|<=|<!|>)|\\[1-9]|[*+?}]\+)")
 _SPECIAL = set("\\.+*?()|[]{}^$#&-~")
 
+#: One token of a glob; the longest wildcards come first.
+_TOKEN = re.compile(r"(?P<inside>/\*\*\Z)|(?P<wild>/\*\*/|\*\*/?|[*?])|\[(?P<not>!?)(?P<set>[^]]*)(?P<close>\]?)|(?P<plain>.)", re.DOTALL)
+#: What a wildcard stands for (fixed values).
+_WILD = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+_ESCAPE = re.compile(r"\\(?:[pPx]\{[^}]*\}|.)", re.DOTALL)
+_CLASS = r"\[\^?\]?[^]]*\]"
+#: What java.util.regex accepts but a linear-time engine does not, in a pattern without escapes and classes.
+_NOT_LINEAR = re.compile(r"\\|\(\?(?:=|!|<=|<!|>)|(?:[*+?]|\{\d+(?:,\d*)?\})\+")
+_GROUP = re.compile(rf"\\.|{_CLASS}|\((?:\?P?<(?P<name>[A-Za-z_]\w*)>|(?!\?))", re.DOTALL)
+
+
+def _literally(text: str) -> str:
+    return "".join(f"\\{c}" if c in _SPECIAL else c for c in text)
+
 
 def glob_to_regex(glob: str) -> str:
     text = re.sub("/+", "/", glob.replace("\\", "/"))
     if not text.strip():
         raise UserError("a glob must not be empty")
-    if len(text) > 1:
-        text = text.rstrip("/")
-    out, i = [], 0
-    while i < len(text):
-        rest = text[i:]
-        if rest == "/**":
-            out.append("(?:/.*)?")
-            i += 3
-        elif rest.startswith("/**/"):
-            out.append("/(?:.*/)?")
-            i += 4
-        elif rest.startswith("**/"):
-            out.append("(?:.*/)?")
-            i += 3
-        elif rest.startswith("**"):
-            out.append(".*")
-            i += 2
-        elif text[i] in "*?":
-            out.append("[^/]*" if text[i] == "*" else "[^/]")
-            i += 1
-        elif text[i] == "[":
-            end = text.find("]", i + 1)
-            body = text[i + 1 : end] if end > 0 else ""
-            inverted = body.startswith("!")
-            body = body[inverted:]
-            if not body:
-                raise UserError(f"glob {glob!r} has an empty or unclosed class")
-            safe = "".join(f"\\{c}" if c in "\\[]^&~" else c for c in body)
-            out.append(f"[{'^' if inverted else ''}{safe}]")
-            i = end + 1
-        else:
-            out.append(f"\\{text[i]}" if text[i] in _SPECIAL else text[i])
-            i += 1
-    return "".join(out)
+
+    def fragment(token: re.Match) -> str:
+        if token["inside"]:
+            return "(?:/.*)?"
+        if token["wild"]:
+            return _WILD[token["wild"]]
+        if token["plain"]:
+            return _literally(token["plain"])
+        if not token["set"] or not token["close"]:
+            raise UserError(f"glob {glob!r} has an empty or unclosed class")
+        members = re.sub(r"[\\\[^&~]", r"\\\g<0>", token["set"])
+        return f"[{'^' if token['not'] else ''}{members}]"
+
+    return _TOKEN.sub(fragment, text.rstrip("/") or "/")
+
+
+def group_names(regex: str) -> list[str | None]:
+    """The names of the capture groups, in order; None for those without."""
+    return [m["name"] for m in _GROUP.finditer(regex) if m[0].startswith("(")]
 
 
 def checked_regex(regex: str) -> str:
-    """The pattern in Java's dialect; what only a backtracking engine can do is refused."""
+    """The pattern in Java's dialect, groups without names; what only a backtracking engine can do is refused."""
     if not regex.strip():
         raise UserError("a pattern must not be empty")
-    if _NOT_LINEAR.search(regex):
+    bare = _ESCAPE.sub(lambda m: "\\" if m[0][1] in "123456789k" else "x", regex)
+    if _NOT_LINEAR.search(re.sub(_CLASS, "c", bare)):
         raise UserError(f"pattern {regex!r} uses lookaround, a back reference or a possessive quantifier")
-    java = regex.replace("(?P<", "(?<")
+    java = _GROUP.sub(lambda m: "(" if m["name"] else m[0], regex)
+    session = SparkSession.getActiveSession()
     try:
-        re.compile(regex.replace("(?<", "(?P<") if "(?<" in regex and "(?P<" not in regex else regex)
-    except re.error as e:
-        raise UserError(f"pattern {regex!r}: {e}") from e
+        if session is not None:
+            session._jvm.java.util.regex.Pattern.compile(java)
+        else:  # as far as the two engines agree
+            re.compile(re.sub(r"\\[pP]\{[^}]*\}", "x", java).replace(r"\z", r"\Z"))
+    except (re.error, PySparkException, Py4JJavaError) as e:
+        raise UserError(f"pattern {regex!r} can't be compiled: {str(e).splitlines()[0]}") from e
     return java
 
 
@@ -83,6 +88,7 @@ class Pattern:
 
     body: str
     case_insensitive: bool = False
+    names: tuple[str | None, ...] = ()
 
     @classmethod
     def glob(cls, text: str, case_insensitive: bool = False) -> Pattern:
@@ -90,14 +96,14 @@ class Pattern:
 
     @classmethod
     def regex(cls, text: str, case_insensitive: bool = False) -> Pattern:
-        return cls(checked_regex(text), case_insensitive)
+        return cls(checked_regex(text), case_insensitive, tuple(group_names(text)))
 
     @classmethod
     def literal(cls, text: str, case_insensitive: bool = False) -> Pattern:
         flat = re.sub("/+", "/", text.replace("\\", "/"))
         if not flat.strip():
             raise UserError("a literal must not be empty")
-        return cls("".join(f"\\{c}" if c in _SPECIAL else c for c in flat), case_insensitive)
+        return cls(_literally(flat), case_insensitive)
 
     @property
     def java(self) -> str:
@@ -106,8 +112,20 @@ class Pattern:
     def matches(self, candidate: Column) -> Column:
         return candidate.rlike(self.java)
 
-    def replace_first(self, candidate: Column, replacement: str) -> Column:
-        return F.regexp_replace(candidate, self.java, replacement)
+    def replaced(self, candidate: Column, replacement: str) -> Column:
+        """The replacement of a match of the whole candidate: ``$1``, ``${1}``, ``$name``, ``${name}`` are captures
+        (empty where there is no such group), ``$$`` is a dollar sign."""
+        parts, at = [], 0
+        for m in re.finditer(r"\$(?:\$|\{(?P<braced>\w+)\}|(?P<word>\w+))", replacement):
+            name = m["braced"] or m["word"]
+            group = int(name) if name and name.isdecimal() else self.names.index(name) + 1 if name in self.names else None
+            parts.append(F.lit(replacement[at : m.start()]))
+            if name is None:
+                parts.append(F.lit("$"))
+            elif group is not None and group <= len(self.names):
+                parts.append(F.regexp_extract(candidate, self.java, group))
+            at = m.end()
+        return F.concat(*parts, F.lit(replacement[at:]))
 
 
 TARGETS: dict[str, Callable[[Column], Column]] = {"filename": ids.filename, "path": ids.normalize_candidate, "folder": ids.folder, "type": ids.type_name}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.errors import UserError
 from edgeloom.operators.components import components
+from edgeloom.plans.lineage import cut
 
 #: Lines at which a file's size discount is full, and the discount (fixed values).
 SIZE_LINES, SIZE_DISCOUNT = 100.0, 0.5
@@ -64,28 +65,59 @@ def lcom96b(inputs: DataFrame) -> DataFrame:
     return inputs.select("type", value.cast("double").alias("value"))
 
 
+def field_sets(fields: DataFrame, accesses: DataFrame) -> DataFrame:
+    """(type, fields, methods): the distinct sets of declared fields that methods access, and how many methods have each."""
+    used = declared_accesses(fields, accesses).groupBy("type", "method").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    return used.groupBy("type", "fields").agg(F.count(F.lit(1)).alias("methods"))
+
+
 def lcom1(types: DataFrame, methods: DataFrame, fields: DataFrame, accesses: DataFrame) -> DataFrame:
     """max(pairs of methods without a shared field - pairs with one, 0).
 
-    Only pairs that share a field are formed; the others follow from the number of methods.
+    Pairs that share a field are counted between the distinct field sets of a type, times
+    their methods; so a field that many methods use alike makes no pairs of methods.
     """
-    used = declared_accesses(fields, accesses)
-    right = used.select("type", "field", F.col("method").alias("other"))
-    sharing = used.join(right, ["type", "field"]).filter("method < other").select("type", "method", "other").distinct().groupBy("type").agg(F.count(F.lit(1)).alias("q"))
+    sets = cut(field_sets(fields, accesses))
+    alike = sets.groupBy("type").agg(F.sum(F.expr("methods * (methods - 1) div 2")).alias("q"))
+    held = sets.select("type", F.col("fields").alias("own"), F.col("methods").alias("n"), F.explode("fields").alias("field"))
+    other = held.select("type", "field", F.col("own").alias("other"), F.col("n").alias("k"))
+    across = held.join(other, ["type", "field"]).filter("own < other").select("type", "own", "other", "n", "k").distinct().groupBy("type").agg(F.sum(F.expr("n * k")).alias("q"))
+    sharing = alike.unionByName(across).groupBy("type").agg(F.sum("q").alias("q"))
     out = lcom_inputs(types, methods, fields, accesses).join(sharing, "type", "left").withColumn("q", _zero("q"))
     pairs = F.floor(F.col("m") * (F.col("m") - 1) / 2)
     return out.select("type", F.greatest(pairs - 2 * F.col("q"), F.lit(0)).cast("double").alias("value"))
 
 
-def lcom4(types: DataFrame, methods: DataFrame, fields: DataFrame, accesses: DataFrame) -> DataFrame:
-    """Connected components of methods over shared fields; a method without any is one by itself."""
-    name = lambda kind, c: F.concat_ws("\u0001", F.col("type"), F.lit(kind), F.col(c).cast("string"))
+#: Accesses of a type up to which its components are folded inside one row.
+FOLDED_ACCESSES = 10_000
+
+
+def lcom4(types: DataFrame, methods: DataFrame, fields: DataFrame, accesses: DataFrame, folded: int = FOLDED_ACCESSES) -> DataFrame:
+    """Connected components of methods over shared fields; a method without any is one by itself.
+
+    Components never leave a type: the field sets of a type of at most ``folded`` accesses
+    are united in a fold over its row, those of larger types by joins of stars.
+    """
     kept = types.filter("kind = 'struct'").select("type").distinct()
-    used = declared_accesses(fields, accesses).join(kept, "type", "left_semi")
-    links = components(used.select(name("m", "method").alias("a"), name("f", "field").alias("b")))
-    all_methods = methods.select("type", "method").distinct().join(kept, "type", "left_semi").withColumn("node", name("m", "method"))
-    of = all_methods.join(links, "node", "left").select("type", F.coalesce("component", "node").alias("component"))
-    return of.groupBy("type").agg(F.count_distinct("component").cast("double").alias("value"))
+    used = cut(declared_accesses(fields, accesses).join(kept, "type", "left_semi"))
+    n = cut(used.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("method").alias("with_field")))
+    large = n.filter(F.col("n") > folded).select("type")
+
+    def unite(groups: Column, fresh: Column) -> Column:
+        met = F.filter(groups, lambda g: F.arrays_overlap(g, fresh))
+        return F.concat(F.filter(groups, lambda g: ~F.arrays_overlap(g, fresh)), F.array(F.array_distinct(F.concat(F.flatten(met), fresh))))
+
+    small = field_sets(fields, used.join(large, "type", "left_anti")).groupBy("type").agg(F.collect_list("fields").alias("sets"))
+    united = F.aggregate("sets", F.array().cast("array<array<string>>"), unite)
+    found = small.select("type", F.size(united).cast("bigint").alias("c"))
+    if not large.isEmpty():
+        name = lambda kind, c: F.concat_ws("\u0001", F.col("type"), F.lit(kind), F.col(c).cast("string"))
+        of = used.join(large, "type", "left_semi").select("type", name("m", "method").alias("a"), name("f", "field").alias("b"))
+        labels = of.select("type", F.col("a").alias("node")).distinct().join(components(of.select("a", "b")), "node")
+        found = found.unionByName(labels.groupBy("type").agg(F.count_distinct("component").alias("c")))
+    m = methods.select("type", "method").join(kept, "type", "left_semi").groupBy("type").agg(F.count_distinct("method").alias("m"))
+    out = m.join(n, "type", "left").join(found, "type", "left")
+    return out.select("type", (F.col("m") - _zero("with_field") + _zero("c")).cast("double").alias("value"))
 
 
 # ---- distance ---------------------------------------------------------------------

@@ -52,8 +52,9 @@ def aggregate(edges: DataFrame, collapse: Collapse | None = None, include_self:
     fold = collapse or (lambda c: c)
     folded = edges.withColumns({"source": fold(F.col("source")), "target": fold(F.col("target"))})
     folded = folded if include_self else folded.filter("source <> target")
-    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds"))))
-    return folded.groupBy("source", "target").agg(F.count(F.lit(1)).alias("count"), F.bool_or("external").alias("external"), kinds.alias("kinds"))
+    mask = F.bit_or(E.kind_mask("kinds"))
+    out = folded.groupBy("source", "target").agg(F.count(F.lit(1)).alias("count"), F.bool_or("external").alias("external"), mask.alias("kinds"))
+    return out.withColumn("kinds", E.kinds_of(F.col("kinds")))
 
 
 def numbered(labels: DataFrame) -> DataFrame:

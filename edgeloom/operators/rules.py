@@ -16,6 +16,7 @@ from edgeloom.errors import UserError
 from edgeloom.functions.patterns import Filter, all_of, any_of
 from edgeloom.operators.cycles import elementary_cycles
 from edgeloom.plans import edges as E
+from edgeloom.plans.lineage import cut
 from edgeloom.plans.slices import Slices
 
 
@@ -111,10 +112,14 @@ class Layers:
     def violations(self, edges: DataFrame) -> DataFrame:
         """(source_layer, target_layer, source, target, rule); a block wins over an allowlist.
 
-        The policy is as small as the rule's text, so it becomes part of the plan.
+        The policy is as small as the rule's text, so it becomes part of the plan.  The
+        merged edges are cut first and labelled in a generator: else the filters on labels
+        would move below the merge, and every pattern would run on every raw reference.
         """
         self.checked()
-        out = E.per_internal_edge(edges).withColumns({"source_layer": self.label("source"), "target_layer": self.label("target")})
+        merged = cut(E.per_internal_edge(edges).select("source", "target"))
+        labels = F.struct(self.label("source").alias("source_layer"), self.label("target").alias("target_layer"))
+        out = merged.select("source", "target", F.inline(F.array(labels)))
         out = out.filter("source_layer is not null and target_layer is not null and source_layer <> target_layer")
         pair = lambda policy: [(a, b) for a, targets in policy.items() for b in targets]
         is_pair = lambda pairs: F.concat_ws("\u0001", "source_layer", "target_layer").isin(*(f"{a}\u0001{b}" for a, b in pairs)) if pairs else F.lit(False)
@@ -143,7 +148,7 @@ def diagram_adherence(edges: DataFrame, slices: Slices, components: list[str], a
     """Slice edges that a diagram does not draw."""
     out = slices.project(edges)
     if ignore_external:
-        out = out.filter(~F.exists("cumulated_edges", lambda e: e["external"]))
+        out = out.filter("not any_external")
     if ignore_orphans:
         out = out.filter(F.col("source_label").isin(*components) & F.col("target_label").isin(*components))
     drawn = F.concat_ws("\u0001", "source_label", "target_label").isin(*(f"{a}\u0001{b}" for a, b in allowed)) if allowed else F.lit(False)

@@ -27,12 +27,13 @@ def folder_depth(depth: int) -> Collapse:
 
 
 def by_pattern(spec: str | PatternSpec, replacement: str = "${1}") -> Collapse:
-    """The replacement of a match of the whole node; other nodes stay. An empty result is an error."""
+    """The replacement of a match of the whole node; other nodes stay. An empty replacement or result is an error."""
+    if not replacement:
+        raise UserError("a replacement must not be empty")
     compiled = spec.compile() if isinstance(spec, PatternSpec) else Pattern.regex(spec)
-    java = replacement.replace("${1}", "$1")
 
     def label(node: Column) -> Column:
-        made = compiled.replace_first(node, java)
+        made = compiled.replaced(node, replacement)
         empty = F.raise_error(F.concat(F.lit("collapsing gave an empty label for "), node)).cast("string")
         return F.when(~compiled.matches(node), node).when(made == "", empty).otherwise(made)
 

@@ -24,6 +24,17 @@ def kind_names(kinds: Column | str) -> Column:
     return F.transform(kinds, lambda k: k["kind"])
 
 
+def kind_mask(kinds: Column | str) -> Column:
+    """The set of kinds as bits, by their order: what grows together in an aggregate stays one number."""
+    return F.aggregate(kinds, F.lit(0), lambda mask, k: mask.bitwiseOR(F.call_function("shiftleft", F.lit(1), k["ord"])))
+
+
+def kinds_of(mask: Column) -> Column:
+    """The sorted array of kinds of a :func:`kind_mask`."""
+    known = F.array(*(kind_struct(F.lit(k)) for k in KINDS))
+    return F.filter(known, lambda k: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), k["ord"])) != 0)
+
+
 def merge_edges(refs: DataFrame) -> DataFrame:
     """The canonical graph of reference rows (source, target, external, kind).
 
@@ -67,11 +78,17 @@ def identity(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def labelled(edges: DataFrame, source_label: Column, target_label: Column) -> DataFrame:
+    """(source_label, target_label, source, target, external, kinds): the evidence of projected edges, a row each; a null label drops the edge."""
+    out = edges.select(source_label.alias("source_label"), target_label.alias("target_label"), "source", "target", "external", "kinds")
+    return out.filter("source_label is not null and target_label is not null")
+
+
 def project_edges(edges: DataFrame, source_label: Column, target_label: Column) -> DataFrame:
-    """Edges grouped by two labels, with the edges as evidence; a null label drops the edge."""
-    labelled = edges.withColumns({"source_label": source_label, "target_label": target_label}).filter("source_label is not null and target_label is not null")
-    evidence = F.array_sort(F.collect_list(F.struct("source", "target", "external", "kinds")))
-    return labelled.groupBy("source_label", "target_label").agg(evidence.alias("cumulated_edges"))
+    """(source_label, target_label, n_edges, any_external, kinds): edges grouped by two labels; :func:`labelled` holds their evidence."""
+    grouped = labelled(edges, source_label, target_label).groupBy("source_label", "target_label")
+    out = grouped.agg(F.count(F.lit(1)).alias("n_edges"), F.bool_or("external").alias("any_external"), F.bit_or(kind_mask("kinds")).alias("kinds"))
+    return out.withColumn("kinds", kinds_of(F.col("kinds")))
 
 
 def nodes(edges: DataFrame, include_external: bool = False) -> DataFrame:
@@ -81,14 +98,18 @@ def nodes(edges: DataFrame, include_external: bool = False) -> DataFrame:
 
 
 def project_to_nodes(edges: DataFrame, include_external: bool = False) -> DataFrame:
-    """(label, incoming, outgoing); a self-edge only registers its node."""
-    edge = F.struct("source", "target", "external", "kinds")
-    real = per_edge(edges)
-    out = real.select(F.col("source").alias("label"), edge.alias("o"), F.lit(None).alias("i"))
-    into = real.filter(F.lit(True) if include_external else ~F.col("external")).select(F.col("target").alias("label"), F.lit(None).alias("o"), edge.alias("i"))
-    alone = nodes(edges, include_external).select("label", F.lit(None).alias("o"), F.lit(None).alias("i"))
-    gather = lambda c: F.array_sort(F.collect_list(c))
-    return out.unionByName(into).unionByName(alone).groupBy("label").agg(gather("i").alias("incoming"), gather("o").alias("outgoing"))
+    """(label, n_in, n_out); a self-edge only registers its node. :func:`node_edges` holds the edges of each node."""
+    ends = node_edges(edges, include_external).select("label", "direction")
+    alone = nodes(edges, include_external).select("label", F.lit(None).cast("string").alias("direction"))
+    count = lambda d: F.count_if(F.col("direction") == d)
+    return ends.unionByName(alone).groupBy("label").agg(count("in").alias("n_in"), count("out").alias("n_out"))
+
+
+def node_edges(edges: DataFrame, include_external: bool = False) -> DataFrame:
+    """(label, direction, source, target, external, kinds): a row for each edge at each of its ends."""
+    real = per_edge(edges).select("source", "target", "external", "kinds")
+    into = real if include_external else real.filter("not external")
+    return real.select(F.col("source").alias("label"), F.lit("out").alias("direction"), "*").unionByName(into.select(F.col("target").alias("label"), F.lit("in").alias("direction"), "*"))
 
 
 def without_kinds(edges: DataFrame, *kinds: str) -> DataFrame:

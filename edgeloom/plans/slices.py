@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from edgeloom.errors import UserError
 from edgeloom.functions import identifiers as ids
-from edgeloom.functions.patterns import Filter, PatternSpec, checked_regex, glob_to_regex
-from edgeloom.plans.edges import project_edges
+from edgeloom.functions.patterns import Filter, PatternSpec, checked_regex, glob_to_regex, group_names
+from edgeloom.plans.edges import labelled, project_edges
 
 
 @dataclass(frozen=True)
@@ -28,11 +28,14 @@ class Slices:
         return out
 
     def project(self, edges: DataFrame) -> DataFrame:
-        """Edges between slices; an external target keeps its own name."""
+        """Edges between slices, as counts; an external target keeps its own name."""
+        return project_edges(self.evidence(edges), F.col("source_label"), F.col("target_label")).filter("source_label <> target_label or any_external")
+
+    def evidence(self, edges: DataFrame) -> DataFrame:
+        """Every edge with the labels of its ends."""
         source = self.label(F.col("source"))
         target = F.when(F.col("external"), F.col("target")).otherwise(self.label(F.col("target")))
-        out = project_edges(edges.filter("source <> target"), source, target)
-        return out.filter((F.col("source_label") != F.col("target_label")) | F.exists("cumulated_edges", lambda e: e["external"]))
+        return labelled(edges.filter("source <> target"), source, target)
 
     def labels(self, edges: DataFrame) -> DataFrame:
         """All slices, isolated ones too; external targets are none."""
@@ -67,9 +70,7 @@ def by_regex(spec: str | PatternSpec) -> Slices:
     """The first capture of a regular expression that is not anchored."""
     spec = _spec(spec, "regex")
     regex = checked_regex(spec.text)
-    import re
-
-    if re.compile(spec.text).groups < 1:
+    if not group_names(spec.text):
         raise UserError(f"slice pattern {spec.text!r} needs a capture group")
     exclusions = tuple(Filter(spec.compile(t), kind or "path") for kind, t in spec.exceptions)
     return Slices(lambda c: F.regexp_extract(ids.normalize_candidate(c), regex, 1), exclusions)

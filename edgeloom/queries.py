@@ -60,7 +60,7 @@ def _(t):
 def _(t):
     region = lambda c: F.split_part(F.col(c), F.lit("/"), F.lit(2))
     out = E.project_edges(E.per_edge(A.mixed_edges(t)), region("source"), F.when(F.col("external"), F.col("target")).otherwise(region("target")))
-    return out.select("source_label", "target_label", F.size("cumulated_edges").cast("bigint").alias("n_edges"))
+    return out.select("source_label", "target_label", "n_edges")
 
 
 for _name, _make, _where in (("p02_per_edge", E.per_edge, "source <> target"), ("p03_internal", E.per_internal_edge, "NOT external AND source <> target"), ("p04_external", E.per_external_edge, "external AND source <> target"), ("p05_identity", E.identity, "true")):
@@ -69,7 +69,7 @@ for _name, _make, _where in (("p02_per_edge", E.per_edge, "source <> target"), (
 
 @query("p06_nodes", f"WITH {O.MIXED}, n AS (SELECT source AS label FROM edges UNION SELECT target FROM edges WHERE NOT external) SELECT label, (SELECT count(*) FROM edges WHERE target = label AND source <> target AND NOT external)::BIGINT AS n_in, (SELECT count(*) FROM edges WHERE source = label AND source <> target)::BIGINT AS n_out FROM n")
 def _(t):
-    return E.project_to_nodes(A.mixed_edges(t)).select("label", F.size("incoming").cast("bigint").alias("n_in"), F.size("outgoing").cast("bigint").alias("n_out"))
+    return E.project_to_nodes(A.mixed_edges(t))
 
 
 @query("p15_exclude_kinds", f"WITH {O.TRADE}, k AS (SELECT source, target, external, list_filter(kinds, lambda o: o NOT IN (0, 3)) AS kinds FROM edges) {_FLAT} k WHERE len(kinds) > 0")
@@ -109,6 +109,7 @@ _doc_pattern("f03_glob_star", in_path("en/*/doc_1*.md"), r"\A(?:en/[^/]*/doc_1[^
 _doc_pattern("f03_glob_globstar", in_path("**/src1/**"), r"\A(?:(?:.*/)?src1(?:/.*)?)\z")
 _doc_pattern("f03_glob_class", in_path("[e-f]?/src[!0-4]/doc_*.md"), r"\A(?:[e-f][^/]/src[^0-4]/doc_[^/]*\.md)\z")
 _doc_pattern("f04_regex_anchor", in_path(pattern(r"(de|fr)/src\d+/doc_\d*7\.md", "regex")), r"\A(?:(de|fr)/src\d+/doc_\d*7\.md)\z")
+_doc_pattern("f04_unicode_class", in_path(pattern(r"\p{L}+/[\p{L}\d]+/doc_\d*[3+]\.md", "regex")), r"\A(?:\p{L}+/[\p{L}\d]+/doc_\d*[3+]\.md)\z")
 _doc_pattern("f04_literal", in_path(pattern("en/src1/doc_1.md", "literal")), r"\A(?:en/src1/doc_1\.md)\z")
 _doc_pattern("f05_case_insensitive", in_path(pattern("EN/SRC1/**", case_insensitive=True)), r"(?i)\A(?:EN/SRC1(?:/.*)?)\z")
 _doc_pattern("f06_target_filename", with_name("doc_?2.md"), r"\A(?:doc_[^/]2\.md)\z", _NAME)
@@ -158,7 +159,7 @@ _BY_REGION = slices.by_pattern("src/(**)/")
 
 
 def _slice_rows(df: DataFrame) -> DataFrame:
-    return df.select("source_label", "target_label", F.size("cumulated_edges").cast("bigint").alias("n_edges"))
+    return df.select("source_label", "target_label", "n_edges")
 
 
 @query("p11_slice_edges", f"WITH {O.MIXED}, {_SLICED} SELECT source_label, target_label, n_edges FROM slice_edges")
@@ -184,6 +185,8 @@ def _report(edges: DataFrame) -> DataFrame:
 _collapsed("p13_collapse_depth", collapse.folder_depth(2), "array_to_string(string_split({}, '/')[:2], '/')")
 _collapsed("p14_collapse_pattern", collapse.by_pattern("src/([^/]+)/.*"), r"regexp_replace({}, '\A(?:src/([^/]+)/.*)\z', '\1')")
 
+_collapsed("p14_two_captures", collapse.by_pattern(pattern(r"src/([^/]+)/(?P<kind>[a-z]+)_(\d)\d*[.]rs", "regex"), "${kind}$3-${1}${none}"), r"regexp_replace({}, '\A(?:src/([^/]+)/([a-z]+)_(\d)\d*[.]rs)\z', '\2\3-\1')")
+
 # ---- reports and traversal -------------------------------------------------------------
 
 _START, _END = in_path("src/africa/nation_[0-1]*.rs"), in_path("src/europe/*_[3-8].rs")

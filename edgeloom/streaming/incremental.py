@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgeloom.plans.edges import merge_edges
+from edgeloom.plans.edges import kind_mask, kinds_of, merge_edges
 
 
 def merged(old: DataFrame, refs: DataFrame) -> DataFrame:
     """The graph of ``old`` (source, target, external, kinds) and new references."""
     rows = old.unionByName(merge_edges(refs).select(old.columns))
-    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds"))))
-    return rows.groupBy("source", "target").agg(F.bool_and("external").alias("external"), kinds.alias("kinds"))
+    out = rows.groupBy("source", "target").agg(F.bool_and("external").alias("external"), F.bit_or(kind_mask("kinds")).alias("kinds"))
+    return out.withColumn("kinds", kinds_of(F.col("kinds")))
 
 
 def keep_merged(refs: DataFrame, read: Callable[[], DataFrame], replace: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

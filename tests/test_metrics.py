@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,30 @@ def test_lcom_table(spark):
     assert "trait" not in values[0]
 
 
+def test_cohesion_equals_brute_force(spark):
+    """Random types against pairs and graph search; large types by joins as well as in the row."""
+    rng = random.Random(3)
+    methods, fields, accesses = [], [], []
+    for t in range(25):
+        fields += [(f"T{t}", f"f{i}") for i in range(rng.randint(1, 5))]
+        for m in range(rng.randint(1, 9)):
+            methods.append((f"T{t}", f"m{m}"))
+            accesses += [(f"T{t}", f"m{m}", f"f{rng.randint(0, 6)}") for _ in range(rng.randint(0, 3))]
+    df = spark.createDataFrame
+    r = {"types": df([(f"T{t}", "struct", "x.rs") for t in range(25)], "type string, kind string, file string"), "methods": df(methods, "type string, method string"), "fields": df(fields, "type string, field string"), "accesses": df(accesses, "type string, method string, field string")}
+    one, four, joined = ({x.type: x.value for x in d.collect()} for d in (M.lcom1(**r), M.lcom4(**r), M.lcom4(**r, folded=3)))
+    for t in range(25):
+        own = [m for x, m in methods if x == f"T{t}"]
+        uses = {m: {f for x, y, f in accesses if (x, y) == (f"T{t}", m) and (x, f) in fields} for m in own}
+        shared = sum(bool(uses[a] & uses[b]) for a in own for b in own if a < b)
+        groups = []
+        for m in own:
+            met = [g for g in groups if uses[m] & g[1]]
+            groups = [g for g in groups if g not in met] + [({m}.union(*(g[0] for g in met)), uses[m].union(*(g[1] for g in met)))]
+        assert one[f"T{t}"] == max(len(own) * (len(own) - 1) // 2 - 2 * shared, 0)
+        assert four[f"T{t}"] == joined[f"T{t}"] == len(groups)
+
+
 def test_distance_table(spark):
     rows = [(2, 2, 1, 3, 5, 50), (0, 0, 0, 0, 1, 0), (1, 0, 0, 0, 2, 50), (1, 0, 0, 0, 2, 500)]
     df = spark.createDataFrame(rows, "concrete bigint, traits bigint, ca bigint, ce bigint, n bigint, loc bigint")
