@@ -75,7 +75,11 @@ def directory(rows: DataFrame, limit: int, total: int) -> tuple[DataFrame, DataF
 
 
 def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = SHARD_BYTES) -> DataFrame:
-    """``df`` with shard_depth, shard_prefix, shard_tail (bits of the second hash) and shard_bytes."""
+    """``df`` with shard_depth, shard_prefix, shard_tail and shard_bytes.
+
+    ``shard_tail`` tells shards of one key apart: bits of the second hash, the place of a
+    record beyond the limit whose key has several such records, else 0.
+    """
     outputs = {"bytes", "shard_depth", "shard_prefix", "shard_bytes", "shard_tail"}
     whole = F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in outputs)).alias("row")  # so no name can clash
     all_rows = df.select(whole, F.monotonically_increasing_id().alias("place"), prefix_hash(F.col(key)).alias("h"), F.coalesce(size, F.lit(0)).cast("bigint").alias("bytes"))
@@ -94,7 +98,9 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = SHARD_
         # the tail's buckets hold rows of all stuck keys: a shard is a bucket and a key
         each = tail.groupBy("h", "shard_depth", "shard_tail").agg(F.sum("bytes").alias("shard_bytes"))
         out = out.unionByName(tail.drop("shard_bytes").join(each, ["h", "shard_depth", "shard_tail"]))
-    alone = single.withColumn("shard_depth", F.lit(2 * BITS)).withColumn("shard_prefix", F.col("h")).withColumn("shard_bytes", F.col("bytes")).withColumn("shard_tail", F.col("place"))
+    twins = single.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.lit(True).alias("twin"))
+    tail = F.when(F.col("twin"), F.col("place")).otherwise(F.lit(0).cast("bigint"))
+    alone = single.join(twins, "h", "left").withColumns({"shard_depth": F.lit(2 * BITS), "shard_prefix": F.col("h"), "shard_bytes": F.col("bytes"), "shard_tail": tail}).drop("twin")
     return out.unionByName(alone).select("row.*", "bytes", "shard_depth", "shard_prefix", "shard_tail", "shard_bytes")
 
 
@@ -113,7 +119,7 @@ def _place(rows: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard; every shard is written by one task, as it fits the limit."""
+    """One folder per shard below ``path``; every shard is written by one task, as it fits the limit."""
     name = F.concat_ws("-", "shard_depth", "shard_prefix", "shard_tail")
     dealt = sharded.withColumn("shard", name).repartition(int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     dealt.sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
@@ -122,7 +128,7 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
     out = extendible_shards(docs, "doc_id", F.col("size"))
-    return out.select("doc_id", "bytes", F.col("shard_depth").cast("bigint").alias("shard_depth"), "shard_prefix", "shard_bytes")
+    return out.select("doc_id", "bytes", F.col("shard_depth").cast("bigint").alias("shard_depth"), "shard_prefix", "shard_tail", "shard_bytes")
 
 
 OP1_SQL = r"""
@@ -134,10 +140,10 @@ WITH d AS (
 ), s AS (
   SELECT depth, prefix, sum(bytes)::BIGINT AS shard_bytes FROM p GROUP BY ALL
 )
-SELECT p.doc_id, p.bytes, p.depth::BIGINT AS shard_depth, p.prefix AS shard_prefix, s.shard_bytes
+SELECT p.doc_id, p.bytes, p.depth::BIGINT AS shard_depth, p.prefix AS shard_prefix, 0::BIGINT AS shard_tail, s.shard_bytes
 FROM p JOIN s ON p.depth = s.depth AND p.prefix = s.prefix
 LEFT JOIN s AS up ON up.depth = s.depth - 1 AND up.prefix = s.prefix >> 1
 WHERE s.shard_bytes <= 1048576 AND (s.depth = 0 OR up.shard_bytes > 1048576)
 UNION ALL
-SELECT doc_id, bytes, 120, h, bytes FROM d WHERE bytes > 1048576
+SELECT doc_id, bytes, 120, h, 0, bytes FROM d WHERE bytes > 1048576
 """
