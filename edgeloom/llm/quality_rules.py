@@ -1,7 +1,7 @@
 """Operator 9: quality rules as a short-circuit cascade (DataFrame functions only).
 
 A rule is a named Boolean ``Column`` that is true where a document fails.  On a stored
-sample, the rows with the smallest hashes, one aggregate gives the share of rows that each
+sample that a hash picks, one aggregate gives the share of rows that each
 rule rejects (its selectivity), and each rule alone is timed against a plain scan (its
 cost).  Rules are then ordered by rejection per cost and become one ``CASE``, which
 evaluates a later rule only for rows that pass the earlier ones.  The order never changes
@@ -149,9 +149,14 @@ def text_rules() -> list[Rule]:
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The ``rows`` rows with the smallest hashes, from one scan, stored."""
+    """About ``rows`` texts that a hash of id and text picks over all of the input, stored; at most twice as many.
+
+    Counting reads no column; only what the hash picks leaves a task.
+    """
     keys = [F.col(f"`{c}`") for c in docs.columns if c in {"doc_id", "text"}]
-    return stored(docs.select("text", F.xxhash64(*keys).alias("h")).orderBy("h", "text").limit(rows).select("text"), "sample")
+    share = min(1.0, rows / max(docs.count(), 1))
+    picked = docs.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return stored(picked.select("text").limit(2 * rows), "sample")
 
 
 def estimate(sample: DataFrame, rules: list[Rule]) -> list[Estimate]:
