@@ -1 +1,21 @@
-"""edgeloom: dependency-graph analytics as Spark DataFrame plans."""
+"""Architecture and dependency analytics as Spark DataFrame plans."""
+
+from __future__ import annotations
+
+_PUBLIC = {
+    "api": ["DependencyRule", "FileRule", "Files", "GraphReport", "LayerRules", "MetricRule", "Result", "Rule", "SliceRule", "assert_passes"],
+    "errors": ["TechnicalError", "UserError"],
+    "functions.patterns": ["Filter", "Pattern", "in_file", "in_folder", "in_path", "pattern", "types_matching", "with_name"],
+    "sources.rust": ["extract_graph"],
+}
+__all__ = sorted(name for names in _PUBLIC.values() for name in names)
+
+
+def __getattr__(name: str):
+    """Public names, imported when asked for: tasks of one module need not load the others."""
+    from importlib import import_module
+
+    for module, names in _PUBLIC.items():
+        if name in names:
+            return getattr(import_module(f"edgeloom.{module}"), name)
+    raise AttributeError(f"module 'edgeloom' has no attribute {name!r}")

@@ -9,6 +9,7 @@ is read.  ``violations()`` is a DataFrame; ``check()`` gives a :class:`Result`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import deepcopy
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -55,8 +56,10 @@ class Rule:
     def check(self, expect_violations: bool = False, limit: int = 1000) -> Result:
         guard = None if self.allow_empty else self.guard()
         empty = [] if guard is None else [f"no subject was selected: {r['subject']}" for r in guard.collect()]
-        found = [] if empty and not isinstance(self, LayerRules) else [r["text"] for r in self.text(self.violations()).orderBy("text").limit(limit).collect()]
-        lines = [*empty, *found]
+        found = [] if empty and not isinstance(self, LayerRules) else [r["text"] for r in self.text(self.violations()).orderBy("text").limit(limit + 1).collect()]
+        lines = [*empty, *found[:limit]]
+        if len(found) > limit:
+            lines.append(f"there are more than {limit} violations; violations() has them all")
         message = "\n".join(f"{i}. {line}" for i, line in enumerate(lines, 1))
         passed = bool(lines) == expect_violations
         return Result(passed, message or ("no violations, though some were expected" if not passed else "no violations"))
@@ -199,17 +202,17 @@ class LayerRules(Rule):
     layers: rules.Layers = field(default_factory=rules.Layers)
     allow_empty: bool = False
 
+    def _with(self, change: Callable[[rules.Layers], rules.Layers]) -> LayerRules:
+        return replace(self, layers=change(deepcopy(self.layers)))
+
     def layer(self, name: str, spec: Spec, folder: bool = False) -> LayerRules:
-        self.layers.layer(name, (in_folder if folder else in_path)(spec))
-        return self
+        return self._with(lambda layers: layers.layer(name, (in_folder if folder else in_path)(spec)))
 
     def may_only_depend_on_layers(self, name: str, *targets: str) -> LayerRules:
-        self.layers.may_only_depend_on(name, *targets)
-        return self
+        return self._with(lambda layers: layers.may_only_depend_on(name, *targets))
 
     def may_not_depend_on_layers(self, name: str, *targets: str) -> LayerRules:
-        self.layers.may_not_depend_on(name, *targets)
-        return self
+        return self._with(lambda layers: layers.may_not_depend_on(name, *targets))
 
     def violations(self) -> DataFrame:
         return self.layers.violations(self.edges)

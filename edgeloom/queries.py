@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import identifiers as ids
 from edgeloom.functions.patterns import Filter, in_folder, in_path, pattern, types_matching, with_name
-from edgeloom.operators import cycles, metrics, report, rules, traversal
+from edgeloom.operators import cycles, lookup, metrics, report, rules, traversal
 from edgeloom.plans import adapters as A
 from edgeloom.plans import collapse, slices
 from edgeloom.plans import edges as E
@@ -503,31 +503,22 @@ def _(t):
 # ---- lookups and rendered lines ----------------------------------------------------------------
 
 
-def _modules(t: A.Tables) -> tuple[DataFrame, DataFrame]:
-    """Link targets as references, and as modules the first segments that several targets share."""
-    refs = A.link_refs(t).select("href").distinct().withColumn("segments", F.filter(F.split("href", "/"), lambda s: s != ""))
-    modules = refs.select(F.substring(F.get("segments", F.lit(0)), 1, 2).alias("module")).filter("module <> ''").distinct()
-    return refs, modules
-
-
-@query("j02_longest_prefix", f"""WITH {O.LINKS}, refs AS (SELECT DISTINCT href FROM links), named AS (SELECT href, regexp_extract(href, '[^/]+') AS s FROM refs), modules AS (
-  SELECT DISTINCT substr(s, 1, 2) AS m FROM named WHERE s <> '' UNION SELECT DISTINCT substr(s, 1, 4) FROM named WHERE s <> ''
-) SELECT href, arg_max(m, length(m)) AS module FROM named JOIN modules ON starts_with(s, m) GROUP BY href""")
+@query("j02_longest_prefix", f"""WITH {O.LINKS}, refs AS (SELECT DISTINCT href, list_filter(string_split(href, '/'), lambda x: x <> '') AS s FROM links), idx AS (
+  SELECT s[1:1] AS p FROM refs WHERE len(s) >= 1 UNION SELECT s[1:3] FROM refs WHERE len(s) >= 3
+) SELECT href, array_to_string(arg_max(p, len(p)), '/') AS module FROM refs JOIN idx ON s[1:len(p)] = p GROUP BY href""")
 def _(t):
-    refs, _short = _modules(t)
-    named = refs.select("href", F.get("segments", F.lit(0)).alias("s")).filter("s <> ''")
-    prefixes = lambda n: named.select(F.substring("s", 1, n).alias("m"))
-    index = prefixes(2).union(prefixes(4)).distinct()
-    tried = named.select("href", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s")), lambda n: F.substr(F.col("s"), F.lit(1), n))).alias("m"))
-    return tried.join(index, "m").groupBy("href").agg(F.max_by("m", F.char_length("m")).alias("module"))
+    refs = A.link_refs(t).select("href").distinct().withColumn("s", F.filter(F.split("href", "/"), lambda s: s != "")).withColumn("path", F.array_join("s", "/"))
+    prefixes = lambda n: refs.filter(F.size("s") >= n).select(F.array_join(F.slice("s", 1, n), "/").alias("prefix"))
+    index = prefixes(1).union(prefixes(3)).distinct().withColumn("target", F.col("prefix"))
+    return lookup.longest_prefix(refs.select("href", "path"), index, ["href"], separator="/").select("href", F.col("target").alias("module"))
 
 
 @query("j05_candidate_cardinality", f"""WITH {O.LINKS}, c AS (SELECT regexp_extract(href, '[^/]+') AS s, count(DISTINCT url) AS n FROM links GROUP BY 1)
 SELECT s AS reference, n::BIGINT AS candidates, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome FROM c WHERE s <> ''""")
 def _(t):
     named = A.link_refs(t).select("url", F.regexp_extract("href", "[^/]+", 0).alias("reference")).filter("reference <> ''")
-    out = named.groupBy("reference").agg(F.count_distinct("url").alias("candidates"))
-    return out.withColumn("outcome", F.when(F.col("candidates") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")))
+    out = lookup.longest_prefix(named.select("reference").distinct(), named.select(F.col("reference").alias("prefix"), F.col("url").alias("target")), ["reference"], "reference", "/")
+    return out.select("reference", "candidates", F.when(F.col("target").isNotNull(), F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("outcome"))
 
 
 _SHOWN = "shown AS (SELECT array_to_string(string_split(source, '/')[:2], '/') AS source, array_to_string(string_split(target, '/')[:2], '/') AS target, count(*) AS n FROM edges GROUP BY 1, 2 HAVING source <> target)"

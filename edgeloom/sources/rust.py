@@ -2,8 +2,10 @@
 
 Files are read whole and in parallel; comments and strings are blanked; declarations
 (``mod``, ``use``, ``extern crate``), qualified paths and macro paths are taken by
-patterns, and references are resolved by joins: modules by their longest known
-prefix, other first segments by the manifest's dependencies.  This is a scan, not a
+patterns, and references are resolved by joins: a first segment that a ``use`` of the same
+file binds stands for what it names, modules are found by their longest known prefix,
+other first segments among the manifest's dependencies that the file may use.  A reference
+with several candidates is ambiguous and draws no edge.  This is a scan, not a
 compiler's parser: nested block comments, ``#[path]`` and macro bodies are not followed.
 """
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.errors import TechnicalError, UserError
 from edgeloom.functions import identifiers as ids
+from edgeloom.operators.lookup import longest_prefix
 from edgeloom.plans import edges as E
 
 #: Folders that are never searched, and folders of development targets (fixed values).
@@ -38,6 +41,8 @@ class Project:
     root: str
     name: str
     dependencies: tuple[str, ...] = field(default=())
+    #: (visible name, package, scope: normal, development or build)
+    scoped: tuple[tuple[str, str, str], ...] = field(default=())
 
 
 def locate(path: str | None = None) -> Project:
@@ -52,8 +57,10 @@ def locate(path: str | None = None) -> Project:
                 data = tomllib.loads(manifest.read_text(encoding="utf-8"))
             except (OSError, tomllib.TOMLDecodeError) as e:
                 raise TechnicalError(f"{manifest}: {e}") from e
-            names = [n.replace("-", "_") for kind in ("dependencies", "dev-dependencies", "build-dependencies") for n in data.get(kind, {})]
-            return Project(str(folder), data.get("package", {}).get("name", folder.name).replace("-", "_"), tuple(sorted(set(names))))
+            flat = lambda name: name.replace("-", "_")
+            tables = {"dependencies": "normal", "dev-dependencies": "development", "build-dependencies": "build"}
+            scoped = [(flat(n), flat(spec.get("package", n) if isinstance(spec, dict) else n), scope) for table, scope in tables.items() for n, spec in data.get(table, {}).items()]
+            return Project(str(folder), flat(data.get("package", {}).get("name", folder.name)), tuple(sorted({n for n, *_ in scoped})), tuple(scoped))
     raise UserError(f"no manifest at or above {start}")
 
 
@@ -100,46 +107,73 @@ def _leaves(path: Column) -> Column:
     return F.filter(F.split(F.aggregate(braces, path, open_one), ","), lambda p: p != "")
 
 
+def _one_line(use: str) -> Column:
+    """A use tree without blanks; ``as`` becomes ``=``."""
+    return F.regexp_replace(F.regexp_replace(use, r"\s+as\s+", "="), r"\s+", "")
+
+
+def bindings(files: DataFrame) -> DataFrame:
+    """(source, name, bound): what the names mean that the ``use`` declarations of a file bind."""
+    base = files.join(modules(files), "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
+    leaves = base.select("source", "module", F.explode(F.regexp_extract_all("code", F.lit(_USE), F.lit(2))).alias("u")).select("source", "module", F.explode(_leaves(_one_line("u"))).alias("leaf"))
+    path = F.regexp_replace(F.split_part("leaf", F.lit("="), F.lit(1)), "::self$", "")
+    name = F.when(F.col("leaf").contains("="), F.split_part("leaf", F.lit("="), F.lit(2))).otherwise(F.regexp_extract(path, r"(\w+)$", 1))
+    out = leaves.filter(~F.col("leaf").endswith("*")).select("source", name.alias("name"), _absolute(path, F.col("module")).alias("bound"))
+    return out.filter("name <> '' and name <> '_' and name <> bound").distinct()
+
+
 def references(files: DataFrame) -> DataFrame:
     """(source, module, path, kind): every reference as it is written, made absolute to ``crate``."""
     base = files.join(modules(files), "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
     every = lambda pattern, group=1: F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(group)))
     mods = base.select("source", "module", every(_MOD).alias("name")).select("source", "module", F.concat(F.lit("self::"), "name").alias("path"), F.lit("mod").alias("kind"))
     uses = base.select("source", "module", F.explode(F.arrays_zip(F.regexp_extract_all("code", F.lit(_USE), F.lit(2)).alias("p"), F.regexp_extract_all("code", F.lit(_USE), F.lit(1)).alias("v"))).alias("u"))
-    plain = F.regexp_replace("u.p", r"\s+as\s+\w+|\s+", "")
-    uses = uses.select("source", "module", F.explode(_leaves(plain)).alias("path"), F.when(F.col("u.v") != "", F.lit("pub_use")).otherwise(F.lit("use")).alias("kind"))
+    uses = uses.select("source", "module", F.explode(_leaves(_one_line("u.p"))).alias("path"), F.when(F.col("u.v") != "", F.lit("pub_use")).otherwise(F.lit("use")).alias("kind"))
     extern = base.select("source", "module", every(_EXTERN).alias("path"), F.lit("extern_crate").alias("kind"))
     rest = base.withColumn("code", F.regexp_replace("code", r"(?<![\w])use\s+[^;]+;", ";"))
     paths = rest.select("source", "module", every(_PATH).alias("path"), F.lit("path_reference").alias("kind"))
     macros = rest.select("source", "module", every(_MACRO).alias("path"), F.lit("macro_reference").alias("kind"))
     out = mods.unionByName(uses).unionByName(extern).unionByName(paths).unionByName(macros)
-    return out.withColumn("path", F.regexp_replace("path", r"::(\*|self)$", "")).withColumn("absolute", _absolute(F.col("path"), F.col("module"))).distinct()
+    return out.withColumn("path", F.regexp_replace("path", r"=\w+$", "")).withColumn("path", F.regexp_replace("path", r"::(\*|self)$", "")).withColumn("absolute", _absolute(F.col("path"), F.col("module"))).distinct()
 
 
 def _absolute(path: Column, module: Column) -> Column:
-    parent = F.regexp_replace(module, r"::\w+$", "")
-    return (
-        F.when(path.startswith("self::"), F.concat(module, F.lit("::"), F.regexp_replace(path, "^self::", "")))
-        .when(path.startswith("super::super::"), F.concat(F.regexp_replace(parent, r"::\w+$", ""), F.lit("::"), F.regexp_replace(path, "^(super::)+", "")))
-        .when(path.startswith("super::"), F.concat(parent, F.lit("::"), F.regexp_replace(path, "^super::", "")))
-        .otherwise(path)
-    )
+    """``self::`` is the module, every ``super::`` one level up from it."""
+    lead = F.regexp_extract(path, "^(self::)?(super::)*", 0)
+    parts = F.split(module, "::")
+    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.regexp_count(lead, F.lit("super")), F.lit(1))), "::")
+    return F.when(lead == "", path).otherwise(F.concat(up, F.lit("::"), F.substr(path, F.char_length(lead) + 1)))
 
 
 def resolve(refs: DataFrame, files: DataFrame, project: Project) -> DataFrame:
-    """(source, target, external, kind, path); target is null where nothing is known by the name."""
-    index = modules(files).select(F.col("module").alias("prefix"), F.col("identifier").alias("target"))
-    local = F.concat(F.col("module"), F.lit("::"), F.col("absolute"))  # a name of the own module, if it has such a child
-    tried = refs.withColumn("full", F.explode(F.array("absolute", local)))
-    n = F.size(F.split("full", "::"))
-    prefixes = F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(F.split(F.col("full"), "::"), F.lit(1), k), "::"))
-    hits = tried.withColumn("prefix", F.explode(prefixes)).join(index, "prefix")
-    hits = hits.filter((F.col("full") == F.col("absolute")) | (F.char_length("prefix") > F.char_length("module")))
-    best = hits.groupBy("source", "path", "kind").agg(F.max_by("target", F.char_length("prefix")).alias("inner"))
-    known = [*SYSROOT, *project.dependencies]
+    """(source, target, external, kind, path, outcome); target is null where the outcome is ``unknown`` or ``ambiguous``."""
+    keys = ["source", "path", "kind"]
     first = F.split_part("path", F.lit("::"), F.lit(1))
-    out = refs.join(best, ["source", "path", "kind"], "left").withColumn("crate", F.when(first.isin(*known), first))
-    return out.select("source", F.coalesce("inner", "crate").alias("target"), F.col("inner").isNull().alias("external"), "kind", "path")
+    names = refs.withColumn("name", F.when(F.col("kind").isin("path_reference", "macro_reference"), first))
+    named = names.join(bindings(files), ["source", "name"], "left")  # what a use binds goes before anything else
+    absolute = F.when(F.col("bound").isNotNull(), F.concat("bound", F.substr(F.col("path"), F.char_length("name") + 1))).otherwise(F.col("absolute"))
+    named = named.select(*keys, "module", absolute.alias("absolute"), "bound")
+    local = F.concat("module", F.lit("::"), "absolute")  # a name of the own module, if it has such a child
+    tried = named.withColumn("full", F.explode(F.when(F.col("bound").isNotNull(), F.array("absolute")).otherwise(F.array("absolute", local))))
+    index = modules(files).select(F.col("module").alias("prefix"), F.col("identifier").alias("target"))
+    inner = (F.col("full") == F.col("absolute")) | (F.char_length("prefix") > F.char_length("module"))
+    found = longest_prefix(tried, index, keys, "full", where=inner).select(*keys, F.col("target").alias("inner"), "candidates")
+    crates = named.groupBy(*keys).agg(F.min("absolute").alias("absolute")).withColumn("crate", _crate(project))
+    out = refs.select(*keys).distinct().join(found, keys, "left").join(crates, keys, "left")
+    external = F.col("candidates").isNull()
+    outcome = F.when(F.col("candidates") > 1, F.lit("ambiguous")).when(F.col("inner").isNotNull(), F.lit("resolved")).when(F.col("crate").isNotNull(), F.lit("external")).otherwise(F.lit("unknown"))
+    return out.select("source", F.when(external, F.col("crate")).otherwise(F.col("inner")).alias("target"), external.alias("external"), "kind", "path", outcome.alias("outcome"))
+
+
+def _crate(project: Project) -> Column:
+    """The package that the first segment names, among those that the scope of the source file sees."""
+    first = F.split_part("absolute", F.lit("::"), F.lit(1))
+    scope = F.when(F.col("source") == "build.rs", F.lit("build")).when(F.split_part("source", F.lit("/"), F.lit(1)).isin(*DEV), F.lit("development")).otherwise(F.lit("normal"))
+    sees = {"normal": ["normal"], "development": ["normal", "development"], "build": ["build"]}
+    out = F.when(first.isin(*SYSROOT), first)
+    for name, package, own in project.scoped or tuple((n, n, "normal") for n in project.dependencies):
+        out = out.when((first == name) & scope.isin(*(s for s, seen in sees.items() if own in seen)), F.lit(package))
+    return out
 
 
 def extract_graph(spark: SparkSession, path: str, include_dev: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -147,4 +181,4 @@ def extract_graph(spark: SparkSession, path: str, include_dev: bool = False) ->
     project = locate(path)
     files = source_files(spark, project.root, include_dev)
     found = resolve(references(files), files, project)
-    return E.graph(found, files.select("identifier")), found.filter("target is null and kind <> 'mod'").select("source", "path", "kind")
+    return E.graph(found, files.select("identifier")), found.filter("target is null and kind <> 'mod'").select("source", "path", "kind", "outcome")

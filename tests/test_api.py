@@ -82,6 +82,38 @@ def test_reports_and_metrics(project, spark, tmp_path):
         api.MetricRule(measured).should_be("below", float("nan"))
 
 
+NAMES = {
+    "Cargo.toml": '[package]\nname = "pond"\n[dependencies]\nfish = { package = "trout-kit", version = "1" }\n[dev-dependencies]\nmock = "1"\n[build-dependencies]\ncc = "1"\n',
+    "src/lib.rs": "mod shore;\nmod deep;\n", "src/shore.rs": "use crate::deep::mud as floor;\nuse fish::Scale;\nfn f() { floor::dig(); Scale::weigh(); mock::go(); }\n",
+    "src/deep/mod.rs": "mod mud;\nmod reed;\nmod twice;\n", "src/deep/mud.rs": "// soft\n", "src/deep/twice.rs": "// one\n", "src/deep/twice/mod.rs": "// two\n", "src/deep/reed.rs": "fn g() { super::super::shore::x(); super::twice::y(); cc::z(); }\n",
+    "tests/t.rs": "fn h() { mock::go(); fish::x(); }\n", "build.rs": "fn main() { cc::z(); fish::x(); }\n",
+}
+
+
+def test_names_are_resolved_by_bindings_scopes_and_longest_prefix(spark, tmp_path):
+    for name, text in NAMES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    project = rust.locate(str(tmp_path))
+    files = rust.source_files(spark, project.root, include_dev=True)
+    got = {(r.source, r.path): (r.target, r.outcome) for r in rust.resolve(rust.references(files), files, project).filter("kind = 'path_reference'").collect()}
+    shore, reed = "src/shore.rs", "src/deep/reed.rs"
+    assert got == {
+        (shore, "floor::dig"): ("src/deep/mud.rs", "resolved"), (shore, "Scale::weigh"): ("trout_kit", "external"), (shore, "mock::go"): (None, "unknown"),
+        (reed, "super::super::shore::x"): (shore, "resolved"), (reed, "super::twice::y"): (None, "ambiguous"), (reed, "cc::z"): (None, "unknown"),
+        ("tests/t.rs", "mock::go"): ("mock", "external"), ("tests/t.rs", "fish::x"): ("trout_kit", "external"), ("build.rs", "cc::z"): ("cc", "external"), ("build.rs", "fish::x"): (None, "unknown"),
+    }
+
+
+def test_checks_say_that_there_is_more_and_builders_do_not_share(project):
+    _, edges, _ = project
+    message = api.Files(edges).should().be_in_path("nowhere").check(limit=2).message
+    assert message.count("\n") == 2 and "more than 2 violations" in message
+    base = api.LayerRules(edges).layer("api", "src/api/**").layer("domain", "src/domain/**")
+    sealed, free = base.may_only_depend_on_layers("api"), base.may_only_depend_on_layers("api", "domain")
+    assert not sealed.check().passed and free.check().passed and not base.layers.allowed
+
+
 def test_incremental_merge(spark, project):
     _, edges, _ = project
     new = spark.createDataFrame([("src/lib.rs", "src/api/mod.rs", False, "use"), ("x", "y", True, "use")], "source string, target string, external boolean, kind string")

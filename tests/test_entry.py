@@ -20,7 +20,7 @@ def same(spark, sf_dir, make, sql):
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
 
 
-@pytest.mark.parametrize("name", ["a01_graph_merge", "a01_external_and", "p06_nodes", "p11_slice_edges", "g02_reachable", "g05_cycles", "r02_denylist", "r06_first_layer_wins", "r08_diagram", "m14_lcom4", "m19_normalized_distance", "j11_impl_association", "k05_mermaid_lines", "f01_normalize_identifier"])
+@pytest.mark.parametrize("name", ["a01_graph_merge", "a01_external_and", "p06_nodes", "p11_slice_edges", "g02_reachable", "g05_cycles", "r02_denylist", "r06_first_layer_wins", "r08_diagram", "m14_lcom4", "m19_normalized_distance", "j11_impl_association", "k05_mermaid_lines", "j02_longest_prefix", "j05_candidate_cardinality", "p14_two_captures", "f04_unicode_class", "m14_lcom1", "f01_normalize_identifier"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     same(spark, sf_dir, QUERIES[name], SQL[name])
 
