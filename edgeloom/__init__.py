@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _PUBLIC = {
-    "api": ["DependencyRule", "FileRule", "Files", "GraphReport", "LayerRules", "MetricRule", "Result", "Rule", "SliceRule", "assert_passes"],
+    "api": ["DependencyRule", "FileRule", "Files", "GraphReport", "LayerRules", "MetricRule", "Metrics", "Result", "Rule", "SliceRule", "SliceScope", "assert_passes"],
     "errors": ["TechnicalError", "UserError"],
     "functions.patterns": ["Filter", "Pattern", "in_file", "in_folder", "in_path", "pattern", "types_matching", "with_name"],
     "sources.rust": ["extract_graph"],

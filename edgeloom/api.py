@@ -11,17 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from copy import deepcopy
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.errors import UserError
+from edgeloom.errors import TechnicalError, UserError
 from edgeloom.functions.identifiers import edge_text
-from edgeloom.functions.patterns import Filter, PatternSpec, in_file, in_folder, in_path, types_matching, with_name
+from edgeloom.functions.patterns import Filter, PatternSpec, all_of, in_file, in_folder, in_path, types_matching, with_name
 from edgeloom.operators import metrics, report, rules
 from edgeloom.plans.collapse import by_pattern, folder_depth
 from edgeloom.plans.edges import kind_names
-from edgeloom.plans.slices import Slices
+from edgeloom.plans.slices import Slices, identity
+from edgeloom.plans.slices import by_pattern as by_slice_pattern
+from edgeloom.plans.slices import by_regex as by_slice_regex
 from edgeloom.sinks import render
 from edgeloom.sources import plantuml
 
@@ -224,6 +227,58 @@ class LayerRules(Rule):
         return self.layers.checked().empty_layers(self.edges)
 
 
+@dataclass(frozen=True)
+class SliceScope:
+    """How files fall into slices, before a mood is chosen; each file is its own slice at first."""
+
+    edges: DataFrame
+    slices: Slices = field(default_factory=identity)
+
+    def defined_by(self, spec: Spec) -> SliceScope:
+        return replace(self, slices=by_slice_pattern(spec))
+
+    def defined_by_regex(self, spec: Spec) -> SliceScope:
+        return replace(self, slices=by_slice_regex(spec))
+
+    def with_projection(self, slices: Slices) -> SliceScope:
+        return replace(self, slices=slices)
+
+    def should(self) -> SliceMood:
+        return SliceMood(SliceRule(self.edges, self.slices), False)
+
+    def should_not(self) -> SliceMood:
+        return SliceMood(SliceRule(self.edges, self.slices), True)
+
+    def to_plantuml(self) -> str:
+        return SliceRule(self.edges, self.slices).to_plantuml()
+
+    def export_as_plantuml(self, path: str) -> None:
+        render.export(self.to_plantuml(), path)
+
+
+@dataclass(frozen=True)
+class SliceMood:
+    rule: SliceRule
+    negated: bool
+
+    def contain_dependency(self, source: str, target: str) -> SliceRule:
+        if not self.negated:
+            raise UserError("contain_dependency follows should_not()")
+        return self.rule.should_not_contain_dependency(source, target)
+
+    def adhere_to_diagram(self, text: str, ignoring_orphans: bool = False, ignoring_external: bool = False) -> SliceRule:
+        if self.negated:
+            raise UserError("adhere_to_diagram follows should()")
+        return self.rule.should_adhere_to_diagram(text, ignoring_orphans, ignoring_external)
+
+    def adhere_to_diagram_in_file(self, path: str, ignoring_orphans: bool = False, ignoring_external: bool = False) -> SliceRule:
+        try:
+            text = Path(path).read_text(encoding="utf-8")
+        except OSError as e:
+            raise TechnicalError(str(e)) from e
+        return self.adhere_to_diagram(text, ignoring_orphans, ignoring_external)
+
+
 @dataclass(frozen=True)
 class SliceRule(Rule):
     edges: DataFrame
@@ -311,6 +366,7 @@ class MetricRule(Rule):
     measured: DataFrame
     find: Callable[[DataFrame], DataFrame] | None = None
     allow_empty: bool = False
+    zone: str = ""
 
     def for_types_matching(self, spec: Spec, column: str = "type") -> MetricRule:
         """Selects after measuring, as counts over the project must not change."""
@@ -324,15 +380,122 @@ class MetricRule(Rule):
         return replace(self, find=lambda m: metrics.predicate_violations(m, predicate))
 
     def not_in_zone_of_pain(self) -> MetricRule:
-        return replace(self, find=metrics.in_zone_of_pain)
+        return replace(self, find=metrics.in_zone_of_pain, zone="pain")
 
     def not_in_zone_of_uselessness(self) -> MetricRule:
-        return replace(self, find=metrics.in_zone_of_uselessness)
+        return replace(self, find=metrics.in_zone_of_uselessness, zone="uselessness")
 
     def violations(self) -> DataFrame:
         if self.find is None:
             raise UserError("the rule has no condition")
         return self.find(self.measured)
 
+    def text(self, violations: DataFrame) -> DataFrame:
+        return metrics.zone_text(violations, self.zone) if self.zone else super().text(violations)
+
     def guard(self) -> DataFrame:
         return rules.empty_guard(self.measured, "metric")
+
+
+LCOM = {
+    "lcom1": metrics.lcom1, "lcom4": metrics.lcom4,
+    **dict.fromkeys(("lcom96a", "lcom3", "lcom5", "lcom_star"), lambda *r: metrics.lcom96a(metrics.lcom_inputs(*r))),
+    **dict.fromkeys(("lcom96b", "lcom2"), lambda *r: metrics.lcom96b(metrics.lcom_inputs(*r))),
+}
+DISTANCE = ("abstractness", "instability", "distance", "coupling_factor", "normalized_distance")
+
+
+@dataclass(frozen=True)
+class Metrics:
+    """What a project's types hold, and selectors over them.
+
+    ``types`` (type, kind, file), ``methods`` (type, method), ``fields`` (type, field),
+    ``accesses`` (type, method, field); ``files`` (file and its counts; traits, concrete and
+    loc for distances) and ``edges`` where counts of files or distances are asked for.
+    Coupling is always measured over the whole project; selectors take rows afterwards.
+    """
+
+    types: DataFrame
+    methods: DataFrame
+    fields: DataFrame
+    accesses: DataFrame
+    files: DataFrame | None = None
+    edges: DataFrame | None = None
+    filters: tuple[Filter, ...] = ()
+
+    def _and(self, f: Filter) -> Metrics:
+        return replace(self, filters=(*self.filters, f))
+
+    def with_name(self, spec: Spec) -> Metrics:
+        return self._and(with_name(spec))
+
+    def in_folder(self, spec: Spec) -> Metrics:
+        return self._and(in_folder(spec))
+
+    def in_path(self, spec: Spec) -> Metrics:
+        return self._and(in_path(spec))
+
+    def for_types_matching(self, spec: Spec) -> Metrics:
+        return self._and(types_matching(spec))
+
+    def _on(self, of_types: bool) -> list[Filter]:
+        return [f for f in self.filters if (f.target == "type") == of_types]
+
+    def _files(self) -> DataFrame:
+        if self.files is None:
+            raise UserError("counts of files and distances need files")
+        return self.files
+
+    def selected_types(self) -> DataFrame:
+        return self.types.filter(all_of(self._on(False), "file") & all_of(self._on(True), "type"))
+
+    def selected_files(self) -> DataFrame:
+        """Files that the file selectors leave; with a type selector types are counted anew and files without any go."""
+        files = self._files().filter(all_of(self._on(False), "file"))
+        return metrics.retain_types(self.types, all_of(self._on(True), "type"), files) if self._on(True) else files
+
+    def count(self, what: str) -> MetricRule:
+        """``methods`` or ``fields`` of each type, or a count of each file by its column's name."""
+        if what in ("methods", "fields"):
+            types = self.selected_types()
+            return MetricRule(metrics.method_count(types, self.methods) if what == "methods" else metrics.field_count(types, self.fields))
+        if what == "file" or what not in {*self._files().columns, *(("concrete_types", "traits") if self._on(True) else ())}:
+            raise UserError(f"unknown count {what!r}")
+        return MetricRule(self.selected_files().select("file", F.col(what).alias("value")))
+
+    def lcom(self, name: str) -> MetricRule:
+        if name not in LCOM:
+            raise UserError(f"unknown cohesion metric {name!r}")
+        return MetricRule(LCOM[name](self.selected_types(), self.methods, self.fields, self.accesses))
+
+    def distances(self) -> DataFrame:
+        """The selected components with all five values; a type selector keeps those that hold a matching type."""
+        files = self._files()
+        if self.edges is None:
+            raise UserError("distances need edges")
+        infos = metrics.distance_metrics(files.join(metrics.coupling(files.select("file"), self.edges), "file")).filter(all_of(self._on(False), "file"))
+        return metrics.components_with_type(infos, self.types, all_of(self._on(True), "type")) if self._on(True) else infos
+
+    def distance(self, name: str = "distance") -> MetricRule:
+        if name not in DISTANCE:
+            raise UserError(f"unknown distance metric {name!r}")
+        return MetricRule(self.distances().withColumn("value", F.col(name)))
+
+    def custom_metric(self, name: str, description: str, value: Column) -> MetricRule:
+        """``value`` over (type, m, a, s): methods, fields and distinct accesses of structs that have a method."""
+        inputs = metrics.lcom_inputs(self.selected_types(), self.methods, self.fields, self.accesses)
+        return MetricRule(metrics.custom_metric(inputs, name, description, value))
+
+    def measure(self, names: tuple[str, ...] = ("methods", "fields", "lcom96a", "lcom96b")) -> DataFrame:
+        """(name, value) of all selected types: ``type.metric`` and its value."""
+        out = None
+        for name in names:
+            rows = (self.count(name) if name in ("methods", "fields") else self.lcom(name)).measured
+            rows = rows.select(F.concat_ws(".", "type", F.lit(name)).alias("name"), F.col("value").cast("double").alias("value"))
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            raise UserError("measure() needs a metric")
+        return out
+
+    def export_as_html(self, path: str, title: str = "Metrics", css: str = "", stamp: int | None = None) -> None:
+        render.export(render.metrics_html(self.measure(), title, css, stamp), path, ".html")

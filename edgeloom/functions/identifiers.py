@@ -75,3 +75,11 @@ def edge_text(source: Column, target: Column, external: Column, kinds: Column) -
     listed = F.when(F.size(kinds) > 0, F.concat(F.lit(" ["), F.array_join(kinds, ", "), F.lit("]"))).otherwise(F.lit(""))
     text = F.concat(source, F.lit(" -> "), target, F.when(external, F.lit(" (external)")).otherwise(F.lit("")), listed)
     return F.when(source == target, F.concat(source, F.lit(" -> itself"))).otherwise(text)
+
+
+def utc_stamp(seconds: Column | str) -> Column:
+    """Seconds since 1970 as ``2024-02-29T23:59:59Z``, whatever the session's time zone."""
+    s = _col(seconds).cast("bigint")
+    second = F.pmod(s, F.lit(86_400))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((s - second) / 86_400).cast("int"))
+    return F.when(s.isNotNull(), F.format_string("%sT%02d:%02d:%02dZ", day.cast("string"), F.floor(second / 3_600), F.floor(second % 3_600 / 60), second % 60))

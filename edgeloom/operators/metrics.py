@@ -202,7 +202,28 @@ def associate_impls(impls: DataFrame, types: DataFrame) -> DataFrame:
     return pick.withColumn("best", best).filter("best is not null").select("impl_id", F.col("best.type").alias("type"), F.col("best.type_file").alias("type_file"))
 
 
-def retain_types(types: DataFrame, keep: Column) -> DataFrame:
-    """Per file the concrete types and traits that a type selector leaves; files without any go."""
+def retain_types(types: DataFrame, keep: Column, files: DataFrame | None = None) -> DataFrame:
+    """Per file the concrete types and traits that a type selector leaves; files without any go.
+
+    With ``files`` (file and any counts) the two counts are replaced, all others stay as they are.
+    """
     kept = types.filter(keep)
-    return kept.groupBy("file").agg(F.count_if(F.col("kind") != "trait").alias("concrete_types"), F.count_if(F.col("kind") == "trait").alias("traits"))
+    out = kept.groupBy("file").agg(F.count_if(F.col("kind") != "trait").alias("concrete_types"), F.count_if(F.col("kind") == "trait").alias("traits"))
+    return out if files is None else files.drop("concrete_types", "traits").join(out, "file")
+
+
+def retain_impls(impls: DataFrame, kept_types: DataFrame) -> DataFrame:
+    """The impls (name, file, ..) for which their file keeps a type with the same last segment, as any of the same name has."""
+    last = lambda c: F.element_at(F.split(c, "::"), -1)
+    kept = kept_types.select("file", last("type").alias("__last")).distinct()
+    return impls.withColumn("__last", last("name")).join(kept, ["file", "__last"], "left_semi").drop("__last")
+
+
+def components_with_type(infos: DataFrame, types: DataFrame, keep: Column) -> DataFrame:
+    """The components (file, ..) that hold at least one type a selector matches, with their values unchanged."""
+    return infos.join(types.filter(keep).select("file"), "file", "left_semi")
+
+
+def zone_text(infos: DataFrame, zone: str) -> DataFrame:
+    """(text): components of a zone, ratios with three decimals."""
+    return infos.select(F.format_string(f"'%s' is in the zone of {zone} (abstractness %.3f, instability %.3f)", "file", "abstractness", "instability").alias("text"))

@@ -123,6 +123,11 @@ def nation_components(t: Tables) -> DataFrame:
     return of.join(own, "nationkey", "left").join(loc, "nationkey", "left").select("file", zero("traits"), zero("concrete"), zero("loc"))
 
 
+def nation_types(t: Tables) -> DataFrame:
+    """(type, kind, file): customers as types of their nation's file."""
+    return t.customer.join(_of(t, "c_nationkey", "file"), "c_nationkey").select(F.concat(F.lit("Customer_"), F.col("c_custkey").cast("string")).alias("type"), F.lit("struct").alias("kind"), "file")
+
+
 def impl_relations(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Impl blocks named after nations (even keys with their region) and types with such names."""
     rows = nation_files(t)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.api import MetricRule, Metrics
 from edgeloom.functions import identifiers as ids
 from edgeloom.functions.patterns import Filter, in_folder, in_path, pattern, types_matching, with_name
 from edgeloom.operators import cycles, lookup, metrics, report, rules, traversal
@@ -500,6 +501,38 @@ def _(t):
     return metrics.retain_types(A.type_relations(t)["types"], types_matching("*7").column("type"))
 
 
+@query("a14_file_counts", f"WITH {O.TYPES}, f AS (SELECT file, count(*) AS all_types, sum(length(type))::BIGINT AS letters FROM types GROUP BY 1), k AS (SELECT file, count(*) FILTER (WHERE kind <> 'trait') AS concrete_types, count(*) FILTER (WHERE kind = 'trait') AS traits FROM types WHERE regexp_matches(type, '7$') AND regexp_matches(file, '_1') GROUP BY 1) SELECT f.file, all_types, letters, concrete_types, traits FROM f JOIN k ON k.file = f.file")
+def _(t):
+    r = A.type_relations(t)
+    files = r["types"].groupBy("file").agg(F.count(F.lit(1)).alias("all_types"), F.sum(F.char_length("type")).alias("letters"))
+    return Metrics(**r, files=files).in_path("src/nation_1*").for_types_matching("*7").selected_files()
+
+
+@query("j15_components_by_type", f"WITH {O.DISTANCE} SELECT file, round(distance, 9) AS value FROM values_ v WHERE EXISTS (SELECT 1 FROM customer JOIN nf ON nf.k = c_nationkey WHERE nf.f = v.file AND regexp_matches(c_custkey::VARCHAR, '77$'))")
+def _(t):
+    types = A.nation_types(t)
+    none = types.limit(0)
+    project = Metrics(types, none, none, none, files=A.nation_components(t), edges=A.trade_top3(t))
+    return project.for_types_matching("*77").distance().measured.select("file", F.round("value", 9).alias("value"))
+
+
+@query("j17_retained_impls", f"WITH {O.IMPLS} SELECT impl_id::BIGINT AS impl_id, name, file FROM impls i WHERE EXISTS (SELECT 1 FROM types t WHERE t.file = i.file AND t.s = i.s AND regexp_matches(t.type, '5$'))")
+def _(t):
+    impls, types = A.impl_relations(t)
+    return metrics.retain_impls(impls, types.filter(F.col("type").endswith("5"))).select("impl_id", "name", "file")
+
+
+@query("c09_zone_text", f"WITH {O.DISTANCE} SELECT chr(39) || file || chr(39) || printf(' is in the zone of pain (abstractness %.3f, instability %.3f)', abstractness, instability) AS text FROM values_ WHERE abstractness < 0.3 AND instability < 0.3")
+def _(t):
+    rule = MetricRule(_distance(t)).not_in_zone_of_pain()
+    return rule.text(rule.violations())
+
+
+@query("c10_utc_stamp", "SELECT o_orderkey, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 86399 - 4000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM orders")
+def _(t):
+    return t.orders.select("o_orderkey", ids.utc_stamp(F.col("o_orderkey") * 86399 - 4000000).alias("stamp"))
+
+
 # ---- lookups and rendered lines ----------------------------------------------------------------
 
 

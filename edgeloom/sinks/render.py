@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.errors import TechnicalError, UserError
+from edgeloom.functions.identifiers import utc_stamp
 from edgeloom.operators.report import Snapshot
 from edgeloom.plans.edges import kind_names
 
@@ -34,9 +36,13 @@ def csv_field(c: Column) -> Column:
 
 
 def mermaid_label(c: Column) -> Column:
-    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "<br/>")):
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = _r(c, old, new)
-    return c
+    return F.regexp_replace(c, r"\r\n|\r|\n", "<br/>")
+
+
+def single_line(c: Column) -> Column:
+    return F.translate(c, "\r\n", "  ")
 
 
 def csv_lines(edges: DataFrame) -> DataFrame:
@@ -130,10 +136,12 @@ def to_html(s: Snapshot) -> str:
     return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{esc(s.title)}</title></head><body><h1>{esc(s.title)}</h1><ul>{summary}</ul><ul>{nodes}</ul><table><tr><th>source</th><th>target</th><th>count</th><th>external</th><th>kinds</th></tr>{rows}</table>{sources}</body></html>"
 
 
-def metrics_html(measured: DataFrame, title: str = "Metrics", css: str = "") -> str:
-    """(name, value) rows in the order of their names."""
+def metrics_html(measured: DataFrame, title: str = "Metrics", css: str = "", stamp: int | None = None) -> str:
+    """(name, value) rows in the order of their names; ``stamp``, in seconds since 1970, is shown as UTC."""
+    styles = re.sub("(?i)</(?=style)", r"<\\/", css)
+    at = "" if stamp is None else f"<p>{measured.sparkSession.range(1).select(utc_stamp(F.lit(stamp))).first()[0]}</p>"
     rows = "".join(f"<tr><td>{html.escape(r['name'])}</td><td>{html.escape(str(r['value']))}</td></tr>" for r in measured.orderBy("name").collect())
-    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title><style>{css.replace('</style', '')}</style></head><body><h1>{html.escape(title)}</h1><table>{rows}</table></body></html>"
+    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title><style>{styles}</style></head><body><h1>{html.escape(title)}</h1>{at}<table>{rows}</table></body></html>"
 
 
 RENDERERS = {"csv": to_csv, "json": to_json, "dot": to_dot, "mermaid": to_mermaid, "d2": to_d2, "html": to_html}
@@ -145,9 +153,11 @@ def render(s: Snapshot, kind: str) -> str:
     return RENDERERS[kind](s)
 
 
-def export(text: str, path: str) -> None:
+def export(text: str, path: str, suffix: str = "") -> None:
+    """Writes a document; ``suffix`` is appended to a path that does not end in it."""
     if not path.strip():
         raise UserError("an export needs a path")
+    path += "" if path.lower().endswith(suffix) else suffix
     try:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(text, encoding="utf-8")

@@ -7,6 +7,10 @@ file binds stands for what it names, modules are found by their longest known pr
 other first segments among the manifest's dependencies that the file may use.  A reference
 with several candidates is ambiguous and draws no edge.  This is a scan, not a
 compiler's parser: nested block comments, ``#[path]`` and macro bodies are not followed.
+
+A comment ``// edgeloom: ignore`` (the word is an argument) after a declaration, or alone
+on the line before it, drops that declaration's references; paths behind ``ignore`` limit
+it to these and to what lies below them.
 """
 
 from __future__ import annotations
@@ -34,6 +38,13 @@ _USE = r"(?:^|[\s;{}])((?:pub(?:\([^)]*\))?\s+)?)use\s+([^;]+);"
 _EXTERN = r"extern\s+crate\s+(\w+)"
 _PATH = r"(?<![\w:])((?:\w+::)+\w+)(?![\w:!])"
 _MACRO = r"(?<![\w:])((?:\w+::)+\w+)!"
+#: The word that opens an ignore directive.
+MARKER = "edgeloom"
+#: Directives are written as these before comments are blanked: alone on a line, after code, and their end.
+_ALONE, _AFTER, _END = "\u0001", "\u0002", "\u0003"
+_NO_DECLARATION = r"(?:(?!\b(?:use|mod|extern)\b)[^\n\u0002])*"
+_DECLARATION = rf"((?:\bpub(?:\([^)]*\))?\s+)?)\b(use\s[^;\u0001\u0002]+|mod\s+\w+\s*|extern\s+crate\s+\w[^;\u0001\u0002]*);"
+_DIRECTED = rf"(?:(\u0001[^\u0003]*\u0003)[ \t]*\n{_NO_DECLARATION}?)?{_DECLARATION}(?:{_NO_DECLARATION}(\u0002[^\u0003]*\u0003))?"
 
 
 @dataclass(frozen=True)
@@ -107,7 +118,7 @@ def _leaves(path: Column) -> Column:
     return F.filter(F.split(F.aggregate(braces, path, open_one), ","), lambda p: p != "")
 
 
-def _one_line(use: str) -> Column:
+def _one_line(use: str | Column) -> Column:
     """A use tree without blanks; ``as`` becomes ``=``."""
     return F.regexp_replace(F.regexp_replace(use, r"\s+as\s+", "="), r"\s+", "")
 
@@ -122,8 +133,43 @@ def bindings(files: DataFrame) -> DataFrame:
     return out.filter("name <> '' and name <> '_' and name <> bound").distinct()
 
 
-def references(files: DataFrame) -> DataFrame:
-    """(source, module, path, kind): every reference as it is written, made absolute to ``crate``."""
+def ignored(files: DataFrame, marker: str = MARKER) -> DataFrame:
+    """(source, path, kind, n): references of declarations that a directive covers, and in how many places.
+
+    A directive after code belongs to the nearest declaration before it on its line, one
+    alone on a line to the first declaration of the next.
+    """
+    word = rf"//[ \t]*{_literal(marker)}:[ \t]*ignore((?:[ \t\r][^\n]*)?)$"
+    code = F.regexp_replace("content", rf"(?m)^([ \t]*+){word}", f"$1{_ALONE}$2{_END}")
+    code = F.regexp_replace(code, rf"(?m)^([ \t]*+(?=\S)(?:(?!//)[^\n])+){word}", f"$1{_AFTER}$2{_END}")
+    base = files.filter(F.col("content").contains(marker)).join(modules(files), "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace(code, _BLANKED, " ").alias("code"))
+    part = lambda k, name: F.regexp_extract_all("code", F.lit(_DIRECTED), F.lit(k)).alias(name)
+    found = base.select("source", "module", F.explode(F.arrays_zip(part(1, "a"), part(2, "v"), part(3, "d"), part(4, "b"))).alias("e")).select("source", "module", "e.*").filter("a <> '' or b <> ''")
+    scopes = lambda c: F.when(F.col(c) != "", F.filter(F.split(F.translate(c, _ALONE + _AFTER + _END, ""), r"[\s,]+"), lambda x: x != ""))
+    word_of = F.regexp_extract("d", r"^(use|mod|extern)", 1)
+    named = F.regexp_extract("d", r"^(?:mod|extern\s+crate)\s+(\w+)", 1)
+    path = F.when(word_of == "mod", F.array(F.concat(F.lit("self::"), named))).when(word_of == "extern", F.array(named)).otherwise(_leaves(_one_line(F.regexp_replace("d", r"^use\s+", ""))))
+    kind = F.when(word_of == "mod", F.lit("mod")).when(word_of == "extern", F.lit("extern_crate")).when(F.col("v") != "", F.lit("pub_use")).otherwise(F.lit("use"))
+    out = found.select("source", "module", kind.alias("kind"), scopes("a").alias("a"), scopes("b").alias("b"), F.explode(path).alias("path")).withColumn("path", _plain("path"))
+    said = _bare(F.when(F.col("kind") == "mod", _absolute(F.col("path"), F.col("module"))).otherwise(F.col("path")))
+    covers = lambda c: F.coalesce((F.size(c) == 0) | F.exists(c, lambda s: (said == _bare(s)) | said.startswith(F.concat(_bare(s), F.lit("::")))), F.lit(False))
+    return out.filter(covers(F.col("a")) | covers(F.col("b"))).groupBy("source", "path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bare(path: Column) -> Column:
+    return F.regexp_replace(path, "^(?:::)?(?:(?:crate|self|super)::)*", "")
+
+
+def _plain(path: str) -> Column:
+    """A leaf without its new name, and without a final ``*`` or ``self``."""
+    return F.regexp_replace(F.regexp_replace(path, r"=\w+$", ""), r"::(\*|self)$", "")
+
+
+def references(files: DataFrame, marker: str = MARKER) -> DataFrame:
+    """(source, module, path, kind): every reference as it is written, made absolute to ``crate``.
+
+    A reference goes if directives cover all the places that make it.
+    """
     base = files.join(modules(files), "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
     every = lambda pattern, group=1: F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(group)))
     mods = base.select("source", "module", every(_MOD).alias("name")).select("source", "module", F.concat(F.lit("self::"), "name").alias("path"), F.lit("mod").alias("kind"))
@@ -133,8 +179,10 @@ def references(files: DataFrame) -> DataFrame:
     rest = base.withColumn("code", F.regexp_replace("code", r"(?<![\w])use\s+[^;]+;", ";"))
     paths = rest.select("source", "module", every(_PATH).alias("path"), F.lit("path_reference").alias("kind"))
     macros = rest.select("source", "module", every(_MACRO).alias("path"), F.lit("macro_reference").alias("kind"))
-    out = mods.unionByName(uses).unionByName(extern).unionByName(paths).unionByName(macros)
-    return out.withColumn("path", F.regexp_replace("path", r"=\w+$", "")).withColumn("path", F.regexp_replace("path", r"::(\*|self)$", "")).withColumn("absolute", _absolute(F.col("path"), F.col("module"))).distinct()
+    out = mods.unionByName(uses).unionByName(extern).unionByName(paths).unionByName(macros).withColumn("path", _plain("path"))
+    out = out.groupBy("source", "module", "path", "kind").agg(F.count(F.lit(1)).alias("places"))
+    kept = out.join(ignored(files, marker), ["source", "path", "kind"], "left").filter("n is null or n < places")
+    return kept.select("source", "module", "path", "kind", _absolute(F.col("path"), F.col("module")).alias("absolute"))
 
 
 def _absolute(path: Column, module: Column) -> Column:
@@ -176,9 +224,9 @@ def _crate(project: Project) -> Column:
     return out
 
 
-def extract_graph(spark: SparkSession, path: str, include_dev: bool = False) -> tuple[DataFrame, DataFrame]:
+def extract_graph(spark: SparkSession, path: str, include_dev: bool = False, marker: str = MARKER) -> tuple[DataFrame, DataFrame]:
     """(graph, references without a target) of the project at ``path``."""
     project = locate(path)
     files = source_files(spark, project.root, include_dev)
-    found = resolve(references(files), files, project)
+    found = resolve(references(files, marker), files, project)
     return E.graph(found, files.select("identifier")), found.filter("target is null and kind <> 'mod'").select("source", "path", "kind", "outcome")
