@@ -16,6 +16,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of the batches that Python workers get, where the session sets no number: a worker holds
+#: a batch and its result, and the default of 10,000 documents is tens of MB of each.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: ASCII white space, as the contracts of the operators state it.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,11 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per Spark context.
+    """Send this package's code to the executors, once per Spark context, and make Python's batches small.
 
     The archive lies in the shared folder, like all intermediates; the folder's owner
     clears it when no job runs."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING, "0") == "0":  # not set in this session
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     if getattr(context, "_edgeloom_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
