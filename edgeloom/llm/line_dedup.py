@@ -18,9 +18,10 @@ verdict, keys that hold at least 1/4096 of all lines (hence at most 4096 keys)
 are broadcast while all others are joined by a shuffle.
 
 Defined cases: null or empty text is one empty line; a null ``doc_id`` is never
-a line's last holder and its document keeps all its lines; repeated rows are
-documents of their own, and all rows with the largest ``doc_id`` keep the line (rows
-of one ``doc_id`` are in one batch); an empty table gives an empty table; further
+a line's last holder and its document keeps all its lines; rows that share a
+``doc_id`` are one document when holders are counted, whether their texts are equal or
+not, each row loses its own lines, and all rows with the largest ``doc_id`` keep the line
+(rows of one ``doc_id`` are in one batch); an empty table gives an empty table; further
 columns are left alone.
 """
 
@@ -110,13 +111,18 @@ class LineRuns:
             lines = lines.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
         return lines
 
-    def add(self, lines: DataFrame) -> None:
+    def add(self, lines: DataFrame, shared_ids: DataFrame | None = None) -> None:
         """Add a batch of keyed lines as a run, then compact full levels.
 
         A key that a run holds already keeps the ``last_doc`` it has there: the anti-join
         is a left join that marks what is held, so that the counts of held keys are kept too.
+        ``shared_ids`` (doc_id) lists ids of several rows; those rows count as one document.
         """
-        rows = lines.filter("first").select("h1", "h2", F.lit(1).cast("bigint").alias("n_docs"), F.col("doc_id").alias("last_doc"))
+        first = lines.filter("first").select("doc_id", "h1", "h2")
+        if shared_ids is not None:
+            again = first.join(shared_ids, "doc_id", "left_semi").distinct()
+            first = first.join(shared_ids, "doc_id", "left_anti").unionByName(again)
+        rows = first.select("h1", "h2", F.lit(1).cast("bigint").alias("n_docs"), F.col("doc_id").alias("last_doc"))
         batch = _merge(rows)
         for i, name in enumerate(self.names()):
             batch = batch.join(self.spark.table(name).select("h1", "h2", F.lit(True).alias(f"held{i}")), ["h1", "h2"], "left")
@@ -181,9 +187,11 @@ def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = MIN_KEY_CHAR
     batch = sum((F.when(F.col("doc_id") < b, 1).otherwise(0) for b in bounds or []), F.lit(0))
     lines = stored(keyed_lines(docs, min_chars).withColumn("batch", batch), "lines", "batch")
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared_ids = cut(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    shared_ids = None if shared_ids.isEmpty() else shared_ids
     for b in range(batches):
-        runs.add(lines.filter(F.col("batch") == b))
-    drops = repeated_lines(lines, runs, min_documents).groupBy("doc_id", "body").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+        runs.add(lines.filter(F.col("batch") == b), shared_ids)
+    drops = repeated_lines(lines, runs, min_documents).groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("pos")).alias("pos"))
     kept_columns = [c for c in docs.columns if c not in {"kept_lines", "n_dropped"}]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("row"))  # so no name can clash
     drops = drops.withColumnsRenamed({"doc_id": "of_doc", "body": "of_body"})

@@ -631,7 +631,7 @@ def test_odd_ends_of_lines_and_repeated_ids(spark):
     rows = [(1, f"{line} \u2028"), (2, f"{line} \u2028"), (3, f"{line}  \u2028"), (4, f"{line} \u2028\nown"), (5, line), (6, line), (6, f"{line}\nmore"), (6, None)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=2).toPandas()
     kept = sorted((int(r.doc_id), "\n".join(r.kept_lines)) for r in got.itertuples())
-    assert kept == sorted([(1, ""), (2, ""), (3, f"{line}  \u2028"), (4, f"{line} \u2028\nown"), (5, ""), (6, line), (6, f"{line}\nmore"), (6, "")])
+    assert kept == sorted([(1, ""), (2, ""), (3, f"{line}  \u2028"), (4, f"{line} \u2028\nown"), (5, line), (6, line), (6, f"{line}\nmore"), (6, "")])  # two documents hold the bare line
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
@@ -654,6 +654,19 @@ def test_line_dedup_equals_brute_force(docs, texts, nothing, spark):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_of_identical_rows_and_shared_ids(spark):
+    long = "This very line stands in many documents of the corpus."
+    rows = [(1, f"{long}\nx"), (1, f"{long}\nx"), (2, f"{long}\n{long}"), (3, f"y\n{long}"), (3, f"y\n{long}")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted((r.doc_id, r.n_dropped, "|".join(r.kept_lines)) for r in got.itertuples()) == [(1, 1, "x"), (1, 1, "x"), (2, 2, ""), (3, 0, f"y|{long}"), (3, 0, f"y|{long}")]
+    two = [(5, f"a\n{long}"), (5, f"b\n{long}"), (6, long)]  # two documents only, one of them in two rows
+    got = line_dedup.dedup_lines(spark.createDataFrame(two, "doc_id long, text string")).toPandas()
+    assert list(got.n_dropped) == [0, 0, 0]
+    three = [*two, (7, long), (7, f"c\n{long}")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(three, "doc_id long, text string")).toPandas()
+    assert sorted(zip(got.doc_id, got.n_dropped)) == [(5, 1), (5, 1), (6, 1), (7, 0), (7, 0)]
+
+
 def test_runs_are_levelled_and_anti_join_what_they_hold(spark):
     runs = line_dedup.LineRuns(spark, 2, fanout=2)
     frame = lambda ids: line_dedup.keyed_lines(spark.createDataFrame([(i, f"a line that is long enough, number {i % 7}") for i in ids], "doc_id long, text string"))

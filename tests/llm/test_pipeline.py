@@ -50,3 +50,16 @@ def test_privacy_and_packing(steps):
     same = [i for i, t in steps[3].text.items() if not re.search(r"[\d@]|token", t)]
     assert all(steps[4].text[i] == steps[3].text[i] for i in same)
     assert set(steps[5].index) == set(steps[4].index)
+
+
+def test_identical_rows_and_an_empty_table(spark, tmp_path):
+    """Rows that share id and text pass all stages; of an empty table nothing comes out."""
+    line = "This very line stands in many documents of the corpus."
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, f"{line}\n{words} one"), (1, f"{line}\n{words} one"), (2, f"{line}\n{words[::-1]} two"), (3, f"{line}\nthree lines of it are here"), (None, "no id but words")]
+    made = [(i, t, "en", None, None) for i, t in rows]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").toPandas()
+    assert set(got.doc_id.dropna()) == {1, 2, 3}
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
