@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, secret_scan, sharding, surrogates, vector_dedup
+    from edgeloom.llm import collocations, language_id, line_dedup, packing, parity_join, pieces, quality_rules, resampling, secret_scan, sharding, substring_dedup, surrogates, vector_dedup
 
     return {
         "op1_extendible_sharding": sharding.op1_extendible_sharding,
@@ -24,12 +24,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_dedup": vector_dedup.op8_vector_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can state; the others are tested against brute force."""
-    from edgeloom.llm import line_dedup, parity_join, quality_rules, sharding, vector_dedup
+    from edgeloom.llm import collocations, line_dedup, parity_join, quality_rules, sharding, substring_dedup, vector_dedup
 
     return {
         "op1_extendible_sharding": sharding.OP1_SQL,
@@ -37,4 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_vector_dedup": vector_dedup.OP8_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
+        "op12_substring_dedup": substring_dedup.OP12_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
