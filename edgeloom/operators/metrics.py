@@ -190,16 +190,18 @@ def associate_impls(impls: DataFrame, types: DataFrame) -> DataFrame:
     ``impls``: impl_id, name, file; ``types``: type (its name), file.
     """
     simple = lambda c: F.element_at(F.split(c, "::"), -1)
-    left = impls.select("impl_id", F.col("name"), F.col("file"), simple("name").alias("s"))
-    right = types.select("type", F.col("file").alias("type_file"), simple("type").alias("s"))
-    hits = left.join(right, "s")
-    exact, local = F.col("type") == F.col("name"), F.col("type_file") == F.col("file")
-    ref = F.struct("type", "type_file")
-    pick = hits.groupBy("impl_id").agg(
-        F.count_if(exact).alias("ne"), F.min(F.when(exact, ref)).alias("e"), F.count_if(local).alias("nl"), F.min(F.when(local, ref)).alias("l"), F.count(F.lit(1)).alias("na"), F.min(ref).alias("a")
-    )
-    best = F.when(F.col("ne") == 1, F.col("e")).when(F.col("nl") == 1, F.col("l")).when(F.col("na") == 1, F.col("a"))
-    return pick.withColumn("best", best).filter("best is not null").select("impl_id", F.col("best.type").alias("type"), F.col("best.type_file").alias("type_file"))
+    known = types.select(F.struct("type", F.col("file").alias("type_file")).alias("hit"), F.col("type").alias("name"), simple("type").alias("s"), "file")
+
+    def alone(order: str, *keys: str) -> DataFrame:
+        """Types that have these keys to themselves."""
+        only = known.groupBy(*keys).agg(F.min("hit").alias(order), F.count(F.lit(1)).alias("n"))
+        return only.filter("n = 1").drop("n")
+
+    out = impls.select("impl_id", "name", "file", simple("name").alias("s"))
+    for order, keys in {"first": ["name"], "second": ["s", "file"], "third": ["s"]}.items():
+        out = out.join(alone(order, *keys), keys, "left")  # at most one row of each key: no impl meets several types
+    best = out.select("impl_id", F.coalesce("first", "second", "third").alias("best")).filter("best is not null")
+    return best.select("impl_id", "best.type", "best.type_file")
 
 
 def retain_types(types: DataFrame, keep: Column, files: DataFrame | None = None) -> DataFrame:
@@ -215,8 +217,9 @@ def retain_types(types: DataFrame, keep: Column, files: DataFrame | None = None)
 def retain_impls(impls: DataFrame, kept_types: DataFrame) -> DataFrame:
     """The impls (name, file, ..) for which their file keeps a type with the same last segment, as any of the same name has."""
     last = lambda c: F.element_at(F.split(c, "::"), -1)
-    kept = kept_types.select("file", last("type").alias("__last")).distinct()
-    return impls.withColumn("__last", last("name")).join(kept, ["file", "__last"], "left_semi").drop("__last")
+    kept = kept_types.select(F.col("file").alias("of_file"), last("type").alias("of_name")).distinct()
+    rows = impls.select(F.struct("*").alias("impl"))  # so no column can clash
+    return rows.join(kept, (F.col("impl.file") == F.col("of_file")) & (last("impl.name") == F.col("of_name")), "left_semi").select("impl.*")
 
 
 def components_with_type(infos: DataFrame, types: DataFrame, keep: Column) -> DataFrame:

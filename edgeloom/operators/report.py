@@ -12,6 +12,7 @@ from edgeloom.functions.patterns import Filter
 from edgeloom.operators import traversal
 from edgeloom.plans import edges as E
 from edgeloom.plans.collapse import Collapse
+from edgeloom.plans.lineage import cut
 
 
 @dataclass
@@ -62,7 +63,8 @@ def numbered(labels: DataFrame) -> DataFrame:
 
     Ranges are sorted in parallel; only their sizes are summed over all.
     """
-    parts = labels.repartitionByRange("label").sortWithinPartitions("label").select("label", F.spark_partition_id().alias("p"))
+    # cut, so that both uses below see the ranges of one evaluation
+    parts = cut(labels.repartitionByRange("label").sortWithinPartitions("label").select("label", F.spark_partition_id().alias("p")))
     own = F.row_number().over(Window.partitionBy("p").orderBy("label"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = parts.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", before.alias("before"))

@@ -82,6 +82,14 @@ def flow_edges(t: Tables) -> DataFrame:
     return E.merge_edges(n.select("source", "target", F.lit(False).alias("external"), kind.alias("kind")))
 
 
+def part_edges(t: Tables) -> DataFrame:
+    """(source, target): parts that follow each other in an order, where the first was bought in large quantity; grows with the orders."""
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_quantity").alias("q"), after.alias("b")).filter("q >= 48 and b is not null")
+    part = lambda c: F.concat(F.lit("part_"), F.col(c).cast("string"))
+    return pairs.select(part("a").alias("source"), part("b").alias("target")).distinct()
+
+
 def doc_files(t: Tables) -> DataFrame:
     """(path, name, extension, directory, content, non_blank_line_count)."""
     path = F.concat("lang", F.lit("/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))

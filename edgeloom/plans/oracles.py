@@ -53,6 +53,10 @@ FLOW = """nexts AS (
 ), edges AS (
   SELECT source, target, CASE WHEN source = target THEN [] WHEN count(*) % 2 = 0 THEN [0] ELSE [3] END AS kinds
   FROM nexts WHERE target IS NOT NULL GROUP BY 1, 2)"""
+PARTS = """follows AS (
+  SELECT l_partkey AS a, l_quantity AS q, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem
+), edges AS (
+  SELECT DISTINCT 'part_' || a AS source, 'part_' || b AS target FROM follows WHERE q >= 48 AND b IS NOT NULL)"""
 DOCS = r"""files AS (
   SELECT lang || '/' || source || '/doc_' || doc_id || '.md' AS path, coalesce(text, '') AS content FROM documents)"""
 LINKS = """links AS (

@@ -273,6 +273,36 @@ def _(t):
     return cycles.strong_components(A.flow_edges(t))
 
 
+@query("g04_growing", f"WITH RECURSIVE {O.PARTS}, n AS (SELECT source AS label FROM edges UNION SELECT target FROM edges), r(a, b) AS (SELECT label, label FROM n UNION SELECT r.a, e.target FROM r JOIN edges e ON e.source = r.b) SELECT x.a AS label, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1")
+def _(t):
+    return cycles.strong_components(A.part_edges(t))
+
+
+@query("g02_growing", f"WITH RECURSIVE {O.PARTS}, seeds AS (SELECT DISTINCT 'part_' || p_partkey AS label FROM part JOIN edges ON source = 'part_' || p_partkey WHERE p_brand = 'Brand#11'), r(label) AS (SELECT label FROM seeds UNION SELECT e.target FROM r JOIN edges e ON e.source = r.label) SELECT label FROM r")
+def _(t):
+    edges = A.part_edges(t)
+    brand = t.part.filter("p_brand = 'Brand#11'").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("label"))
+    return traversal.reachable_from(edges, brand.join(edges.select(F.col("source").alias("label")), "label", "left_semi"))
+
+
+@query("w01_growing", f"WITH {O.PARTS}, n AS (SELECT source AS label FROM edges UNION SELECT target FROM edges) SELECT 'n' || (row_number() OVER (ORDER BY label) - 1) AS id, label FROM n")
+def _(t):
+    edges = A.part_edges(t)
+    return report.numbered(edges.select(F.col("source").alias("label")).union(edges.select("target")).distinct())
+
+
+_FLOW_LABELS = "l AS (SELECT substr(source, 1, 1) AS sl, substr(target, 1, 1) AS tl, source, target FROM edges), e AS (SELECT DISTINCT sl AS source, tl AS target FROM l WHERE sl <> tl)"
+
+
+@query("a03_cycle_evidence", f"WITH RECURSIVE {O.FLOW}, {_FLOW_LABELS}, {_CYCLES}, steps AS (SELECT array_to_string(path, ' > ') AS cycle, (i - 1)::BIGINT AS position, path[i] AS sl, path[i % len(path) + 1] AS tl FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM cyc)) SELECT cycle, position, row_number() OVER (PARTITION BY cycle, position ORDER BY source, target)::BIGINT AS rank, source, target FROM steps JOIN l USING (sl, tl)")
+def _(t):
+    letter = lambda c: F.substring(c, 1, 1)
+    seen = E.labelled(A.flow_edges(t), letter("source"), letter("target"))
+    found = cycles.elementary_cycles(seen.select(F.col("source_label").alias("source"), F.col("target_label").alias("target")))
+    out = cycles.cycle_evidence(found, seen)
+    return out.select(F.array_join("cycle", " > ").alias("cycle"), F.col("position").cast("bigint").alias("position"), F.col("rank").cast("bigint").alias("rank"), "source", "target")
+
+
 @query("g05_cycles", f"WITH RECURSIVE {O.FLOW}, e AS (SELECT source, target FROM edges WHERE source <> target), {_CYCLES} SELECT array_to_string(path, ' > ') AS cycle FROM cyc")
 def _(t):
     return cycles.elementary_cycles(A.flow_edges(t)).select(F.array_join("cycle", " > ").alias("cycle"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from edgeloom.errors import TechnicalError, UserError
 from edgeloom.functions.identifiers import utc_stamp
 from edgeloom.operators.report import Snapshot
+from edgeloom.plans.lineage import cut
 from edgeloom.plans.edges import kind_names
 
 
@@ -147,10 +148,23 @@ def metrics_html(measured: DataFrame, title: str = "Metrics", css: str = "", sta
 RENDERERS = {"csv": to_csv, "json": to_json, "dot": to_dot, "mermaid": to_mermaid, "d2": to_d2, "html": to_html}
 
 
+#: Nodes and edges of a drawn report, at most: it is one string on the driver.
+MAX_DRAWN = 200_000
+
+
+def settled(s: Snapshot) -> Snapshot:
+    """The snapshot computed once, however often a format reads it; one too large to draw is refused."""
+    out = Snapshot(cut(s.nodes), cut(s.edges), cut(s.summary), s.title)
+    n = out.nodes.count() + out.edges.count()
+    if n > MAX_DRAWN:
+        raise UserError(f"{n} nodes and edges are too many for one document: collapse or select, or write the lines of csv_lines and its kin as a table")
+    return out
+
+
 def render(s: Snapshot, kind: str) -> str:
     if kind not in RENDERERS:
         raise UserError(f"unknown report format {kind!r}")
-    return RENDERERS[kind](s)
+    return RENDERERS[kind](settled(s))
 
 
 def export(text: str, path: str, suffix: str = "") -> None:

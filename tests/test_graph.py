@@ -1,6 +1,7 @@
 import csv
 import io
 import itertools
+import random
 import json
 
 import pytest
@@ -215,10 +216,72 @@ def test_cycles_are_bounded_and_kinds_excluded(spark):
     rows = [(str(a), str(b), False, "use") for a in range(5) for b in range(5) if a != b]
     g = E.merge_edges(refs(spark, [*rows, ("x", "x", False, "use")]))
     with pytest.raises(TechnicalError):
-        cycles.elementary_cycles(g, max_paths=5)
+        cycles.elementary_cycles(g, max_cycles=83)
+    assert cycles.elementary_cycles(g, max_cycles=84).count() == cycles.elementary_cycles(g).count() == 84
     assert rules.no_cycles(g, [], ("use",)).count() == 0
 
 
+def links_of(spark, pairs):
+    return E.merge_edges(refs(spark, [(str(a), str(b), False, "use") for a, b in pairs]))
+
+
+def brute_components(pairs):
+    nodes = {x for p in pairs for x in p}
+    after = {n: {b for a, b in pairs if a == n} for n in nodes}
+
+    def reach(n):
+        seen, todo = {n}, [n]
+        while todo:
+            new = after[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    to = {n: reach(n) for n in nodes}
+    return {str(n): min(str(m) for m in to[n] if n in to[m]) for n in nodes}
+
+
+@pytest.mark.parametrize("in_one_task", [3, 100_000])
+def test_strong_components_in_tasks_and_by_pivots(spark, in_one_task):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(16), rng.randrange(16)) for _ in range(24)] + [(100 + i, 101 + i) for i in range(7)] + [(200, 201), (201, 202), (202, 200), (202, 203), (7, 7), (300, 300)]
+    got = {r.label: r.component for r in cycles.strong_components(links_of(spark, pairs), in_one_task).collect()}
+    assert got == brute_components(pairs)
+
+
+def test_a_long_chain_and_a_long_ring(spark):
+    chain = [(i, i + 1) for i in range(1000)]
+    alone = cycles.strong_components(links_of(spark, chain))
+    assert alone.filter("label = component").count() == 1001
+    ring = cycles.strong_components(links_of(spark, [*chain, (1000, 0), (5000, 0)]))
+    assert {r.component: r["count"] for r in ring.groupBy("component").count().collect()} == {"0": 1001, "5000": 1}
+    assert cycles.strong_components(links_of(spark, chain).limit(0)).count() == 0
+
+
+def test_parts_that_lead_nowhere_add_no_paths(spark):
+    """A dense acyclic graph behind and before a cycle has millions of paths, of which none closes."""
+    tail = [(f"y{i:02d}", f"y{j:02d}") for i in range(24) for j in range(i + 1, 24)]
+    head = [(f"a{i:02d}", f"a{j:02d}") for i in range(24) for j in range(i + 1, 24)]
+    ring = [("m", "n"), ("n", "o"), ("o", "m"), ("o", "y00"), ("a23", "m")]
+    assert [r.cycle for r in cycles.elementary_cycles(links_of(spark, tail + head + ring)).collect()] == [["m", "n", "o"]]
+    inside = [("x", "y00"), ("y23", "w"), ("w", "x"), ("y01", "z"), ("z", "zz")]  # inside a component, but not back to a larger start
+    thin = [(a, b) for a, b in tail if int(b[1:]) == int(a[1:]) + 1]
+    got = {tuple(r.cycle) for r in cycles.elementary_cycles(links_of(spark, thin + inside)).collect()}
+    assert got == {("w", "x", *(f"y{i:02d}" for i in range(24)))}
+
+
+def test_evidence_of_cycles_is_ordered_and_distinct(spark):
+    rows = [("a/1", "b/1", False, "use"), ("a/2", "b/1", False, "mod"), ("a/1", "b/2", False, "use"), ("b/1", "a/1", False, "use"), ("b/3", "c/1", False, "use")]
+    edges = E.merge_edges(refs(spark, rows))
+    folder = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
+    seen = E.labelled(edges, folder("source"), folder("target"))
+    loops = cycles.elementary_cycles(seen.select(F.col("source_label").alias("source"), F.col("target_label").alias("target")))
+    got = cycles.cycle_evidence(loops, seen.unionByName(seen)).orderBy("position", "rank").collect()
+    assert [(r.cycle, r.position, r["rank"], r.source, r.target) for r in got] == [
+        (["a", "b"], 0, 1, "a/1", "b/1"), (["a", "b"], 0, 2, "a/1", "b/2"), (["a", "b"], 0, 3, "a/2", "b/1"), (["a", "b"], 1, 1, "b/1", "a/1"),
+    ]
+
+
 def test_components_and_walks(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (8, 7), (1, 1), (2, 10), (10, 11), (11, 2)], "a int, b int")
     assert {r.node: r.component for r in components(links).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7, 2: 2, 10: 2, 11: 2}
@@ -249,6 +312,12 @@ def test_renderers(spark):
     assert "n1 -->|3| n0" in mermaid and "n0 -.-> n2" in mermaid and "n0 --> n1" in mermaid and 'n0["&lt;tea &amp; milk&gt;"]' in mermaid
     page = render.to_html(shot)
     assert "Menu &lt;&amp; more&gt;" in page and "<tea" not in page and "<script" not in page
+    again = render.render(shot, "html")
+    assert again == page
+    render.MAX_DRAWN, most = 5, render.MAX_DRAWN
+    with pytest.raises(UserError):
+        render.render(shot, "csv")
+    render.MAX_DRAWN = most
     empty = spark.createDataFrame([], "source_label string, target_label string")
     assert render.to_plantuml(empty) == "@startuml\n@enduml\n"
     with pytest.raises(UserError):

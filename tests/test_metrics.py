@@ -85,3 +85,13 @@ def test_thresholds(spark):
             M.threshold_violations(df, "above", bad_value)
     with pytest.raises(UserError):
         M.custom_metric(df, " ", "d", F.lit(1))
+
+
+def test_many_impls_of_one_simple_name_meet_one_type_at_most(spark):
+    impls = spark.range(10_000).selectExpr("id as impl_id", "concat('m', id % 100, '::Error') as name", "concat('f', id % 10) as file")
+    types = spark.range(1_000).selectExpr("concat('t', id, '::Error') as type", "concat('f', id % 20) as file")
+    own = spark.createDataFrame([("m7::Error", "elsewhere"), ("m8::Error", "a"), ("m8::Error", "b"), ("x::Other", "f3")], "type string, file string")
+    more = spark.createDataFrame([(-1, "y::Other", "f3"), (-2, "z::Other", "f4"), (-3, "None", "f4"), (-4, None, None)], "impl_id long, name string, file string")
+    got = M.associate_impls(impls.unionByName(more), types.unionByName(own)).toPandas()
+    assert set(got[got.type == "m7::Error"].impl_id) == set(range(7, 10_000, 100)) and len(got) == 102
+    assert set(got[got.impl_id < 0].impl_id) == {-1, -2} and set(got[got.impl_id < 0].type) == {"x::Other"}
