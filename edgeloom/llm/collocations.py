@@ -5,6 +5,10 @@
    the longest phrase), and runs of rows whose longest common prefix has at least n words
    are the n-grams of the shard with their counts.  A suffix ends with its piece.  Shards
    hand on one row for each n-gram; these are merged by key, each shard having summed its own.
+   Words and pairs come first.  A second pass hands on longer phrases, but none with a pair
+   below the least count, as it can't reach that count itself: the pairs that do are
+   a bitmap of ``PAIR_BITS`` bits by hash, whatever the corpus (where two pairs share
+   a bit a phrase is merely counted in vain).
    A shard begins with the last words of the one before it, as context only, so neither
    a long text nor a piece without an end needs a shard of its own.
 2. *Scores.*  Candidates look up the counts of the two parts of each cut by joins on the
@@ -20,6 +24,7 @@ count each time; a table without a word gives no row; further columns are not re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,8 @@ from edgeloom.llm.runtime import ship, stored, table
 UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 #: Words of a shard; a task holds one shard at a time, at some 100 bytes a word.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
+PAIR_BITS = 1 << 26
 SALTS = 64
 #: Rows of a batch that a shard hands on.
 ROWS = 50_000
@@ -79,11 +85,25 @@ def common_prefixes(words: np.ndarray, left: np.ndarray, order: np.ndarray, dept
     return lcp
 
 
+def pair_bits(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bit of each pair of words, all given by their CRC-32."""
+    with np.errstate(over="ignore"):
+        h = (lang.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + first) * np.uint64(0xC2B2AE3D27D4EB4F) + second
+        return (shingles.mix(h) % np.uint64(PAIR_BITS)).astype(np.int64)
+
+
+def _sums(words: pa.Array) -> np.ndarray:
+    return np.array([crc32(w) for w in words.cast(pa.large_binary()).to_pylist()], np.uint64)
+
+
 class Shard:
-    """Words of consecutive texts: their bytes, pieces and languages."""
+    """Words of consecutive texts: their bytes, pieces and languages.
 
-    def __init__(self, max_words: int) -> None:
-        self.max_words = max_words
+    It counts phrases of ``sizes`` words; with ``pairs`` (64 bits of a bitmap each) only those whose pairs are in it.
+    """
+
+    def __init__(self, sizes: range, pairs: np.ndarray | None = None) -> None:
+        self.sizes, self.max_words, self.pairs = sizes, sizes[-1], pairs
         self.bytes, self.lengths, self.pieces, self.langs = [], [], [], []
         self.names: dict[str, int] = {}
         self.size = self.context = self.n_pieces = 0
@@ -127,11 +147,19 @@ class Shard:
         order = suffix_order(ids, left, self.max_words)
         lcp = common_prefixes(ids, left, order, self.max_words)
         names = pa.array(self.names, pa.string())
-        total = np.bincount(langs[self.context :], minlength=len(names))
-        yield _rows(names, 0, pa.array([""] * len(names), pa.string()), total)
-        for n in range(1, self.max_words + 1):
+        if 1 in self.sizes:
+            total = np.bincount(langs[self.context :], minlength=len(names))
+            yield _rows(names, 0, pa.array([""] * len(names), pa.string()), total)
+        often = np.ones(len(ids), bool)
+        if self.pairs is not None:
+            sums = _sums(encoded.dictionary)[encoded.indices.to_numpy()]
+            bit = pair_bits(_sums(names)[langs[:-1]], sums[:-1], sums[1:])
+            often[:-1] = (self.pairs[bit >> 6] >> (bit & 63)) & 1
+        for n in self.sizes:
             starts = np.flatnonzero(lcp < n)
             counted = (left[order] >= n) & (order + n > self.context)
+            for k in range(n - 1):
+                counted &= often[np.minimum(order + k, len(ids) - 1)]
             count = np.add.reduceat(counted.astype(np.int64), starts)
             held = np.flatnonzero(count)
             for at in range(0, len(held), ROWS):
@@ -159,8 +187,7 @@ def _rows(lang: pa.Array, size: int, phrase: pa.Array, n: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(n), size, np.int32)), phrase, pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "n"])
 
 
-def shard_counts(batches: Iterator[pa.RecordBatch], max_words: int, shard_words: int) -> Iterator[pa.RecordBatch]:
-    shard = Shard(max_words)
+def shard_counts(batches: Iterator[pa.RecordBatch], shard: Shard, shard_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for at, data, offsets in shingles.text_slices(batch.column("text").cast(pa.large_binary())):
@@ -173,12 +200,42 @@ def shard_counts(batches: Iterator[pa.RecordBatch], max_words: int, shard_words:
     yield from shard.counts()
 
 
+def frequent_pairs(counts: DataFrame) -> np.ndarray:
+    """The bitmap of all pairs of ``counts``; at most ``PAIR_BITS`` / 64 rows reach the driver."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (pc.list_element(pc.split_pattern(batch.column("phrase"), " "), k) for k in (0, 1))
+            bit = pair_bits(_sums(batch.column("lang")), _sums(first), _sums(second)) if len(batch) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.int64(1) << (bit & 63))], ["place", "bits"])
+
+    places = counts.filter("size = 2").select("lang", "phrase").mapInArrow(listed, "place long, bits long")
+    found = places.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(PAIR_BITS // 64, np.int64)
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _merged(texts: DataFrame, sizes: range, min_count: int, shard_words: int, pairs: np.ndarray | None = None) -> DataFrame:
+    sent = None if pairs is None else texts.sparkSession.sparkContext.broadcast(pairs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return shard_counts(batches, Shard(sizes, sent and sent.value), shard_words)
+
+    # dealt by key first: shards have summed their own rows, so another sum ahead of the shuffle finds little
+    dealt = texts.mapInArrow(count, "lang string, size int, phrase string, n long").repartition("lang", "size", "phrase")
+    merged = dealt.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return stored(merged.filter((F.col("n") >= min_count) | (F.col("size") == 0)), "phrases")
+
+
 def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, size, phrase, n) of all runs of up to ``max_words`` words with at least ``min_count`` occurrences; size 0 counts all words of the language."""
     ship(docs.sparkSession)
     texts = docs.filter("text is not null").select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    of_shards = texts.mapInArrow(lambda batches: shard_counts(batches, max_words, shard_words), "lang string, size int, phrase string, n long")
-    return of_shards.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (F.col("size") == 0))
+    short = _merged(texts, range(1, min(max_words, 2) + 1), min_count, shard_words)
+    if max_words < 3:
+        return short
+    return short.unionByName(_merged(texts, range(3, max_words + 1), min_count, shard_words, frequent_pairs(short)))
 
 
 def _part(words: str, start: Column | int, length: Column | int) -> Column:
@@ -219,7 +276,7 @@ def collocations(
     docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, inside_percent: int = INSIDE_PERCENT, top: int = TOP, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of ``docs`` (lang, text)."""
-    counts = stored(phrase_counts(docs, max_words, min_count, shard_words), "phrases")
+    counts = phrase_counts(docs, max_words, min_count, shard_words)
     rows = scored(counts).join(inside_longer(counts, max_words), ["lang", "phrase"], "left")
     rows = rows.filter(F.coalesce(100 * F.col("longer") < inside_percent * F.col("a"), F.lit(True)))
     words = counts.filter("size = 0").select("lang", "n")
