@@ -23,3 +23,16 @@ def longest_prefix(refs: DataFrame, index: DataFrame, keys: list[str], path: str
     found = hits.groupBy(*keys, "n").agg(F.count_distinct("target").alias("candidates"), F.min("target").alias("target"), F.min("prefix").alias("prefix"))
     best = found.groupBy(*keys).agg(F.max_by(F.struct("prefix", "candidates", "target"), "n").alias("best"))  # one row for each n
     return best.select(*keys, "best.prefix", "best.candidates", F.when(F.col("best.candidates") == 1, F.col("best.target")).alias("target"))
+
+
+def nearest_ancestor(paths: DataFrame, folders: DataFrame, path: str = "identifier", folder: str = "folder") -> DataFrame:
+    """(path, folder): the longest of ``folders`` that a path lies in; the empty text is the folder of all.
+
+    A path is spelled out into its ancestors, one row for each level, and meets the
+    folders by an equi-join; paths outside all folders have no row.
+    """
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias(folder)))
+    tried = paths.select(path).distinct().select(path, F.explode(above).alias("up")).select(path, "up.*")
+    hits = tried.join(folders.select(folder).distinct(), folder)
+    return hits.groupBy(path).agg(F.max_by(folder, "n").alias(folder))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.api import MetricRule, Metrics
 from edgeloom.functions import identifiers as ids
+from edgeloom.functions.tokens import lines_of_code
 from edgeloom.functions.patterns import Filter, in_folder, in_path, pattern, types_matching, with_name
 from edgeloom.operators import cycles, lookup, metrics, report, rules, traversal
 from edgeloom.plans import adapters as A
@@ -291,6 +292,23 @@ def _(t):
     return report.numbered(edges.select(F.col("source").alias("label")).union(edges.select("target")).distinct())
 
 
+@query("s06_nearest_manifest", """WITH p AS (
+  SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS identifier, url LIKE 'https:%' AS s FROM pages
+), folders AS (
+  SELECT DISTINCT regexp_replace(identifier, '/[^/]*$', '') AS folder FROM p WHERE s
+) SELECT identifier, arg_max(folder, length(folder)) AS folder FROM (SELECT DISTINCT identifier FROM p) JOIN folders ON starts_with(identifier, folder || '/') GROUP BY identifier""")
+def _(t):
+    """The nearest folder of a secure page that a page lies in."""
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    folders = t.pages.filter("url like 'https:%'").select(F.regexp_replace(bare, "/[^/]*$", "").alias("folder"))
+    return lookup.nearest_ancestor(t.pages.select(bare.alias("identifier")), folders)
+
+
+@query("a11_lines_of_code")
+def _(t):
+    return t.documents.select("doc_id", lines_of_code("text").alias("lines_of_code"))
+
+
 _FLOW_LABELS = "l AS (SELECT substr(source, 1, 1) AS sl, substr(target, 1, 1) AS tl, source, target FROM edges), e AS (SELECT DISTINCT sl AS source, tl AS target FROM l WHERE sl <> tl)"
 
 

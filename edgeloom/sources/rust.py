@@ -75,12 +75,17 @@ def locate(path: str | None = None) -> Project:
     raise UserError(f"no manifest at or above {start}")
 
 
-def source_files(spark: SparkSession, root: str, include_dev: bool = False) -> DataFrame:
-    """(identifier, content) of all ``*.rs`` files below ``root``, without pruned folders."""
-    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.rs").load(root)
+def whole_files(spark: SparkSession, root: str, names: str) -> DataFrame:
+    """(identifier, content) of all files below ``root`` whose name matches the glob ``names``."""
+    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     path = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
     base = root.rstrip("/").removeprefix("file://")
-    out = raw.select(F.regexp_replace(path, f"^(?:file:)?/*{_literal(base.lstrip('/'))}/+", "").alias("identifier"), F.col("value").alias("content"))
+    return raw.select(F.regexp_replace(path, f"^(?:file:)?/*{_literal(base.lstrip('/'))}/+", "").alias("identifier"), F.col("value").alias("content"))
+
+
+def source_files(spark: SparkSession, root: str, include_dev: bool = False) -> DataFrame:
+    """(identifier, content) of all ``*.rs`` files below ``root``, without pruned folders."""
+    out = whole_files(spark, root, "*.rs")
     parts = F.transform(F.split("identifier", "/"), F.lower)
     keep = ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, PRUNED)))
     return out.filter(keep if include_dev else keep & ~F.get(parts, F.lit(0)).isin(*DEV))
@@ -123,9 +128,9 @@ def _one_line(use: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(use, r"\s+as\s+", "="), r"\s+", "")
 
 
-def bindings(files: DataFrame) -> DataFrame:
-    """(source, name, bound): what the names mean that the ``use`` declarations of a file bind."""
-    base = files.join(modules(files), "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
+def bindings(files: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """(source, name, bound): what the names mean that the ``use`` declarations of a file bind; ``named`` as for :func:`references`."""
+    base = files.join(modules(files) if named is None else named, "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
     leaves = base.select("source", "module", F.explode(F.regexp_extract_all("code", F.lit(_USE), F.lit(2))).alias("u")).select("source", "module", F.explode(_leaves(_one_line("u"))).alias("leaf"))
     path = F.regexp_replace(F.split_part("leaf", F.lit("="), F.lit(1)), "::self$", "")
     name = F.when(F.col("leaf").contains("="), F.split_part("leaf", F.lit("="), F.lit(2))).otherwise(F.regexp_extract(path, r"(\w+)$", 1))
@@ -133,7 +138,7 @@ def bindings(files: DataFrame) -> DataFrame:
     return out.filter("name <> '' and name <> '_' and name <> bound").distinct()
 
 
-def ignored(files: DataFrame, marker: str = MARKER) -> DataFrame:
+def ignored(files: DataFrame, marker: str = MARKER, named: DataFrame | None = None) -> DataFrame:
     """(source, path, kind, n): references of declarations that a directive covers, and in how many places.
 
     A directive after code belongs to the nearest declaration before it on its line, one
@@ -142,7 +147,7 @@ def ignored(files: DataFrame, marker: str = MARKER) -> DataFrame:
     word = rf"//[ \t]*{_literal(marker)}:[ \t]*ignore((?:[ \t\r][^\n]*)?)$"
     code = F.regexp_replace("content", rf"(?m)^([ \t]*+){word}", f"$1{_ALONE}$2{_END}")
     code = F.regexp_replace(code, rf"(?m)^([ \t]*+(?=\S)(?:(?!//)[^\n])+){word}", f"$1{_AFTER}$2{_END}")
-    base = files.filter(F.col("content").contains(marker)).join(modules(files), "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace(code, _BLANKED, " ").alias("code"))
+    base = files.filter(F.col("content").contains(marker)).join(modules(files) if named is None else named, "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace(code, _BLANKED, " ").alias("code"))
     part = lambda k, name: F.regexp_extract_all("code", F.lit(_DIRECTED), F.lit(k)).alias(name)
     found = base.select("source", "module", F.explode(F.arrays_zip(part(1, "a"), part(2, "v"), part(3, "d"), part(4, "b"))).alias("e")).select("source", "module", "e.*").filter("a <> '' or b <> ''")
     scopes = lambda c: F.when(F.col(c) != "", F.filter(F.split(F.translate(c, _ALONE + _AFTER + _END, ""), r"[\s,]+"), lambda x: x != ""))
@@ -165,12 +170,13 @@ def _plain(path: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"=\w+$", ""), r"::(\*|self)$", "")
 
 
-def references(files: DataFrame, marker: str = MARKER) -> DataFrame:
+def references(files: DataFrame, marker: str = MARKER, named: DataFrame | None = None) -> DataFrame:
     """(source, module, path, kind): every reference as it is written, made absolute to ``crate``.
 
-    A reference goes if directives cover all the places that make it.
+    A reference goes if directives cover all the places that make it.  ``named``
+    (identifier, module) says which module a file is; without it, its usual place does.
     """
-    base = files.join(modules(files), "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
+    base = files.join(modules(files) if named is None else named, "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
     every = lambda pattern, group=1: F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(group)))
     mods = base.select("source", "module", every(_MOD).alias("name")).select("source", "module", F.concat(F.lit("self::"), "name").alias("path"), F.lit("mod").alias("kind"))
     uses = base.select("source", "module", F.explode(F.arrays_zip(F.regexp_extract_all("code", F.lit(_USE), F.lit(2)).alias("p"), F.regexp_extract_all("code", F.lit(_USE), F.lit(1)).alias("v"))).alias("u"))
@@ -181,7 +187,7 @@ def references(files: DataFrame, marker: str = MARKER) -> DataFrame:
     macros = rest.select("source", "module", every(_MACRO).alias("path"), F.lit("macro_reference").alias("kind"))
     out = mods.unionByName(uses).unionByName(extern).unionByName(paths).unionByName(macros).withColumn("path", _plain("path"))
     out = out.groupBy("source", "module", "path", "kind").agg(F.count(F.lit(1)).alias("places"))
-    kept = out.join(ignored(files, marker), ["source", "path", "kind"], "left").filter("n is null or n < places")
+    kept = out.join(ignored(files, marker, named), ["source", "path", "kind"], "left").filter("n is null or n < places")
     return kept.select("source", "module", "path", "kind", _absolute(F.col("path"), F.col("module")).alias("absolute"))
 
 
