@@ -304,7 +304,26 @@ def _(t):
     return lookup.nearest_ancestor(t.pages.select(bare.alias("identifier")), folders)
 
 
-@query("a11_lines_of_code")
+_LINES_STEP = """{
+  'k': CASE s.k WHEN 0 THEN CASE WHEN s.p = '/' AND x.t = '/' THEN 1 WHEN s.p = '/' AND x.t = '*' THEN 2 WHEN x.t = '"' THEN 3 WHEN x.t LIKE 'r%"' THEN 4 ELSE 0 END
+    WHEN 1 THEN CASE WHEN x.t = chr(10) THEN 0 ELSE 1 END WHEN 2 THEN CASE WHEN s.p = '*' AND x.t = '/' AND s.l = 1 THEN 0 ELSE 2 END
+    WHEN 3 THEN CASE WHEN x.t LIKE 'r%"' OR (x.t = '"' AND s.p <> '\\') THEN 0 ELSE 3 END
+    ELSE CASE WHEN s.l = 0 AND x.t LIKE '%"' THEN 0 WHEN s.l > 0 AND s.p = '"' AND x.t LIKE '#%' AND length(x.t) >= s.l THEN 0 ELSE 4 END END,
+  'l': CASE s.k WHEN 0 THEN CASE WHEN s.p = '/' AND x.t = '*' THEN 1 WHEN x.t LIKE 'r%"' THEN length(x.t) - 2 ELSE 0 END
+    WHEN 2 THEN CASE WHEN s.p = '/' AND x.t = '*' THEN s.l + 1 WHEN s.p = '*' AND x.t = '/' THEN s.l - 1 ELSE s.l END WHEN 4 THEN s.l ELSE 0 END,
+  'p': CASE s.k WHEN 0 THEN CASE WHEN x.t = '/' AND s.p <> '/' THEN '/' ELSE '' END
+    WHEN 2 THEN CASE WHEN x.t = '*' AND s.p <> '/' THEN '*' WHEN x.t = '/' AND s.p <> '*' THEN '/' ELSE '' END
+    WHEN 3 THEN CASE WHEN x.t = '\\' AND s.p <> '\\' THEN '\\' WHEN s.p = '\\' AND x.t IN (chr(10), chr(13)) THEN '\\' ELSE '' END
+    WHEN 4 THEN CASE WHEN x.t LIKE '%"' AND s.l > 0 THEN '"' ELSE '' END ELSE '' END,
+  'c': CASE WHEN x.t = chr(10) THEN s.k IN (3, 4) ELSE s.c OR (s.k = 0 AND ((s.p = '/' AND x.t NOT IN ('/', '*')) OR NOT (x.t = '/' OR (s.p = '/' AND x.t = '*') OR regexp_full_match(x.t, '\\s')))) END,
+  'n': s.n + CASE WHEN x.t = chr(10) AND (s.c OR (s.k = 0 AND s.p = '/')) THEN 1 ELSE 0 END, 't': ''}"""
+
+
+@query("a11_lines_of_code", f"""WITH marks AS (
+  SELECT doc_id, list_prepend('', regexp_extract_all(coalesce(text, ''), 'r#*"|[/*"\\\\\n]|#+|[^/*"\\\\#\\sr]+|r|\\s')) AS ts FROM documents
+), folded AS (
+  SELECT doc_id, list_reduce(list_transform(ts, lambda t: {{'k': 0, 'l': 0::BIGINT, 'p': '', 'c': false, 'n': 0::BIGINT, 't': t}}), lambda s, x: {_LINES_STEP}) AS f FROM marks
+) SELECT doc_id, f.n + CASE WHEN f.c OR (f.k = 0 AND f.p = '/') THEN 1 ELSE 0 END::BIGINT AS lines_of_code FROM folded""")
 def _(t):
     return t.documents.select("doc_id", lines_of_code("text").alias("lines_of_code"))
 
