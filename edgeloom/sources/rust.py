@@ -5,8 +5,10 @@ Files are read whole and in parallel; comments and strings are blanked; declarat
 patterns, and references are resolved by joins: a first segment that a ``use`` of the same
 file binds stands for what it names, modules are found by their longest known prefix,
 other first segments among the manifest's dependencies that the file may use.  A reference
-with several candidates is ambiguous and draws no edge.  This is a scan, not a
-compiler's parser: nested block comments, ``#[path]`` and macro bodies are not followed.
+with several candidates is ambiguous and draws no edge.  A fold over the brackets of a
+file takes attributes and the arguments of macros out of its code, at any depth: paths in
+``derive`` and paths of attributes are macro references, all else in them is none.  This is
+a scan, not a compiler's parser: ``#[path]`` is followed by :mod:`edgeloom.sources.modules` only.
 
 A comment ``// edgeloom: ignore`` (the word is an argument) after a declaration, or alone
 on the line before it, drops that declaration's references; paths behind ``ignore`` limit
@@ -32,12 +34,25 @@ PRUNED = [".cache", ".git", ".hg", ".svn", "node_modules", "target", "vendor"]
 DEV = ["benches", "examples", "tests"]
 SYSROOT = ["std", "core", "alloc", "proc_macro"]
 
-_BLANKED = r"(?s)/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\])*\"|r#*\".*?\"#*"
+
+def _comment(depth: int) -> str:
+    """A block comment with comments inside it, ``depth`` levels deep; possessive, so that long ones need no stack."""
+    inner = f"|{_comment(depth - 1)}" if depth else ""
+    return rf"/\*[^*/]*+(?:(?:\*++(?!/)|/(?!\*){inner})[^*/]*+)*+\*++/"
+
+
+_BLANKED = rf"(?s){_comment(4)}|//[^\n]*|\"(?:\\.|[^\"\\])*\"|r#*\".*?\"#*"
 _MOD = r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;"
 _USE = r"(?:^|[\s;{}])((?:pub(?:\([^)]*\))?\s+)?)use\s+([^;]+);"
 _EXTERN = r"extern\s+crate\s+(\w+)"
 _PATH = r"(?<![\w:])((?:\w+::)+\w+)(?![\w:!])"
 _MACRO = r"(?<![\w:])((?:\w+::)+\w+)!"
+#: What opens an attribute and the arguments of a macro (a name may stand before them, as in a definition).
+_ATTRIBUTE, _ARGUMENTS = r"#!?\s*\[", r"(?<=\w)!\s*(?:\w+\s*)?[(\[{]"
+#: Every character of a code, a bracket or an opening at a time; a bracket in a character literal is none.
+_BRACKETS = rf"'(?:\\[^\n']+|[^\\'\n])'|\\?'|{_ATTRIBUTE}|{_ARGUMENTS}|[()\[\]{{}}]|[^'#!()\[\]{{}}\\]+|[#!\\]"
+_GROUPS = "struct<at:int,depth:int,start:int,attribute:boolean,found:array<struct<start:int,end:int,attribute:boolean>>>"
+_NAME = r"\w+(?:\s*::\s*\w+)*"
 #: The word that opens an ignore directive.
 MARKER = "edgeloom"
 #: Directives are written as these before comments are blanked: alone on a line, after code, and their end.
@@ -130,7 +145,7 @@ def _one_line(use: str | Column) -> Column:
 
 def bindings(files: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """(source, name, bound): what the names mean that the ``use`` declarations of a file bind; ``named`` as for :func:`references`."""
-    base = files.join(modules(files) if named is None else named, "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
+    base = scanned(files, modules(files) if named is None else named)
     leaves = base.select("source", "module", F.explode(F.regexp_extract_all("code", F.lit(_USE), F.lit(2))).alias("u")).select("source", "module", F.explode(_leaves(_one_line("u"))).alias("leaf"))
     path = F.regexp_replace(F.split_part("leaf", F.lit("="), F.lit(1)), "::self$", "")
     name = F.when(F.col("leaf").contains("="), F.split_part("leaf", F.lit("="), F.lit(2))).otherwise(F.regexp_extract(path, r"(\w+)$", 1))
@@ -165,6 +180,46 @@ def _bare(path: Column) -> Column:
     return F.regexp_replace(path, "^(?:::)?(?:(?:crate|self|super)::)*", "")
 
 
+def groups(code: Column | str) -> Column:
+    """(start, end, attribute) of every attribute, and of what stands in the brackets of every macro; positions from 0.
+
+    Groups inside a group belong to it; one that is never closed is none.
+    """
+    start = F.expr(f"cast(named_struct('at', 0, 'depth', 0, 'start', 0, 'attribute', false, 'found', array()) as {_GROUPS})")
+
+    def step(s: Column, token: Column) -> Column:
+        end = s["at"] + F.char_length(token)
+        literal, outside = token.startswith("'"), s["depth"] == 0
+        attribute, arguments = token.rlike(f"^{_ATTRIBUTE}$"), token.rlike(r"^!\s*(?:\w+\s*)?[(\[{]$")
+        opens, closes = ~literal & token.rlike(r"[(\[{]$"), ~literal & token.rlike(r"^[)\]}]$")
+        depth = F.when(outside, (attribute | arguments).cast("int")).otherwise(s["depth"] + opens.cast("int") - closes.cast("int"))
+        whole = F.struct(s["start"].alias("start"), F.when(s["attribute"], end).otherwise(s["at"]).alias("end"), s["attribute"].alias("attribute"))
+        found = F.when(~outside & (depth == 0), F.concat(s["found"], F.array(whole))).otherwise(s["found"])
+        begun = F.when(outside, F.when(attribute, s["at"]).otherwise(end)).otherwise(s["start"])
+        return F.struct(end.alias("at"), depth.alias("depth"), begun.alias("start"), F.when(outside, attribute).otherwise(s["attribute"]).alias("attribute"), found.alias("found")).cast(_GROUPS)
+
+    return F.aggregate(F.regexp_extract_all(code, F.lit(_BRACKETS), F.lit(0)), start, step, lambda s: s["found"])
+
+
+def scanned(files: DataFrame, named: DataFrame) -> DataFrame:
+    """(source, module, code, attributes): code without comments, literals, attributes and arguments of macros; attributes apart."""
+    base = files.join(named, "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("whole"))
+    base = base.select("source", "module", F.explode(F.array(F.struct("whole", groups("whole").alias("cuts")))).alias("once")).select("source", "module", "once.*")  # generated, so that the fold runs once
+    ends = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"]))
+    starts = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.char_length("whole")))
+    part = lambda begin, end: F.substr("whole", begin + 1, end - begin)
+    code = F.array_join(F.zip_with(ends, starts, part), " ")
+    return base.select("source", "module", code.alias("code"), F.transform(F.filter("cuts", lambda c: c["attribute"]), lambda c: part(c["start"], c["end"])).alias("attributes"))
+
+
+def _named_by(attribute: Column) -> Column:
+    """The paths of two segments or more that an attribute names: its own, or those that it derives."""
+    own = F.regexp_extract(attribute, rf"^{_ATTRIBUTE}\s*(?:::\s*)?({_NAME})", 1)
+    derived = F.split(F.regexp_extract(attribute, r"(?s)^[^(]*\((.*)\)\s*\]$", 1), ",")
+    paths = F.transform(F.when(own == "derive", derived).otherwise(F.array(own)), lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", ""), "^::", ""))
+    return F.filter(paths, lambda p: p.rlike(r"^(?:\w+::)+\w+$"))
+
+
 def _plain(path: str) -> Column:
     """A leaf without its new name, and without a final ``*`` or ``self``."""
     return F.regexp_replace(F.regexp_replace(path, r"=\w+$", ""), r"::(\*|self)$", "")
@@ -176,7 +231,7 @@ def references(files: DataFrame, marker: str = MARKER, named: DataFrame | None =
     A reference goes if directives cover all the places that make it.  ``named``
     (identifier, module) says which module a file is; without it, its usual place does.
     """
-    base = files.join(modules(files) if named is None else named, "identifier").select(F.col("identifier").alias("source"), "module", F.regexp_replace("content", _BLANKED, " ").alias("code"))
+    base = scanned(files, modules(files) if named is None else named)
     every = lambda pattern, group=1: F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(group)))
     mods = base.select("source", "module", every(_MOD).alias("name")).select("source", "module", F.concat(F.lit("self::"), "name").alias("path"), F.lit("mod").alias("kind"))
     uses = base.select("source", "module", F.explode(F.arrays_zip(F.regexp_extract_all("code", F.lit(_USE), F.lit(2)).alias("p"), F.regexp_extract_all("code", F.lit(_USE), F.lit(1)).alias("v"))).alias("u"))
@@ -185,7 +240,8 @@ def references(files: DataFrame, marker: str = MARKER, named: DataFrame | None =
     rest = base.withColumn("code", F.regexp_replace("code", r"(?<![\w])use\s+[^;]+;", ";"))
     paths = rest.select("source", "module", every(_PATH).alias("path"), F.lit("path_reference").alias("kind"))
     macros = rest.select("source", "module", every(_MACRO).alias("path"), F.lit("macro_reference").alias("kind"))
-    out = mods.unionByName(uses).unionByName(extern).unionByName(paths).unionByName(macros).withColumn("path", _plain("path"))
+    named_by = base.select("source", "module", F.explode("attributes").alias("a")).select("source", "module", F.explode(_named_by(F.col("a"))).alias("path"), F.lit("macro_reference").alias("kind"))
+    out = mods.unionByName(uses).unionByName(extern).unionByName(paths).unionByName(macros).unionByName(named_by).withColumn("path", _plain("path"))
     out = out.groupBy("source", "module", "path", "kind").agg(F.count(F.lit(1)).alias("places"))
     kept = out.join(ignored(files, marker, named), ["source", "path", "kind"], "left").filter("n is null or n < places")
     return kept.select("source", "module", "path", "kind", _absolute(F.col("path"), F.col("module")).alias("absolute"))

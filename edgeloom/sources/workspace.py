@@ -22,6 +22,7 @@ from edgeloom.sources import rust
 _TARGET = "struct<kind:string,name:string,path:string>"
 _DEPENDENCY = "struct<name:string,package:string,scope:string,path:string>"
 MANIFEST = f"folder string, package string, members array<string>, excluded array<string>, targets array<{_TARGET}>, dependencies array<{_DEPENDENCY}>, error string"
+_SHARED = "map<string,struct<package:string,path:string>>"
 DEV_KINDS = ["test", "example", "bench"]
 
 
@@ -45,7 +46,10 @@ def root_of(path: str | None = None) -> str:
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each manifest below ``root`` (``MANIFEST``); one that can't be read has only its folder and the error."""
+    """One row for each manifest below ``root`` (``MANIFEST``); one that can't be read has only its folder and the error.
+
+    A dependency with ``workspace = true`` has the package and path that the root's manifest gives its name.
+    """
     raw = rust.whole_files(spark, root, "Cargo.toml").select(F.regexp_replace("identifier", "/?Cargo[.]toml$", "").alias("folder"), "content")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,7 +60,7 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
             try:
                 data = tomllib.loads(content)
             except tomllib.TOMLDecodeError as e:
-                return folder, None, [], [], [], [], str(e)
+                return folder, None, [], [], [], [], str(e), {}
             package, space = data.get("package", {}), data.get("workspace", {})
             name = flat(package["name"]) if "name" in package else None
             lib = data.get("lib")
@@ -69,14 +73,27 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
                 for table, scope in tables.items():
                     for visible, spec in holder.get(table, {}).items():
                         spec = spec if isinstance(spec, dict) else {}
-                        found.append({"name": flat(visible), "package": flat(spec.get("package", visible)), "scope": scope, "path": spec.get("path")})
-            return folder, name, space.get("members", []), space.get("exclude", []), targets, found, None
+                        package = None if spec.get("workspace") is True else flat(spec.get("package", visible))  # null: inherited
+                        found.append({"name": flat(visible), "package": package, "scope": scope, "path": spec.get("path")})
+            shared = {flat(n): {"package": flat(d.get("package", n)), "path": d.get("path")} for n, d in ((n, d if isinstance(d, dict) else {}) for n, d in space.get("dependencies", {}).items())}
+            return folder, name, space.get("members", []), space.get("exclude", []), targets, found, None, shared
 
         for frame in frames:
-            columns = ["folder", "package", "members", "excluded", "targets", "dependencies", "error"]
+            columns = ["folder", "package", "members", "excluded", "targets", "dependencies", "error", "shared"]
             yield pd.DataFrame([row(f, c) for f, c in zip(frame["folder"], frame["content"], strict=True)], columns=columns)
 
-    return raw.mapInPandas(read, MANIFEST)
+    read_in = raw.mapInPandas(read, f"{MANIFEST}, shared {_SHARED}")
+    at_root = read_in.filter("folder = ''").select(F.col("shared").alias("given"))  # one row
+    up = F.repeat(F.lit("../"), F.when(F.col("folder") == "", 0).otherwise(F.regexp_count("folder", F.lit("/")) + 1))
+
+    def inherited(d: Column) -> Column:
+        own = F.try_element_at("given", d["name"])
+        of = lambda value, mine: F.when(d["package"].isNull(), value).otherwise(mine)
+        return F.struct(d["name"].alias("name"), of(F.coalesce(own["package"], d["name"]), d["package"]).alias("package"), d["scope"].alias("scope"), of(F.concat(up, own["path"]), d["path"]).alias("path"))
+
+    names = [c for c in read_in.columns if c not in {"shared", "dependencies"}]
+    joined = read_in.join(at_root, F.lit(True), "left")
+    return joined.select(*names, F.transform("dependencies", inherited).alias("dependencies"))
 
 
 def plain_path(path: Column) -> Column:

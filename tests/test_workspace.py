@@ -1,6 +1,7 @@
 """Workspaces of several packages, the module tree with its diagnostics, and lines of code."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,96 @@ def test_graph_of_a_workspace(spark, tmp_path):
     assert notes == {("top.rs", "missing_module", "gone", 2), ("top.rs", "unknown", "mock::Fake", 7), ("top.rs", "unknown", "unheard::of", 8), ("broken", "unreadable_manifest", None, None)}
 
 
+def test_inherited_dependencies_keep_the_package_and_path_of_the_root(spark, tmp_path):
+    files = {
+        "Cargo.toml": '[workspace]\nmembers = ["in/*"]\n[workspace.dependencies]\nshort-name = { package = "long-name", path = "in/far" }\nlog = "1"\nre = { package = "regex", version = "1" }\n',
+        "in/near/Cargo.toml": '[package]\nname = "near"\n[dependencies]\nshort-name = { workspace = true }\nlog.workspace = true\nown = { package = "owned", version = "1" }\nlost.workspace = true\n[dev-dependencies]\nre = { workspace = true, features = ["x"] }\n',
+        "in/near/src/lib.rs": "use short_name::Thing;\nuse log::info;\nuse own::It;\n",
+        "in/far/Cargo.toml": '[package]\nname = "long-name"\n',
+        "in/far/src/lib.rs": "pub struct Thing;",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    packages = workspace.members(workspace.manifests(spark, str(tmp_path)))
+    assert {(r.name, r.scope, r.crate, r.member) for r in workspace.visible(packages).collect()} == {
+        ("short_name", "normal", "long_name", "long_name"), ("log", "normal", "log", None), ("own", "normal", "owned", None), ("lost", "normal", "lost", None), ("re", "development", "regex", None),
+    }
+    edges = crates.extract_workspace(spark, str(tmp_path)).edges.filter("source <> target")
+    assert {(r.source, r.target) for r in edges.collect()} == {("in/near/src/lib.rs", t) for t in ("in/far/src/lib.rs", "log", "owned")}
+    (tmp_path / "Cargo.toml").unlink()
+    assert workspace.manifests(spark, str(tmp_path)).count() == 2  # no root: nothing to inherit
+
+
+ATTRIBUTED = """#![ours::inner]
+#[derive(Clone, serde::Serialize, ::deep :: er::Derive,)]
+#[serde(with = "not::this")]
+#[cfg_attr(feature, derive(no::Such))]
+#[tokio::main(flavor = [a::b])]
+struct S { #[builder::field] x: kept::Field }
+/* no::one /* nested::two */ still::three */
+macro_rules! made { () => { use hidden::away; no::body!() } }
+fn f() {
+    seen::mac!(not::inside, [deep::er, ')']);
+    let v = vec![not::either]; if !ok::yes(v) { }
+    let c = '{'; let b = '\\''; after::all();
+}
+use last::one;
+"""
+
+
+def test_attributes_derives_and_macro_arguments(spark):
+    files = spark.createDataFrame([("src/lib.rs", ATTRIBUTED), ("src/empty.rs", ""), ("src/open.rs", "#[never::closed(\nuse still::read;"), ("src/null.rs", None)], "identifier string, content string")
+    got = {(r.path, r.kind) for r in rust.references(files).filter("source = 'src/lib.rs'").collect()}
+    macros = {"ours::inner", "serde::Serialize", "deep::er::Derive", "tokio::main", "builder::field", "seen::mac"}
+    assert got == {(p, "macro_reference") for p in macros} | {(p, "path_reference") for p in ("kept::Field", "ok::yes", "after::all")} | {("last::one", "use")}
+    assert {r.path for r in rust.references(files).filter("source = 'src/open.rs' and kind = 'use'").collect()} == {"still::read"}
+    assert {r.name for r in rust.bindings(files).collect()} == {"one", "read"}
+
+
+def brute_groups(text):
+    """A reading one character at a time."""
+    out, i = [], 0
+    opening = re.compile(r"#!?\s*\[|(?<=\w)!\s*(?:\w+\s*)?[(\[{]", re.ASCII)
+    literal = re.compile(r"'(?:\\[^\n']+|[^\\'\n])'|\\?'")
+    while i < len(text):
+        if found := literal.match(text, i):
+            i = found.end()
+            continue
+        begun = opening.match(text, i)
+        if not begun:
+            i += 1
+            continue
+        attribute, depth, j = text[i] == "#", 1, begun.end()
+        while j < len(text) and depth:
+            if found := literal.match(text, j):
+                j = found.end()
+                continue
+            depth += (text[j] in "([{") - (text[j] in ")]}")
+            j += 1
+        if depth:
+            break
+        out.append((i, j, True) if attribute else (begun.end(), j - 1, False))
+        i = j
+    return out
+
+
+def test_groups_equal_a_reading_by_characters(spark):
+    rng = random.Random(8)
+    marks = ["#[", "#![", "[", "]", "(", ")", "{", "}", "a!(", "b! [", "m! n {", "'", "'('", "\\", "\\'", "x", " ", "\n", "é", "𝒳", "!", "#", "::"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", "#[" + "(" * 40 + ")" * 40 + "]", "a!(" + "x" * 20000 + ")"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rust.groups("t").alias("g")).collect()
+    wrong = [(texts[r.i], r.g, brute_groups(texts[r.i])) for r in got if [tuple(g) for g in r.g] != brute_groups(texts[r.i])]
+    assert not wrong, wrong[:3]
+
+
+def test_nested_and_long_comments(spark):
+    long = "/*" + "* " * 20000 + "*" * 3000 + "*/"
+    rows = [(0, "a/*x/*y*/z*/b"), (1, "a/*/*/*/*/*deep*/*/*/*/*/b"), (2, f"a{long}b"), (3, "a/**/b/***/c"), (4, "a/*/b*/c"), (5, "a/* open"), (6, "a//x /* y\nb")]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, t string").select("i", F.regexp_replace("t", rust._BLANKED, " ").alias("t")).collect()}
+    assert got == {0: "a b", 1: "a b", 2: "a b", 3: "a b c", 4: "a c", 5: "a/* open", 6: "a \nb"}
+
+
 def test_nearest_ancestor_equals_brute_force(spark):
     rng = random.Random(2)
     paths = ["/".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(120)]
