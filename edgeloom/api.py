@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom import results
 from edgeloom.errors import TechnicalError, UserError
 from edgeloom.functions.identifiers import edge_text
 from edgeloom.functions.patterns import Filter, PatternSpec, all_of, in_file, in_folder, in_path, types_matching, with_name
@@ -25,23 +26,22 @@ from edgeloom.plans.edges import kind_names
 from edgeloom.plans.slices import Slices, identity
 from edgeloom.plans.slices import by_pattern as by_slice_pattern
 from edgeloom.plans.slices import by_regex as by_slice_regex
+from edgeloom.results import Finding, Result, ResultOptions
 from edgeloom.sinks import render
 from edgeloom.sources import plantuml
 
 Spec = str | PatternSpec
 
 
-@dataclass(frozen=True)
-class Result:
-    passed: bool
-    message: str
-
-
 class Rule:
     """What has ``violations()`` and perhaps a guard can be checked. Subclass it for rules of your own."""
 
     allow_empty = False
 
+    def title(self) -> str:
+        """The kind of violation, as a heading."""
+        return "Architecture violation"
+
     def violations(self) -> DataFrame:
         raise NotImplementedError
 
@@ -56,12 +56,27 @@ class Rule:
     def allow_empty_tests(self):
         return replace(self, allow_empty=True)
 
-    def check(self, expect_violations: bool = False, limit: int = 1000) -> Result:
+    def findings(self, limit: int = 1000) -> list[Finding]:
+        """Single violations for people, one more than ``limit`` at most; ``violations()`` has them all as rows."""
         guard = None if self.allow_empty else self.guard()
-        empty = [] if guard is None else [f"no subject was selected: {r['subject']}" for r in guard.collect()]
-        found = [] if empty and not isinstance(self, LayerRules) else [r["text"] for r in self.text(self.violations()).orderBy("text").limit(limit + 1).collect()]
-        lines = [*empty, *found[:limit]]
-        if len(found) > limit:
+        empty = [] if guard is None else [Finding("Empty test violation", f"no subject was selected: {r['subject']}") for r in guard.collect()]
+        if empty and not isinstance(self, LayerRules):
+            return empty
+        return [*empty, *(Finding(self.title(), r["text"]) for r in self.text(self.violations()).orderBy("text").limit(limit + 1).collect())]
+
+    def result(self, options: ResultOptions | None = None) -> Result:
+        """The check with headings, colours and the expectation of ``options``; a rule that is wrong or can't run is a result too."""
+        options = options or ResultOptions()
+        try:
+            return results.shaped(self.findings(options.limit), options)
+        except (UserError, TechnicalError) as e:
+            return results.shaped_error(e, options)
+
+    def check(self, expect_violations: bool = False, limit: int = 1000) -> Result:
+        found = self.findings(limit)
+        empty = sum(f.message == "Empty test violation" for f in found)
+        lines = [f.details for f in found[: empty + limit]]
+        if len(found) > empty + limit:
             lines.append(f"there are more than {limit} violations; violations() has them all")
         message = "\n".join(f"{i}. {line}" for i, line in enumerate(lines, 1))
         passed = bool(lines) == expect_violations
@@ -135,7 +150,7 @@ class FileMood:
     def have_no_cycles(self, *excluded_kinds: str) -> FileRule:
         if self.negated:
             raise UserError("have_no_cycles follows should()")
-        return FileRule(self.files, lambda e, s: rules.no_cycles(e, s, excluded_kinds), lambda v: v.select(F.array_join("path", " -> ").alias("text")))
+        return FileRule(self.files, lambda e, s: rules.no_cycles(e, s, excluded_kinds), lambda v: v.select(F.array_join("path", " -> ").alias("text")), heading="Circular dependency detected")
 
     def adhere_to(self, predicate: Column, message: str) -> FileRule:
         facts = self.files.facts
@@ -143,7 +158,7 @@ class FileMood:
             raise UserError("a custom rule needs file facts")
         if not message.strip():
             raise UserError("a custom rule needs a message")
-        return FileRule(self.files, lambda _, s: rules.custom_files(facts, s, predicate, message, self.negated), lambda v: v.select(F.concat_ws(": ", "path", "message").alias("text")))
+        return FileRule(self.files, lambda _, s: rules.custom_files(facts, s, predicate, message, self.negated), lambda v: v.select(F.concat_ws(": ", "path", "message").alias("text")), heading="Custom file violation")
 
 
 @dataclass(frozen=True)
@@ -152,6 +167,10 @@ class FileRule(Rule):
     find: Callable[[DataFrame, list[Filter]], DataFrame]
     show: Callable[[DataFrame], DataFrame]
     allow_empty: bool = False
+    heading: str = "File pattern violation"
+
+    def title(self) -> str:
+        return self.heading
 
     def violations(self) -> DataFrame:
         return self.find(self.files.edges, [*self.files.subjects])
@@ -185,6 +204,9 @@ class DependencyRule(Rule):
 
     matching = in_path
 
+    def title(self) -> str:
+        return "External module dependency violation" if self.external else "File dependency violation"
+
     def violations(self) -> DataFrame:
         find = rules.external_dependencies if self.external else rules.file_dependencies
         return find(self.files.edges, [*self.files.subjects], [*self.objects], self.negated)
@@ -217,6 +239,9 @@ class LayerRules(Rule):
     def may_not_depend_on_layers(self, name: str, *targets: str) -> LayerRules:
         return self._with(lambda layers: layers.may_not_depend_on(name, *targets))
 
+    def title(self) -> str:
+        return "Layer dependency violation"
+
     def violations(self) -> DataFrame:
         return self.layers.violations(self.edges)
 
@@ -293,6 +318,9 @@ class SliceRule(Rule):
         names, arrows = plantuml.parse(text)
         return replace(self, find=lambda e, s: rules.diagram_adherence(e, s, names, arrows, ignoring_orphans, ignoring_external))
 
+    def title(self) -> str:
+        return "Slice dependency violation"
+
     def violations(self) -> DataFrame:
         if self.find is None:
             raise UserError("the rule has no condition")
@@ -385,6 +413,9 @@ class MetricRule(Rule):
     def not_in_zone_of_uselessness(self) -> MetricRule:
         return replace(self, find=metrics.in_zone_of_uselessness, zone="uselessness")
 
+    def title(self) -> str:
+        return "Metric zone violation" if self.zone else "Metric violation"
+
     def violations(self) -> DataFrame:
         if self.find is None:
             raise UserError("the rule has no condition")
