@@ -1,11 +1,12 @@
 """Operator 9: quality rules as a short-circuit cascade (DataFrame functions only).
 
-A rule is a named Boolean ``Column`` that is true where a document fails.  On a stored
-sample that a hash picks, one aggregate gives the share of rows that each
-rule rejects (its selectivity), and each rule alone is timed against a plain scan (its
-cost).  Rules are then ordered by rejection per cost and become one ``CASE``, which
-evaluates a later rule only for rows that pass the earlier ones.  The order never changes
-the verdict, only the work.
+A rule is a named Boolean ``Column`` that is true where a document fails.  One job over a
+stored sample that a hash picks gives the share of rows that each rule rejects (its
+selectivity) and the time that its evaluation takes, by a clock read before and after it in
+each row (its cost).  What is timed is what will run: rules over features that are columns
+already are timed over such columns.  Rules are then ordered by rejection per cost and
+become one ``CASE``, which evaluates a later rule only for rows that pass the earlier
+ones.  The order never changes the verdict, only the work.
 
 :func:`verdicts` gives verdicts alone: every rule is one expression over the text, so the
 work of a rule is spared for all rows that an earlier one rejects.  :func:`apply_rules`
@@ -20,7 +21,6 @@ the order given; columns of the input named like an output are replaced, no othe
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,8 +31,8 @@ from edgeloom.llm.runtime import SPACE, stored, table
 
 #: Rows that are timed and counted to order the rules (a bound on the estimate only).
 SAMPLE_ROWS = 1000
-#: Runs of each rule over the sample; the fastest counts.
-TIMED = 2
+#: Seconds a row below which costs are not told apart: what comparing two numbers takes at most.
+LEAST_COST = 2e-7
 WINDOW = 5
 
 
@@ -50,7 +50,7 @@ class Estimate:
 
     @property
     def worth(self) -> float:
-        return self.rejected / max(self.seconds, 1e-6)
+        return self.rejected / max(self.seconds, LEAST_COST)
 
 
 # ---- features -----------------------------------------------------------------
@@ -148,37 +148,41 @@ def text_rules() -> list[Rule]:
     return rules_over(F.col("text"), features(F.col("text")))
 
 
-def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` texts that a hash of id and text picks over all of the input, stored; at most twice as many.
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS, prepared: Callable[[DataFrame], DataFrame] = lambda sample: sample) -> DataFrame:
+    """About ``rows`` texts that a hash of id and text picks over all of the input, ``prepared`` and stored; at most twice as many.
 
     Counting reads no column; only what the hash picks leaves a task.
     """
     keys = [F.col(f"`{c}`") for c in docs.columns if c in {"doc_id", "text"}]
     share = min(1.0, rows / max(docs.count(), 1))
     picked = docs.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(share * (1 << 40)))
-    return stored(picked.select("text").limit(2 * rows), "sample")
+    return stored(prepared(picked.select("text").limit(2 * rows)), "sample")
 
 
-def estimate(sample: DataFrame, rules: list[Rule]) -> list[Estimate]:
-    """Selectivity of all rules from one aggregate, and the cost of each alone: the best of ``TIMED`` runs."""
-    hits = sample.agg(F.count(F.lit(1)), *(F.count_if(rule.fails) for rule in rules)).first()
+def timed(hit: Column) -> Column:
+    """(hit, nanoseconds) of one evaluation of ``hit`` in a row.
+
+    It stands inside a lambda, whose struct is evaluated field by field, and from which no
+    part that rules share is moved ahead of the clock.
+    """
+    clock = lambda: F.expr("cast(reflect('java.lang.System', 'nanoTime') as bigint)")
+    read = F.get(F.transform(F.array(F.lit(0)), lambda _: F.struct(clock().alias("begun"), F.coalesce(hit, F.lit(True)).alias("hit"), clock().alias("ended"))), F.lit(0))
+    return _let(read, lambda r: F.struct(r["hit"].alias("hit"), (r["ended"] - r["begun"]).alias("ns")))
 
-    def seconds(hit: Column) -> float:
-        best = float("inf")
-        for _ in range(TIMED):
-            began = time.perf_counter()
-            sample.agg(F.count_if(hit)).first()
-            best = min(best, time.perf_counter() - began)
-        return best
 
-    base = seconds(F.col("text").isNotNull())
-    return [Estimate(rule.name, max(seconds(rule.fails) - base, 1e-3), bad / max(hits[0], 1)) for rule, bad in zip(rules, hits[1:], strict=True)]
+def estimate(sample: DataFrame, rules: list[Rule]) -> list[Estimate]:
+    """Selectivity and cost (seconds a row, the clock's own time taken off) of all rules, from one job over the sample."""
+    columns = [timed(F.lit(False)).alias("r0"), *(timed(rule.fails).alias(f"r{k}") for k, rule in enumerate(rules, 1))]
+    sums = [c for k in range(len(columns)) for c in (F.count_if(F.col(f"r{k}.hit")), F.coalesce(F.sum(F.col(f"r{k}.ns")), F.lit(0)))]
+    n, _, clock, *found = sample.select(*columns).agg(F.count(F.lit(1)), *sums).first()
+    n = max(n, 1)
+    return [Estimate(rule.name, max((ns - clock) / n / 1e9, LEAST_COST), bad / n) for rule, bad, ns in zip(rules, found[::2], found[1::2], strict=True)]
 
 
 def cascade(rules: list[Rule], estimates: list[Estimate]) -> Column:
-    """The name of the first rule that fails in the order found, or null."""
-    worth = {e.name: e.worth for e in estimates}
-    ordered = sorted(rules, key=lambda r: -worth.get(r.name, 0.0))
+    """The name of the first rule that fails in the order found, or null; of rules alike, the cheaper goes first."""
+    known = {e.name: (-e.worth, e.seconds) for e in estimates}
+    ordered = sorted(rules, key=lambda r: known.get(r.name, (0.0, 0.0)))
     out = F.when(F.coalesce(ordered[0].fails, F.lit(True)), F.lit(ordered[0].name))
     for rule in ordered[1:]:
         out = out.when(F.coalesce(rule.fails, F.lit(True)), F.lit(rule.name))
@@ -197,8 +201,9 @@ def verdicts(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """``docs`` with the features, ``failed_rule`` (null if kept) and ``kept``."""
-    estimates = estimate(sample_of(docs), text_rules())
-    return _judged(with_features(docs), rules_on_features(), estimates)
+    rules = rules_on_features()
+    estimates = estimate(sample_of(docs, prepared=with_features), rules)
+    return _judged(with_features(docs), rules, estimates)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -616,6 +616,24 @@ def test_a_later_rule_is_not_evaluated_for_rejected_rows(spark):
     assert [(e.name, round(e.rejected, 2)) for e in scans] == [("few", 0.95)]
 
 
+def test_costs_are_those_of_the_rules_that_run(spark):
+    rows = [(i, " ".join(f"word{(i * k) % 97}" for k in range(400))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    sample = quality_rules.sample_of(df, prepared=quality_rules.with_features)
+    held = {e.name: e for e in quality_rules.estimate(sample, quality_rules.rules_on_features())}
+    over_text = {e.name: e for e in quality_rules.estimate(sample, quality_rules.text_rules())}
+    assert held["few_letters"].seconds > 10 * held["repeats"].seconds  # a pass over the words against a comparison of columns
+    assert over_text["repeats"].seconds > 10 * held["repeats"].seconds
+    dear, cheap = quality_rules.Estimate("few_letters", 1e-4, 0.5), quality_rules.Estimate("short_words", 1e-6, 0.1)
+    rules = [r for r in quality_rules.rules_on_features() if r.name in {"few_letters", "short_words"}]
+    both = spark.createDataFrame([(1, "1 2 3 4")], "doc_id int, text string").transform(quality_rules.with_features)  # fails both: the first in order is named
+    first = lambda *worth: both.select(quality_rules.cascade(rules, list(worth)).alias("f")).first().f
+    assert first(dear, cheap) == "short_words" and first(quality_rules.Estimate("few_letters", 1e-6, 0.5), cheap) == "few_letters"
+    assert first(*(quality_rules.Estimate(e.name, e.seconds, 0.0) for e in (dear, cheap))) == "short_words"
+    nothing = quality_rules.estimate(sample.limit(0), rules)
+    assert [e.rejected for e in nothing] == [0.0, 0.0]
+
+
 def test_verdicts_without_features_are_the_same(docs, spark):
     extra = spark.createDataFrame([(3000, "- one after another\n* goes into this list\n- until it is long enough"), (3001, "so it goes on and on and on for ever ...\nand then some more of it …"), (3002, "1111 222 3333 444 5555 666 7777 888 9999 word other more")], "doc_id long, text string")
     table = docs.select("doc_id", "text").unionByName(extra).withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit("clash"))
