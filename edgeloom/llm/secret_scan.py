@@ -2,8 +2,9 @@
 
 Candidates are strings of at least 16 characters without blanks that hold a digit or
 mixed case; every value without blanks, of any length and symbols, that is assigned to
-a secret word or follows one (an operator or ``is`` may stand between); the
-password of a URL; and whole blocks of private keys.  Each gets features that are plain column expressions: its length and
+a secret word or follows one (an operator or ``is`` may stand between), or that a tag named by
+one encloses; the password of a URL or of a user option (``-u name:password``); and whole
+blocks of private keys, encrypted ones and those of PGP too.  Each gets features that are plain column expressions: its length and
 character classes, transitions between classes of neighbouring characters and how many
 pairs of letters are usual in the dictionary, distinct characters, how much of it words of
 the dictionary cover, how much it looks like a path, what kind of path the document comes
@@ -45,15 +46,22 @@ CANDIDATE = r"[A-Za-z0-9_+/.-]{16,}={0,2}"
 #: A digit, or upper case after lower case.
 _LIKELY = r"[0-9]|[a-z][A-Z]"
 _KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abps]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.)"
-_SECRET_WORDS = r"(token|secret|passw|passwd|pwd|api.?key|apikey|auth|bearer|credential|private.?key|access.?key)"
+_SECRET_WORDS = r"(token|secret|passw|passwd|pass.?phrase|pwd|api.?key|apikey|auth|bearer|credential|private.?key|access.?key)"
 _OTHER_WORDS = r"(sha1|sha256|sha-|md5|commit|checksum|digest|hash|uuid|guid|revision|version|build|order|invoice|account|card|phone|serial|isbn|id\b)"
 #: A word that ends in a secret word, with what may close it and an operator after it.
 _ENDS_SECRET = rf"(?i){_SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"'`\])]{{0,2}}(:=|=>|->|[=:])*$"
 _OPERATOR = r"(?i)^(:=|=>|->|=+|:|-|is|was|ist|est|es)$"
-_ENDS_SECRET_BEFORE = rf"(?i){_SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"'`\])]{{0,2}}\s*(:=|=>|->|[=:]|-|is|was|ist|est|es)*\s*[\"'`]?$"
+_ENDS_SECRET_BEFORE = rf"(?i){_SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"'`\])]{{0,2}}\s*(:=|=>|->|[=:>]|-|is|was|ist|est|es)*\s*[\"'`]?$"
 #: An assignment within a word: the name, the operator, the value.
 _INLINE = rf"(?i){_SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"'`\])]{{0,2}}(?:=>|:=|[=:])(.+)$"
 _URL = r"://[^\s/@:]*:([^\s/]+)@"
+#: What a tag named by a secret word encloses.
+_TAG = rf"(?i)<[^<>\s/]{{0,40}}{_SECRET_WORDS}[^<>\s]{{0,20}}>([^<>]+)</"
+#: An option that gives a user, with what it may be joined to, and a user with a password.
+_USER_OPTION = r"^(?:-u|--user)$"
+_USER = r"^(--user=)?[\"'`]?[^\s:/=\"'`<>]+:(?!//)([^\s:]+)$"
+_ANY_USER = r"(?:^|\s)(?:-u\s+|--user[=\s]\s*)[\"'`]?[^\s:/=\"'`<>]+:[^\s:]"
+_AHEAD_USER = r"(?:^|\s)(?:-u\s+|--user[=\s]\s*)[\"'`]?[^\s:]+:$"
 _QUOTED = r"^[\"'`](.*)[\"'`][^\"'`]*$"
 #: Words whose letters count as covered by a dictionary.
 DICTIONARY = (
@@ -73,7 +81,8 @@ DICTIONARY = (
 
 #: Words of the corpus that join the fixed list; also the bound of what reaches the driver.
 CORPUS_WORDS = 500
-_KEY_BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+#: From BEGIN to END, with no other mark of five hyphens between; headers of encrypted keys hold single ones.
+_KEY_BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 _SOURCE_PATH = r"(^|[/.])(src|app|config|conf|settings|deploy|env)([/._-]|$)|\.(env|ya?ml|ini|properties|tf)$"
 
 FEATURES = ["usual_pairs", "source_path", "key_block", "length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hexadecimal", "covered", "slashes", "dots", "extension", "known", "near_secret", "near_other", "assigned", "quoted", "test_path", "follows", "in_url", "code", "long"]
@@ -83,22 +92,22 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_index, candidate, word, before, after, path) of all candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
     path = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
-    secret = text.rlike(f"(?i){_SECRET_WORDS}") | text.rlike(_URL)
+    secret = text.rlike(f"(?i){_SECRET_WORDS}") | text.rlike(_URL) | text.rlike(_ANY_USER)
     once = F.struct(F.split(text, r"[\x20\x09-\x0D]+", -1).alias("ws"), secret.alias("secret"))
     # generated, so that neither is evaluated again for each word
     held = docs.filter(text.rlike(CANDIDATE) | secret).select("doc_id", path.alias("path"), F.explode(F.array(once)).alias("once")).select("doc_id", "path", "once.ws", "once.secret")
     before = lambda i, k: F.coalesce(F.get("ws", i - k), F.lit(""))
     near = lambda i: F.lower(F.concat_ws(" ", *(before(i, k) for k in (3, 2, 1))))
     after_word = lambda i: before(i, 1).rlike(_ENDS_SECRET) | before(i, 1).rlike(_OPERATOR) & before(i, 2).rlike(_ENDS_SECRET)
-    words = F.transform("ws", lambda w, i: F.struct(w.alias("word"), i.alias("i"), (F.col("secret") & (w != "") & after_word(i)).alias("follows")))
-    words = F.filter(words, lambda e: e["word"].rlike(CANDIDATE) | e["follows"] | F.col("secret") & (e["word"].rlike(_INLINE) | e["word"].rlike(_URL)))
+    words = F.transform("ws", lambda w, i: F.struct(w.alias("word"), i.alias("i"), (F.col("secret") & (w != "") & after_word(i)).alias("follows"), (F.col("secret") & w.rlike(_USER) & (before(i, 1).rlike(_USER_OPTION) | w.startswith("--user="))).alias("user")))
+    words = F.filter(words, lambda e: e["word"].rlike(CANDIDATE) | e["follows"] | e["user"] | F.col("secret") & (e["word"].rlike(_INLINE) | e["word"].rlike(_URL) | e["word"].rlike(_TAG)))
     rows = held.withColumn("hits", words).filter(F.size("hits") > 0).withColumn("hit", F.explode("hits"))
     rows = rows.select(
-        "doc_id", "path", F.col("hit.word").alias("word"), F.col("hit.i").cast("bigint").alias("word_index"), F.col("hit.follows").alias("follows"), near(F.col("hit.i")).alias("before"),
+        "doc_id", "path", F.col("hit.word").alias("word"), F.col("hit.i").cast("bigint").alias("word_index"), F.col("hit.follows").alias("follows"), F.col("hit.user").alias("user"), near(F.col("hit.i")).alias("before"),
         F.lower(F.coalesce(F.get("ws", F.col("hit.i") + 1), F.lit(""))).alias("after"),
     )
     long = F.filter(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1), lambda c: c.rlike(_LIKELY))
-    value = F.array(F.when(F.col("follows"), F.col("word")), F.regexp_extract("word", _INLINE, 2))
+    value = F.array(F.when(F.col("follows") & ~F.col("word").rlike(_TAG), F.col("word")), F.when(F.col("user"), F.regexp_extract("word", _USER, 2)), F.regexp_extract("word", _TAG, 2), F.regexp_extract("word", _INLINE, 2))
     value = F.transform(value, lambda v: F.when(v.rlike(_QUOTED), F.regexp_extract(v, _QUOTED, 1)).otherwise(F.regexp_replace(v, "^[\"'`]|[\"'`,;.)\\]}]+$", "")))
     value = F.filter(value, lambda v: v.isNotNull() & (v != "") & ~v.rlike(_OPERATOR))
     url = F.filter(F.array(F.regexp_extract("word", _URL, 1)), lambda v: v != "")
@@ -109,7 +118,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 def key_blocks(docs: DataFrame) -> DataFrame:
     """The private key blocks of all texts, from BEGIN to END, as candidates."""
     path = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
-    text = docs.filter(F.col("text").contains("PRIVATE KEY-----")).select("doc_id", path.alias("path"), "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_KEY_BLOCK})"), 1)).alias("k", "candidate"))
+    text = docs.filter(F.col("text").rlike("PRIVATE KEY(?: BLOCK)?-----")).select("doc_id", path.alias("path"), "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_KEY_BLOCK})"), 1)).alias("k", "candidate"))
     ahead = F.element_at(F.split("text", _KEY_BLOCK, -1), F.col("k") + 1)
     # words before the block: those of the pieces before it and of the blocks before it
     pieces = F.slice(F.split("text", _KEY_BLOCK, -1), F.lit(1), F.col("k") + 1)
@@ -157,9 +166,9 @@ def with_features(found: DataFrame, dictionary: list[str] | None = None) -> Data
             "slashes": F.regexp_count(c, F.lit("/")).cast("double"), "dots": F.regexp_count(c, F.lit("[.]")).cast("double"),
             "extension": flag(c.rlike(r"\.[a-z]{1,5}$")), "known": flag(c.rlike(_KNOWN)),
             "near_secret": flag(around.rlike(_SECRET_WORDS)), "near_other": flag(around.rlike(_OTHER_WORDS)),
-            "assigned": flag(ahead.rlike(r"[=:]\s*[\"'`]?$")), "quoted": flag(F.col("word").rlike("[\"'`]")),
+            "assigned": flag(ahead.rlike(r"[=:>]\s*[\"'`]?$")), "quoted": flag(F.col("word").rlike("[\"'`]")),
             "test_path": flag(F.lower("path").rlike("test|example|sample|mock|doc")),
-            "follows": flag(F.trim(ahead).rlike(_ENDS_SECRET_BEFORE)), "in_url": flag(ahead.rlike(r"://[^\s/@:]*:$")),
+            "follows": flag(F.trim(ahead).rlike(_ENDS_SECRET_BEFORE)), "in_url": flag(ahead.rlike(r"://[^\s/@:]*:$") | ahead.rlike(_AHEAD_USER)),
             "code": flag(c.rlike(r"^[$%&*<{]|[(\[{<]|^(?i:none|null|nil|true|false|undefined|string|str|required|optional)$|^[a-z_]+\.[a-z_.]+$")),
             "long": flag(c.rlike(f"^{CANDIDATE}$") & c.rlike(_LIKELY)),
         }
@@ -213,6 +222,15 @@ def made_findings(spark: SparkSession, rows: int = MADE_ROWS, first: int = 0, fo
     block = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base64(65, 64), F.lit("\n"), base64(66, 64), F.lit("\n-----END RSA PRIVATE KEY-----"))
     stub = F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), pick(["...", "<your key here>", "MIIE...", "xxxx", "[redacted]"], 67), F.lit("\n-----END PRIVATE KEY-----"))
     shapes += [(1.0, block, block, plain), (0.0, stub, stub, plain)]
+    some = lambda seed: F.substr(base64(seed, 64), F.lit(1), pick([16, 20, 24, 32, 48, 64], seed + 20))  # noqa: E731 - keys are quoted in part, too
+    armoured = F.concat(F.lit("-----BEGIN PGP PRIVATE KEY BLOCK-----\n"), pick(["", "Version: 2\n", "Comment: none\n"], 88), F.lit("\n"), some(72), F.lit("\n"), some(73), F.lit("\n-----END PGP PRIVATE KEY BLOCK-----"))
+    encrypted = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: "), pick(["AES-128-CBC", "AES-256-CBC", "DES-EDE3-CBC"], 89), F.lit(","), F.upper(F.substr(hexadecimal(74, 32), F.lit(1), pick([8, 16, 32], 90))), F.lit("\n\n"), some(75), pick(["", "\n"], 91), some(76), F.lit("\n-----END RSA PRIVATE KEY-----"))
+    tagged = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    user = F.concat_ws(" ", word(77), word(78), pick(["curl -u", "wget --user", "curl -s -u"], 79))
+    own, key = F.concat(letters(80, 6), digits(81, 4), letters(82, 3)), F.concat(letters(83, 10), digits(84, 4))
+    shapes += [(1.0, armoured, armoured, plain), (1.0, encrypted, encrypted, plain), (1.0, own, tagged("password", own), plain), (1.0, key, tagged("apiToken", key), plain), (1.0, password, tagged("dbSecret", password), plain)]
+    shapes += [(0.0, word(85), tagged("password", word(85)), plain), (0.0, code, tagged("token", code), plain), (1.0, password, F.concat(F.lit("admin:"), password), user), (1.0, own, F.concat(F.lit("me:"), own), user)]
+    shapes += [(0.0, digits(86, 4), F.concat(F.lit("1000:"), digits(86, 4)), F.concat_ws(" ", word(87), F.lit("docker run -u"))), (0.0, code, F.concat(F.lit("me:"), code), user)]
     for k, (label, candidate, whole, before) in enumerate(shapes):
         if formats is not None and k not in formats:
             continue
