@@ -1,13 +1,19 @@
 """Operator 4: personal data replaced by keyed surrogates.
 
 Entities are found by patterns: e-mail addresses, phone numbers, card and account
-numbers, IP addresses, social security numbers, IBANs, access tokens next to a
-word such as ``token``, names after a title and names that begin with a first name of the
-lexicon, with all further mentions of their words in the same document.  Digits of any script, no-break
+numbers, IP addresses, social security numbers, IBANs, passport numbers and dates of
+birth next to a word that tells them, street addresses, access tokens next to a
+word such as ``token``, names after a title, names that begin with a first name of the
+lexicon and names written as ``Surname, First``, with all further mentions of their words in the
+same document.  Card numbers have a valid check digit or a word such as ``card`` ahead of them;
+book numbers and version numbers are no entities; a word of a name that is also a month or a
+day stays where a preposition or a number makes it one.  Digits of any script, no-break
 blanks and full-width signs count as their plain forms.  An entity's surrogate is a keyed
 permutation of its own format: every character is drawn from the same alphabet
-(script, case, digit, vowel or consonant), a valid check digit stays valid, a first
-name of the lexicon becomes one of the same gender, punctuation stays.  A
+(script, case, digit, vowel, usual or rare consonant), a valid check digit stays valid, a first
+name of the lexicon becomes one of the same gender and script, a surname of the lexicon one of
+its script (and, where it shows it, gender), a date of birth one of its decade, punctuation
+and words such as ``Street`` stay.  A
 permutation maps distinct entities of a format to distinct surrogates, and the same
 entity, however it is written (case, separators, country code), to the same one.
 
@@ -18,7 +24,8 @@ with the next tweak, and the check is repeated until none is left; from tweak
 ``NARROW`` on, in a longer format (more letters or digits, composite first names), so a
 format whose members are all taken does not end the search.  If some are still left
 after ``ROUNDS`` rounds (card numbers, IBANs and IP addresses have one length only), it
-raises with their number.  The few entities with a tweak are broadcast if they
+raises with their number.  Dates of birth are left out of this check, as a corpus holds each
+day of a decade: their permutation is one cycle, so none stays.  The few entities with a tweak are broadcast if they
 are at most ``BROADCAST_ROWS``, else they are joined to the documents that hold them.
 
 The key is an argument, else the session's ``spark.edgeloom.surrogates.key``; where neither
@@ -32,6 +39,7 @@ equal texts; an empty table gives an empty table; further columns are kept.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import ipaddress
 import re
@@ -56,13 +64,25 @@ ROUNDS = 20
 NARROW = 4
 
 FEMALE = (
-    "Alice Amelie Andrea Anna Antonia Barbara Beatriz Carla Carmen Charlotte Clara Claudia Cristina Elena Elisabeth Emma Eva Greta Hannah Helga Ines Isabel Jane Jessica "
-    "Johanna Julia Karin Laura Linda Lucia Margaret Maria Marie Marta Monika Nathalie Nora Olivia Patricia Paula Petra Rosa Sabine Sarah Silvia Sofia Sophie Susan Teresa Ursula"
+    "Alice Amelie Andrea Angela Anita Anna Antonia Barbara Beatriz Carla Carmen Caroline Catherine Charlotte Clara Claudia Cristina Diana Elena Elisabeth Elizabeth Emily Emma Eva Fatima "
+    "Francesca Greta Hannah Helen Helga Ines Ingrid Isabel Jane Jennifer Jessica Johanna Julia Karin Kavita Laura Linda Lucia Margaret Maria Marie Marta Mary Michelle Monika Nathalie Nora Olga "
+    "Olivia Patricia Paula Petra Priya Rachel Rosa Ruth Sabine Sandra Sarah Silvia Sofia Sophie Sunita Susan Svetlana Teresa Ursula Valentina Victoria Yasmin Yvonne"
 ).split()
 MALE = (
-    "Adam Alain Andrew Antonio Bruno Carlos Charles Christian Daniel David Diego Emil Felix Fernando Georg George Hans Henry Hugo Ivan Jacob James Javier John "
-    "Jorge Juan Karl Klaus Luis Manuel Marc Martin Matthew Michael Miguel Oscar Pablo Paul Pedro Peter Philippe Richard Robert Sergio Stefan Thomas Uwe Walter William Wolfgang"
+    "Adam Ahmed Alain Alexander Amit Andrew Anthony Antonio Arjun Boris Brian Bruno Carlos Charles Christian Daniel David Diego Dmitri Edward Emil Felix Fernando Francisco Georg George "
+    "Hans Hassan Henry Hugo Ibrahim Ivan Jacob James Javier John Jorge José Joseph Juan Karl Kevin Klaus Luis Manuel Marc Martin Matthew Michael Miguel Mohammed Nikolai Omar "
+    "Oscar Pablo Patrick Paul Pedro Peter Philippe Pierre Rajesh Ricardo Richard Robert Sanjay Sergio Stefan Steven Suresh Thomas Uwe Vijay Vladimir Walter William Wolfgang Yusuf"
 ).split()
+FEMALE_CYRILLIC = "Анастасия Анна Валентина Вера Галина Дарья Екатерина Елена Ирина Ксения Людмила Мария Наталья Нина Ольга Светлана София Татьяна Юлия".split()
+MALE_CYRILLIC = "Александр Алексей Андрей Борис Виктор Владимир Григорий Дмитрий Евгений Иван Игорь Константин Михаил Николай Олег Павел Пётр Сергей Юрий".split()
+SURNAMES = (
+    "Adams Allen Anderson Bailey Baker Bauer Becker Bernard Bianchi Brown Campbell Carter Castro Clark Collins Cooper Costa Davies Davis Delgado Díaz Dubois Dupont Durand Edwards Evans "
+    "Fernández Ferrari Fischer Fournier García Garnier Gómez González Graham Green Gupta Hall Harris Herrera Hill Hoffmann Hughes Iglesias Jackson Jiménez Johnson Jones Keller Kelly "
+    "Khan Klein Koch Krüger Kumar Lambert Lefebvre Leroy Lewis López Martínez Mehta Meyer Mitchell Moore Morales Moreau Morris Müller Navarro Nguyen Novak Ortega Parker Patel Pérez "
+    "Phillips Ramírez Reddy Richter Rivera Roberts Rodríguez Romero Rossi Roussel Ruiz Sánchez Schäfer Schmidt Schneider Schröder Schulz Schwarz Sharma Silva Singh Smith Suárez "
+    "Taylor Thompson Torres Turner Vargas Vidal Wagner Walker Weber Williams Wilson Wright Zimmermann"
+).split()
+SURNAMES_CYRILLIC = "Иванов Смирнов Кузнецов Попов Васильев Петров Соколов Михайлов Новиков Фёдоров Морозов Волков Алексеев Лебедев Семёнов Егоров Павлов Козлов Степанов Орлов Макаров Никитин Захаров".split()
 
 _TITLES = (
     "(?:Mr|Mrs|Ms|Mx|Miss|Madam|Dr|Dra|Prof|Professor|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|M(?=[.])|Señor|Señora|Señorita|Sra|Srta|Sr|"
@@ -74,6 +94,23 @@ _WORD = re.compile(rf"\s(?P<v>[^\W\d_]\.(?=\s)|{_NAME})")
 _PARTICLES = frozenset("von van der den de del della di da do dos du la le las los y zu zum zur ter ten bin ibn al el".split())
 _PHONE_WORDS = r"(?:tel|tél|telephone|téléphone|telefon|telefono|teléfono|phone|ph|mobile|mobil|móvil|movil|cell|portable|handy|fax|whatsapp|call|ring|rufnummer|appelez|llame)"
 
+#: Words ahead of a date of birth, months, words of streets.
+_BIRTH_WORDS = r"date of birth|d\.?o\.?b\.?|born(?: on)?|geboren(?: am)?|geb\.|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento|дата рождения"
+_MONTH_NAMES = [
+    "january february march april may june july august september october november december".split(),
+    "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+]
+_MONTHS = {name: k + 1 for names in _MONTH_NAMES for k, name in enumerate(names)}
+_DAYS = frozenset("monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag samstag sonntag".split())
+_STREETS_EN = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Square Terrace Way".split()
+_STREETS_FR = "rue avenue boulevard place chemin impasse allée quai".split()
+_STREETS_ES = "Calle Avenida Avda Plaza Paseo Carrera".split()
+_STREET_NAME = r"[A-ZÀ-Þ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_STREET_WORDS = frozenset(w.lower() for w in (*_STREETS_EN, *_STREETS_FR, *_STREETS_ES, *"bis ter des d' l' les".split()))
+_STREET_END = re.compile(r"(.+)(straße|strasse|str\.|gasse|weg|platz|allee)")
+
 PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w.+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")),
     ("iban", "", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -89,9 +126,24 @@ PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("card", "", re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)")),
     ("token", "", re.compile(r"(?i)(?<!\w)(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?(?P<v>(?-i:[A-Za-z0-9+/_=-]{16,}))")),
     ("name", "", re.compile(rf"{_TITLES}\.?(?=\s[^\W\d_])")),
-    ("name", "", re.compile(rf"(?<![\w@.-])(?P<v>(?:{'|'.join(FEMALE + MALE)})(?:-[^\W\d_]+)?(?:\s(?:{'|'.join(sorted(_PARTICLES))})){{0,2}}\s(?!{_TITLES}\b)[^\W\d_a-zß-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*)(?!\w)")),
+    ("ssn", "", re.compile(r"(?i)(?<!\w)(?:ssn|social security)(?: (?:number|no\.?|#))?(?: is)?[\s:#=]{1,3}(?P<v>\d{9})(?!\w)")),
+    ("passport", "", re.compile(r"(?i)(?<!\w)(?:passport|reisepass|passeport|pasaporte|паспорт)(?:nummer|-nr\.?)?(?: (?:no|nr|number|num|numéro|número|n°|номер)\b\.?)?(?: is)?[\s:#=]{1,3}(?P<v>(?-i:(?=[A-Z]*\d(?:[A-Z]*\d){4})[A-Z0-9]{6,10}))(?!\w)")),
+    ("birth", "", re.compile(rf"(?i)(?<!\w)(?:{_BIRTH_WORDS})[\s:=]{{1,3}}(?P<v>\d{{4}}-\d\d?-\d\d?|\d\d?([./-])\d\d?\2\d{{4}}|\d\d?\.? (?:de )?(?:{'|'.join(_MONTHS)}) (?:de )?\d{{4}}|(?:{'|'.join(_MONTHS)}) \d\d?,? \d{{4}})(?!\w|[.-]\d)")),
+    ("address", "", re.compile(rf"(?<![\w.,-])\d{{1,5}}[a-zA-Z]? (?:{_STREET_NAME} ){{1,3}}(?:{'|'.join(_STREETS_EN)})(?!\w)")),
+    ("address", "", re.compile(r"(?<!\w)[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|gasse|weg|platz|allee) \d{1,4}(?: ?[a-z])?(?![\w.]\d|\w)")),
+    ("address", "", re.compile(rf"(?<![\w.,-])\d{{1,4}},? (?:bis |ter )?(?:{'|'.join(_STREETS_FR)}) (?:(?:de|du|des|de la|d'|de l'|la|le|les) ?)?{_STREET_NAME}(?: {_STREET_NAME}){{0,2}}(?!\w)")),
+    ("address", "", re.compile(rf"(?<!\w)(?:{'|'.join(_STREETS_ES)}) (?:(?:de|del|de la|de los|la|el) )?{_STREET_NAME}(?: {_STREET_NAME}){{0,2}},? (?:n[º°] ?)?\d{{1,4}}(?!\w)")),
 ]
 _DIGIT = re.compile(r"\d")
+#: A capitalised word that may be a first name, the whole name from there on, and ``Surname, First``.
+_CAPITAL = re.compile(r"(?<![\w@.-])[A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?=[\s-][^\W\d_])")
+_FULL = re.compile(rf"[^\W\d_]+(?:-[^\W\d_]+)?(?:\s(?:{'|'.join(sorted(_PARTICLES))})){{0,2}}\s(?!{_TITLES}\b)[^\W\d_a-zß-ÿа-яё][^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)")
+_LISTED = re.compile(r"(?<![\w@.-])(?P<last>[A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:-[^\W\d_]+)?), (?P<first>[A-ZÀ-ÞА-ЯЁ][^\W\d_]+)(?!\w)")
+_FIELD_ENDS = "\n\t;|:()"
+#: Numbers of books and versions; nothing inside them is an address, a card or a phone.
+_NO_ENTITY = re.compile(r"(?i)isbn(?:-1[03])?:?\s*[\dx][\dx -]{8,16}[\dx]|(?<![\w-])97[89](?:[ -]?\d){10}(?![\w-])|(?<!\w)(?:version|ver|v|release|build|firmware)\.?\s*\d+(?:\.\d+)+")
+_CARD_WORD = re.compile(r"(?i)(?:card|karte|carte|tarjeta|visa|amex|карт)[^\n]{0,24}$")
+_OF_TIME = re.compile(r"(?i)(?<!\w)(?:in|on|by|of|since|until|till|during|before|after|early|late|last|next|this|every|from|to|im|am|seit|bis|ab|vom|en|el|de|le|depuis|desde|hasta|\d{1,2}\.?)\s$")
 _TITLE_WORD = re.compile(f"{_TITLES}(?:[.]|$)")
 #: What counts as another character, one for one, where entities are looked for.
 _PLAIN = {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal()} | {ord(c): p for c, p in zip("    ‐‑＋－．＠（）：／", "    --+-.@():/", strict=True)}
@@ -209,7 +261,12 @@ def normal(kind: str, found: str) -> str:
     if kind == "iban":
         return found.replace(" ", "")
     if kind == "name":
-        return " ".join(found.lower().split())
+        last, comma, first = found.lower().partition(",")
+        return " ".join((f"{first} {last}" if comma else found.lower()).split())
+    if kind == "birth":
+        return _date(found).isoformat()
+    if kind == "address":
+        return " ".join(_parts(found.lower()))
     return found.lower() if kind == "email" else found
 
 
@@ -237,8 +294,14 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int) -> str:
         sets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else _DIGITS for c in value[4:]]
         body = permuted(value[4:], kind, key, tweak, alphabets=sets)
         return f"{value[:2]}{98 - _mod97(body + value[:2] + '00'):02d}{body}"
-    if kind == "token":
-        hexadecimal = all(c in _HEX for c in value)
+    if kind == "birth":
+        day = datetime.date.fromisoformat(value)
+        first = datetime.date(day.year // 10 * 10 or 1, 1, 1)
+        return (first + datetime.timedelta(_next_day(key, first)[(day - first).days])).isoformat()
+    if kind == "address":
+        return " ".join(_address_part(p, key, tweak, more) for p in value.split(" "))
+    if kind in {"token", "passport"}:
+        hexadecimal = kind == "token" and all(c in _HEX for c in value)
         value += "0" * more
         sets = [_HEX if hexadecimal else _DIGITS if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c for c in value]
         return permuted(value, kind, key, tweak, alphabets=sets)
@@ -249,19 +312,88 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int) -> str:
     return " ".join(_name_part(p, key, tweak, more) for p in value.split(" "))
 
 
-_FIRST = {"f": [n.lower() for n in FEMALE], "m": [n.lower() for n in MALE]}
-_ALL_FIRST = {n: g for g, names in _FIRST.items() for n in names}
+_GROUPS = [[n.lower() for n in names] for names in (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC)]
+_ALL_FIRST = {n: k for k, names in enumerate(_GROUPS) for n in names}
+#: Surnames by script, and in Cyrillic by gender.
+_GROUPS += [[n.lower() for n in SURNAMES if n.lower() not in _ALL_FIRST], [n.lower() for n in SURNAMES_CYRILLIC], [f"{n.lower()}а" for n in SURNAMES_CYRILLIC]]
+_LEXICON = {n: k for k, names in enumerate(_GROUPS) for n in names}
+_NAME_LETTERS = ("aeiou", "bdfgklmnprst", "chjvwz", "qxy")
 
 
 def _name_part(part: str, key: bytes, tweak: int, more: int = 0) -> str:
-    """First names of the lexicon are permuted within their gender, or become composites of ``more`` + 1 of them; others keep their letters' kinds."""
+    """Names of the lexicon are permuted within their gender and script, or become composites of ``more`` + 1 of them; others keep their letters' kinds."""
     if part in _PARTICLES:
         return part
-    if part in _ALL_FIRST:
-        names = _FIRST[_ALL_FIRST[part]]
-        x = _scramble(names.index(part), len(names) ** (more + 1), key, f"first:{tweak}".encode())
+    if part in _LEXICON:
+        names = _GROUPS[_LEXICON[part]]
+        x = _scramble(names.index(part), len(names) ** (more + 1), key, f"first{_LEXICON[part]}:{tweak}".encode())
         return "-".join(names[x // len(names) ** k % len(names)] for k in range(more + 1))
-    return permuted(part + "z" * more, "name", key, tweak, lambda s: s not in _ALL_FIRST)  # no first name ends with z
+    part += "z" * more  # no name of the lexicon ends with z where this is not empty
+    if part in _LEXICON:
+        part += "z"
+    sets = [next((letters for letters in _NAME_LETTERS if c in letters), None) or _alphabet(c) for c in part]
+    return permuted(part, "name", key, tweak, lambda s: s not in _LEXICON, sets)
+
+
+@lru_cache(maxsize=64)
+def _next_day(key: bytes, first: datetime.date) -> list[int]:
+    """For each day of the decade from ``first`` on the one that stands for it: the next of a keyed circle."""
+    n = (datetime.date(first.year // 10 * 10 + 10, 1, 1) - first).days if first.year < 9990 else (datetime.date.max - first).days + 1
+    circle = sorted(range(n), key=lambda d: hashlib.blake2b(f"birth:{first}:{d}".encode(), key=key[:64], digest_size=16).digest())
+    out = [0] * n
+    for here, there in zip(circle, circle[1:] + circle[:1], strict=True):
+        out[here] = there
+    return out
+
+
+def _date(found: str) -> datetime.date | None:
+    """The day that is written; between two numbers of at most 12 the first is the day."""
+    numbers = [int(x) for x in re.findall(r"\d+", found)]
+    month = next((_MONTHS[w] for w in re.findall(r"[^\W\d_]+", found.lower()) if w in _MONTHS), None)
+    if month:
+        day, year = numbers
+    elif numbers[0] > 31:
+        year, month, day = numbers
+    else:
+        day, month, year = numbers
+        if month > 12:
+            day, month = month, day
+    try:
+        return datetime.date(year, month, day)
+    except ValueError:
+        return None
+
+
+def _date_like(layout: str, day: datetime.date) -> str:
+    """``day`` written as ``layout`` is."""
+    numbers, names = re.findall(r"\d+", layout), [w for w in re.findall(r"[^\W\d_]+", layout) if w.lower() in _MONTHS]
+    if names:
+        order = [day.day, day.year]
+        language = next(held for held in _MONTH_NAMES if names[0].lower() in held)
+        layout = layout.replace(names[0], _cased(language[day.month - 1], names[0]))
+    elif int(numbers[0]) > 31:
+        order = [day.year, day.month, day.day]
+    else:
+        order = [day.month, day.day, day.year] if int(numbers[1]) > 12 else [day.day, day.month, day.year]
+    rest = iter(zip(order, numbers, strict=True))
+    return re.sub(r"\d+", lambda m: f"{(x := next(rest))[0]:0{len(x[1])}d}", layout)
+
+
+def _parts(address: str) -> list[str]:
+    return re.findall(r"[dl]['’](?=[^\W\d_])|[^\s,]+", address)
+
+
+def _address_part(part: str, key: bytes, tweak: int, more: int = 0) -> str:
+    """Words such as ``street`` stay, the number is one as long or longer by ``more``, other letters keep their kinds."""
+    if part in _STREET_WORDS or part in _PARTICLES:
+        return part
+    end = _STREET_END.fullmatch(part)
+    if end:
+        return permuted(end[1], "street", key, tweak) + end[2]
+    if part[0].isdigit():
+        digits = re.match(r"\d+", part)[0]
+        return permuted(digits + "0" * more, "number", key, tweak, lambda s: (s[0] == "0") == (digits[0] == "0")) + part[len(digits) :]
+    return permuted(part, "street", key, tweak)
 
 
 def written(kind: str, found: str, made: str, value: str) -> str:
@@ -279,7 +411,12 @@ def written(kind: str, found: str, made: str, value: str) -> str:
 def _written(kind: str, found: str, made: str, value: str) -> str:
     if kind == "name":  # of a mention, the words it has
         words = dict(zip(value.split(" "), made.split(" "), strict=True))
-        return "".join(w if w.isspace() else _cased(words[w.lower()], w) for w in _words(found))
+        return "".join(w if w.isspace() or w == "," else _cased(words[w.lower()], w) for w in re.findall(r"\s+|,|[^\s,]+", found))
+    if kind == "birth":
+        return _date_like(found, datetime.date.fromisoformat(made))
+    if kind == "address":
+        rest = iter(made.split(" "))
+        return re.sub(r"[dl]['’](?=[^\W\d_])|[^\s,]+", lambda m: _cased(next(rest), m[0]), found, flags=re.IGNORECASE)
     if kind == "ip":
         return made.upper() if re.search("[A-F]", found) else made
     if kind == "email":
@@ -307,10 +444,6 @@ def _digit_like(digit: str, like: str) -> str:
     return chr(ord(like) - unicodedata.decimal(like) + int(digit))
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"\s+|\S+", text)
-
-
 def _cased(made: str, found: str) -> str:
     if len(made) == len(found):
         return "".join(m.upper() if f.isupper() and len(m.upper()) == 1 else m for m, f in zip(made, found, strict=True))
@@ -336,20 +469,24 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             group = "v" if "v" in pattern.groupindex else 0
             start, end = m.span(group)
-            if kind == "name" and group == 0:
+            if kind == "name":
                 start, end = _name_at(text, end) if not start or not (text[start - 1].isalnum() or text[start - 1] == "_") else (0, 0)
             value = text[start:end]
-            if not value or kind == "iban" and not iban(value) or kind == "phone" and not _phone(value) or kind == "ip" and ":" in value and not _ip6(value):
-                continue
-            made = normal(kind, value)
-            found.append((start, end, kind, made))
-            if kind == "name":
-                parts = value.split()
-                for w in parts[:1] if parts[0].lower() == parts[0].upper() else parts:  # without case, the second may be any word
-                    if len(w.rstrip(".")) > 1 and w.lower() not in _PARTICLES:
-                        for mention in (w, w.upper()):
-                            if mention.lower() == w.lower() and len(named.get(mention, "")) < len(made):
-                                named[mention] = made
+            if value and _is(kind, value, text, start):
+                found.append((start, end, kind, normal(kind, value)))
+    if digits and any(e[2] in _NUMBERS for e in found):
+        spans = [m.span() for m in _NO_ENTITY.finditer(text) if not m[0].startswith("97") or _book(m[0])]
+        found = [e for e in found if e[2] not in _NUMBERS or not any(a < e[1] and e[0] < b for a, b in spans)]
+    for start, end in _untitled(text):
+        found.append((start, end, "name", normal("name", text[start:end])))
+    for start, end, kind, made in found:
+        if kind == "name":
+            parts = text[start:end].replace(",", " ").split()
+            for w in parts[:1] if parts[0].lower() == parts[0].upper() else parts:  # without case, the second may be any word
+                if len(w.rstrip(".")) > 1 and w.lower() not in _PARTICLES:
+                    for mention in (w, w.upper()):
+                        if mention.lower() == w.lower() and len(named.get(mention, "")) < len(made):
+                            named[mention] = made
     if named:
         found += _mentions(text, named)
     found.sort(key=lambda e: (e[0], -e[1]))
@@ -361,6 +498,41 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+_NUMBERS = frozenset({"ip", "card", "phone"})
+
+
+def _is(kind: str, value: str, text: str, start: int) -> bool:
+    """Whether a find of a pattern is an entity: check digits, lengths, calendar, words ahead."""
+    if kind == "iban":
+        return iban(value)
+    if kind == "phone":
+        return _phone(value)
+    if kind == "ip":
+        return ":" not in value or _ip6(value)
+    if kind == "card":
+        return luhn(re.sub(r"\D", "", value)) or _CARD_WORD.search(text, max(0, start - 40), start) is not None
+    return kind != "birth" or _date(value) is not None
+
+
+def _book(number: str) -> bool:
+    return sum(int(d) * (1 + 2 * (k % 2)) for k, d in enumerate(re.sub(r"\D", "", number))) % 10 == 0
+
+
+def _untitled(text: str) -> Iterator[tuple[int, int]]:
+    """Names that begin with a first name of the lexicon, and ``Surname, First``: the surname is of the lexicon, or both fill a field."""
+    for m in _CAPITAL.finditer(text):
+        if m[0].lower() in _ALL_FIRST:
+            whole = _FULL.match(text, m.start())
+            if whole:
+                yield whole.span()
+    for m in _LISTED.finditer(text) if ", " in text else ():
+        if m["first"].lower() in _ALL_FIRST:
+            last = m["last"].lower()
+            before, after = text[max(0, m.start() - 2) : m.start()].rstrip(" ")[-1:], text[m.end() : m.end() + 1]
+            if last in _LEXICON and last not in _ALL_FIRST or before in _FIELD_ENDS and after in _FIELD_ENDS:  # an end of the text is in them too
+                yield m.span()
+
+
 def _name_at(text: str, at: int) -> tuple[int, int]:
     """Up to three words from ``at`` on that are not in lower case, with initials, and particles between them."""
     start = end = None
@@ -391,10 +563,14 @@ def _mentions(text: str, named: dict[str, str]) -> Iterator[tuple[int, int, str,
         w = m[0]
         if w not in named and w[-2:] in {"'s", "’s"}:
             w = w[:-2]
-        if w in named:
+        if w in named and not ((w.lower() in _MONTHS or w.lower() in _DAYS) and _of_time(text, *m.span())):
             yield m.start(), m.start() + len(w), "name", named[w]
 
 
+def _of_time(text: str, start: int, end: int) -> bool:
+    return _OF_TIME.search(text, max(0, start - 12), start) is not None or re.match(r"\s\d", text[end : end + 2]) is not None
+
+
 def _phone(value: str) -> bool:
     return 7 <= sum(c.isdigit() for c in value) <= 15
 
@@ -485,7 +661,7 @@ def anonymized(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     ship(spark)
     key = key or session_key(spark)
     found = stored(found_entities(docs, key), "entities")
-    tweaked = cut(settle(found.groupBy("kind", "value").agg(F.min("made").alias("made")), key))
+    tweaked = cut(settle(found.filter("kind <> 'birth'").groupBy("kind", "value").agg(F.min("made").alias("made")), key))
     names = [c for c in docs.columns if c != "n_replaced"]
     body, own_tweaks = (next(n for n in (base, *(f"{base}_{i}" for i in range(len(names) + 1))) if n not in names) for base in ("body", "tweaks"))
     docs = docs.select(names)
@@ -496,7 +672,7 @@ def anonymized(docs: DataFrame, key: bytes | None = None) -> DataFrame:
         shared = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["tweak"] for r in head})
         source = docs
     else:
-        rows = found.join(tweaked, ["kind", "value"]).groupBy("body").agg(F.array_distinct(F.collect_list(F.struct("kind", "value", "tweak"))).alias(own_tweaks)).withColumnRenamed("body", body)
+        rows = found.join(tweaked, ["kind", "value"]).select("body", "kind", "value", "tweak").distinct().groupBy("body").agg(F.collect_list(F.struct("kind", "value", "tweak")).alias(own_tweaks)).withColumnRenamed("body", body)
         source = docs.withColumn(body, F.xxhash64("text")).join(rows, body, "left").select(*names, own_tweaks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables, with odd rows in them."""
 
+import datetime
 import hashlib
 import re
 import zlib
@@ -358,6 +359,68 @@ def test_what_looks_like_an_address_or_number_stays():
     for text in ("x[1::2] at 12:30:45, std::abc, 00:1a:2b:3c:4d:5e", "on 05-12-2003 10 or 2020-01-02 03:04", "0.0123456789 and 3.14159265358", "smith said so", "1234567"):
         assert surrogates.replaced(text, KEY, {}, {}) == (text, 0)
 
+@pytest.mark.parametrize(
+    "text, gone",
+    [
+        ("then Angela Merkel and Rajesh Kumar met", ["Angela", "Merkel", "Rajesh", "Kumar"]), ("Müller, Hans\nand Müller", ["Müller", "Hans"]), ("Ольга Иванова ушла", ["Ольга", "Иванова"]),
+        ("born on 12.03.1985", ["12.03.1985"]), ("DOB: 1985-03-12", ["1985-03-12"]), ("geboren am 12. März 1985", ["12. März 1985"]), ("née le 3 août 1990", ["3 août 1990"]), ("nacido el 3 de mayo de 1990", ["3 de mayo de 1990"]),
+        ("at 12 Main Street, now", ["12", "Main"]), ("in der Lindenstraße 12a wohnt", ["Linden", "12a"]), ("au 12 bis rue de la Paix", ["12", "Paix"]), ("en Calle Mayor 12", ["Mayor", "12"]),
+        ("ssn 123456789", ["123456789"]), ("passport C01X00T47", ["C01X00T47"]), ("Reisepass-Nr. 123456789", ["123456789"]), ("credit card 7931824386410944", ["7931824386410944"]),
+    ],
+)
+def test_more_kinds_of_personal_data(text, gone):
+    made, n = surrogates.replaced(text, KEY, {}, {})
+    assert n and not [g for g in gone if g in made]
+    assert re.sub(r"\w+", "", made) == re.sub(r"\w+", "", text)
+    for word in ("Street", "straße", "rue de la", "Calle", "born on", "passport"):
+        assert (word in made) == (word in text)
+
+
+def test_numbers_of_books_versions_and_days_are_no_entities():
+    for text in ("Version 1.2.3.4 of v2.0.0.1", "ISBN 978-3-16-148410-0", "9783161484100 or 978-3-16-148410-0", "ISBN 0-306-40615-2", "order 7931824386410944", "In Berlin, Maria said; Then, Peter came", "born on 31.02.1985"):
+        assert surrogates.replaced(text, KEY, {}, {}) == (text, 0)
+    made = surrogates.replaced("Mr. May left. In May it rains, on May 5 too. May said so.", KEY, {}, {})[0]
+    name = re.match(r"Mr\. (\w+) left", made)[1]
+    assert name != "May" and made == f"Mr. {name} left. In May it rains, on May 5 too. {name} said so."
+
+
+def test_names_keep_gender_and_script():
+    for names in (surrogates.FEMALE, surrogates.MALE, surrogates.FEMALE_CYRILLIC, surrogates.MALE_CYRILLIC):
+        assert sorted(surrogates.surrogate("name", n.lower(), KEY, 0) for n in names) == sorted(n.lower() for n in names)
+    made = surrogates.replaced("Frau Ольга Иванова, Herr Иван Иванов", KEY, {}, {})[0]
+    her, him = re.fullmatch(r"Frau (\w+ \w+), Herr (\w+ \w+)", made).groups()
+    assert her.split()[0] in surrogates.FEMALE_CYRILLIC and her.split()[1][:-1] in surrogates.SURNAMES_CYRILLIC
+    assert him.split()[0] in surrogates.MALE_CYRILLIC and him.split()[1] in surrogates.SURNAMES_CYRILLIC
+    assert surrogates.replaced("Schneider, Anna; Frau Anna Schneider", KEY, {}, {})[0].count(surrogates.surrogate("name", "anna", KEY, 0).title()) == 2
+
+
+def test_days_of_birth_are_one_circle_a_decade():
+    days = [(datetime.date(1980, 1, 1) + datetime.timedelta(k)).isoformat() for k in range(3653)]
+    made = [surrogates.surrogate("birth", d, KEY, 0) for d in days]
+    assert sorted(made) == days and all(a != b for a, b in zip(days, made, strict=True))
+    texts = ["born 1985-03-12", "born 12.03.1985", "born March 12, 1985", "geb. 12. März 1985"]
+    assert len({e[3] for t in texts for e in surrogates.entities(t)}) == 1
+    assert len({e[3] for t in texts for e in surrogates.entities(surrogates.replaced(t, KEY, {}, {})[0])}) == 1
+    for odd in ("born 0001-01-01", "born 9999-12-31"):
+        assert surrogates.replaced(odd, KEY, {}, {})[1] == 1
+
+
+def test_detection_on_documents_against_plain_marks(spark, sf_dir):
+    """Marks that the operator's own finds have no part in: addresses, secrets and valid cards go, documents without any digit, sign or title stay."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in surrogates.anonymized(docs, KEY).collect()}
+    private = re.compile(r"[a-zß-ÿ]+\.\d+@mail\d\.example\.com|token = \"[0-9a-f]{40}\"|\+1 \(\d{3}\) 555-\d{4}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|(?<!\d)\d{16}(?!\d)", re.IGNORECASE)
+    seen = Counter()
+    for d, text in before.items():
+        marks = [m for m in private.findall(text) if not (m.isdigit() and not surrogates.luhn(m))]
+        seen[bool(marks)] += 1
+        if marks:
+            assert not [m for m in marks if m in after[d]]
+        else:
+            assert after[d] == text
+    assert min(seen.values()) > 0
+
 
 def test_a_full_format_is_left_for_a_longer_one(spark):
     values = [("name", n.lower()) for n in surrogates.FEMALE] + [("name", a + b) for a in "aeiouy" for b in "aeiouy"] + [("email", "_@_.com")]
