@@ -4,6 +4,10 @@ Every stage reads what its predecessor kept and returns the columns of
 ``documents``; the last returns the places of all pieces.  No stage can be stated
 in SQL as a whole (the first is a trained model), so ``ORACLE_SQL`` is None and the
 tests hold the result against a brute-force version.
+
+Defined cases: columns beyond those of ``documents`` go in the first stage; rows
+without an id, repeated rows and ids are kept as the operators state it; of an empty
+table nothing comes out.  A text that is null or holds no letter has no language and goes.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from edgeloom.llm.language_id import UNKNOWN, with_language
 from edgeloom.llm.line_dedup import dedup_lines
 from edgeloom.llm.packing import pack_documents
 from edgeloom.llm.parity_join import near_duplicates
-from edgeloom.llm.runtime import stored, table
+from edgeloom.llm.runtime import intermediates, stored, table
 from edgeloom.llm.surrogates import anonymized
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -65,8 +69,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents of ``sf_dir``.
+
+    A stage's intermediates and its input are deleted once it is written; what the
+    last stage reads stays, as its result is read by the caller."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with intermediates(spark) as folders:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            written = folders.pop()
+            folders += read
+        read = [written]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,9 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +26,8 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: ASCII white space, as the contracts of the operators state it.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The folders written by ``stored`` inside the innermost ``intermediates`` that is open.
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,17 +80,37 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """``df`` written as Parquet in the shared folder, and read from there.
 
     Columnar and compressed, so it is the form for wide intermediates; the
-    folder's name is new on each call.
+    folder's name is new on each call.  It stays until its owner clears the shared
+    folder, or until the end of ``intermediates``, inside which it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if _FOLDERS.get() is not None:
+        _FOLDERS.get().append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end, failed or not, what ``stored`` writes inside.
+
+    Results that read it must be written inside too; a folder taken from the list
+    that is given stays.  Nested uses each delete their own."""
+    folders: list[str] = []
+    token = _FOLDERS.set(folders)
+    try:
+        yield folders
+    finally:
+        _FOLDERS.reset(token)
+        for folder in folders:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

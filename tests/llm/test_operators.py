@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom import llm
-from edgeloom.llm import components as C
 from edgeloom.llm import language_id, line_dedup, packing, parity_join, pieces, quality_rules, secret_scan, sharding, surrogates, vector_dedup
+from edgeloom.operators import components as C
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keys string, node long, h1 long, __pos string"

@@ -1,9 +1,12 @@
 """The pipeline on the smallest tables, stage by stage, against plain Python."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 import pytest
 
 import corpus_pipeline
-from edgeloom.llm.runtime import stored
+from edgeloom.llm.runtime import intermediates, shared_dir, stored
 
 from test_operators import key_of_line, roots, shingles
 
@@ -52,6 +55,37 @@ def test_privacy_and_packing(steps):
     assert set(steps[5].index) == set(steps[4].index)
 
 
+def test_intermediates_of_the_stages_are_deleted(spark, sf_dir):
+    """Beside the input of the last stage and what that stage stores, nothing is left; the result can be read."""
+    folder = Path(urlparse(shared_dir(spark)).path)
+    names = lambda: {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before and (p / "_SUCCESS").exists()}
+    before = {p.name for p in folder.iterdir()}
+    got = corpus_pipeline.run(spark, sf_dir)
+    left = names()
+    assert got.count() > 0 and "pipeline-privacy" in left
+    assert not left & {"pipeline-language", "pipeline-lines", "pipeline-near_duplicates", "entities", "classes", "buckets", "sketches", "sets"}
+    with pytest.raises(ZeroDivisionError), intermediates(spark):
+        stored(spark.range(3), "gone")
+        assert "gone" in names()
+        raise ZeroDivisionError
+    assert "gone" not in names()
+
+
+def test_texts_without_letters_go_and_columns_stay_those_of_documents(spark):
+    """Odd rows through the first four stages: null and empty texts, no letter, no id, further columns."""
+    texts = [None, "", "12 34 !?", "Some plain words of prose in here", "другие слова этого языка", "mail anna.smith@example.org about it", "no id but words"]
+    rows = [(None if t == texts[-1] else i, t, "en" if i % 2 else None, None, None, "k", 1) for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keys string, node long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, ""), name)
+        assert docs.columns == corpus_pipeline.COLUMNS
+        if name == "language":
+            assert sorted(docs.toPandas().text) == sorted(t for t in texts * 2 if t and any(c.isalpha() for c in t))
+    got = docs.toPandas()
+    assert set(got.doc_id.dropna()) == {3, 4, 5} and got.doc_id.isna().any()
+    assert not any("anna.smith" in t for t in got.text)
+
+
 def test_identical_rows_and_an_empty_table(spark, tmp_path):
     """Rows that share id and text pass all stages; of an empty table nothing comes out."""
     line = "This very line stands in many documents of the corpus."
