@@ -78,8 +78,11 @@ def edge_text(source: Column, target: Column, external: Column, kinds: Column) -
 
 
 def utc_stamp(seconds: Column | str) -> Column:
-    """Seconds since 1970 as ``2024-02-29T23:59:59Z``, whatever the session's time zone."""
+    """Seconds since 1970 as ``2024-02-29T23:59:59Z``, whatever the session's time zone.
+
+    Years have four digits at least and no plus sign beyond 9999; negative years are not padded."""
     s = _col(seconds).cast("bigint")
     second = F.pmod(s, F.lit(86_400))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((s - second) / 86_400).cast("int"))
-    return F.when(s.isNotNull(), F.format_string("%sT%02d:%02d:%02dZ", day.cast("string"), F.floor(second / 3_600), F.floor(second % 3_600 / 60), second % 60))
+    year = F.when(F.year(day) < 0, F.year(day).cast("string")).otherwise(F.format_string("%04d", F.year(day)))
+    return F.when(s.isNotNull(), F.format_string("%s-%02d-%02dT%02d:%02d:%02dZ", year, F.month(day), F.dayofmonth(day), F.floor(second / 3_600), F.floor(second % 3_600 / 60), second % 60))

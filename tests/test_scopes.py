@@ -2,6 +2,7 @@
 
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from edgeloom import api
 from edgeloom.errors import UserError
 from edgeloom.functions.identifiers import utc_stamp
 from edgeloom.plans import edges as E
+from edgeloom.queries import QUERIES, SQL
 from edgeloom.sinks import render
 from edgeloom.sources import rust
 
@@ -123,3 +125,13 @@ def test_formats(spark):
     assert {r.s: r.t for r in frame.select("s", utc_stamp("s").alias("t")).collect()} == {**{s: at(s) for s in seconds}, None: None}
     row = spark.createDataFrame([("a\r\nb\rc\nd<",)], "c string").select(render.mermaid_label(F.col("c")).alias("m"), render.single_line(F.col("c")).alias("s")).first()
     assert (row.m, row.s) == ("a<br/>b<br/>c<br/>d&lt;", "a  b c d<")
+
+
+def test_stamps_of_years_that_have_not_four_digits(spark, tmp_path):
+    frame = spark.createDataFrame([(253402300799,), (253402300800,), (775000000000,), (-62135596801,), (-62167219201,), (-69000000000,), (-90000000000,)], "s long")
+    got = [r.t for r in frame.select(utc_stamp("s").alias("t")).collect()]
+    assert got[:4] == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "26528-10-09T09:46:40Z", "0000-12-31T23:59:59Z"]
+    assert [t[: t.index("-", 1)] for t in got[4:]] == ["-1", "-217", "-882"]
+    spark.range(0, 9_000_000, 99_993).union(spark.range(-1_200_000, -600_000, 99_991)).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    want = duckdb.connect().execute(SQL["c10_utc_stamp"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["c10_utc_stamp"](spark, str(tmp_path)).collect())) == sorted(want)
