@@ -71,25 +71,48 @@ def field_sets(fields: DataFrame, accesses: DataFrame) -> DataFrame:
     return used.groupBy("type", "fields").agg(F.count(F.lit(1)).alias("methods"))
 
 
-def lcom1(types: DataFrame, methods: DataFrame, fields: DataFrame, accesses: DataFrame) -> DataFrame:
+#: Accesses of a type, its declared fields, and its methods, up to which it is folded inside one row.
+FOLDED_ACCESSES, FOLDED_METHODS = 10_000, 100
+
+
+def lcom1(types: DataFrame, methods: DataFrame, fields: DataFrame, accesses: DataFrame, folded: int = FOLDED_METHODS) -> DataFrame:
     """max(pairs of methods without a shared field - pairs with one, 0).
 
-    Pairs that share a field are counted between the distinct field sets of a type, times
-    their methods; so a field that many methods use alike makes no pairs of methods.
+    A type of at most ``folded`` methods and ``FOLDED_ACCESSES`` accesses and fields is counted in
+    a fold over its row, its fields as bits of a number where 64 are enough.  Pairs of a larger
+    type are counted by a join over fields between its distinct field sets, times their
+    methods; so a field that many methods use alike makes no pairs of methods.
     """
-    sets = cut(field_sets(fields, accesses))
-    alike = sets.groupBy("type").agg(F.sum(F.expr("methods * (methods - 1) div 2")).alias("q"))
-    held = sets.select("type", F.col("fields").alias("own"), F.col("methods").alias("n"), F.explode("fields").alias("field"))
-    other = held.select("type", "field", F.col("own").alias("other"), F.col("n").alias("k"))
-    across = held.join(other, ["type", "field"]).filter("own < other").select("type", "own", "other", "n", "k").distinct().groupBy("type").agg(F.sum(F.expr("n * k")).alias("q"))
-    sharing = alike.unionByName(across).groupBy("type").agg(F.sum("q").alias("q"))
-    out = lcom_inputs(types, methods, fields, accesses).join(sharing, "type", "left").withColumn("q", _zero("q"))
-    pairs = F.floor(F.col("m") * (F.col("m") - 1) / 2)
-    return out.select("type", F.greatest(pairs - 2 * F.col("q"), F.lit(0)).cast("double").alias("value"))
-
-
-#: Accesses of a type up to which its components are folded inside one row.
-FOLDED_ACCESSES = 10_000
+    kept = types.filter("kind = 'struct'").select("type").distinct()
+    used = cut(accesses.groupBy("type", "method").agg(F.collect_set("field").alias("fields")).join(kept, "type", "left_semi"))
+    declared = cut(fields.select("type", "field").distinct())
+    of_methods = used.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fields")).alias("size"))
+    of_fields = declared.groupBy("type").agg(F.count(F.lit(1)).alias("size"))
+    large = of_methods.filter((F.col("n") > folded) | (F.col("size") > FOLDED_ACCESSES)).select("type")
+    large = cut(large.union(of_fields.filter(F.col("size") > FOLDED_ACCESSES).select("type")).distinct())
+
+    known = declared.join(large, "type", "left_anti").groupBy("type").agg(F.collect_list("field").alias("known"))
+    small = used.join(large, "type", "left_anti").groupBy("type").agg(F.collect_list("fields").alias("sets")).join(known, "type")
+    bit = lambda f: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.array_position("known", f) - 1).cast("int"))
+    mask = lambda fs: F.aggregate(F.array_intersect(fs, F.col("known")), F.lit(0).cast("bigint"), lambda m, f: m.bitwiseOR(bit(f)))
+    meeting = lambda sets, meet: F.aggregate(sets, F.lit(0).cast("bigint"), lambda n, x: n + F.size(F.filter(sets, lambda y: meet(x, y)))) - F.size(sets)
+    bound = lambda sets, meet: F.transform(F.array(sets), lambda s: meeting(s, meet))[0]  # noqa: E731  the sets are made once, not for each pair
+    # ordered pairs of different methods, so each pair counts twice
+    bits = F.filter(F.transform("sets", mask), lambda m: m != 0)
+    names = F.filter(F.transform("sets", lambda fs: F.array_intersect(fs, F.col("known"))), lambda fs: F.size(fs) > 0)
+    twice = F.when(F.size("known") <= 64, bound(bits, lambda x, y: x.bitwiseAND(y) != 0)).otherwise(bound(names, F.arrays_overlap))
+    sharing = small.select("type", twice.alias("twice"))
+    if not large.isEmpty():
+        of_large = used.join(large, "type", "left_semi").select("type", "method", F.explode("fields").alias("field"))
+        rest = cut(field_sets(declared, of_large))
+        held = rest.select("type", F.col("fields").alias("own"), F.col("methods").alias("n"), F.explode("fields").alias("field"))
+        other = held.select("type", "field", F.col("own").alias("other"), F.col("n").alias("k"))
+        across = held.join(other, ["type", "field"]).filter("own < other").select("type", "own", "other", "n", "k").distinct().select("type", F.expr("2 * n * k").alias("twice"))
+        alike = rest.select("type", F.expr("methods * (methods - 1)").alias("twice"))
+        sharing = sharing.unionByName(alike.unionByName(across).groupBy("type").agg(F.sum("twice").alias("twice")))
+    m = methods.join(kept, "type", "left_semi").groupBy("type").agg(F.count_distinct("method").alias("m"))
+    out = m.join(sharing, "type", "left").withColumn("pairs", F.expr("m * (m - 1) div 2"))
+    return out.select("type", F.greatest(F.col("pairs") - _zero("twice"), F.lit(0)).cast("double").alias("value"))
 
 
 def lcom4(types: DataFrame, methods: DataFrame, fields: DataFrame, accesses: DataFrame, folded: int = FOLDED_ACCESSES) -> DataFrame:

@@ -62,6 +62,26 @@ def test_cohesion_equals_brute_force(spark):
         assert four[f"T{t}"] == joined[f"T{t}"] == len(groups)
 
 
+def test_lcom1_compares_methods_in_the_row_by_bits_by_names_and_by_joins(spark, monkeypatch):
+    """All three ways on types of up to 90 fields, undeclared and null fields included; small types make no join over fields."""
+    rng = random.Random(5)
+    sizes = [3, 20, 64, 65, 90] * 3
+    fields = [(f"T{t}", f"f{i}") for t, n in enumerate(sizes) for i in range(n) for _ in range(2)]
+    methods = [(f"T{t}", f"m{m}") for t in range(len(sizes)) for m in range(12)]
+    accesses = [(t, m, rng.choice([None, "ghost", *(f"f{rng.randrange(sizes[int(t[1:])])}" for _ in range(6))])) for t, m in methods for _ in range(rng.randint(0, 7))]
+    df = spark.createDataFrame
+    r = {"types": df([(f"T{t}", "struct", "x.rs") for t in range(len(sizes))], "type string, kind string, file string"), "methods": df(methods, "type string, method string"), "fields": df(fields, "type string, field string"), "accesses": df(accesses, "type string, method string, field string")}
+    want = {}
+    for t in {t for t, _ in methods}:
+        uses = [{f for x, y, f in accesses if (x, y) == (t, m) and (t, f) in set(fields)} for x, m in methods if x == t]
+        shared = sum(bool(a & b) for i, a in enumerate(uses) for b in uses[:i])
+        want[t] = max(len(uses) * (len(uses) - 1) // 2 - 2 * shared, 0)
+    assert len({*want.values()}) > 3
+    assert {x.type: x.value for x in M.lcom1(**r, folded=5).collect()} == want
+    monkeypatch.setattr(M, "field_sets", None)
+    assert {x.type: x.value for x in M.lcom1(**r).collect()} == want
+
+
 def test_distance_table(spark):
     rows = [(2, 2, 1, 3, 5, 50), (0, 0, 0, 0, 1, 0), (1, 0, 0, 0, 2, 50), (1, 0, 0, 0, 2, 500)]
     df = spark.createDataFrame(rows, "concrete bigint, traits bigint, ca bigint, ce bigint, n bigint, loc bigint")
