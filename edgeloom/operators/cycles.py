@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from edgeloom.errors import TechnicalError
 from edgeloom.operators.components import components
+from edgeloom.operators.traversal import spread
 from edgeloom.plans.lineage import cut
 
 #: Links of a part, at most, that one task finishes: some 300 bytes each while it does.
@@ -90,13 +91,7 @@ def _finished(links: DataFrame) -> DataFrame:
 
 def _searched(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """All labels that ``links`` reach from ``seeds``, seeds included."""
-    found = frontier = cut(seeds)
-    step = links.select(F.col("source").alias("label"), F.col("target").alias("next"))
-    while not frontier.isEmpty():
-        reached = frontier.join(step, "label").select(F.col("next").alias("label")).distinct()
-        frontier = cut(reached.join(found, "label", "left_anti"))
-        found = cut(found.unionByName(frontier))
-    return found
+    return spread(links.select(F.col("source").alias("at"), F.col("target").alias("next")), seeds)
 
 
 def _pivoted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +116,8 @@ def _pivoted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def strong_components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(label, component) of all nodes; a component is named by its smallest label."""
-    links = cut(edges.filter("source <> target").select("source", "target").distinct())
+    every = cut(edges.select("source", "target").distinct())
+    links = every.filter("source <> target")
     found = []
     while size := links.count():
         if size <= in_one_task:
@@ -137,7 +133,7 @@ def strong_components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataF
             found.append(cut(_finished(small.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))))))
         named, links = _pivoted(links.join(sizes.filter(F.col("n") > in_one_task).select("part"), "part"))
         found.append(named)
-    nodes = edges.select(F.col("source").alias("label")).union(edges.select("target")).distinct()
+    nodes = every.select(F.col("source").alias("label")).union(every.select("target")).distinct()
     if not found:
         return nodes.withColumn("component", F.col("label"))
     known = reduce(DataFrame.unionByName, found)

@@ -6,6 +6,9 @@ round costs what it discovers.  Lineage is cut every round in the shared folder.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +21,38 @@ def _links(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
 
-def _step(frontier: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
-    reached = frontier.withColumnRenamed("label", "at").join(links, "at").select(F.col("next").alias("label")).distinct()
-    return reached.join(visited, "label", "left_anti")
+#: Layers of a walk that lie apart before they are written together.
+LAYERS = 8
+
+
+def spread(links: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """All labels that ``links`` (at, next) reach from ``seeds`` (label), seeds included.
+
+    Links are dealt by ``at`` once and kept so for all rounds; what was visited is written
+    together every ``LAYERS`` rounds only, and the last layers are joined beside it.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = links.repartition(parts, "at").persist()
+    layers = [cut(seeds)]
+    try:
+        for done in itertools.count():
+            if done == depth:
+                break
+            reached = layers[-1].withColumnRenamed("label", "at").join(held, "at").select(F.col("next").alias("label")).distinct()
+            fresh = cut(reached.join(reduce(DataFrame.union, layers), "label", "left_anti"))
+            if fresh.isEmpty():
+                break
+            layers.append(fresh)
+            if len(layers) > LAYERS:
+                layers = [cut(reduce(DataFrame.union, layers[:-1]).coalesce(parts)), fresh]
+        return reduce(DataFrame.union, layers)
+    finally:
+        held.unpersist()
 
 
 def walk(edges: DataFrame, seeds: DataFrame, direction: str = "out", depth: int | None = None) -> DataFrame:
     """All labels in reach of ``seeds`` (label), seeds included; at most ``depth`` steps if given."""
-    links = cut(_links(edges, direction))
-    visited = frontier = cut(seeds.select("label").distinct())
-    done = 0
-    while depth is None or done < depth:
-        frontier = cut(_step(frontier, links, visited))
-        if frontier.isEmpty():
-            break
-        visited = cut(visited.unionByName(frontier))
-        done += 1
-    return visited
+    return spread(_links(edges, direction), seeds.select("label").distinct(), depth)
 
 
 def focus(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:

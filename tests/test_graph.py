@@ -324,3 +324,10 @@ def test_renderers(spark):
         render.render(shot, "png")
     with pytest.raises(UserError):
         render.export("x", " ")
+
+
+def test_a_walk_of_more_rounds_than_layers(spark):
+    links = spark.range(30).selectExpr("cast(id as string) as at", "cast(id + 1 as string) as next")
+    seeds = spark.createDataFrame([("3",)], "label string")
+    assert sorted(int(r.label) for r in traversal.spread(links, seeds).collect()) == list(range(3, 31))
+    assert sorted(int(r.label) for r in traversal.spread(links, seeds, depth=11).collect()) == list(range(3, 15))
