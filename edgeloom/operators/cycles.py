@@ -82,7 +82,7 @@ def _finished(links: DataFrame) -> DataFrame:
         ordered = [node for part in collect(range(n), *neighbours(tails, heads), [False] * n) for node in part]
         found = [part for part in collect(reversed(ordered), *neighbours(heads, tails), [False] * n) if len(part) > 1]
         members = [node for part in found for node in part]
-        least = [min(part) for part in found for _ in part]
+        least = [low for part in found for low in [min(part)] * len(part)]
         return pd.DataFrame({"label": labels.take(members), "component": labels.take(least)})
 
     kind = links.schema["source"].dataType.simpleString()
@@ -90,8 +90,11 @@ def _finished(links: DataFrame) -> DataFrame:
 
 
 def _searched(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """All labels that ``links`` reach from ``seeds``, seeds included."""
-    return spread(links.select(F.col("source").alias("at"), F.col("target").alias("next")), seeds)
+    """(label, ahead): labels that ``links`` reach from ``seeds``, and those that reach them, seeds included; one walk for both."""
+    on = lambda ahead, name, to: F.struct(F.lit(ahead).alias("ahead"), F.col(name).alias("label")).alias(to)
+    out, back = (links.select(on(ahead, a, "at"), on(ahead, b, "next")) for ahead, a, b in ((True, "source", "target"), (False, "target", "source")))
+    starts = seeds.select(F.explode(F.array(on(True, "label", "s"), on(False, "label", "s"))).alias("label"))
+    return spread(out.unionByName(back), starts).select("label.label", "label.ahead")
 
 
 def _pivoted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,14 +103,10 @@ def _pivoted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = ends.unionByName(links.select("part", F.col("target").alias("label"), F.lit(0).alias("out"), F.lit(1).alias("in")))
     degree = ends.groupBy("part", "label").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
     pivots = degree.groupBy("part").agg(F.max_by("label", F.struct(F.col("out") * F.col("in"), "label")).alias("label")).select("label")
-    ahead = _searched(links, pivots)
-    behind = _searched(links.select(F.col("target").alias("source"), F.col("source").alias("target")), pivots)
-    core = ahead.join(behind, "label", "left_semi")
-    of_part = degree.select("part", "label").join(core, "label")
+    found = _searched(links, pivots)
+    sides = cut(found.groupBy("label").agg(F.sum(F.when(F.col("ahead"), 1).otherwise(2)).alias("side")))
+    of_part = degree.select("part", "label").join(sides.filter("side = 3"), "label")
     named = of_part.select("label", F.min("label").over(Window.partitionBy("part")).alias("component"))
-    side = ahead.withColumn("ahead", F.lit(True)).join(behind.withColumn("behind", F.lit(True)), "label", "full")
-    both = F.col("ahead").isNotNull() & F.col("behind").isNotNull()
-    sides = cut(side.select("label", F.when(both, 3).when(F.col("ahead").isNotNull(), 1).otherwise(2).alias("side")))
     end = lambda name: sides.withColumnsRenamed({"label": name, "side": f"{name}_side"})
     marked = links.join(end("source"), "source", "left").join(end("target"), "target", "left")
     same = F.coalesce("source_side", F.lit(0)) == F.coalesce("target_side", F.lit(0))
@@ -131,6 +130,8 @@ def strong_components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataF
         if n := small.count():
             buckets = -(-n // max(in_one_task, 1))
             found.append(cut(_finished(small.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))))))
+        if n == links.count():
+            break
         named, links = _pivoted(links.join(sizes.filter(F.col("n") > in_one_task).select("part"), "part"))
         found.append(named)
     nodes = every.select(F.col("source").alias("label")).union(every.select("target")).distinct()

@@ -3,6 +3,7 @@ import io
 import itertools
 import random
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,6 +259,27 @@ def test_a_long_chain_and_a_long_ring(spark):
     assert cycles.strong_components(links_of(spark, chain).limit(0)).count() == 0
 
 
+def test_a_large_component_costs_no_square_of_its_nodes(spark):
+    """60,000 nodes in one task: naming each node by a search of all took minutes."""
+    ring = spark.range(60_000).select(F.col("id").cast("string").alias("source"), ((F.col("id") + 1) % 60_000).cast("string").alias("target"))
+    began = time.perf_counter()
+    assert [tuple(r) for r in cycles.strong_components(ring).groupBy("component").count().collect()] == [("0", 60_000)]
+    assert time.perf_counter() - began < 40
+
+
+def test_both_searches_of_a_pivot_are_one_walk_and_only_large_parts_have_one(spark, monkeypatch):
+    walks, spread = [], cycles.spread
+    monkeypatch.setattr(cycles, "spread", lambda *a: walks.append(a) or spread(*a))
+    ring = [(i, (i + 1) % 9) for i in range(9)]
+    found = cycles.strong_components(links_of(spark, [*ring, (3, 20), (21, 5)]), 4)
+    assert {r.label: r.component for r in found.collect()} == brute_components([*ring, (3, 20), (21, 5)])
+    assert len(walks) == 1
+    walks.clear()
+    pairs = [(i * 10 + a, i * 10 + (a + 1) % 3) for i in range(4) for a in range(3)]
+    assert {r.label: r.component for r in cycles.strong_components(links_of(spark, pairs), 4).collect()} == brute_components(pairs)
+    assert not walks
+
+
 def test_parts_that_lead_nowhere_add_no_paths(spark):
     """A dense acyclic graph behind and before a cycle has millions of paths, of which none closes."""
     tail = [(f"y{i:02d}", f"y{j:02d}") for i in range(24) for j in range(i + 1, 24)]
