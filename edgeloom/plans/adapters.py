@@ -12,6 +12,11 @@ from edgeloom.plans import edges as E
 #: Return flag and line status name the kind of a reference (fixed values).
 KIND_OF = {"NO": "use", "NF": "pub_use", "AO": "extern_crate", "AF": "mod", "RO": "path_reference", "RF": "macro_reference"}
 
+#: Line items that a task of a join sorts, about: some 90 bytes each while it does.
+ROWS_OF_A_TASK = 1_000_000
+#: Rows of a table that Spark may broadcast if it takes them for small.
+ROWS_OF_A_BROADCAST = 200_000
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -36,15 +41,37 @@ def _of(t: Tables, key: str, name: str) -> DataFrame:
     return F.broadcast(nation_files(t).select(F.col("nationkey").alias(key), F.col("file").alias(name)))
 
 
+def _tasks(t: Tables) -> int:
+    """Partitions of the joins of all line items, by their number (read from the files' footers); 0: few rows, as Spark chooses."""
+    tasks = -(-t.lineitem.count() // ROWS_OF_A_TASK)
+    return 0 if tasks <= 4 else max(tasks, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _met(many: DataFrame, few: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Both sides dealt over so many tasks, so that what one of them sorts does not grow with the tables."""
+    return many.repartition(tasks, key).join(few.repartition(tasks, key), key) if tasks else many.join(few, key)
+
+
+def _looked_up(rows: DataFrame, count: int) -> DataFrame:
+    """The smaller side of a join: too large for a broadcast it is hashed by partition, and the line items beside it are not sorted."""
+    return rows.hint("shuffle_hash") if count > ROWS_OF_A_BROADCAST else rows
+
+
+def _ordered_lines(t: Tables, *columns: str | Column) -> DataFrame:
+    """(columns of the line item, l_orderkey, source): a row per line item with the file of its customer's nation."""
+    tasks = _tasks(t)
+    customers = t.customer.join(_of(t, "c_nationkey", "source"), "c_nationkey").select("c_custkey", "source")
+    orders = _met(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), customers, "c_custkey", tasks)
+    return _met(t.lineitem.select("l_orderkey", *columns), orders.select("l_orderkey", "source"), "l_orderkey", tasks)
+
+
 def trade_refs(t: Tables) -> DataFrame:
     """(source, target, external, kind): a row per line item, from the customer's nation to the supplier's."""
-    customers = t.customer.join(_of(t, "c_nationkey", "source"), "c_nationkey").select("c_custkey", "source")
     suppliers = t.supplier.join(_of(t, "s_nationkey", "target"), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "target")
-    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(customers, "c_custkey")
     code = F.concat("l_returnflag", "l_linestatus")
     kind = F.coalesce(*(F.when(code == k, F.lit(v)) for k, v in KIND_OF.items()))
-    lines = t.lineitem.select("l_orderkey", "l_suppkey", kind.alias("kind"))
-    return lines.join(orders, "l_orderkey").join(suppliers, "l_suppkey").select("source", "target", F.lit(False).alias("external"), "kind")
+    lines = _ordered_lines(t, "l_suppkey", kind.alias("kind"))
+    return lines.join(_looked_up(suppliers, t.supplier.count()), "l_suppkey").select("source", "target", F.lit(False).alias("external"), "kind")
 
 
 def trade_edges(t: Tables) -> DataFrame:
@@ -52,10 +79,8 @@ def trade_edges(t: Tables) -> DataFrame:
 
 
 def brand_refs(t: Tables) -> DataFrame:
-    customers = t.customer.join(_of(t, "c_nationkey", "source"), "c_nationkey").select("c_custkey", "source")
-    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(customers, "c_custkey")
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("target"))
-    lines = t.lineitem.select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(parts, "l_partkey")
+    lines = _ordered_lines(t, "l_partkey").join(_looked_up(parts, t.part.count()), "l_partkey")
     return lines.select("source", "target", F.lit(True).alias("external"), F.lit("use").alias("kind"))
 
 

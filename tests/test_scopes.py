@@ -1,6 +1,7 @@
 """Ignore directives, scopes of slices, selectors of metrics, formats."""
 
 import datetime
+import re
 
 import duckdb
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom import api
 from edgeloom.errors import UserError
 from edgeloom.functions.identifiers import utc_stamp
+from edgeloom.plans import adapters as A
 from edgeloom.plans import edges as E
 from edgeloom.queries import QUERIES, SQL
 from edgeloom.sinks import render
@@ -135,3 +137,18 @@ def test_stamps_of_years_that_have_not_four_digits(spark, tmp_path):
     spark.range(0, 9_000_000, 99_993).union(spark.range(-1_200_000, -600_000, 99_991)).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     want = duckdb.connect().execute(SQL["c10_utc_stamp"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, QUERIES["c10_utc_stamp"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_tasks_of_the_joins_of_line_items_follow_their_number(spark, sf_dir, monkeypatch):
+    """A fixed number of partitions lets the rows that one task sorts grow with the tables."""
+    t = A.Tables(spark, sf_dir)
+    counted = lambda make: {tuple(r) for r in make(t).groupBy("source", "target", "external", "kind").count().collect()}
+    before = [counted(make) for make in (A.trade_refs, A.brand_refs)]
+    monkeypatch.setattr(A, "ROWS_OF_A_TASK", 500, raising=False)
+    monkeypatch.setattr(A, "ROWS_OF_A_BROADCAST", 5, raising=False)
+    tasks = -(-t.lineitem.count() // 500)
+    for make, want in zip((A.trade_refs, A.brand_refs), before):
+        plan = make(t)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(rf"hashpartitioning\(l_orderkey#\d+L?, {tasks}\), REPARTITION_BY_NUM", plan)) >= 2
+        assert "ShuffledHashJoin" in plan
+        assert counted(make) == want
